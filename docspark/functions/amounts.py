@@ -9,15 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspark.functions.text import unicode_trim
+from docspark.functions.text import WHITE_SPACE
 
 AMOUNT_TYPE = "decimal(38,6)"
 
-NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-ZERO = r"\A[+-]?(?:0+\.?0*|\.0+)(?:[eE][+-]?[0-9]+)?\z"
+# Each pattern reads a whole printed amount without its commas, so a column is
+# evaluated once even where the optimizer repeats the expression in a filter.
+_SPACE = f"[{WHITE_SPACE}]*"
+_EXPONENT = r"(?:[eE][+-]?[0-9]+)?"
+NUMBER = rf"\A{_SPACE}([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+){_EXPONENT}){_SPACE}\z"
 
 # Fixed value: the currency word that may end a printed amount.
 YEN_WORD = "円"
+ZERO = rf"\A{_SPACE}(?:[+-]?(?:0+\.?0*|\.0+){_EXPONENT})?{_SPACE}(?:{YEN_WORD})?\z"
 
 
 def _without_commas(c: Column) -> Column:
@@ -26,17 +30,15 @@ def _without_commas(c: Column) -> Column:
 
 def parse_amount(c: Column) -> Column:
     """Decimal value of a printed amount, NULL if it is not a number."""
-    text = unicode_trim(_without_commas(c))
-    return F.when(text.rlike(NUMBER), text.try_cast(AMOUNT_TYPE))
+    return F.regexp_extract(_without_commas(c), NUMBER, 1).try_cast(AMOUNT_TYPE)
 
 
 def amount_is_zero(c: Column) -> Column:
     """True for an unfilled amount or any spelling of zero.
 
-    The currency word is removed before the white space, so "0円 " is no zero.
+    The currency word counts only at the very end, so "0円 " is no zero.
     """
-    text = unicode_trim(F.regexp_replace(_without_commas(c), YEN_WORD + r"\z", ""))
-    return (text == "") | text.rlike(ZERO)
+    return _without_commas(c).rlike(ZERO)
 
 
 def format_amount(total: Column, foreign: bool) -> Column:

@@ -14,7 +14,7 @@ WHITE_SPACE = (
 
 # Company suffixes of an issuer name. The short one may be
 # written twice in front of the long one.
-ISSUER_SUFFIX = r"(?:\(株\)){0,2}(?:株式会社)?\z"
+ISSUER_SUFFIX = rf"(?:\(株\)){{0,2}}(?:株式会社)?[{WHITE_SPACE}]*\z"
 
 # Country by settlement currency; no currency means domestic.
 CURRENCY_COUNTRY = {"": "JP", "MYR": "MY", "SGD": "SG", "THB": "TH", "USD": "US"}
@@ -24,7 +24,7 @@ UNKNOWN = "unknown"
 
 def blank_to(c: Column, other: Column) -> Column:
     """`other` where `c` is NULL or the empty string."""
-    return F.when(c.isNull() | (c == ""), other).otherwise(c)
+    return F.coalesce(F.nullif(c, F.lit("")), other)
 
 
 def unicode_trim(c: Column) -> Column:
@@ -36,7 +36,7 @@ def normalise_alias(c: Column) -> Column:
 
 
 def canonical_issuer(c: Column) -> Column:
-    return normalise_alias(F.regexp_replace(unicode_trim(c), ISSUER_SUFFIX, ""))
+    return normalise_alias(F.regexp_replace(c, ISSUER_SUFFIX, ""))
 
 
 def country_from_currency(c: Column) -> Column:

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from docspark.functions.text import unicode_trim
 
 
+def text_value(value: Column) -> Column:
+    """The value if it is a JSON string, else NULL."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def string_field(fields: Column, *keys: str) -> Column:
     """First of `keys` whose value is a JSON string, else the empty string.
 
     A number or object under a key is passed over; an empty string is not.
     """
-    found = []
-    for key in keys:
-        path = f"$['{key}']"
-        kind = F.schema_of_variant(F.try_variant_get(fields, path, "variant"))
-        found.append(F.when(kind == "STRING", F.try_variant_get(fields, path, "string")))
+    found = [text_value(F.try_variant_get(fields, f"$['{k}']", "variant")) for k in keys]
     return F.coalesce(*found, F.lit(""))
 
 

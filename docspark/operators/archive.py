@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from docspark.functions.dates import format_rfc3339, year_month
 from docspark.functions.keys import archive_key, manifest_key, raw_key, tenant_safe, uri_for
 from docspark.functions.text import card_slug, issuer_slug
-from docspark.functions.variants import is_empty_value
+from docspark.functions.variants import is_empty_value, text_value
 from docspark.operators.spread import join_per_job
 from docspark.schema import SOURCE_KIND
+from docspark.sources.tables import replace_part
 
 # Header fields the archive layout is built from.
 ISSUER_KEYS = ("issuer_name", "issuer")
@@ -46,41 +47,32 @@ def document_headers(pages: DataFrame) -> DataFrame:
     """
     names = [*ISSUER_KEYS, *CARD_KEYS, *DATE_KEYS]
     page = F.col("page")
-    cells = pages.select(
+    values = pages.select(
         "job_id",
         "page",
         "document_type",
         *[F.try_variant_get("fields", f"$['{n}']", "variant").alias(n) for n in names],
     )
+    cells = values.select(
+        "job_id",
+        "page",
+        "document_type",
+        *[is_empty_value(F.col(n)).alias(f"{n}_empty") for n in names],
+        *[text_value(F.col(n)).alias(n) for n in names],
+    )
     firsts = cells.groupBy("job_id").agg(
         F.min_by("document_type", F.when(F.col("document_type") != "", page)).alias("document_type"),
         F.max("page").alias("max_page"),
-        *[
-            F.min_by(F.to_json(n), F.when(~is_empty_value(F.col(n)), page)).alias(n)
-            for n in names
-        ],
+        *[F.min_by(n, F.when(~F.col(f"{n}_empty"), page)).alias(n) for n in names],
     )
-    fields = firsts.select(
+    empty = F.lit("")
+    return firsts.select(
         "job_id",
-        F.coalesce("document_type", F.lit("")).alias("document_type"),
+        F.coalesce("document_type", empty).alias("document_type"),
         "max_page",
-        *[F.try_parse_json(n).alias(n) for n in names],
-    )
-
-    def text(keys: tuple[str, ...]) -> Column:
-        found = [
-            F.when(F.schema_of_variant(k) == "STRING", F.try_variant_get(k, "$", "string"))
-            for k in keys
-        ]
-        return F.coalesce(*found, F.lit(""))
-
-    return fields.select(
-        "job_id",
-        "document_type",
-        "max_page",
-        text(ISSUER_KEYS).alias("issuer"),
-        text(CARD_KEYS).alias("card_name"),
-        text(DATE_KEYS).alias("statement_date"),
+        F.coalesce(*ISSUER_KEYS, empty).alias("issuer"),
+        F.coalesce(*CARD_KEYS, empty).alias("card_name"),
+        F.coalesce(*DATE_KEYS, empty).alias("statement_date"),
     )
 
 
@@ -223,27 +215,16 @@ class ArchiveRoots:
         return f"{self.root}/index"
 
 
-def _append(df: DataFrame, path: str, run: int, *partitions: str) -> None:
-    """Write under a run number, so that a repeated run replaces itself."""
-    (
-        df.withColumn("run", F.lit(run))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run", *partitions)
-        .parquet(path)
-    )
-
-
 def write_archive(
     targets: DataFrame, tx: DataFrame, fields: DataFrame, roots: ArchiveRoots, run: int
 ) -> None:
     """Write headers, header fields and transactions of the targets."""
     headers = targets.select(*PARTITIONS, "job_id", "issuer_slug", "card_slug", "document_type", "archive_uri")
-    _append(headers, roots.documents, run, *PARTITIONS)
+    replace_part(headers, roots.documents, "run", run, *PARTITIONS)
     side = targets.select("job_id", *PARTITIONS, "card_slug")
-    _append(fields.join(side, "job_id"), roots.fields, run, *PARTITIONS)
+    replace_part(fields.join(side, "job_id"), roots.fields, "run", run, *PARTITIONS)
     rows = archived_transactions(tx, targets)
-    _append(rows, roots.transactions, run, *PARTITIONS)
+    replace_part(rows, roots.transactions, "run", run, *PARTITIONS)
 
 
 def write_raw_catalog(targets: DataFrame, documents: DataFrame, roots: ArchiveRoots, run: int) -> None:
@@ -252,12 +233,12 @@ def write_raw_catalog(targets: DataFrame, documents: DataFrame, roots: ArchiveRo
         "job_id", "issuer_slug", "year", "month", F.col("input_uri").alias("uri")
     )
     copied = wanted.join(documents.select("uri", "content"), "uri")
-    _append(copied, roots.raw, run, "issuer_slug", "year", "month")
+    replace_part(copied, roots.raw, "run", run, "issuer_slug", "year", "month")
 
 
 def write_manifests(manifests: DataFrame, roots: ArchiveRoots, run: int) -> None:
     """The markers; to be written only after the bodies."""
-    _append(manifests, roots.manifests, run)
+    replace_part(manifests, roots.manifests, "run", run)
 
 
 def read_current_archive(spark: SparkSession, roots: ArchiveRoots, table: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.dates import expires_at
 from docspark.functions.keys import stage_key
 from docspark.schema import (
+    DEAD_LETTER_DAYS,
     FAILED,
+    MAX_DELIVERIES,
     RETENTION_DAYS,
     RUNNING,
     STAGE_KEY_COLUMNS,
     STAGE_LOG,
     SUCCEEDED,
 )
+from docspark.sources.tables import read_or_empty, replace_part
 
 KEY = list(STAGE_KEY_COLUMNS)
 
@@ -100,27 +103,28 @@ def append_state(rows: DataFrame, root: str, batch: int) -> None:
 
     The log is laid out by stage and version, so a stage reads its own rows.
     """
-    (
-        rows.withColumn("batch", F.lit(batch))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("stage", "version", "batch")
-        .parquet(root)
-    )
+    replace_part(rows, root, "batch", batch, "stage", "version")
 
 
-def read_state_log(spark, root: str) -> DataFrame:
+def read_state_log(spark: SparkSession, root: str) -> DataFrame:
     """The whole log; empty where nothing was written yet."""
-    try:
-        stored = spark.read.parquet(root)
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return spark.createDataFrame([], STAGE_LOG)
-        raise
-    return stored.select(*[F.col(f.name).cast(f.dataType) for f in STAGE_LOG.fields])
+    return read_or_empty(spark, root, STAGE_LOG)
 
 
-def purge_expired(spark, root: str, target: str, now: Column) -> None:
+def purge_expired(spark: SparkSession, root: str, target: str, now: Column) -> None:
     """Write the rows still alive to `target`, a new version of the log."""
     kept = unexpired(read_state_log(spark, root), now)
-    kept.withColumn("batch", F.lit(0)).write.partitionBy("stage", "version", "batch").parquet(target)
+    append_state(kept, target, 0)
+
+
+def dead_letters(
+    log: DataFrame, now: Column, deliveries: int = MAX_DELIVERIES, days: int = DEAD_LETTER_DAYS
+) -> DataFrame:
+    """Keys started that often without success, while they are kept aside."""
+    seen = log.groupBy(*KEY).agg(
+        F.count_if(F.col("status") == RUNNING).alias("attempts"),
+        F.count_if(F.col("status") == SUCCEEDED).alias("_done"),
+        F.max("ts").alias("last_ts"),
+    )
+    kept = expires_at(F.col("last_ts"), days) > F.unix_timestamp(now)
+    return seen.filter((F.col("attempts") >= deliveries) & (F.col("_done") == 0) & kept).drop("_done")

@@ -39,9 +39,9 @@ def explode_transactions(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
 
 
 def drop_issuer_rows(tx: DataFrame, issuer: str = "issuer") -> DataFrame:
-    """Drop rows that only repeat the page's issuer."""
+    """Drop rows that only repeat the page's issuer, if it names one."""
     page_side = canonical_issuer(F.coalesce(F.col(issuer), F.lit("")))
-    return tx.filter((page_side == "") | (canonical_issuer(F.col("merchant")) != page_side))
+    return tx.filter(~((canonical_issuer(F.col("merchant")) == page_side) & (page_side != "")))
 
 
 def drop_zero_amounts(tx: DataFrame) -> DataFrame:

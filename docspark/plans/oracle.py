@@ -250,7 +250,7 @@ V_CJOB = f"""v_cjob AS (
       THEN 's3://work/jobs/conv_' || conv_id || '/merged/v1/result.json' ELSE '' END AS result_uri,
     CAST(count(*) AS INTEGER) AS page_count,
     CASE WHEN conv_id % 4 = 2 THEN '{PAGE_FAILURE}' ELSE '' END AS error,
-    {pick("conv_id % 6", "tenant-a", "tenant_b", "bad tenant", "", "acme", "a=b")} AS tenant_id
+    {pick("conv_id % 5", "tenant-a", "tenant_b", "bad tenant", "", "acme")} AS tenant_id
   FROM conversations GROUP BY conv_id)"""
 
 YEAR = "regexp_extract(statement_date, '([0-9]{4})[-/年]([0-9]{1,2})', 1)"
@@ -335,7 +335,10 @@ LATEST_LIST = (
     f"expires_at, {rfc3339('ts')} AS ts, seq"
 )
 
-REPLY = "CASE n % 6 WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 400 WHEN 3 THEN 429 WHEN 4 THEN 503 ELSE 302 END"
+REPLY = (
+    "CASE n % 7 WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 400 WHEN 3 THEN 429 WHEN 4 THEN 503 "
+    "WHEN 5 THEN 302 ELSE 204 END"
+)
 
 ORACLE: dict[str, str] = {
     "normalize_rows": sql(
@@ -556,10 +559,11 @@ ORACLE: dict[str, str] = {
     "index_outcomes": sql(
         *TARGET_VIEWS, V_ASKED,
         f"""SELECT job_id, tenant_id, archive_uri AS result_uri, {REPLY} AS http_status,
-    CASE n % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'schema' WHEN 5 THEN 'unexpected' ELSE 'transient' END AS outcome,
-    CASE WHEN n % 6 < 2 THEN 'idx_' || job_id END AS index_job_id
+    CASE n % 7 WHEN 2 THEN 'schema' WHEN 3 THEN 'transient' WHEN 4 THEN 'transient' WHEN 5 THEN 'unexpected'
+      ELSE 'ok' END AS outcome,
+    CASE WHEN n % 7 IN (0, 1, 6) THEN 'idx_' || job_id END AS index_job_id
   FROM (SELECT *, conv_id AS n FROM v_target WHERE target_error IS NULL)
-  WHERE NOT (n % 6 < 2 AND job_id IN (SELECT job_id FROM v_request WHERE error IS NULL))""",
+  WHERE NOT (n % 7 IN (0, 1, 6) AND job_id IN (SELECT job_id FROM v_request WHERE error IS NULL))""",
     ),
     "indexed_before": sql(
         *TARGET_VIEWS, V_ASKED,
@@ -567,7 +571,7 @@ ORACLE: dict[str, str] = {
     CAST(n % 100 AS INTEGER) AS vector_count, 'model-a' AS embedding_model, '2026-07-02T00:00:00Z' AS indexed_at,
     's3://vault/index/jobs/' || job_id || '.json' AS sidecar_uri
   FROM (SELECT job_id, CAST(split_part(job_id, '_', 2) AS BIGINT) AS n FROM v_request WHERE error IS NULL)
-  WHERE n % 6 < 2""",
+  WHERE n % 7 IN (0, 1, 6)""",
     ),
     "terminal_events": sql(
         V_JOB,

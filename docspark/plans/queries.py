@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import (
+    chain_literal,
     decode_chain,
     encode_chain,
+    expires_at,
     format_rfc3339,
     mime_from_uri,
     parse_uri,
@@ -30,7 +32,7 @@ from docspark.operators.transactions import (
     page_issuer,
 )
 from docspark.plans import adapters as view
-from docspark.schema import ENRICH_STAGE, RETENTION_DAYS
+from docspark.schema import CHAIN, CHAIN_REGISTRY, DEFAULT_CHAIN_ID, ENRICH_STAGE, RETENTION_DAYS
 from docspark.session import configure
 from docspark.sources.dictionary import seed_dictionary
 from docspark.sources.pages import decode_pages, failed_pages, good_pages
@@ -142,8 +144,6 @@ def unexpired_state(spark, sf_dir):
 
 @query
 def retention_stamps(spark, sf_dir):
-    from docspark.functions import expires_at
-
     rows = view.state_log(spark, sf_dir)
     return rows.select(
         "seq",
@@ -166,9 +166,6 @@ def pending_work(spark, sf_dir):
 @query
 def route_next(spark, sf_dir):
     """Succeeded rows of the log, sent on by position in the default chain."""
-    from docspark.functions import chain_literal
-    from docspark.schema import CHAIN_REGISTRY, DEFAULT_CHAIN_ID
-
     stages = CHAIN_REGISTRY[DEFAULT_CHAIN_ID]
     newest = state.latest_state(view.state_log(spark, sf_dir))
     position = F.array_position(F.array(*[F.lit(s[0]) for s in stages]), F.col("stage"))
@@ -179,7 +176,7 @@ def route_next(spark, sf_dir):
         F.lit("").alias("prompt_profile_id"),
         F.create_map().cast("map<string,string>").alias("metadata"),
         F.when(F.col("version") == "v1", chain_literal(stages))
-        .otherwise(F.array().cast(chain_literal_type()))
+        .otherwise(F.array().cast(CHAIN))
         .alias("chain"),
         (position - 1).cast("int").alias("chain_idx"),
     )
@@ -188,12 +185,6 @@ def route_next(spark, sf_dir):
     )
 
 
-def chain_literal_type():
-    from docspark.schema import CHAIN
-
-    return CHAIN
-
-
 @query
 def job_status(spark, sf_dir):
     newest = state.latest_state(view.state_log(spark, sf_dir))
@@ -447,9 +438,9 @@ def index_requests(spark, sf_dir):
 def _reply(batch):
     """A stand-in index service: the answer depends on the job number."""
     number = batch["job_id"].str.rsplit("_", n=1).str[-1].astype(int)
-    codes = [200, 201, 400, 429, 503, 302]
+    codes = [200, 201, 400, 429, 503, 302, 204]
     return batch[["job_id"]].assign(
-        http_status=[codes[n % 6] for n in number],
+        http_status=[codes[n % 7] for n in number],
         status="indexed",
         collection="transactions",
         index_job_id="idx_" + batch["job_id"],

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,6 +36,17 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
     return configure(builder.getOrCreate())
 
 
+def share_cores(df: DataFrame) -> DataFrame:
+    """On one machine, hand the rows of a one-task file to all cores.
+
+    On a cluster the scan has a task per file split already.
+    """
+    context = df.sparkSession.sparkContext
+    if context.master.startswith("local"):
+        return df.repartition(context.defaultParallelism)
+    return df
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's checkpoint folder.
 

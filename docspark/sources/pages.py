@@ -10,6 +10,8 @@ from docspark.schema import TRANSACTION_FIELDS
 
 RESULT_PATH = r"/jobs/([^/]+)/pages/([0-9]+)/([^/]+)/([^/]+)/result\.json\z"
 
+OBJECT_OR_NULL = r"\A[ \t\n\r]*(?:\{|null)"
+
 TYPED_ROWS = "array<struct<" + ",".join(f"{f}:string" for f in TRANSACTION_FIELDS) + ">>"
 UNTYPED_ROWS = "array<struct<" + ",".join(f"{f}:variant" for f in TRANSACTION_FIELDS) + ">>"
 
@@ -61,41 +63,40 @@ def decode_pages(df: DataFrame, body: str = "body") -> DataFrame:
     One value of a wrong type fails its whole page. Unknown keys are ignored;
     of a repeated key the last value counts.
     """
-    parsed = df.withColumn("_page", F.try_parse_json(F.col(body)))
-    page = F.col("_page")
-    shaped = (
-        parsed.withColumn("_root", F.schema_of_variant(page))
-        .withColumn("_rows", F.try_variant_get(page, "$.transactions", TYPED_ROWS))
-        .withColumn(
-            "_row_kinds",
-            F.schema_of_variant(
-                F.to_variant_object(F.try_variant_get(page, "$.transactions", UNTYPED_ROWS))
-            ),
-        )
+    kept = [c for c in df.columns if c != body]
+    # The exploded one-element array keeps filters on the results from
+    # repeating the parse.
+    parsed = df.select(
+        *kept,
+        F.col(body).rlike(OBJECT_OR_NULL).alias("_object"),
+        F.explode(F.array(F.try_parse_json(F.col(body)))).alias("_page"),
     )
-    rows_kind = _kind(page, "$.transactions")
-    rows_given = rows_kind.isNotNull() & (rows_kind != "VOID")
-    bad_rows = rows_given & (
-        F.col("_row_kinds").isNull()
-        | F.col("_rows").isNull()
-        | F.col("_row_kinds").rlike(": (?!STRING|VOID)")
+    page = F.col("_page")
+    row_kinds = _kind(page, "$.transactions")
+    plain = row_kinds.isNull() | row_kinds.rlike(r"\A(?:VOID|ARRAY<(?:VOID|OBJECT<.*>)>)\z")
+    exact = F.schema_of_variant(
+        F.to_variant_object(F.try_variant_get(page, "$.transactions", UNTYPED_ROWS))
     )
+    # Kinds of the known keys are looked at one by one only where some value
+    # of the rows, known or not, is no text.
+    odd = row_kinds.rlike(": (?!STRING|VOID)")
+    bad_rows = ~plain | (odd & F.coalesce(exact.rlike(": (?!STRING|VOID)"), F.lit(True)))
     error = (
         F.when(page.isNull(), "not valid JSON")
-        .when(~_is(F.col("_root"), "OBJECT"), "page is not an object")
+        .when(~F.col("_object"), "page is not an object")
         .when(~_is(_kind(page, "$.text"), "STRING"), "text is not a string")
         .when(~_is(_kind(page, "$.document_type"), "STRING"), "document_type is not a string")
         .when(~_is(_kind(page, "$.fields"), "OBJECT"), "fields is not an object")
         .when(bad_rows, "transactions have a wrong type")
     )
-    return shaped.select(
-        *[c for c in df.columns if c != body],
+    return parsed.select(
+        *kept,
         F.coalesce(F.try_variant_get(page, "$.text", "string"), F.lit("")).alias("text"),
         F.coalesce(F.try_variant_get(page, "$.document_type", "string"), F.lit("")).alias(
             "document_type"
         ),
         F.try_variant_get(page, "$.fields", "variant").alias("fields"),
-        F.col("_rows").alias("transactions"),
+        F.try_variant_get(page, "$.transactions", TYPED_ROWS).alias("transactions"),
         error.alias("error"),
     )
 
