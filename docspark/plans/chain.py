@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions.chains import next_stage
 from docspark.functions.keys import page_key, uri_for
@@ -32,17 +33,44 @@ from docspark.operators.transactions import (
 from docspark.schema import (
     ENRICH_STAGE,
     EXTRACT_STAGE,
+    MESSAGE,
     NORMALIZE_STAGE,
     RETENTION_DAYS,
     TRANSACTION_ROW,
 )
 from docspark.sources.dictionary import Dictionary
 from docspark.sources.pages import decode_pages, failed_pages, good_pages
-from docspark.sources.tables import replace_part
+from docspark.sources.tables import read_or_empty, replace_part
 
 PAGE = ["job_id", "page"]
 
 
+
+def _stored_schema(*fields: T.StructField) -> T.StructType:
+    place = [T.StructField(c, T.StringType()) for c in ("stage", "version")]
+    return T.StructType([*fields, *place, T.StructField("run", T.IntegerType())])
+
+
+KEY_FIELDS = (T.StructField("job_id", T.StringType()), T.StructField("page", T.IntegerType()))
+HEADER_FIELDS = tuple(
+    T.StructField(c, T.StringType()) for c in ("text", "document_type", "fields")
+)
+STORED = {
+    "work": _stored_schema(*[f for f in MESSAGE.fields if f.name not in ("stage", "version")]),
+    "headers": _stored_schema(*KEY_FIELDS, *HEADER_FIELDS),
+    "transactions": _stored_schema(*TRANSACTION_ROW.fields),
+    "failed": _stored_schema(*KEY_FIELDS, T.StructField("error", T.StringType())),
+    "done": _stored_schema(*KEY_FIELDS),
+}
+COMMIT = T.StructType(
+    [
+        T.StructField("stage", T.StringType()),
+        T.StructField("version", T.StringType()),
+        T.StructField("batch", T.IntegerType()),
+    ]
+)
+
+
 @dataclass(frozen=True)
 class StageData:
     """Rows between stages. Header fields travel as JSON text.
@@ -136,17 +164,23 @@ class StageStore:
         labelled = df.withColumn("stage", F.lit(name)).withColumn("version", F.lit(version))
         replace_part(labelled, f"{self.root}/{table}", "run", run, "stage", "version")
 
-    def _stored(self, table: str, name: str, version: str) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.root}/{table}")
+    def stored(self, table: str, name: str, version: str) -> DataFrame:
+        rows = read_or_empty(self.spark, f"{self.root}/{table}", STORED[table])
         return rows.filter((F.col("stage") == name) & (F.col("version") == version))
 
+    def committed(self, name: str, version: str, batch: int) -> bool:
+        """Were the state rows of this batch stored already?"""
+        log = read_or_empty(self.spark, self.log_root, COMMIT)
+        own = (F.col("stage") == name) & (F.col("version") == version)
+        return not log.filter(own & (F.col("batch") == batch)).isEmpty()
+
     def load(self, table: str, name: str, version: str) -> DataFrame:
         """Stored rows of one stage, of each page's newest finished run."""
         newest = (
-            self._stored("done", name, version).groupBy(*PAGE).agg(F.max("run").alias("run"))
+            self.stored("done", name, version).groupBy(*PAGE).agg(F.max("run").alias("run"))
         )
         return (
-            self._stored(table, name, version)
+            self.stored(table, name, version)
             .join(newest, [*PAGE, "run"], "left_semi")
             .drop("run", "stage", "version")
         )
@@ -173,17 +207,34 @@ def run_stage(
 ) -> DataFrame:
     """Run one stage on the work that is not done, and return the next work.
 
-    Results are stored first, then the state rows that vouch for them, so a
-    run cut short is simply repeated. Pages done earlier are not run again
-    but are sent on like the others.
+    Results are stored first, then the state rows that vouch for them. A run
+    cut short before that is repeated whole; a run that got there only sends
+    its pages on. Pages done in earlier runs are sent on like the others.
     """
-    name, version = stage.name, stage.version
     one_each = work.dropDuplicates([*PAGE, "stage", "version"])
-    todo = pending_work(one_each, store.state(name, version), now)
-    store.save("work", todo.drop("stage", "version"), name, version, run)
-    todo = (
-        store._stored("work", name, version).filter(F.col("run") == run).drop("run")
-    )
+    if not store.committed(stage.name, stage.version, 2 * run + 1):
+        _execute(store, stage, one_each, now, run, previous, header_stage, days)
+    finished = succeeded_keys(store.state(stage.name, stage.version), now)
+    return route_next(one_each.join(finished.select(*PAGE, "result_uri"), PAGE))
+
+
+def _execute(
+    store: StageStore,
+    stage: Stage,
+    work: DataFrame,
+    now: Column,
+    run: int,
+    previous: tuple[str, str] | None,
+    header_stage: tuple[str, str],
+    days: int,
+) -> None:
+    name, version = stage.name, stage.version
+
+    def kept(table: str) -> DataFrame:
+        return store.stored(table, name, version).filter(F.col("run") == run).drop("run")
+
+    store.save("work", pending_work(work, store.state(name, version), now), name, version, run)
+    todo = kept("work")
     append_state(running_rows(todo, now, days), store.log_root, 2 * run)
 
     data = store.input_of(todo, header_stage, previous) if previous else StageData()
@@ -191,24 +242,18 @@ def run_stage(
     if out.headers is not None:
         store.save("headers", out.headers, name, version, run)
     store.save("transactions", out.transactions, name, version, run)
-    failed = store.spark.createDataFrame([], "job_id string, page int, error string")
     if out.failed is not None:
         store.save("failed", out.failed, name, version, run)
-        failed = (
-            store._stored("failed", name, version)
-            .filter(F.col("run") == run)
-            .select(*PAGE, "error")
-        )
-    done = todo.join(failed.select(*PAGE), PAGE, "left_anti")
+    failed = kept("failed").select(*PAGE, "error")
+    done = todo.join(failed, PAGE, "left_anti")
     store.save("done", done.select(*PAGE), name, version, run)
+
     following = F.coalesce(next_stage(F.col("chain"), F.col("chain_idx"))["name"], F.lit(""))
-    ended = done.withColumn(
-        "result_uri",
-        uri_for(store.bucket, page_key(*[F.col(c) for c in (*PAGE, "stage", "version")])),
-    ).withColumn("next_stage", following)
-    broken = todo.join(failed, PAGE)
-    rows = succeeded_rows(ended, now, days).unionByName(failed_rows(broken, now, days))
+    key = page_key(*[F.col(c) for c in (*PAGE, "stage", "version")])
+    ended = done.withColumn("result_uri", uri_for(store.bucket, key)).withColumn(
+        "next_stage", following
+    )
+    rows = succeeded_rows(ended, now, days).unionByName(
+        failed_rows(todo.join(failed, PAGE), now, days)
+    )
     append_state(rows, store.log_root, 2 * run + 1)
-
-    finished = succeeded_keys(store.state(name, version), now).select(*PAGE, "result_uri")
-    return route_next(one_each.join(finished, PAGE))

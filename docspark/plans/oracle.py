@@ -602,4 +602,44 @@ ORACLE: dict[str, str] = {
     CASE WHEN status = 'failed' THEN error ELSE 'job is ' || status || '; result not available yet' END AS message
   FROM v_cjob WHERE status <> 'succeeded' OR result_uri = ''""",
     ),
+    "extract_pages": f"""SELECT 'doc_' || doc_id AS job_id, 1 AS page,
+    CASE WHEN doc_id % 9 <> 1 THEN text END AS text, CASE WHEN doc_id % 9 <> 1 THEN 'rules-v1' END AS model,
+    CASE WHEN doc_id % 9 <> 1 THEN CAST(strlen(text) AS INTEGER) END AS input_tokens,
+    CASE WHEN doc_id % 9 <> 1 THEN 0 END AS output_tokens,
+    CASE WHEN doc_id % 9 = 1 THEN 'unknown prompt profile' END AS error
+  FROM documents""",
+    "stream_latest_state": sql(V_STATE, f"SELECT {LATEST_LIST} FROM v_latest"),
+    "stream_key_life": sql(
+        V_STATE,
+        f"""SELECT job_id, page, stage, version,
+    CASE WHEN bool_or(status = 'succeeded') THEN 'succeeded' ELSE arg_max(status, ts) END AS status,
+    count(*) AS deliveries,
+    {rfc3339("coalesce(max(ts) FILTER (status = 'succeeded'), max(ts))")} AS ts,
+    coalesce(arg_max(seq, ts) FILTER (status = 'succeeded'), arg_max(seq, ts)) AS seq
+  FROM v_state GROUP BY ALL""",
+    ),
+    "stream_dedup": sql(V_STATE, "SELECT DISTINCT idempotency_key FROM v_state"),
+    "stream_finished_jobs": sql(
+        V_STATE, V_JOB, V_COUNTED,
+        """SELECT job_id, CASE WHEN failed_count > 0 THEN 'failed' ELSE 'succeeded' END AS decision,
+    succeeded_count, failed_count FROM v_counted
+  WHERE (failed_count > 0 OR (page_count > 0 AND succeeded_count = page_count))""",
+    ),
+    "dead_letters": sql(
+        V_STATE,
+        f"""SELECT job_id, page, stage, version, attempts, {rfc3339('last_ts')} AS last_ts
+  FROM (SELECT job_id, page, stage, version, count(*) FILTER (status = 'running') AS attempts,
+      count(*) FILTER (status = 'succeeded') AS done, max(ts) AS last_ts FROM v_state GROUP BY ALL)
+  WHERE attempts >= 2 AND done = 0 AND {epoch('last_ts')} + {KEPT} > {epoch(f"TIMESTAMP '{NOW}'")}""",
+    ),
+    "stream_messages": sql(
+        V_JOB,
+        """SELECT CASE WHEN tenant_id = 'acme' THEN '{"job_id":' || job_id ELSE job_id END AS job_id,
+    CASE WHEN tenant_id = 'acme' THEN 0 ELSE page_count END AS page,
+    CASE WHEN tenant_id = 'acme' THEN '' ELSE 'gemini' END AS stage,
+    CASE WHEN tenant_id = 'acme' THEN '' ELSE input_uri END AS input_uri,
+    CASE WHEN tenant_id = 'acme' OR NOT short_chain THEN 0 ELSE 2 END AS chain_length,
+    CASE WHEN tenant_id = 'acme' THEN 'message is not valid JSON' ELSE '' END AS decode_error
+  FROM v_job""",
+    ),
 }

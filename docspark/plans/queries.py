@@ -22,7 +22,7 @@ from docspark.functions import (
     uri_for,
 )
 from docspark.functions.keys import DOCUMENT_DEFAULT_TYPE
-from docspark.operators import archive, index, merge, results, rollup, state
+from docspark.operators import archive, extract, index, merge, results, rollup, state
 from docspark.operators import jobs as job_ops
 from docspark.operators import pages as page_ops
 from docspark.operators.transactions import (
@@ -33,9 +33,12 @@ from docspark.operators.transactions import (
 )
 from docspark.plans import adapters as view
 from docspark.schema import CHAIN, CHAIN_REGISTRY, DEFAULT_CHAIN_ID, ENRICH_STAGE, RETENTION_DAYS
-from docspark.session import configure
+from docspark.session import configure, work_dir
 from docspark.sources.dictionary import seed_dictionary
 from docspark.sources.pages import decode_pages, failed_pages, good_pages
+from docspark.sources.tables import read_or_empty, replace_part
+from docspark.streaming import completion, messages
+from docspark.streaming import state as stream_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -530,3 +533,132 @@ def refused_results(spark, sf_dir):
         view.conversation_jobs(spark, sf_dir), view.conversation_pages(spark, sf_dir)
     )
     return refused
+
+
+@query
+def extract_pages(spark, sf_dir):
+    """Every document as a text page, through the rule extractor."""
+    docs = view.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("s3://inbox/doc_"), "doc_id", F.lit(".png")).alias("uri"),
+        F.concat(F.lit("doc_"), "doc_id").alias("job_id"),
+        F.encode("text", "UTF-8").alias("content"),
+        (F.col("doc_id") % 9).alias("kind"),
+    )
+    work = docs.select(
+        "job_id",
+        F.lit(1).alias("page"),
+        F.when(F.col("kind") == 0, "").otherwise(F.col("uri")).alias("input_uri"),
+        F.when(F.col("kind") == 0, F.col("uri")).otherwise("").alias("previous_uri"),
+        F.when(F.col("kind") == 1, "no-such-profile").otherwise("").alias("prompt_profile_id"),
+    )
+    made = extract.extract_pages(work, docs.select("uri", "content"))
+    text = F.try_variant_get(F.try_parse_json("body"), "$.text", "string")
+    return made.select(
+        "job_id", "page", text.alias("text"), "model", "input_tokens", "output_tokens", "error"
+    )
+
+
+def _finish(stream) -> None:
+    stream.awaitTermination()
+    if stream.exception():
+        raise stream.exception()
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A pattern, as a stream takes no path of a single file.
+    schema = view.table(spark, sf_dir, "events").schema
+    return view.state_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))
+
+
+@query
+def stream_latest_state(spark, sf_dir):
+    root = work_dir(spark, "stream-latest-state")
+    _finish(
+        stream_state.stream_latest_state(
+            _event_stream(spark, sf_dir), f"{root}/log", f"{root}/checkpoint"
+        )
+    )
+    newest = state.latest_state(state.read_state_log(spark, f"{root}/log"))
+    return newest.withColumn("ts", format_rfc3339(F.col("ts")))
+
+
+@query
+def stream_key_life(spark, sf_dir):
+    root = work_dir(spark, "stream-key-life")
+    _finish(
+        stream_state.stream_key_life(
+            _event_stream(spark, sf_dir), f"{root}/keys", f"{root}/checkpoint"
+        )
+    )
+    life = stream_state.latest_life(spark.read.parquet(f"{root}/keys"))
+    return life.withColumn("ts", format_rfc3339(F.col("ts")))
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    """Stage keys that get through a stream which drops redelivered ones."""
+    root = work_dir(spark, "stream-dedup")
+    keys = _event_stream(spark, sf_dir).select("idempotency_key", "ts")
+    once = stream_state.drop_redelivered(keys, "ts", f"{5 * RETENTION_DAYS} days")
+    _finish(
+        once.select("idempotency_key")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{root}/keys")
+    )
+    return spark.read.parquet(f"{root}/keys")
+
+
+@query
+def stream_finished_jobs(spark, sf_dir):
+    root = work_dir(spark, "stream-finished-jobs")
+    _finish(
+        completion.stream_finished_jobs(
+            _event_stream(spark, sf_dir), view.jobs(spark, sf_dir),
+            f"{root}/log", f"{root}/finished", view.now(), f"{root}/checkpoint",
+        )
+    )
+    return read_or_empty(spark, f"{root}/finished", completion.FINISHED)
+
+
+@query
+def dead_letters(spark, sf_dir):
+    found = state.dead_letters(view.state_log(spark, sf_dir), view.now(), deliveries=2)
+    return found.withColumn("last_ts", format_rfc3339(F.col("last_ts")))
+
+
+@query
+def stream_messages(spark, sf_dir):
+    """Jobs as line messages, some broken, read back as a stream of work."""
+    root = work_dir(spark, "stream-messages")
+    jobs = view.jobs(spark, sf_dir)
+    sound = F.to_json(
+        F.struct(
+            "job_id", F.col("page_count").alias("page"), F.lit("gemini").alias("stage"),
+            F.lit("v1").alias("version"), "input_uri", "chain", F.lit(0).alias("chain_idx"),
+        )
+    )
+    broken = F.concat(F.lit('{"job_id":'), F.col("job_id"))
+    jobs.select(F.when(F.col("tenant_id") == "acme", broken).otherwise(sound).alias("value")).write.text(
+        f"{root}/inbox"
+    )
+
+    def keep(work: DataFrame, batch_id: int) -> None:
+        replace_part(work.drop("metadata"), f"{root}/work", "batch", batch_id)
+
+    _finish(
+        messages.stream_work(
+            messages.decode_messages(messages.read_messages(spark, f"{root}/inbox")),
+            keep, f"{root}/rejected", f"{root}/checkpoint",
+        )
+    )
+    work = spark.read.parquet(f"{root}/work").select(
+        "job_id", "page", "stage", "input_uri", F.size("chain").alias("chain_length"),
+        F.lit("").alias("decode_error"),
+    )
+    rejected = spark.read.parquet(f"{root}/rejected").select(
+        F.col("body").alias("job_id"), F.lit(0).alias("page"), F.lit("").alias("stage"),
+        F.lit("").alias("input_uri"), F.lit(0).alias("chain_length"), "decode_error",
+    )
+    return work.unionByName(rejected)
