@@ -20,8 +20,9 @@ def read_page_results(spark: SparkSession, root: str, stage: str, version: str)
     """JSON page results of one stage; the key parts come from the path."""
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return (
-        spark.read.option("wholetext", True)
-        .text(f"{root}/jobs/*/pages/*/{stage}/{version}/result.json")
+        spark.read.text(
+            f"{root}/jobs/*/pages/*/{stage}/{version}/result.json", wholetext=True
+        )
         .select(F.col("value").alias("body"), path.alias("_path"))
         .select(
             F.regexp_extract("_path", RESULT_PATH, 1).alias("job_id"),
