@@ -65,13 +65,13 @@ def pending_work(work: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     return work.join(succeeded_keys(state, now).select(*KEY), KEY, "left_anti")
 
 
-def _rows(df: DataFrame, status: str, now: Column, seq: Column, values: dict, days: int):
+def _rows(df: DataFrame, status: str, now: Column, seq: int, values: dict, days: int):
     out = {
         "status": F.lit(status),
         "idempotency_key": stage_key(*[F.col(c) for c in KEY]),
         "expires_at": expires_at(now, days),
         "ts": now,
-        "seq": seq.cast("long"),
+        "seq": F.lit(seq).cast("long"),
     }
     out.update({k: F.coalesce(F.col(v), F.lit("")) for k, v in values.items()})
     return df.select(
@@ -84,18 +84,20 @@ def _rows(df: DataFrame, status: str, now: Column, seq: Column, values: dict, da
     )
 
 
-def running_rows(work: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
-    return _rows(work, RUNNING, now, F.lit(0), {"input_uri": "input_uri"}, days)
+def running_rows(work: DataFrame, now: Column, seq: int, days: int = RETENTION_DAYS) -> DataFrame:
+    """`seq` orders rows of the same instant; later writes take higher ones."""
+    return _rows(work, RUNNING, now, seq, {"input_uri": "input_uri"}, days)
 
 
-def succeeded_rows(done: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
+def succeeded_rows(done: DataFrame, now: Column, seq: int, days: int = RETENTION_DAYS) -> DataFrame:
     """`done` has result_uri and next_stage; the input is not kept."""
     values = {"result_uri": "result_uri", "next_stage": "next_stage"}
-    return _rows(done, SUCCEEDED, now, F.lit(1), values, days)
+    return _rows(done, SUCCEEDED, now, seq, values, days)
 
 
-def failed_rows(failed: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
-    return _rows(failed, FAILED, now, F.lit(1), {"input_uri": "input_uri", "error": "error"}, days)
+def failed_rows(failed: DataFrame, now: Column, seq: int, days: int = RETENTION_DAYS) -> DataFrame:
+    values = {"input_uri": "input_uri", "error": "error"}
+    return _rows(failed, FAILED, now, seq, values, days)
 
 
 def append_state(rows: DataFrame, root: str, batch: int) -> None:

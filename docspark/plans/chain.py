@@ -235,7 +235,8 @@ def _execute(
 
     store.save("work", pending_work(work, store.state(name, version), now), name, version, run)
     todo = kept("work")
-    append_state(running_rows(todo, now, days), store.log_root, 2 * run)
+    started, ended_at = 2 * run, 2 * run + 1
+    append_state(running_rows(todo, now, started, days), store.log_root, started)
 
     data = store.input_of(todo, header_stage, previous) if previous else StageData()
     out = stage.fn(todo, data)
@@ -253,7 +254,7 @@ def _execute(
     ended = done.withColumn("result_uri", uri_for(store.bucket, key)).withColumn(
         "next_stage", following
     )
-    rows = succeeded_rows(ended, now, days).unionByName(
-        failed_rows(todo.join(failed, PAGE), now, days)
+    rows = succeeded_rows(ended, now, ended_at, days).unionByName(
+        failed_rows(todo.join(failed, PAGE), now, ended_at, days)
     )
-    append_state(rows, store.log_root, 2 * run + 1)
+    append_state(rows, store.log_root, ended_at)

@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import docspark
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
@@ -18,7 +21,12 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session the caller already has."""
+    """Apply the runtime settings to a session the caller already has.
+
+    Functions of this package travel to the tasks whole, so the executors
+    need no copy of it.
+    """
+    cloudpickle.register_pickle_by_value(docspark)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docspark.operators.state import KEY, append_state, latest_state
-from docspark.schema import RETENTION_DAYS, SUCCEEDED
+from docspark.schema import SUCCEEDED
 from docspark.sources.tables import replace_part
 
 KEY_SCHEMA = (
@@ -25,7 +21,6 @@ LIFE = (
     .add("ts", "timestamp")
     .add("seq", "long")
 )
-DAY_MILLIS = 86_400_000
 
 
 def stream_latest_state(rows: DataFrame, log_root: str, checkpoint: str) -> StreamingQuery:
@@ -50,7 +45,8 @@ def key_life(rows: DataFrame) -> DataFrame:
     """Where each stage key stands: success is final, else the newest status.
 
     The same on a batch and, in update mode, on a stream; rows of a busy key
-    are folded before they are shuffled.
+    are folded before they are shuffled. Retention is left to the reader:
+    `pending_work` asks the log for keys that succeeded and have not lapsed.
     """
     order = F.struct((F.col("status") == SUCCEEDED).alias("done"), "ts", "seq")
     return (
@@ -89,48 +85,6 @@ def latest_life(stored: DataFrame) -> DataFrame:
     )
 
 
-class ExpiringLife(StatefulProcessor):
-    """`key_life` with retention: a key not written for the window starts anew.
-
-    Deliveries of a key that has succeeded change nothing: they write no
-    state, so they do not prolong it, and give no row.
-    """
-
-    def __init__(self, days: int = RETENTION_DAYS) -> None:
-        self.millis = days * DAY_MILLIS
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", LIFE[4:], ttlDurationMs=self.millis)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        kept = self.last.get() if self.last.exists() else None
-        if kept is not None and kept[0] == SUCCEEDED:
-            return
-        best, count = (None, 0) if kept is None else ((False, kept[2], kept[3], kept[0]), kept[1])
-        for frame in rows:
-            count += len(frame)
-            order = frame.assign(done=frame["status"] == SUCCEEDED).sort_values(["done", "ts", "seq"])
-            last = order.iloc[-1]
-            row = (bool(last["done"]), last["ts"].to_pydatetime(), int(last["seq"]), last["status"])
-            best = row if best is None or row > best else best
-        self.last.update((best[3], count, best[1], best[2]))
-        names = [f.name for f in LIFE.fields]
-        yield pd.DataFrame([(*key, best[3], count, best[1], best[2])], columns=names)
-
-    def close(self) -> None:
-        pass
-
-
-def expiring_key_life(rows: DataFrame, days: int = RETENTION_DAYS) -> DataFrame:
-    """Stream of changed keys with retention; needs the RocksDB state store."""
-    return rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=ExpiringLife(days),
-        outputStructType=LIFE,
-        outputMode="Update",
-        timeMode="ProcessingTime",
-    )
-
-
 def drop_redelivered(rows: DataFrame, time: str, delay: str, key: str = "idempotency_key") -> DataFrame:
     """Stream without repeated stage keys inside the retention window."""
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])

@@ -18,11 +18,7 @@ def spark():
         .appName("docspark-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+        .config("spark.sql.shuffle.partitions", "2")
     )
     session = configure(builder.getOrCreate())
     if not session.conf.get("spark.checkpoint.dir", None):

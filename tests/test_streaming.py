@@ -1,10 +1,12 @@
 import datetime as dt
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docspark.operators.state import latest_state, read_state_log
-from docspark.schema import MESSAGE, STAGE_LOG
+from docspark.plans.chain import StageStore, extract_stage, run_stage
+from docspark.schema import CHAIN_REGISTRY, DEFAULT_CHAIN_ID, MESSAGE, STAGE_LOG
 from docspark.streaming import completion, messages
 from docspark.streaming import state as stream_state
 
@@ -53,25 +55,6 @@ def test_stream_and_batch_agree_on_key_life(spark, tmp_path):
     assert {r.page: (r.status, r.deliveries) for r in stream_state.key_life(batch).collect()} == WANT
 
 
-def test_key_life_with_retention(spark, tmp_path):
-    stream, _ = as_stream(spark, str(tmp_path / "in"))
-    seen = str(tmp_path / "seen")
-
-    def each(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(seen)
-
-    finish(
-        stream_state.expiring_key_life(stream)
-        .writeStream.outputMode("update").foreachBatch(each)
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    got = spark.read.parquet(seen)
-    last = stream_state.latest_life(got).collect()
-    assert {r.page: r.status for r in last} == {p: s for p, (s, _) in WANT.items()}
-    # A key that has succeeded is never written again.
-    assert got.filter("page = 3").count() == 1
-
-
 def test_redelivered_keys_pass_once(spark, tmp_path):
     stream, _ = as_stream(spark, str(tmp_path / "in"))
     keyed = stream.withColumn("idempotency_key", F.concat_ws(":", "job_id", "page"))
@@ -121,3 +104,43 @@ def test_messages(spark, tmp_path):
     work = spark.read.parquet(taken).first()
     assert (work.job_id, work.page, work.metadata, work.input_uri, work.chain_idx) == ("j", 2, {"a": "b"}, "", 0)
     assert [r.body for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == ["{broken"]
+
+
+def test_message_stream_runs_each_page_once(spark, tmp_path):
+    inbox, calls, nexts = tmp_path / "inbox", str(tmp_path / "calls"), str(tmp_path / "next")
+    inbox.mkdir()
+    chain = [dict(zip(("name", "version", "queue_name"), s)) for s in CHAIN_REGISTRY[DEFAULT_CHAIN_ID]]
+
+    def message(page):
+        return json.dumps({"job_id": "j", "page": page, "stage": "gemini", "version": "v1",
+                           "input_uri": f"s3://in/{page}", "chain": chain})
+
+    # Page 1 comes twice in one file and once more in the next.
+    (inbox / "a.jsonl").write_text("\n".join([message(1), message(1), message(2)]))
+    (inbox / "b.jsonl").write_text("\n".join([message(1), message(3)]))
+
+    def extractor(batch: pd.DataFrame) -> pd.DataFrame:
+        with open(calls, "a") as f:
+            f.writelines(bytes(c).decode() + "\n" for c in batch["content"])
+        return pd.DataFrame({"body": ["{}"] * len(batch), "provider": "t", "model": "t",
+                             "input_tokens": 1, "output_tokens": 1, "error": None})
+
+    docs = spark.createDataFrame([(f"s3://in/{p}", bytearray(b"%d" % p)) for p in (1, 2, 3)], "uri string, content binary")
+    store = StageStore(spark, str(tmp_path / "stages"), "work")
+    stage = extract_stage(docs, extractor)
+
+    def handle(work, batch_id):
+        following = run_stage(store, stage, work, F.lit("2026-01-01").cast("timestamp"), batch_id)
+        following.drop("metadata", "chain").write.mode("overwrite").parquet(f"{nexts}/batch={batch_id}")
+
+    finish(
+        messages.stream_work(
+            messages.decode_messages(messages.read_messages(spark, str(inbox), 1)), handle,
+            str(tmp_path / "rejected"), str(tmp_path / "cp"),
+        )
+    )
+    done = store.stored("done", "gemini", "v1").collect()
+    assert sorted((r.page, r.run) for r in done) in ([(1, 0), (2, 0), (3, 1)], [(1, 0), (2, 1), (3, 0)])
+    # The second delivery is sent on without being run.
+    sent = spark.read.parquet(nexts).collect()
+    assert sorted(r.page for r in sent) == [1, 1, 2, 3] and {r.stage for r in sent} == {"normalize_card_statement"}
