@@ -33,7 +33,11 @@ def newest(log: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in log.columns])
 
 
-def latest_state(log: DataFrame) -> DataFrame:
+def latest_state(log: DataFrame, *columns: str) -> DataFrame:
+    """Newest row per stage key; name columns to carry only those along."""
+    if columns:
+        order = [c for c in ("ts", "seq") if c not in columns]
+        return newest(log.select(*KEY, *columns, *order), KEY).drop(*order)
     return newest(log, KEY)
 
 

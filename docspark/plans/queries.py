@@ -40,6 +40,9 @@ from docspark.sources.tables import read_or_empty, replace_part
 from docspark.streaming import completion, messages
 from docspark.streaming import state as stream_state
 
+# What the gate and the skip rule read of a state row.
+PROGRESS = ("status", "expires_at")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -131,7 +134,7 @@ def latest_state(spark, sf_dir):
 
 @query
 def stages_final(spark, sf_dir):
-    newest = state.latest_state(view.state_log(spark, sf_dir))
+    newest = state.latest_state(view.state_log(spark, sf_dir), "status", "result_uri", "error")
     return state.stages_for(newest, *ENRICH_STAGE).select(
         "job_id", "page", "status", "result_uri", "error"
     )
@@ -139,7 +142,7 @@ def stages_final(spark, sf_dir):
 
 @query
 def unexpired_state(spark, sf_dir):
-    newest = state.latest_state(view.state_log(spark, sf_dir))
+    newest = state.latest_state(view.state_log(spark, sf_dir), "idempotency_key", "status", "expires_at")
     return state.unexpired(newest, view.now()).select(
         "idempotency_key", "status", "expires_at"
     )
@@ -162,7 +165,7 @@ def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pending_work(spark, sf_dir):
-    newest = state.latest_state(view.state_log(spark, sf_dir))
+    newest = state.latest_state(view.state_log(spark, sf_dir), *PROGRESS)
     return state.pending_work(_work(spark, sf_dir), newest, view.now())
 
 
@@ -170,7 +173,7 @@ def pending_work(spark, sf_dir):
 def route_next(spark, sf_dir):
     """Succeeded rows of the log, sent on by position in the default chain."""
     stages = CHAIN_REGISTRY[DEFAULT_CHAIN_ID]
-    newest = state.latest_state(view.state_log(spark, sf_dir))
+    newest = state.latest_state(view.state_log(spark, sf_dir), "status", "input_uri", "result_uri")
     position = F.array_position(F.array(*[F.lit(s[0]) for s in stages]), F.col("stage"))
     done = newest.filter(F.col("status") == "succeeded").select(
         "job_id", "page", "stage", "version", "input_uri", "result_uri",
@@ -190,13 +193,13 @@ def route_next(spark, sf_dir):
 
 @query
 def job_status(spark, sf_dir):
-    newest = state.latest_state(view.state_log(spark, sf_dir))
+    newest = state.latest_state(view.state_log(spark, sf_dir), *PROGRESS)
     return job_ops.job_status(view.jobs(spark, sf_dir), newest, view.now())
 
 
 @query
 def check_jobs(spark, sf_dir):
-    newest = state.latest_state(view.state_log(spark, sf_dir))
+    newest = state.latest_state(view.state_log(spark, sf_dir), *PROGRESS)
     return job_ops.check_jobs(view.jobs(spark, sf_dir), newest, view.now())
 
 
@@ -239,7 +242,7 @@ def upsert_jobs(spark, sf_dir):
 
 @query
 def mark_failed_jobs(spark, sf_dir):
-    newest = state.latest_state(view.state_log(spark, sf_dir))
+    newest = state.latest_state(view.state_log(spark, sf_dir), *PROGRESS)
     jobs = view.jobs(spark, sf_dir)
     failed = job_ops.check_jobs(jobs, newest, view.now()).filter(F.col("decision") == "failed")
     spoken = view.conversation_jobs(spark, sf_dir).filter(F.col("status") == "failed")

@@ -105,7 +105,7 @@ def finish(space: Workspace, final: tuple[str, str], headers: tuple[str, str], n
     """Merge the jobs whose pages are all done, and fail those that cannot be."""
     store = space.stages
     running = space.jobs().filter(F.col("status") == RUNNING)
-    state = latest_state(read_state_log(space.spark, store.log_root))
+    state = latest_state(read_state_log(space.spark, store.log_root), "status", "expires_at")
     decided = job_ops.check_jobs(running, state, now)
     replace_part(decided, f"{space.root}/decisions", "run", run)
     decided = space.spark.read.parquet(f"{space.root}/decisions").filter(F.col("run") == run)

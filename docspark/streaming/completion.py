@@ -41,7 +41,7 @@ def stream_finished_jobs(
         log = read_state_log(spark, log_root)
         own = read_or_empty(spark, log_root, LOG_BATCH).filter(F.col("batch") == batch_id)
         touched = own.select("job_id").distinct()
-        state = latest_state(log.join(touched, "job_id", "left_semi"))
+        state = latest_state(log.join(touched, "job_id", "left_semi"), "status", "expires_at")
         decided = finished_jobs(jobs.join(touched, "job_id", "left_semi"), state, now)
         before = read_or_empty(spark, out_root, FINISHED_BATCH).filter(F.col("batch") < batch_id)
         fresh = decided.join(before.select("job_id"), "job_id", "left_anti")
