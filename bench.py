@@ -1,7 +1,7 @@
 """Time the registered queries on one machine and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 3, the median counts, after one warm-up run) and
+BENCH_RUNS (default 1; the median counts, after one warm-up run) and
 BENCH_QUERIES (comma list, default all) steer it.
 """
 
@@ -34,7 +34,7 @@ def run_once(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     chosen = os.environ.get("BENCH_QUERIES")
     names = chosen.split(",") if chosen else list(QUERIES)
     spark = local_session(cpus, "16g", int(cpus) if cpus.isdigit() else 8)

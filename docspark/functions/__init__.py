@@ -33,6 +33,7 @@ from docspark.functions.text import (
     fill_category,
     fill_country,
     issuer_slug,
+    known_document_type,
     normalise_alias,
     slugify,
     unicode_trim,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docspark.schema import DOCUMENT_TYPES
+
 # The Unicode White_Space characters.
 WHITE_SPACE = (
     "\t\n\v\f\r \u0085\u00a0\u1680"
@@ -66,6 +68,11 @@ def effective_merchant(normalized: Column, printed: Column) -> Column:
     return blank_to(normalized, printed)
 
 
+def known_document_type(c: Column) -> Column:
+    """Is the type one of the agreed ones? Decoding does not ask."""
+    return c.isin(*DOCUMENT_TYPES)
+
+
 def slugify(c: Column) -> Column:
     kept = F.regexp_replace(F.lower(unicode_trim(c)), r"[^a-z0-9 \-_\t]", "")
     return F.btrim(F.regexp_replace(kept, r"[ \-_\t]+", "-"), F.lit("-"))

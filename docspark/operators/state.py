@@ -56,10 +56,6 @@ def unexpired(df: DataFrame, now: Column) -> DataFrame:
     return df.filter((F.col("expires_at") == 0) | (F.col("expires_at") > F.unix_timestamp(now)))
 
 
-def expired(df: DataFrame, now: Column) -> DataFrame:
-    return df.filter((F.col("expires_at") != 0) & (F.col("expires_at") <= F.unix_timestamp(now)))
-
-
 def succeeded_keys(state: DataFrame, now: Column) -> DataFrame:
     return unexpired(state.filter(F.col("status") == SUCCEEDED), now)
 

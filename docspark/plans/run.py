@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.functions.dates import format_rfc3339
+from docspark.functions.dates import expires_at, format_rfc3339
 from docspark.operators import archive, index, merge
 from docspark.operators import jobs as job_ops
 from docspark.operators.pages import fan_out_pages
-from docspark.operators.state import latest_jobs, latest_state, read_state_log
+from docspark.operators.state import latest_jobs, latest_state, read_state_log, unexpired
 from docspark.plans.chain import Stage, StageStore, run_stage
-from docspark.schema import FAILED, JOB, RUNNING, SUCCEEDED
+from docspark.schema import FAILED, JOB, RETENTION_DAYS, RUNNING, SUCCEEDED
 from docspark.sources.tables import read_or_empty, replace_part
 from docspark.streaming.events import Notifier, notify_finished, silent
 
@@ -65,12 +65,16 @@ class Workspace:
     def archive(self) -> archive.ArchiveRoots:
         return archive.ArchiveRoots(f"{self.root}/archive")
 
-    def jobs(self) -> DataFrame:
-        """Newest row of every job."""
-        return latest_jobs(read_or_empty(self.spark, f"{self.root}/jobs", JOB_LOG)).drop("ts", "seq")
+    def jobs(self, now: Column) -> DataFrame:
+        """Newest row of every job that has not lapsed."""
+        newest = latest_jobs(read_or_empty(self.spark, f"{self.root}/jobs", JOB_LOG))
+        return unexpired(newest, now).drop("ts", "seq")
 
     def write_jobs(self, rows: DataFrame, now: Column, step: int) -> None:
-        stamped = rows.withColumn("updated_at", format_rfc3339(now))
+        """Every write starts the retention of its job anew."""
+        stamped = rows.withColumn("updated_at", format_rfc3339(now)).withColumn(
+            "expires_at", expires_at(now, RETENTION_DAYS)
+        )
         numbered = stamped.withColumn("ts", now).withColumn("seq", F.lit(step).cast("long"))
         replace_part(numbered, f"{self.root}/jobs", "step", step)
 
@@ -91,20 +95,20 @@ def submit(space: Workspace, requests: DataFrame, now: Column, run: int) -> Data
     """
     created = job_ops.created_jobs(requests, "")
     space.write_jobs(created, now, 10 * run)
-    bound = space.jobs().select("job_id", "mode", "chain").join(
+    bound = space.jobs(now).select("job_id", "mode", "chain").join(
         requests.select("job_id", "input_uri", "pages"), "job_id"
     )
     ready = bound.withColumn(
         "pages", job_ops.page_uris(F.col("input_uri"), F.col("mode"), F.col("pages"))
     ).withColumn("page_count", F.size("pages"))
-    space.write_jobs(_changed(job_ops.submit_jobs(space.jobs(), ready), ready), now, 10 * run + 1)
+    space.write_jobs(_changed(job_ops.submit_jobs(space.jobs(now), ready), ready), now, 10 * run + 1)
     return fan_out_pages(ready)
 
 
 def finish(space: Workspace, final: tuple[str, str], headers: tuple[str, str], now: Column, run: int) -> None:
     """Merge the jobs whose pages are all done, and fail those that cannot be."""
     store = space.stages
-    running = space.jobs().filter(F.col("status") == RUNNING)
+    running = space.jobs(now).filter(F.col("status") == RUNNING)
     state = latest_state(read_state_log(space.spark, store.log_root), "status", "expires_at")
     decided = job_ops.check_jobs(running, state, now)
     replace_part(decided, f"{space.root}/decisions", "run", run)
@@ -121,7 +125,7 @@ def finish(space: Workspace, final: tuple[str, str], headers: tuple[str, str], n
         store.load("transactions", *final), merged.documents.withColumn("max_page", F.col("page_count"))
     ).drop("page_count", "result_uri")
     replace_part(rows, f"{space.root}/merged/transactions", "run", run)
-    committed = _changed(job_ops.commit_merged_jobs(space.jobs(), merged.documents), merged.documents)
+    committed = _changed(job_ops.commit_merged_jobs(space.jobs(now), merged.documents), merged.documents)
     space.write_jobs(committed, now, 10 * run + 2)
 
     bad = decided.filter(F.col("decision") == FAILED).select(
@@ -129,7 +133,7 @@ def finish(space: Workspace, final: tuple[str, str], headers: tuple[str, str], n
     )
     failures = bad.unionByName(merged.rejects)
     space.write_jobs(
-        _changed(job_ops.mark_failed_jobs(space.jobs(), failures), failures), now, 10 * run + 3
+        _changed(job_ops.mark_failed_jobs(space.jobs(now), failures), failures), now, 10 * run + 3
     )
 
 
@@ -140,7 +144,7 @@ def archive_finished(space: Workspace, tenants: DataFrame, documents: DataFrame,
     """
     roots = space.archive
     pages = space.merged("pages").withColumn("fields", F.try_parse_json("fields"))
-    jobs = space.jobs().filter(F.col("status") == SUCCEEDED).join(tenants, "job_id")
+    jobs = space.jobs(now).filter(F.col("status") == SUCCEEDED).join(tenants, "job_id")
     targets = archive.archive_targets(archive.document_headers(pages), jobs, now, space.archive_bucket)
     known = read_or_empty(space.spark, roots.manifests, MANIFEST)
     fresh = archive.pending_archives(targets, known)
@@ -157,7 +161,7 @@ def index_archived(space: Workspace, tenants: DataFrame, send: index.Sender, now
     manifests = read_or_empty(space.spark, roots.manifests, MANIFEST)
     sidecars = read_or_empty(space.spark, roots.sidecars, SIDECAR_KEY)
     asked = tenants.join(manifests.select("job_id"), "job_id", "left_semi")
-    pending = index.pending_index(index.index_requests(asked, manifests, space.jobs()), sidecars)
+    pending = index.pending_index(index.index_requests(asked, manifests, space.jobs(now)), sidecars)
     replace_part(index.send_requests(pending, send), f"{space.root}/archive/sent", "run", run)
     sent = space.spark.read.parquet(f"{space.root}/archive/sent").filter(F.col("run") == run).drop("run")
     replace_part(index.build_sidecars(sent, now), roots.sidecars, "run", run)
@@ -192,4 +196,4 @@ def run_jobs(
             index_archived(space, tenants, send, now, run)
     except Exception:
         log.exception("archive or index of run %s failed; its jobs stay as they are", run)
-    notify_finished(space.jobs(), f"{space.root}/notified", notifier, run)
+    notify_finished(space.jobs(now), f"{space.root}/notified", notifier, run)

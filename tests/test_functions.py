@@ -91,6 +91,11 @@ def test_slugs(spark):
     assert evaluate(spark, list(cases), fn.slugify(x())) == list(cases.values())
 
 
+def test_document_types(spark):
+    cases = {"receipt": True, "bill": True, "contract": False, "": False}
+    assert evaluate(spark, list(cases), fn.known_document_type(x())) == list(cases.values())
+
+
 def test_card_slug(spark):
     def slug(issuer, card, job):
         return fn.card_slug(fn.issuer_slug(F.lit(issuer)), F.lit(card), F.lit(job)).alias("s")

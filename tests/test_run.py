@@ -95,11 +95,13 @@ def test_whole_run(spark, tmp_path):
     run_jobs(space, asked, docs, [extract, normalize, refusing(enrich, "d")], now(), 1, send, notify)
     # The gate looks at the last stage only, so a page that never got there
     # leaves its job running.
-    jobs = {r.job_id: r for r in space.jobs().collect()}
+    jobs = {r.job_id: r for r in space.jobs(now()).collect()}
     assert {j: r.status for j, r in jobs.items()} == {"a": "succeeded", "b": "succeeded", "c": "running", "d": "failed"}
     assert jobs["b"].page_count == 2 and jobs["b"].mode == "rendered"
     assert jobs["a"].result_uri == "s3://work/jobs/a/merged/v1/result.json"
 
+    assert space.jobs(now("2026-07-16")).count() == 0
+
     rows = space.merged("transactions")
     assert sorted((r.job_id, r.page, r.merchant_normalized, r.country) for r in rows.collect()) == [
         ("a", 1, "Starbucks", "JP"), ("b", 1, "Starbucks", "JP"), ("b", 2, "Rehan Restaurant", "MY"),
