@@ -6,26 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import secrets
+from docspark.llm import decontaminate, jaccard, langid, packing, secrets
 from docspark.llm.common import stored, table
+from docspark.llm.queries import tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are masked."""
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which no language can be told."""
+    return langid.keep_known(spark, docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of copies."""
+    return jaccard.keep_one(spark, docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a window of a benchmark item occurs."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document and masks the secrets in its text."""
     return secrets.mask_documents(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with the sequences they fill."""
+    return packing.pack_documents(spark, docs, tokenizer())
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("mask_secrets", mask_secrets),
+    ("known_language", known_language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("masked_secrets", masked_secrets),
+    ("packed", packed),
 ]
 
-# The stages need tokenizers, learnt models and connected components.
+# Learnt models, connected components and tokenizers are beyond SQL; the
+# tests hold the rows against a brute-force run.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each one's rows written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

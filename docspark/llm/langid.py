@@ -209,3 +209,26 @@ def identify(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None =
 
     held_out = (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out")
     return docs.select(F.col("doc_id").cast("long"), held_out, "text").mapInArrow(judge, RESULT)
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The documents whose language can be told, columns unchanged.
+
+    Goes: a NULL text, one without a letter, and every text if nothing could
+    be learnt. A weak vote is no ground to drop a document.
+    """
+    if labelled is None:
+        labelled = docs.where(fold(F.col("doc_id"), FOLDS) != 0)
+    _, logs = learn(labelled)
+    model = spark.sparkContext.broadcast(logs)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table()
+        for batch in batches:
+            known = [np.zeros(0, bool)]
+            for _, part in slices([t.as_py() or "" for t in batch.column(at)]):
+                known.append(mixtures(part, model.value, letters).top >= 0)
+            yield batch.filter(pa.array(np.concatenate(known)))
+
+    return docs.mapInArrow(keep, docs.schema)
