@@ -30,7 +30,7 @@ TRAIN_DOCS = 2000
 FEATURES = 20_000
 SMOOTHING = 1.0
 PENALTY = 1e-4
-ROUNDS = 150
+ROUNDS = 300
 HASH_STEPS = 1 << 30
 
 RESULT = T.StructType(
