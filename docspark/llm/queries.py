@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontaminate, jaccard, langid, packing, secrets, sharding, topk, toxicity
+from docspark.llm import chat, decontaminate, jaccard, langid, packing, secrets, sharding, topk, toxicity
 from docspark.llm.common import table
 
+#: The tools that conversations may call, with the type and need of each argument.
+TOOLS: chat.Schemas = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "calculate": {"expression": ("string", True)},
+    "fetch": {"url": ("string", True), "headers": ("object", False)},
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -44,6 +51,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer())
 
 
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 @query
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"))
