@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import docspark
 from docspark.session import work_dir
 
+# Functions of this package travel to the tasks whole: executors need no copy.
+cloudpickle.register_pickle_by_value(docspark)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import chat, decontaminate, jaccard, langid, packing, secrets, sharding, topk, toxicity
+from docspark.llm import chat, decontaminate, jaccard, langid, lm, packing, secrets, sharding, topk, toxicity
 from docspark.llm.common import table
 
 #: The tools that conversations may call, with the type and need of each argument.
@@ -61,6 +61,11 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
