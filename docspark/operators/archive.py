@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions.dates import format_rfc3339, year_month
 from docspark.functions.keys import archive_key, manifest_key, raw_key, tenant_safe, uri_for
@@ -242,7 +243,20 @@ def write_manifests(manifests: DataFrame, roots: ArchiveRoots, run: int) -> None
 
 
 def read_current_archive(spark: SparkSession, roots: ArchiveRoots, table: str) -> DataFrame:
-    """Rows of the documents that are current under their archive key."""
-    headers = spark.read.parquet(roots.documents)
-    last = archive_winners(headers, "run").select("job_id")
-    return spark.read.parquet(getattr(roots, table)).join(last, "job_id", "left_semi")
+    """Rows of the documents that are current under their archive key.
+
+    A document is current as one run wrote it: rows that an earlier run left
+    behind, of the same job or another one, are not read.
+    """
+    headers = _partitioned(spark, roots.documents)
+    last = headers.groupBy("archive_uri").agg(F.max(F.struct("run", "job_id")).alias("_last"))
+    rows = _partitioned(spark, getattr(roots, table))
+    return rows.join(last.select("_last.*"), ["job_id", "run"], "left_semi")
+
+
+def _partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """A table whose partition columns are text, but for the run's number."""
+    inferred = spark.read.parquet(path).schema
+    text = (*PARTITIONS, "issuer_slug")
+    fields = [T.StructField(f.name, T.StringType()) if f.name in text else f for f in inferred.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)

@@ -64,6 +64,23 @@ def rule_extractor(batch: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _called(extractor: Extractor, given: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """The extractor's rows; an exception becomes the error of its page.
+
+    A batch that raises is tried page by page, so one page fails alone.
+    """
+    try:
+        return extractor(given)[columns]
+    except Exception as exc:  # noqa: BLE001  the function is the user's
+        if len(given) == 1:
+            failed = dict.fromkeys(columns) | {"error": str(exc) or type(exc).__name__}
+            return pd.DataFrame([failed], columns=columns, dtype=object)
+    return pd.concat(
+        [_called(extractor, given.iloc[i : i + 1].reset_index(drop=True), columns) for i in range(len(given))],
+        ignore_index=True,
+    )
+
+
 def extract_pages(
     work: DataFrame,
     documents: DataFrame,
@@ -100,7 +117,7 @@ def extract_pages(
             out["error"] = batch["error"].to_numpy()
             if ready.any():
                 given = batch.loc[ready, ["mime", "content", "instructions"]]
-                made = extractor(given.reset_index(drop=True))[columns]
+                made = _called(extractor, given.reset_index(drop=True), columns)
                 out.loc[ready, columns] = made.astype(object).to_numpy()
             yield out
 

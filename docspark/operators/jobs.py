@@ -212,9 +212,18 @@ def upsert_jobs(existing: DataFrame, incoming: DataFrame, carry: Sequence[str])
     return both.select(*out)
 
 
-def created_jobs(requests: DataFrame, updated_at: str) -> DataFrame:
+def rejected_jobs(requests: DataFrame, registry: Registry = CHAIN_REGISTRY) -> DataFrame:
+    """(job_id, tenant_id, errors) of the requests that cannot be run."""
+    checked = validate_jobs(bind_chain(requests, registry).withColumn("page_count", F.lit(0)))
+    unknown = F.col("bind_error").isNotNull()
+    errors = F.when(unknown, F.array_append(F.array_remove("errors", "empty chain"), F.col("bind_error")))
+    found = checked.withColumn("errors", errors.otherwise(F.col("errors")))
+    return found.filter(F.size("errors") > 0).select("job_id", "tenant_id", "errors")
+
+
+def created_jobs(requests: DataFrame, updated_at: str, registry: Registry = CHAIN_REGISTRY) -> DataFrame:
     """New job rows of requests whose chain was bound."""
-    bound = bind_chain(requests).filter(F.col("bind_error").isNull())
+    bound = bind_chain(requests, registry).filter(F.col("bind_error").isNull())
     values = _job_defaults()
     values.update(
         job_id=F.col("job_id"),

@@ -10,7 +10,7 @@ from docspark.operators.spread import rank_in_group
 from docspark.schema import MESSAGE
 
 # Largest page suffix a split file may carry.
-MAX_SUFFIX_DIGITS = 18
+MAX_SUFFIX_DIGITS = 19
 
 
 def page_suffix(name: Column) -> Column:
@@ -27,13 +27,16 @@ def page_suffix(name: Column) -> Column:
 def number_pages(files: DataFrame, name: str = "name") -> DataFrame:
     """Page number of each split file: its rank by numeric suffix.
 
-    `page_error` is set, and the page NULL, on files without a suffix.
+    One file without a suffix fails its whole job: `page_error` is set, and
+    the page NULL, on all of the job's files.
     """
     read = files.withColumn("_suffix", page_suffix(F.col(name)))
-    good = rank_in_group(read.filter(F.col("_suffix").isNotNull()), "job_id", "_suffix", "page")
+    broken = read.filter(F.col("_suffix").isNull()).select("job_id").distinct()
+    whole = read.join(broken, "job_id", "left_anti")
+    good = rank_in_group(whole, "job_id", "_suffix", "page")
     good = good.withColumn("page_error", F.lit(None).cast("string"))
     bad = (
-        read.filter(F.col("_suffix").isNull())
+        read.join(broken, "job_id", "left_semi")
         .withColumn("page", F.lit(None).cast("int"))
         .withColumn("page_error", F.lit("no valid page suffix"))
     )

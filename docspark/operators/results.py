@@ -28,11 +28,11 @@ def read_merged(jobs: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
     `pages` are stored merged pages (job_id, page, result).
     """
     gated = result_gate(jobs)
-    open_jobs = gated.filter(F.col("gate").isNull()).select(
-        "job_id", F.col("page_count").alias("max_page")
-    )
+    # Pages may be numbered beyond the job's page count.
+    last = pages.groupBy("job_id").agg(F.max("page").alias("max_page"))
+    open_jobs = gated.filter(F.col("gate").isNull()).select("job_id").join(last, "job_id")
     message = F.when(F.col("gate") == "job_failed", F.col("error")).otherwise(
-        F.concat(F.lit("job is "), F.col("status"), F.lit("; result not available yet"))
+        F.concat(F.lit("no result while the job is "), F.col("status"))
     )
     refused = gated.filter(F.col("gate").isNotNull()).select(
         "job_id", F.col("gate").alias("kind"), message.alias("message")
@@ -54,7 +54,7 @@ def require_ready(jobs: DataFrame, job_id: str) -> None:
     if row["gate"] == "job_failed":
         raise JobFailed(row["error"])
     if row["gate"] == "job_not_ready":
-        raise JobNotReady(f"job {job_id!r} is {row['status']}; result not available yet")
+        raise JobNotReady(f"no result while job {job_id!r} is {row['status']}")
 
 
 def aggregate_job(
@@ -64,4 +64,5 @@ def aggregate_job(
     key, value = resolve_filter(params)
     require_ready(jobs, job_id)
     own = tx.filter(F.col("job_id") == job_id)
-    return aggregate(own, key, value), aggregate_rows(own, key, value)
+    one = jobs.filter(F.col("job_id") == job_id)
+    return aggregate(own, key, value, jobs=one), aggregate_rows(own, key, value)

@@ -58,10 +58,12 @@ def filter_dimension(
 
 
 def _totals(key: str) -> list[Column]:
+    """Count and sum; a sum beyond the type is NULL, no amounts at all are 0."""
     amount = F.col("_amount")
+    nothing = F.count(amount) == 0
     return [
         F.count(amount).alias("row_count"),
-        F.coalesce(F.try_sum(amount), F.lit(0).cast(AMOUNT_TYPE)).alias("total_amount"),
+        F.when(nothing, F.lit(0).cast(AMOUNT_TYPE)).otherwise(F.try_sum(amount)).alias("total_amount"),
     ]
 
 
@@ -79,14 +81,31 @@ def _labelled(df: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 def aggregate(
-    tx: DataFrame, key: str, value: str, effective_currency: bool = False
+    tx: DataFrame,
+    key: str,
+    value: str,
+    effective_currency: bool = False,
+    jobs: DataFrame | None = None,
 ) -> DataFrame:
-    """Per job: rows that match and have a readable amount, and their sum."""
+    """Per job: rows that match and have a readable amount, and their sum.
+
+    With `jobs`, every job named there has a row, with count and sum 0 where
+    nothing matches.
+    """
     key, value = resolve_filter({_known(key): value})
     matched = filter_dimension(tx, key, value, effective_currency).select(
         "job_id", _amount(key).alias("_amount")
     )
-    return _labelled(matched.groupBy("job_id").agg(*_totals(key)), key, F.lit(value))
+    totals = matched.groupBy("job_id").agg(*_totals(key))
+    if jobs is not None:
+        none = F.col("row_count").isNull()
+        totals = (
+            jobs.select("job_id")
+            .join(totals, "job_id", "left")
+            .withColumn("total_amount", F.when(none, F.lit(0).cast(AMOUNT_TYPE)).otherwise(F.col("total_amount")))
+            .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("long")))
+        )
+    return _labelled(totals, key, F.lit(value))
 
 
 def aggregate_by(tx: DataFrame, key: str) -> DataFrame:

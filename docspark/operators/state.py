@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,10 +102,11 @@ def failed_rows(failed: DataFrame, now: Column, seq: int, days: int = RETENTION_
     return _rows(failed, FAILED, now, seq, values, days)
 
 
-def append_state(rows: DataFrame, root: str, batch: int) -> None:
+def append_state(rows: DataFrame, root: str, batch: int | str) -> None:
     """Append state rows; repeating a batch replaces what it wrote before.
 
-    The log is laid out by stage and version, so a stage reads its own rows.
+    `batch` names the write, so it must be no one else's. The log is laid out
+    by stage and version, so a stage reads its own rows.
     """
     replace_part(rows, root, "batch", batch, "stage", "version")
 
@@ -116,7 +119,7 @@ def read_state_log(spark: SparkSession, root: str) -> DataFrame:
 def purge_expired(spark: SparkSession, root: str, target: str, now: Column) -> None:
     """Write the rows still alive to `target`, a new version of the log."""
     kept = unexpired(read_state_log(spark, root), now)
-    append_state(kept, target, 0)
+    append_state(kept, target, f"base-{uuid.uuid4().hex}")
 
 
 def dead_letters(

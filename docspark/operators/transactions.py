@@ -40,8 +40,10 @@ def explode_transactions(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
 
 def drop_issuer_rows(tx: DataFrame, issuer: str = "issuer") -> DataFrame:
     """Drop rows that only repeat the page's issuer, if it names one."""
-    page_side = canonical_issuer(F.coalesce(F.col(issuer), F.lit("")))
-    return tx.filter(~((canonical_issuer(F.col("merchant")) == page_side) & (page_side != "")))
+    # One comparison, so each side is evaluated once; without an issuer or a
+    # merchant it is NULL.
+    repeats = canonical_issuer(F.col("merchant")) == F.nullif(canonical_issuer(F.col(issuer)), F.lit(""))
+    return tx.filter(~F.coalesce(repeats, F.lit(False)))
 
 
 def drop_zero_amounts(tx: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def drop_zero_amounts(tx: DataFrame) -> DataFrame:
 
 def normalize_card_statement(tx: DataFrame, issuer: str = "issuer") -> DataFrame:
     """Version v1 of the normalize stage; kept rows are unchanged."""
-    return drop_zero_amounts(drop_issuer_rows(tx, issuer))
+    return drop_issuer_rows(drop_zero_amounts(tx), issuer)
 
 
 def enrich_transactions(tx: DataFrame, dictionary: Dictionary) -> DataFrame:

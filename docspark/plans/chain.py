@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +42,10 @@ from docspark.schema import (
 )
 from docspark.sources.dictionary import Dictionary
 from docspark.sources.pages import decode_pages, failed_pages, good_pages
-from docspark.sources.tables import read_or_empty, replace_part
+from docspark.sources.tables import claim_number, read_or_empty
 
 PAGE = ["job_id", "page"]
-
+NO_PREVIOUS = "no result of the stage before"
 
 
 def _stored_schema(*fields: T.StructField) -> T.StructType:
@@ -62,14 +64,6 @@ STORED = {
     "failed": _stored_schema(*KEY_FIELDS, T.StructField("error", T.StringType())),
     "done": _stored_schema(*KEY_FIELDS),
 }
-COMMIT = T.StructType(
-    [
-        T.StructField("stage", T.StringType()),
-        T.StructField("version", T.StringType()),
-        T.StructField("batch", T.IntegerType()),
-    ]
-)
-
 
 @dataclass(frozen=True)
 class StageData:
@@ -160,20 +154,18 @@ class StageStore:
         log = read_state_log(self.spark, self.log_root)
         return latest_state(stages_for(log, name, version))
 
-    def save(self, table: str, df: DataFrame, name: str, version: str, run: int) -> None:
-        labelled = df.withColumn("stage", F.lit(name)).withColumn("version", F.lit(version))
-        replace_part(labelled, f"{self.root}/{table}", "run", run, "stage", "version")
+    def claim(self) -> int:
+        """A write number of its own: what is stored under it is one attempt."""
+        return claim_number(self.spark, f"{self.root}/claims")
+
+    def save(self, table: str, df: DataFrame, name: str, version: str, write: int) -> None:
+        place = f"stage={quote(name)}/version={quote(version)}/run={write}"
+        df.drop("stage", "version").write.mode("overwrite").parquet(f"{self.root}/{table}/{place}")
 
     def stored(self, table: str, name: str, version: str) -> DataFrame:
         rows = read_or_empty(self.spark, f"{self.root}/{table}", STORED[table])
         return rows.filter((F.col("stage") == name) & (F.col("version") == version))
 
-    def committed(self, name: str, version: str, batch: int) -> bool:
-        """Were the state rows of this batch stored already?"""
-        log = read_or_empty(self.spark, self.log_root, COMMIT)
-        own = (F.col("stage") == name) & (F.col("version") == version)
-        return not log.filter(own & (F.col("batch") == batch)).isEmpty()
-
     def load(self, table: str, name: str, version: str) -> DataFrame:
         """Stored rows of one stage, of each page's newest finished run."""
         newest = (
@@ -185,8 +177,8 @@ class StageStore:
             .drop("run", "stage", "version")
         )
 
-    def input_of(self, work: DataFrame, header_stage: tuple[str, str], last: tuple[str, str]) -> StageData:
-        keys = work.select(*PAGE)
+    def input_of(self, keys: DataFrame, header_stage: tuple[str, str], last: tuple[str, str]) -> StageData:
+        """What one stage left for the pages named."""
         return StageData(
             self.load("headers", *header_stage).join(keys, PAGE, "left_semi"),
             self.load("transactions", *last)
@@ -204,18 +196,57 @@ def run_stage(
     previous: tuple[str, str] | None = None,
     header_stage: tuple[str, str] = EXTRACT_STAGE,
     days: int = RETENTION_DAYS,
+    fallback: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Run one stage on the work that is not done, and return the next work.
+    """Run one stage on its work that is not done, and return the next work.
+
+    Work of other stages is passed on as it is. The stage before a row is the
+    one before it in its chain; `previous` is that of rows without a chain, as
+    `fallback` is the stage after them. A page without a result of the stage
+    before fails.
 
-    Results are stored first, then the state rows that vouch for them. A run
-    cut short before that is repeated whole; a run that got there only sends
-    its pages on. Pages done in earlier runs are sent on like the others.
+    What is done is asked of the state log alone, key by key. Results are
+    stored first, under a write number of this attempt, then the state rows
+    that vouch for them, so an attempt cut short leaves nothing that is read.
+    `run` is the caller's name for the attempt and may come again.
     """
-    one_each = work.dropDuplicates([*PAGE, "stage", "version"])
-    if not store.committed(stage.name, stage.version, 2 * run + 1):
-        _execute(store, stage, one_each, now, run, previous, header_stage, days)
+    mine = (F.col("stage") == stage.name) & (F.col("version") == stage.version)
+    one_each = work.filter(mine).dropDuplicates([*PAGE, "stage", "version"])
+    _execute(store, stage, one_each, now, previous, header_stage, days)
     finished = succeeded_keys(store.state(stage.name, stage.version), now)
-    return route_next(one_each.join(finished.select(*PAGE, "result_uri"), PAGE))
+    routed = route_next(one_each.join(finished.select(*PAGE, "result_uri"), PAGE), fallback)
+    others = work.filter(~mine).select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE.fields])
+    return routed.unionByName(others)
+
+
+def _with_previous(work: DataFrame, previous: tuple[str, str] | None) -> DataFrame:
+    """Add `_before`, the stage before in the row's chain."""
+    before = F.when(F.col("chain_idx") > 0, F.get("chain", F.col("chain_idx") - 1))
+    own = F.when(before.isNotNull(), F.struct(before["name"].alias("name"), before["version"].alias("version")))
+    if previous is None:
+        return work.withColumn("_before", own)
+    given = F.struct(F.lit(previous[0]).alias("name"), F.lit(previous[1]).alias("version"))
+    return work.withColumn("_before", F.when(F.size("chain") > 0, own).otherwise(given))
+
+
+def _input(store: StageStore, work: DataFrame, header_stage: tuple[str, str]) -> tuple[StageData, DataFrame]:
+    """(rows of the stages before, work that has none to go on from)."""
+    pairs = work.select("_before.name", "_before.version").where("name IS NOT NULL").distinct().collect()
+    parts, done = [], []
+    for pair in pairs:  # one per stage that chains name
+        name, version = pair
+        own = work.filter((F.col("_before.name") == name) & (F.col("_before.version") == version)).select(*PAGE)
+        done.append(store.stored("done", name, version).select(*PAGE).join(own, PAGE, "left_semi"))
+        parts.append(store.input_of(own, header_stage, (name, version)))
+    if not parts:
+        return StageData(), work.limit(0)
+    known = reduce(DataFrame.unionByName, done).distinct()
+    missing = work.filter(F.col("_before").isNotNull()).join(known, PAGE, "left_anti")
+    data = StageData(
+        reduce(DataFrame.unionByName, [p.headers for p in parts]),
+        reduce(DataFrame.unionByName, [p.transactions for p in parts]),
+    )
+    return data, missing
 
 
 def _execute(
@@ -223,31 +254,36 @@ def _execute(
     stage: Stage,
     work: DataFrame,
     now: Column,
-    run: int,
     previous: tuple[str, str] | None,
     header_stage: tuple[str, str],
     days: int,
 ) -> None:
     name, version = stage.name, stage.version
+    write = store.claim()
 
     def kept(table: str) -> DataFrame:
-        return store.stored(table, name, version).filter(F.col("run") == run).drop("run")
+        return store.stored(table, name, version).filter(F.col("run") == write).drop("run")
 
-    store.save("work", pending_work(work, store.state(name, version), now), name, version, run)
+    store.save("work", pending_work(work, store.state(name, version), now), name, version, write)
     todo = kept("work")
-    started, ended_at = 2 * run, 2 * run + 1
+    if todo.isEmpty():
+        return
+    started, ended_at = 2 * write, 2 * write + 1
     append_state(running_rows(todo, now, started, days), store.log_root, started)
 
-    data = store.input_of(todo, header_stage, previous) if previous else StageData()
-    out = stage.fn(todo, data)
+    linked = _with_previous(todo, previous)
+    data, missing = _input(store, linked, header_stage)
+    missing = missing.select(*PAGE, F.lit(NO_PREVIOUS).alias("error"))
+    ready = todo.join(missing.select(*PAGE), PAGE, "left_anti")
+    out = stage.fn(ready, data)
     if out.headers is not None:
-        store.save("headers", out.headers, name, version, run)
-    store.save("transactions", out.transactions, name, version, run)
-    if out.failed is not None:
-        store.save("failed", out.failed, name, version, run)
+        store.save("headers", out.headers, name, version, write)
+    store.save("transactions", out.transactions, name, version, write)
+    failures = missing if out.failed is None else missing.unionByName(out.failed.select(*PAGE, "error"))
+    store.save("failed", failures, name, version, write)
     failed = kept("failed").select(*PAGE, "error")
     done = todo.join(failed, PAGE, "left_anti")
-    store.save("done", done.select(*PAGE), name, version, run)
+    store.save("done", done.select(*PAGE), name, version, write)
 
     following = F.coalesce(next_stage(F.col("chain"), F.col("chain_idx"))["name"], F.lit(""))
     key = page_key(*[F.col(c) for c in (*PAGE, "stage", "version")])

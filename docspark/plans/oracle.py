@@ -492,11 +492,11 @@ ORACLE: dict[str, str] = {
     WHERE final_stage IS NOT NULL)""",
     ),
     "number_pages": f"""SELECT job_id, name,
-    CASE WHEN bad THEN NULL ELSE CAST(row_number() OVER (PARTITION BY job_id, bad ORDER BY turn) AS INTEGER) END AS page,
+    CASE WHEN bad THEN NULL ELSE CAST(row_number() OVER (PARTITION BY job_id ORDER BY turn) AS INTEGER) END AS page,
     CASE WHEN bad THEN 'no valid page suffix' END AS page_error
-  FROM (SELECT 'conv_' || conv_id AS job_id, turn, {K} % 31 = 0 OR {K} % 37 = 0 AS bad,
+  FROM (SELECT job_id, turn, name, bool_or(bad) OVER (PARTITION BY job_id) AS bad FROM (SELECT 'conv_' || conv_id AS job_id, turn, {K} % 31 = 0 OR {K} % 37 = 0 AS bad,
     CASE WHEN {K} % 31 = 0 THEN 'cover.pdf' WHEN {K} % 37 = 0 THEN 'input_0.pdf'
-      ELSE 'split/input_' || (turn * 7 + 2) || '.pdf' END AS name FROM conversations)""",
+      ELSE 'split/input_' || (turn * 7 + 2) || '.pdf' END AS name FROM conversations))""",
     "merge_jobs": sql(
         V_RECORD,
         """SELECT r.job_id, page, text AS result FROM v_record r JOIN v_verdict v USING (job_id)

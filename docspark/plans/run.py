@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,42 @@ from docspark.operators import jobs as job_ops
 from docspark.operators.pages import fan_out_pages
 from docspark.operators.state import latest_jobs, latest_state, read_state_log, unexpired
 from docspark.plans.chain import Stage, StageStore, run_stage
-from docspark.schema import FAILED, JOB, RETENTION_DAYS, RUNNING, SUCCEEDED
-from docspark.sources.tables import read_or_empty, replace_part
+from docspark.schema import (
+    CHAIN_REGISTRY,
+    EXTRACT_STAGE,
+    FAILED,
+    JOB,
+    RETENTION_DAYS,
+    RUNNING,
+    SUCCEEDED,
+    TRANSACTION_ROW,
+)
+from docspark.sources.tables import claim_number, kept_part, read_or_empty, replace_part
 from docspark.streaming.events import Notifier, notify_finished, silent
 
 log = logging.getLogger(__name__)
 
+TENANT = T.StructType().add("job_id", "string").add("tenant_id", "string").add("run", "integer")
+REJECTED = (
+    T.StructType()
+    .add("job_id", "string")
+    .add("tenant_id", "string")
+    .add("errors", T.ArrayType(T.StringType()))
+    .add("run", "integer")
+)
+MERGED = {
+    "documents": T.StructType().add("job_id", "string").add("page_count", "integer").add("run", "integer"),
+    "pages": (
+        T.StructType()
+        .add("job_id", "string")
+        .add("page", "integer")
+        .add("text", "string")
+        .add("document_type", "string")
+        .add("fields", "string")
+        .add("run", "integer")
+    ),
+    "transactions": T.StructType(list(TRANSACTION_ROW.fields)).add("run", "integer"),
+}
 SIDECAR_KEY = T.StructType().add("job_id", "string")
 JOB_LOG = T.StructType(list(JOB.fields)).add("ts", "timestamp").add("seq", "long")
 MANIFEST = (
@@ -78,8 +109,31 @@ class Workspace:
         numbered = stamped.withColumn("ts", now).withColumn("seq", F.lit(step).cast("long"))
         replace_part(numbered, f"{self.root}/jobs", "step", step)
 
+    def claim(self) -> int:
+        """A number of its own for all that one run writes, above all before."""
+        return claim_number(self.spark, f"{self.root}/claims")
+
+    def keep(self, df: DataFrame, table: str, run: int) -> DataFrame:
+        return kept_part(df, f"{self.root}/{table}", "run", run)
+
     def merged(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/merged/{table}")
+        """Merged rows, of each job's newest merge only.
+
+        `documents` is written last, so a merge cut short is not read.
+        """
+        read = lambda name: read_or_empty(self.spark, f"{self.root}/merged/{name}", MERGED[name])
+        newest = read("documents").groupBy("job_id").agg(F.max("run").alias("run"))
+        return read(table).join(newest, ["job_id", "run"], "left_semi").drop("run")
+
+    def tenants(self) -> DataFrame:
+        """(job_id, tenant_id): who asked for a job last."""
+        asked = read_or_empty(self.spark, f"{self.root}/tenants", TENANT)
+        newest = asked.groupBy("job_id").agg(F.max(F.struct("run", "tenant_id")).alias("_last"))
+        return newest.select("job_id", "_last.tenant_id")
+
+    def rejected(self) -> DataFrame:
+        """Requests that could not be run, and why."""
+        return read_or_empty(self.spark, f"{self.root}/rejected", REJECTED)
 
 
 def _changed(written: DataFrame, keys: DataFrame) -> DataFrame:
@@ -87,13 +141,19 @@ def _changed(written: DataFrame, keys: DataFrame) -> DataFrame:
     return written.join(keys.select("job_id"), "job_id", "left_semi")
 
 
-def submit(space: Workspace, requests: DataFrame, now: Column, run: int) -> DataFrame:
+def submit(
+    space: Workspace, requests: DataFrame, now: Column, run: int, registry: job_ops.Registry = CHAIN_REGISTRY
+) -> DataFrame:
     """Create and start jobs; returns their page work.
 
-    `requests` has job_id, input_uri, mode, chain_id and `pages`, the URIs a
-    split document came apart into.
+    `requests` has job_id, tenant_id, input_uri, mode, chain_id and `pages`,
+    the URIs a split document came apart into. Those that cannot be run are
+    set aside with their errors.
     """
-    created = job_ops.created_jobs(requests, "")
+    rejected = space.keep(job_ops.rejected_jobs(requests, registry), "rejected", run)
+    requests = requests.join(rejected.select("job_id").distinct(), "job_id", "left_anti")
+    replace_part(requests.select("job_id", "tenant_id").distinct(), f"{space.root}/tenants", "run", run)
+    created = job_ops.created_jobs(requests, "", registry)
     space.write_jobs(created, now, 10 * run)
     bound = space.jobs(now).select("job_id", "mode", "chain").join(
         requests.select("job_id", "input_uri", "pages"), "job_id"
@@ -105,65 +165,87 @@ def submit(space: Workspace, requests: DataFrame, now: Column, run: int) -> Data
     return fan_out_pages(ready)
 
 
-def finish(space: Workspace, final: tuple[str, str], headers: tuple[str, str], now: Column, run: int) -> None:
-    """Merge the jobs whose pages are all done, and fail those that cannot be."""
+def finish(space: Workspace, headers: tuple[str, str], now: Column, run: int) -> None:
+    """Merge the jobs whose pages are all done, and fail those that cannot be.
+
+    Each job is merged from the final stage of its own chain.
+    """
     store = space.stages
     running = space.jobs(now).filter(F.col("status") == RUNNING)
     state = latest_state(read_state_log(space.spark, store.log_root), "status", "expires_at")
-    decided = job_ops.check_jobs(running, state, now)
-    replace_part(decided, f"{space.root}/decisions", "run", run)
-    decided = space.spark.read.parquet(f"{space.root}/decisions").filter(F.col("run") == run)
+    decided = space.keep(job_ops.check_jobs(running, state, now), "decisions", run)
 
     ok = decided.filter(F.col("decision") == SUCCEEDED).select("job_id")
-    records = store.state(*final).join(ok, "job_id", "left_semi")
+    ready = job_ops.with_chain_ends(job_ops.effective_chain(running.join(ok, "job_id", "left_semi")))
+    ready = space.keep(ready.select("job_id", "final_stage", "final_version"), "ready", run)
+    finals = [tuple(r) for r in ready.select("final_stage", "final_version").distinct().collect()]
+    records, rows = [], []
+    for final in finals or [headers]:  # one per stage that ends a chain
+        at_end = (F.col("final_stage") == final[0]) & (F.col("final_version") == final[1])
+        own = ready.filter(at_end).select("job_id")
+        records.append(store.state(*final).join(own, "job_id", "left_semi"))
+        rows.append(store.load("transactions", *final).join(own, "job_id", "left_semi"))
     bodies = store.load("headers", *headers).select(
         "job_id", "page", F.struct("text", "document_type", "fields").alias("result")
     )
-    merged = merge.merge_jobs(running.join(ok, "job_id", "left_semi"), records, bodies, space.work_bucket)
-    replace_part(merged.pages.select("job_id", "page", "result.*"), f"{space.root}/merged/pages", "run", run)
-    rows = merge.join_per_job(
-        store.load("transactions", *final), merged.documents.withColumn("max_page", F.col("page_count"))
-    ).drop("page_count", "result_uri")
-    replace_part(rows, f"{space.root}/merged/transactions", "run", run)
-    committed = _changed(job_ops.commit_merged_jobs(space.jobs(now), merged.documents), merged.documents)
+    merged = merge.merge_jobs(
+        running.join(ok, "job_id", "left_semi"),
+        reduce(DataFrame.unionByName, records),
+        bodies,
+        space.work_bucket,
+    )
+    # The verdicts are asked several times below, so they are stored once.
+    documents = space.keep(merged.documents, "verdicts/good", run)
+    rejects = space.keep(merged.rejects, "verdicts/bad", run)
+    pages = merged.pages.select("job_id", "page", "result.*")
+    replace_part(pages, f"{space.root}/merged/pages", "run", run)
+    good_rows = reduce(DataFrame.unionByName, rows).join(documents, "job_id", "left_semi")
+    replace_part(
+        good_rows.select(*[f.name for f in TRANSACTION_ROW.fields]), f"{space.root}/merged/transactions", "run", run
+    )
+    replace_part(
+        documents.select("job_id", F.col("page_count").cast("int")), f"{space.root}/merged/documents", "run", run
+    )
+    committed = _changed(job_ops.commit_merged_jobs(space.jobs(now), documents), documents)
     space.write_jobs(committed, now, 10 * run + 2)
 
     bad = decided.filter(F.col("decision") == FAILED).select(
         "job_id", F.lit(job_ops.PAGE_FAILURE).alias("error")
     )
-    failures = bad.unionByName(merged.rejects)
+    failures = bad.unionByName(rejects)
     space.write_jobs(
         _changed(job_ops.mark_failed_jobs(space.jobs(now), failures), failures), now, 10 * run + 3
     )
 
 
-def archive_finished(space: Workspace, tenants: DataFrame, documents: DataFrame, now: Column, run: int) -> None:
+def archive_finished(space: Workspace, documents: DataFrame, now: Column, run: int) -> None:
     """Archive succeeded jobs that are not archived yet; the manifest goes last.
 
-    `tenants` has job_id and tenant_id.
+    Jobs that finished in an earlier run, and those whose archive failed
+    then, are archived now.
     """
     roots = space.archive
-    pages = space.merged("pages").withColumn("fields", F.try_parse_json("fields"))
-    jobs = space.jobs(now).filter(F.col("status") == SUCCEEDED).join(tenants, "job_id")
-    targets = archive.archive_targets(archive.document_headers(pages), jobs, now, space.archive_bucket)
     known = read_or_empty(space.spark, roots.manifests, MANIFEST)
-    fresh = archive.pending_archives(targets, known)
-    replace_part(fresh, f"{space.root}/archive/targets", "run", run)
-    fresh = space.spark.read.parquet(f"{space.root}/archive/targets").filter(F.col("run") == run).drop("run")
-    archive.write_archive(fresh, space.merged("transactions").drop("run"), archive.flatten_fields(pages), roots, run)
+    jobs = space.jobs(now).filter(F.col("status") == SUCCEEDED).join(space.tenants(), "job_id")
+    jobs = space.keep(archive.not_yet_done(jobs, known), "archive/asked", run)
+    new = jobs.select("job_id")
+    pages = space.merged("pages").join(new, "job_id", "left_semi").withColumn("fields", F.try_parse_json("fields"))
+    targets = archive.archive_targets(archive.document_headers(pages), jobs, now, space.archive_bucket)
+    fresh = space.keep(archive.pending_archives(targets, known), "archive/targets", run)
+    rows = space.merged("transactions").join(new, "job_id", "left_semi")
+    archive.write_archive(fresh, rows, archive.flatten_fields(pages), roots, run)
     archive.write_raw_catalog(fresh, documents, roots, run)
     archive.write_manifests(archive.build_manifests(fresh, now), roots, run)
 
 
-def index_archived(space: Workspace, tenants: DataFrame, send: index.Sender, now: Column, run: int) -> DataFrame:
-    """Offer archived jobs to the index; returns the sent requests."""
+def index_archived(space: Workspace, send: index.Sender, now: Column, run: int) -> DataFrame:
+    """Offer archived jobs that the index does not have; returns the sent requests."""
     roots = space.archive
     manifests = read_or_empty(space.spark, roots.manifests, MANIFEST)
     sidecars = read_or_empty(space.spark, roots.sidecars, SIDECAR_KEY)
-    asked = tenants.join(manifests.select("job_id"), "job_id", "left_semi")
+    asked = space.tenants().join(manifests.select("job_id"), "job_id", "left_semi")
     pending = index.pending_index(index.index_requests(asked, manifests, space.jobs(now)), sidecars)
-    replace_part(index.send_requests(pending, send), f"{space.root}/archive/sent", "run", run)
-    sent = space.spark.read.parquet(f"{space.root}/archive/sent").filter(F.col("run") == run).drop("run")
+    sent = space.keep(index.send_requests(pending, send), "archive/sent", run)
     replace_part(index.build_sidecars(sent, now), roots.sidecars, "run", run)
     return sent
 
@@ -177,23 +259,27 @@ def run_jobs(
     run: int,
     send: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     notifier: Notifier = silent,
+    registry: job_ops.Registry = CHAIN_REGISTRY,
 ) -> None:
     """Submit, run every stage, gate, merge or fail, archive, index, notify.
 
-    `requests` also has tenant_id. Trouble in the archive or the index is
-    logged and leaves the jobs' own success alone.
+    `requests` also has tenant_id. `stages` are all that the chains name, each
+    before those that may follow it; a page takes those of its own chain.
+    `run` is the caller's name for the run and may come again: what is written
+    is numbered by the workspace. Trouble in the archive or the index is
+    logged, leaves the jobs' own success alone and is made up for by a later
+    run.
     """
-    work = submit(space, requests, now, run)
-    previous = None
+    write = space.claim()
+    work = submit(space, requests, now, write, registry)
+    header_stage = (stages[0].name, stages[0].version) if stages else EXTRACT_STAGE
     for stage in stages:
-        work = run_stage(space.stages, stage, work, now, run, previous, (stages[0].name, stages[0].version))
-        previous = (stage.name, stage.version)
-    finish(space, previous, (stages[0].name, stages[0].version), now, run)
-    tenants = requests.select("job_id", "tenant_id")
+        work = run_stage(space.stages, stage, work, now, run, header_stage=header_stage)
+    finish(space, header_stage, now, write)
     try:
-        archive_finished(space, tenants, documents, now, run)
+        archive_finished(space, documents, now, write)
         if send is not None:
-            index_archived(space, tenants, send, now, run)
+            index_archived(space, send, now, write)
     except Exception:
         log.exception("archive or index of run %s failed; its jobs stay as they are", run)
-    notify_finished(space.jobs(now), f"{space.root}/notified", notifier, run)
+    notify_finished(space.jobs(now), f"{space.root}/notified", notifier, write)

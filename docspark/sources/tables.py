@@ -8,25 +8,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MISSING = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+NUMBER = T.StructType().add("number", "integer")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet table, or no rows where nothing was written yet."""
+    """A Parquet table, or no rows where nothing was written yet.
+
+    The schema is given, not inferred, so that folder names such as 007 or
+    2.10 stay text where their column is text.
+    """
     try:
-        stored = spark.read.parquet(path)
+        stored = spark.read.schema(schema).parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() in MISSING:
             return spark.createDataFrame([], schema)
         raise
-    return stored.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return stored.select(*schema.fieldNames())
+
 
+def replace_part(df: DataFrame, path: str, part: str, number: int | str, *partitions: str) -> None:
+    """Write rows as `part`=number, in place of all that this part held.
 
-def replace_part(df: DataFrame, path: str, part: str, number: int, *partitions: str) -> None:
-    """Write rows under `part`=number; a repeated number replaces itself."""
+    A part written without rows is empty afterwards, whatever was there.
+    """
     (
-        df.withColumn(part, F.lit(number))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(part, *partitions)
-        .parquet(path)
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(*partitions)
+        .parquet(f"{path}/{part}={number}")
     )
+
+
+def kept_part(df: DataFrame, path: str, part: str, number: int | str) -> DataFrame:
+    """Write rows as one part and read them back, which cuts their lineage."""
+    replace_part(df, path, part, number)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{part}={number}")
+
+
+def claim_number(spark: SparkSession, path: str) -> int:
+    """A write number above all that were claimed in this folder before.
+
+    Numbers of callers may come again with other work, so they cannot name
+    what is written. A folder that exists already refuses a second claim.
+    """
+    while True:
+        last = read_or_empty(spark, path, NUMBER).agg(F.max("number")).first()[0]
+        number = 0 if last is None else last + 1
+        try:
+            claim = spark.createDataFrame([(number,)], NUMBER)
+            claim.coalesce(1).write.mode("errorifexists").parquet(f"{path}/claim={number}")
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            continue
+        return number

@@ -11,6 +11,7 @@ from docspark.operators.jobs import check_jobs
 from docspark.operators.state import append_state, latest_state, read_state_log
 from docspark.schema import PENDING
 from docspark.sources.tables import read_or_empty, replace_part
+from docspark.streaming.state import stream_part
 
 FINISHED = (
     T.StructType()
@@ -27,7 +28,8 @@ def finished_jobs(jobs: DataFrame, state: DataFrame, now: Column) -> DataFrame:
 
 
 def stream_finished_jobs(
-    rows: DataFrame, jobs: DataFrame, log_root: str, out_root: str, now: Column, checkpoint: str
+    rows: DataFrame, jobs: DataFrame, log_root: str, out_root: str, now: Column, checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Store each job once, in the micro-batch that finishes it.
 
@@ -37,23 +39,24 @@ def stream_finished_jobs(
     spark = jobs.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        append_state(latest_state(batch), log_root, batch_id)
+        part = stream_part(checkpoint, batch_id)
+        append_state(batch, log_root, part)
         log = read_state_log(spark, log_root)
-        own = read_or_empty(spark, log_root, LOG_BATCH).filter(F.col("batch") == batch_id)
+        own = read_or_empty(spark, log_root, LOG_BATCH).filter(F.col("batch") == part)
         touched = own.select("job_id").distinct()
         state = latest_state(log.join(touched, "job_id", "left_semi"), "status", "expires_at")
         decided = finished_jobs(jobs.join(touched, "job_id", "left_semi"), state, now)
-        before = read_or_empty(spark, out_root, FINISHED_BATCH).filter(F.col("batch") < batch_id)
+        before = read_or_empty(spark, out_root, FINISHED_BATCH).filter(F.col("batch") != part)
         fresh = decided.join(before.select("job_id"), "job_id", "left_anti")
-        replace_part(fresh, out_root, "batch", batch_id)
+        replace_part(fresh, out_root, "batch", part)
 
     return (
         rows.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-LOG_BATCH = T.StructType().add("job_id", "string").add("batch", "integer")
-FINISHED_BATCH = T.StructType(list(FINISHED.fields)).add("batch", "integer")
+LOG_BATCH = T.StructType().add("job_id", "string").add("batch", "string")
+FINISHED_BATCH = T.StructType(list(FINISHED.fields)).add("batch", "string")

@@ -50,6 +50,7 @@ def stream_work(
     handle: Callable[[DataFrame, int], None],
     rejected_root: str,
     checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Hand each micro-batch of good messages to `handle(work, batch_id)`.
 
@@ -66,6 +67,6 @@ def stream_work(
     return (
         messages.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

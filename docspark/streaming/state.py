@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from docspark.operators.state import KEY, append_state, latest_state
+from docspark.operators.state import KEY, append_state
 from docspark.schema import SUCCEEDED
 from docspark.sources.tables import replace_part
 
@@ -23,20 +25,25 @@ LIFE = (
 )
 
 
-def stream_latest_state(rows: DataFrame, log_root: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch, folded to the newest row per key, to the log.
+def stream_part(checkpoint: str, batch_id: int) -> str:
+    """Name of a micro-batch's part: batch numbers begin anew in a new checkpoint."""
+    return f"{zlib.crc32(checkpoint.encode()):08x}-{batch_id}"
+
+
+def stream_latest_state(rows: DataFrame, log_root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append each micro-batch to the log, every delivery of a key a row.
 
     Newest-row-wins can be folded in any order, so no state is kept here;
-    readers fold the log once more.
+    readers fold the log, and count its deliveries.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        append_state(latest_state(batch), log_root, batch_id)
+        append_state(batch, log_root, stream_part(checkpoint, batch_id))
 
     return (
         rows.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -59,7 +66,7 @@ def key_life(rows: DataFrame) -> DataFrame:
     )
 
 
-def stream_key_life(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def stream_key_life(rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Store the changed keys of each micro-batch under its number."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -70,7 +77,7 @@ def stream_key_life(rows: DataFrame, root: str, checkpoint: str) -> StreamingQue
         .writeStream.outputMode("update")
         .foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

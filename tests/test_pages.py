@@ -113,12 +113,15 @@ def test_page_results_of_a_repeated_run_replace_themselves(spark, tmp_path):
 
 def test_number_pages(spark):
     names = ["input_10.pdf", "dir_9/input_2.pdf", "input_1.pdf", "input.pdf", "input_.pdf", "input_0.pdf", "input_x.pdf", "a_b_07.pdf"]
-    df = spark.createDataFrame([("job_1", n) for n in names], "job_id string, name string")
-    got = {r.name: r.page for r in number_pages(df).collect()}
-    assert got == {
-        "input_1.pdf": 1, "dir_9/input_2.pdf": 2, "a_b_07.pdf": 3, "input_10.pdf": 4,
-        "input.pdf": None, "input_.pdf": None, "input_0.pdf": None, "input_x.pdf": None,
-    }
+    names += ["big_9223372036854775807.pdf"]
+    bad = {"input.pdf", "input_.pdf", "input_0.pdf", "input_x.pdf"}
+    rows = [("good", n) for n in names if n not in bad]
+    rows += [(n, m) for n in bad for m in (n, "input_1.pdf")]
+    df = spark.createDataFrame(rows, "job_id string, name string")
+    got = {(r.job_id, r.name): r.page for r in number_pages(df).collect()}
+    sound = {"input_1.pdf": 1, "dir_9/input_2.pdf": 2, "a_b_07.pdf": 3, "input_10.pdf": 4, names[-1]: 5}
+    # One bad file fails all files of its job.
+    assert got == {("good", n): p for n, p in sound.items()} | {r: None for r in rows if r[0] != "good"}
 
 
 def test_rank_in_group_over_many_stretches(spark):

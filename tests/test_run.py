@@ -143,7 +143,8 @@ def test_stage_is_not_run_again_for_pages_that_succeeded(spark, tmp_path):
     ]
     before = len(open(calls).read())
     assert run_stage(store, stage, work, now(), 1).count() == 1
-    assert len(open(calls).read()) == before
+    # Only the page that failed is asked for again, whatever the run is called.
+    assert len(open(calls).read()) == before + before // 2
 
     fixed = extract_stage(documents(spark, x="bad", y=json.dumps(PAGE)), counting)
     second = run_stage(store, fixed, work, now(), 2)
