@@ -9,7 +9,9 @@ A box over unrelated documents of like size bounds nothing, whatever the number
 of groups, so one tree over a corpus would compare all with all. Documents are
 therefore dealt to buckets first, without losing a pair: of two documents with
 a similarity of t, each one's n - ceil(t * n) + 1 rarest shingles hold a common
-one. Within a bucket
+one. An inverted index in ranges of shingle hashes tells how many documents
+hold a shingle; those of a single document are dropped there, and a document
+with fewer than t * n others is like no one. Within a bucket
 
 1. every member is compared with one leader, another one in each bucket, and
    the links found are joined to components;
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +42,14 @@ from docspark.llm.textgrid import slices
 
 SHINGLE = 5
 PERCENT = 80
-GROUPS = 32
+GROUPS = 256
 LEAF = 16
 #: Members of a bucket that one tree takes; larger buckets are dealt as pairs of stripes.
 TREE = 256
-#: Shingles kept as frequent, at most; and the least count of one.
+#: Entries of the inverted index that one range holds, about.
+RANGE = 1_000_000
+#: Shingles kept as frequent, at most, and the least count of one. They skip the
+#: inverted index, so no range holds the documents of a very common shingle.
 FREQUENT, LEAST = 50_000, 50
 #: Ids up to this many are broadcast (8 bytes each), beyond it shuffled.
 BROADCAST_IDS = 500_000
@@ -59,14 +65,25 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 POINTS = T.StructType(
     [
+        T.StructField("slice", T.LongType()),
+        T.StructField("place", T.IntegerType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("n", T.IntegerType()),
         T.StructField("cls", T.LongType()),
-        T.StructField("vec", T.ArrayType(T.IntegerType())),
+        T.StructField("vec", T.BinaryType()),
         T.StructField("key", T.LongType()),
         T.StructField("seen", T.LongType()),
     ]
 )
+ENTRIES = T.StructType(
+    [
+        T.StructField("part", T.LongType()),
+        T.StructField("slice", T.LongType()),
+        T.StructField("keys", T.BinaryType()),
+        T.StructField("at", T.BinaryType()),
+        T.StructField("held", T.BinaryType()),
+    ]
+)
 PREFIXES = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -132,64 +149,165 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[bytes]]]:
+    """Slices of (doc_id, text) with their numbers, doc_ids and texts.
+
+    A number is made of the partition and the place in it, so that another
+    read of the same files numbers the same documents alike.
+    """
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at, part in slices(_texts(batch.column(1))):
+            yield number, batch.column(0).slice(at, len(part)), part
+            number += 1
+
+
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size, number and group counts; per shingle that
     several documents of a slice hold, how many do."""
-    for batch in batches:
-        for at, part in slices(_texts(batch.column(1))):
-            sets, starts = shingle_sets(part)
-            n = np.diff(starts)
-            of = np.repeat(np.arange(len(part)), n)
-            vec = np.bincount(
-                of * GROUPS + (sets & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(part) * GROUPS
-            ).astype(np.int32)
-            key, seen = np.unique(sets, return_counts=True)
-            key, seen = key[seen > 1], seen[seen > 1]
-            docs, none = len(part), len(key)
-            lists = pa.ListArray.from_arrays(np.arange(0, (docs + 1) * GROUPS, GROUPS, np.int32), pa.array(vec))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0).slice(at, docs), pa.nulls(none, pa.int64())]),
-                    pa.concat_arrays([pa.array(n.astype(np.int32)), pa.nulls(none, pa.int32())]),
-                    pa.concat_arrays([pa.array(_classes(sets, starts).view(np.int64)), pa.nulls(none, pa.int64())]),
-                    pa.concat_arrays([lists, pa.nulls(none, lists.type)]),
-                    pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(key.view(np.int64))]),
-                    pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(seen.astype(np.int64))]),
-                ],
-                POINTS.fieldNames(),
-            )
+    for number, doc_ids, part in _slices(batches):
+        sets, starts = shingle_sets(part)
+        n = np.diff(starts)
+        of = np.repeat(np.arange(len(part)), n)
+        group = of * GROUPS + (sets & np.uint64(GROUPS - 1)).astype(np.int64)
+        vec = np.bincount(group, minlength=len(part) * GROUPS).reshape(len(part), GROUPS)
+        key, seen = np.unique(sets, return_counts=True)
+        key, seen = key[seen > 1], seen[seen > 1]
+        docs, none = len(part), len(key)
+        vecs = pa.array([x.astype(np.uint16 if x.max() < 2**16 else np.uint32).tobytes() for x in vec], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(docs + none, number)),
+                pa.concat_arrays([pa.array(np.arange(docs, dtype=np.int32)), pa.nulls(none, pa.int32())]),
+                pa.concat_arrays([doc_ids, pa.nulls(none, pa.int64())]),
+                pa.concat_arrays([pa.array(n.astype(np.int32)), pa.nulls(none, pa.int32())]),
+                pa.concat_arrays([pa.array(_classes(sets, starts).view(np.int64)), pa.nulls(none, pa.int64())]),
+                pa.concat_arrays([vecs, pa.nulls(none, pa.binary())]),
+                pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(key.view(np.int64))]),
+                pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(seen.astype(np.int64))]),
+            ],
+            POINTS.fieldNames(),
+        )
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, first bytes first: the last ones are mostly zero."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _prefixes(docs: DataFrame, keys: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """(key, id): the rarest shingles of each document, by its class.
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-    The order is the same for all documents: by how often a frequent shingle
-    was seen, the others before them, then by value.
+
+def _entries(docs: DataFrame, keys: np.ndarray, seen: np.ndarray, bits: int) -> DataFrame:
+    """The inverted index, dealt to 2^bits ranges of hashes.
+
+    A row holds the shingles of one slice in one range: the next 32 bits of
+    each hash, as steps, and the document's place in the slice. A shorter hash
+    may put two shingles under one key; that adds a bucket, never a link.
+    Frequent shingles come in rows of their own with their counts.
     """
     frequent = docs.sparkSession.sparkContext.broadcast((keys, seen))  # FREQUENT at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = frequent.value
-        for batch in batches:
-            for _, part in slices(_texts(batch.column(0))):
-                sets, starts = shingle_sets(part)
-                n = np.diff(starts)
-                of = np.repeat(np.arange(len(part)), n)
-                weight = np.zeros(len(sets), np.int64)
-                if len(known):
-                    i = np.minimum(np.searchsorted(known, sets), len(known) - 1)
-                    weight = np.where(known[i] == sets, count[i], 0)
-                order = np.lexsort((sets, weight, of))
-                length = n - (PERCENT * n + 99) // 100 + 1
-                taken = np.arange(len(sets)) - starts[of] < length[of]
-                cls = _classes(sets, starts).view(np.int64)[of]
-                # 40 bits of a shingle tell buckets apart; a clash adds a bucket, not a link.
-                key = (sets[order] >> np.uint64(24)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[taken]), pa.array(cls[taken])], PREFIXES.fieldNames()
-                )
-
-    return docs.select("text").mapInArrow(emit, PREFIXES)
+        for number, _, part in _slices(batches):
+            sets, starts = shingle_sets(part)
+            at = np.repeat(np.arange(len(part)), np.diff(starts)).astype(np.uint16)
+            order = np.argsort(sets, kind="stable")
+            key, at = sets[order] >> np.uint64(32 - bits), at[order]
+            parts, rows = [], []
+            often = np.zeros(len(key), bool)
+            if len(known):
+                i = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                often = known[i] == key
+                if often.any():
+                    held = (count[i[often]] + (1 << 40)).astype(np.int64)
+                    parts.append((1 << bits) + number % (1 << bits))
+                    rows.append((key[often].tobytes(), _planes(at[often]), held.tobytes()))
+            key, at = key[~often], at[~often]
+            of = (key >> np.uint64(32)).astype(np.int64)
+            low = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(of)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if b > a:
+                    parts.append(of[a])
+                    rows.append((_planes(np.diff(low[a:b], prepend=0).astype(np.uint32)), _planes(at[a:b]), None))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(parts, pa.int64()),
+                    pa.array(np.full(len(parts), number)),
+                    *(pa.array(c, pa.binary()) for c in columns),
+                ],
+                ENTRIES.fieldNames(),
+            )
+
+    return docs.mapInArrow(emit, ENTRIES)
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one range, the entries whose shingle several documents hold."""
+    part = table["part"][0].as_py()
+    if table["held"][0].is_valid:
+        return table
+    raw = table["keys"].to_pylist()
+    steps = [_unplaned(x, np.uint32).astype(np.int64).cumsum() for x in raw]
+    key = np.concatenate(steps)
+    _, where, count = np.unique(key, return_inverse=True, return_counts=True)
+    held = count[where]
+    key += part << 32
+    ends = np.cumsum([len(x) for x in steps])
+    out: dict[str, list] = {"slice": [], "keys": [], "at": [], "held": []}
+    for number, at, a, b in zip(
+        table["slice"].to_pylist(), table["at"].to_pylist(), [0, *ends[:-1]], ends, strict=True
+    ):
+        some = held[a:b] > 1
+        if some.any():
+            out["slice"].append(number)
+            out["keys"].append(key[a:b][some].tobytes())
+            out["at"].append(_planes(_unplaned(at, np.uint16)[some]))
+            out["held"].append(held[a:b][some].astype(np.int64).tobytes())
+    return pa.table(
+        [
+            pa.array([part] * len(out["slice"]), pa.int64()),
+            pa.array(out["slice"], pa.int64()),
+            *(pa.array(out[c], pa.binary()) for c in ("keys", "at", "held")),
+        ],
+        ENTRIES.fieldNames(),
+    )
+
+
+def _rarest(entries: pa.Table, points: pa.Table) -> pa.Table:
+    """(key, id) of one slice: the rarest shingles of documents with few of
+    their own, by how many documents hold one and then by its key."""
+    n = points["n"].to_numpy()[np.argsort(points["place"].to_numpy())]
+    cls = points["cls"].to_numpy()[np.argsort(points["place"].to_numpy())]
+    join = lambda name, kind: np.frombuffer(b"".join(entries[name].to_pylist()), kind)
+    key, held = join("keys", np.int64), join("held", np.int64)
+    at = np.concatenate([_unplaned(x, np.uint16) for x in entries["at"].to_pylist()] + [np.zeros(0, np.uint16)])
+    at = at.astype(np.int64)
+    least = (PERCENT * n + 99) // 100
+    shared = np.bincount(at, minlength=len(n))
+    order = np.lexsort((key, held, at))
+    key, at = key[order], at[order]
+    rank = np.arange(len(at)) - (np.cumsum(shared) - shared)[at]
+    taken = rank < (shared - least + 1)[at]
+    return pa.table([pa.array(key[taken]), pa.array(cls[at[taken]])], PREFIXES.fieldNames())
+
+
+def _prefixes(docs: DataFrame, points: DataFrame, keys: np.ndarray, seen: np.ndarray, total: int) -> DataFrame:
+    """(key, id): the shingles of the prefixes that other documents hold too."""
+    bits = max(8, (total // RANGE).bit_length())
+    order = np.argsort(keys)
+    short, first = np.unique(keys[order] >> np.uint64(32 - bits), return_index=True)
+    entries = _entries(docs, short, seen[order][first], bits)
+    shared = entries.groupBy("part").applyInArrow(_shared, ENTRIES)
+    return (
+        shared.groupBy("slice").cogroup(points.select("slice", "place", "n", "cls").groupBy("slice"))
+        .applyInArrow(_rarest, PREFIXES)
+    )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +370,15 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return np.sort(out, axis=1)
 
+    told: set[tuple[int, int]] = set()
+
     def out(found: np.ndarray) -> pa.RecordBatch:
+        """The pairs that this task has not told lately; `distinct` does the rest."""
+        if len(told) > 200_000:
+            told.clear()
+        new = [p for p in map(tuple, found.tolist()) if p not in told]
+        told.update(new)
+        found = np.array(new, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], PAIRS.fieldNames())
 
     open_: list[tuple] = []
@@ -260,7 +386,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        vec = batch.column(5).flatten().to_numpy().reshape(-1, GROUPS)
+        raw = batch.column(5).to_pylist()
+        vec = np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * GROUPS else np.uint32).astype(np.int32) for x in raw])
         cuts = np.flatnonzero(np.diff(cols[0])) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if open_ and open_[-1][0][0] != cols[0][a]:
@@ -271,15 +398,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pairs(open_))
 
 
-def _bound(a: str, b: str) -> Column:
-    """Do the sizes and the group counts of a pair allow the similarity?"""
-    na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
-    most = F.aggregate(
-        F.zip_with(F.col(f"{a}.vec"), F.col(f"{b}.vec"), lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x
-    )
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (
-        (100 + PERCENT) * most >= PERCENT * (na + nb)
-    )
+def _alike(a: Column, b: Column) -> Column:
+    """Do the sizes of a pair allow the similarity?"""
+    return 100 * F.least(a, b).cast("long") >= PERCENT * F.greatest(a, b).cast("long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -343,7 +464,6 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # At most total / floor shingles can be seen so often: FREQUENT of them.
     often = seen.where(F.col("seen") >= total / FREQUENT).toArrow()
     keys = often["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
     rows = points.where("doc_id IS NOT NULL AND n > 0")
     classes = stored(
         rows.groupBy(F.col("cls").alias("id")).agg(
@@ -351,7 +471,9 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         ),
         "classes",
     )
-    prefixes = stored(_prefixes(docs, keys[order], often["seen"].to_numpy()[order]), "prefixes")
+    every = points.where("key IS NULL")
+    shingles = every.agg(F.sum("n")).first()[0] or 0
+    prefixes = stored(_prefixes(docs, every, keys, often["seen"].to_numpy(), shingles), "prefixes")
     # The mask orders the classes of each bucket in another way, so leaders differ.
     mask = F.xxhash64("key")
     buckets = (
@@ -364,14 +486,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     held = shared.select("id").distinct().join(classes.select("id", "doc_id"), "id")
     wanted = _broadcast_if_small(stored(held.select("doc_id"), "wanted"), BROADCAST_IDS)
     sets = stored(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, SETS), "sets")
-    points_of = F.struct("n", "vec")
     near = (
         shared.where("id <> leader")
         .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
         .distinct()
-        .join(classes.select(F.col("id").alias("a"), points_of.alias("pa")), "a")
-        .join(classes.select(F.col("id").alias("b"), points_of.alias("pb")), "b")
-        .where(_bound("pa", "pb"))
+        .join(classes.select(F.col("id").alias("a"), F.col("n").alias("_na")), "a")
+        .join(classes.select(F.col("id").alias("b"), F.col("n").alias("_nb")), "b")
+        .where(_alike(F.col("_na"), F.col("_nb")))
         .select("a", "b")
     )
     stars = stored(_verified(near, sets), "stars")
