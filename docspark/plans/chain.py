@@ -42,7 +42,7 @@ from docspark.schema import (
 )
 from docspark.sources.dictionary import Dictionary
 from docspark.sources.pages import decode_pages, failed_pages, good_pages
-from docspark.sources.tables import claim_number, read_or_empty
+from docspark.sources.tables import claim_number, kept_part, read_or_empty
 
 PAGE = ["job_id", "page"]
 NO_PREVIOUS = "no result of the stage before"
@@ -212,11 +212,13 @@ def run_stage(
     """
     mine = (F.col("stage") == stage.name) & (F.col("version") == stage.version)
     one_each = work.filter(mine).dropDuplicates([*PAGE, "stage", "version"])
-    _execute(store, stage, one_each, now, previous, header_stage, days)
+    write = store.claim()
+    _execute(store, stage, one_each, now, write, previous, header_stage, days)
     finished = succeeded_keys(store.state(stage.name, stage.version), now)
     routed = route_next(one_each.join(finished.select(*PAGE, "result_uri"), PAGE), fallback)
     others = work.filter(~mine).select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE.fields])
-    return routed.unionByName(others)
+    # Stored, as plans that read one folder at two times may share one scan.
+    return kept_part(routed.unionByName(others), f"{store.root}/routed", "run", write)
 
 
 def _with_previous(work: DataFrame, previous: tuple[str, str] | None) -> DataFrame:
@@ -254,12 +256,12 @@ def _execute(
     stage: Stage,
     work: DataFrame,
     now: Column,
+    write: int,
     previous: tuple[str, str] | None,
     header_stage: tuple[str, str],
     days: int,
 ) -> None:
     name, version = stage.name, stage.version
-    write = store.claim()
 
     def kept(table: str) -> DataFrame:
         return store.stored(table, name, version).filter(F.col("run") == write).drop("run")

@@ -383,6 +383,18 @@ ORACLE: dict[str, str] = {
     "unexpired_state": sql(
         V_STATE, f"SELECT idempotency_key, status, expires_at FROM v_latest WHERE {ALIVE}"
     ),
+    "stage_log_after_purge": sql(
+        V_STATE, f"SELECT idempotency_key, seq, status, expires_at FROM v_state WHERE {ALIVE}"
+    ),
+    "failed_without_previous": sql(
+        V_TX,
+        """SELECT DISTINCT job_id, page, CASE WHEN page % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS status,
+    CASE WHEN page % 3 = 0 THEN 'no result of the stage before' ELSE '' END AS error FROM v_tx""",
+    ),
+    "stage_run_twice": sql(
+        V_TX, V_ALIAS, enriched("v_tx", "v_rich"),
+        "SELECT job_id, page, pos, merchant, amount, foreign_currency, category, merchant_normalized, country FROM v_rich",
+    ),
     "retention_stamps": f"""SELECT event_id AS seq, {epoch('ts')} + {KEPT} AS kept_until, 0::BIGINT AS kept_forever
   FROM events""",
     "pending_work": sql(

@@ -32,7 +32,17 @@ from docspark.operators.transactions import (
     page_issuer,
 )
 from docspark.plans import adapters as view
-from docspark.schema import CHAIN, CHAIN_REGISTRY, DEFAULT_CHAIN_ID, ENRICH_STAGE, RETENTION_DAYS
+from docspark.plans.chain import StageStore, enrich_stage, run_stage
+from docspark.schema import (
+    CHAIN,
+    CHAIN_REGISTRY,
+    DEFAULT_CHAIN_ID,
+    ENRICH_STAGE,
+    EXTRACT_STAGE,
+    MESSAGE,
+    RETENTION_DAYS,
+    TRANSACTION_ROW,
+)
 from docspark.session import configure, work_dir
 from docspark.sources.dictionary import seed_dictionary
 from docspark.sources.pages import decode_pages, failed_pages, good_pages
@@ -148,6 +158,57 @@ def unexpired_state(spark, sf_dir):
     )
 
 
+@query
+def stage_log_after_purge(spark, sf_dir):
+    """The log purged of what has lapsed, and written to once more."""
+    root = work_dir(spark, "purge")
+    rows = view.state_log(spark, sf_dir)
+    state.append_state(rows, f"{root}/log", 0)
+    state.purge_expired(spark, f"{root}/log", f"{root}/kept", view.now())
+    state.append_state(rows.limit(0), f"{root}/kept", 0)
+    return state.read_state_log(spark, f"{root}/kept").select(
+        "idempotency_key", "seq", "status", "expires_at"
+    )
+
+
+def _enriched_twice(spark: SparkSession, sf_dir: str, name: str, had_result) -> StageStore:
+    """The enrich stage over stored rows, twice under one run number."""
+    store = StageStore(spark, work_dir(spark, name), "work")
+    tx = view.transactions(spark, sf_dir).select(*TRANSACTION_ROW.fieldNames())
+    pages = tx.select("job_id", "page").distinct()
+    write = store.claim()
+    store.save("transactions", tx, *EXTRACT_STAGE, write)
+    store.save("done", pages.filter(had_result), *EXTRACT_STAGE, write)
+    values = {
+        "job_id": F.col("job_id"),
+        "page": F.col("page"),
+        "stage": F.lit(ENRICH_STAGE[0]),
+        "version": F.lit(ENRICH_STAGE[1]),
+        "chain": F.array().cast(CHAIN),
+        "chain_idx": F.lit(0),
+        "metadata": F.create_map(),
+    }
+    work = pages.select(*[values.get(f.name, F.lit("")).cast(f.dataType).alias(f.name) for f in MESSAGE.fields])
+    stage = enrich_stage(seed_dictionary(spark))
+    for _ in range(2):
+        run_stage(store, stage, work, view.now(), 0, previous=EXTRACT_STAGE)
+    return store
+
+
+@query
+def stage_run_twice(spark, sf_dir):
+    store = _enriched_twice(spark, sf_dir, "run-twice", F.lit(True))
+    return store.load("transactions", *ENRICH_STAGE).select(
+        "job_id", "page", "pos", "merchant", "amount", "foreign_currency", "category", "merchant_normalized", "country"
+    )
+
+
+@query
+def failed_without_previous(spark, sf_dir):
+    store = _enriched_twice(spark, sf_dir, "no-previous", F.col("page") % 3 != 0)
+    return store.state(*ENRICH_STAGE).select("job_id", "page", "status", "error")
+
+
 @query
 def retention_stamps(spark, sf_dir):
     rows = view.state_log(spark, sf_dir)
