@@ -91,8 +91,8 @@ def archive_targets(
     year, month = year_month(F.col("statement_date"), now)
     error = (
         F.when(F.col("tenant_id") == "", "empty tenant_id")
-        .when(~tenant_safe(F.col("tenant_id")), "tenant_id contains unsafe characters")
-        .when(F.col("result_uri") == "", "job has no merged result_uri")
+        .when(~tenant_safe(F.col("tenant_id")), "tenant_id may hold letters, digits, - and _ only")
+        .when(F.col("result_uri") == "", "nothing was merged for the job")
     )
     placed = (
         joined.withColumn("tenant", F.col("tenant_id"))

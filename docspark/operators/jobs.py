@@ -102,7 +102,7 @@ def validate_jobs(jobs: DataFrame) -> DataFrame:
         (F.coalesce("tenant_id", F.lit("")) == "", "empty tenant_id"),
         (
             (F.coalesce("tenant_id", F.lit("")) != "") & ~tenant_safe(F.col("tenant_id")),
-            "tenant_id contains unsafe characters",
+            "tenant_id may hold letters, digits, - and _ only",
         ),
         (F.coalesce("input_uri", F.lit("")) == "", "empty input_uri"),
         (F.col("page_count") < 0, "negative page_count"),

@@ -62,7 +62,7 @@ def merge_verdicts(jobs: DataFrame, checked: DataFrame) -> DataFrame:
             short,
             F.concat(
                 F.lit("only "), records.cast("string"), F.lit(" of "),
-                F.col("page_count").cast("string"), F.lit(" pages have a stage record"),
+                F.col("page_count").cast("string"), F.lit(" pages were recorded by the last stage"),
             ),
         )
         .otherwise(F.col("first_error"))

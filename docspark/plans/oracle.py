@@ -212,7 +212,7 @@ V_RECORD = f"""v_record AS (
 v_verdict AS (
   SELECT job_id, CAST(count(*) AS INTEGER) AS n,
     CASE WHEN any_value(conv_id) % 10 = 0
-      THEN 'only ' || count(*) || ' of ' || (count(*) + 1) || ' pages have a stage record'
+      THEN 'only ' || count(*) || ' of ' || (count(*) + 1) || ' pages were recorded by the last stage'
       ELSE arg_min(page_error, page) FILTER (page_error IS NOT NULL) END AS error
   FROM v_record GROUP BY job_id)"""
 
@@ -276,8 +276,8 @@ v_target AS (
       month || '/original.pdf' END AS raw_uri,
     's3://vault/manifests/jobs/' || job_id || '.json' AS manifest_uri,
     CASE WHEN tenant = '' THEN 'empty tenant_id'
-      WHEN NOT regexp_full_match(tenant, '[a-zA-Z0-9_-]+') THEN 'tenant_id contains unsafe characters'
-      WHEN result_uri = '' THEN 'job has no merged result_uri' END AS target_error
+      WHEN NOT regexp_full_match(tenant, '[a-zA-Z0-9_-]+') THEN 'tenant_id may hold letters, digits, - and _ only'
+      WHEN result_uri = '' THEN 'nothing was merged for the job' END AS target_error
   FROM v_slugged)"""
 
 V_ASKED = """v_asked AS (
@@ -486,7 +486,7 @@ ORACLE: dict[str, str] = {
         V_JOB,
         """SELECT job_id, concat_ws('; ',
     CASE WHEN tenant_id = '' THEN 'empty tenant_id' END,
-    CASE WHEN tenant_id IN ('bad tenant', 'a=b') THEN 'tenant_id contains unsafe characters' END,
+    CASE WHEN tenant_id IN ('bad tenant', 'a=b') THEN 'tenant_id may hold letters, digits, - and _ only' END,
     CASE WHEN input_uri = '' THEN 'empty input_uri' END,
     CASE WHEN NOT short_chain THEN 'empty chain' END) AS errors
   FROM v_job""",

@@ -42,22 +42,22 @@ def one(spark, fields, **job):
     return targets(spark, [{"job_id": name, "page": 1, "fields": fields}], job).first()
 
 
-SMBC = {"issuer_name": "SMBC", "card_name": "Platinum Preferred", "statement_date": "2026-06-10"}
+KAWA = {"issuer_name": "Kawa Bank", "card_name": "Travel Plus", "statement_date": "2026-06-28"}
 
 
 def test_target_keys(spark):
-    t = one(spark, SMBC)
-    assert t.archive_uri == "s3://vault/results/transactions/tenant=acme/year=2026/month=06/smbc-platinum-preferred.json"
-    assert t.raw_uri == "s3://vault/raw/card-statements/smbc/2026/06/original.pdf"
+    t = one(spark, KAWA)
+    assert t.archive_uri == "s3://vault/results/transactions/tenant=acme/year=2026/month=06/kawa-bank-travel-plus.json"
+    assert t.raw_uri == "s3://vault/raw/card-statements/kawa-bank/2026/06/original.pdf"
     assert t.manifest_uri == "s3://vault/manifests/jobs/job_1.json" and t.error is None
 
 
 @pytest.mark.parametrize(
     "fields,job,want",
     [
-        ({"issuer_name": "SMBC"}, {}, ("2026", "07", "smbc", "smbc")),
-        ({}, {"job_id": "job_1782619002_20a307"}, ("2026", "07", "unknown", "19002_20a307")),
-        ({"statement_date": "2026年6月10日", "card": "Gold"}, {}, ("2026", "06", "unknown", "gold")),
+        ({"issuer_name": "Hill"}, {}, ("2026", "07", "hill", "hill")),
+        ({}, {"job_id": "upload-2031-000123456789"}, ("2026", "07", "unknown", "000123456789")),
+        ({"statement_date": "2026年6月3日", "card": "Gold"}, {}, ("2026", "06", "unknown", "gold")),
         ({"issuer_name": 5, "issuer": "B"}, {}, ("2026", "07", "b", "b")),
     ],
 )
@@ -67,19 +67,19 @@ def test_target_fallbacks(spark, fields, job, want):
 
 
 def test_target_without_input_has_no_raw_copy(spark):
-    assert one(spark, SMBC, input_uri="").raw_uri == ""
+    assert one(spark, KAWA, input_uri="").raw_uri == ""
 
 
 @pytest.mark.parametrize(
     "job,error",
     [
         ({"tenant_id": ""}, "empty tenant_id"),
-        ({"tenant_id": "a/b"}, "tenant_id contains unsafe characters"),
-        ({"result_uri": ""}, "job has no merged result_uri"),
+        ({"tenant_id": "a/b"}, "tenant_id may hold letters, digits, - and _ only"),
+        ({"result_uri": ""}, "nothing was merged for the job"),
     ],
 )
 def test_target_errors(spark, job, error):
-    assert one(spark, SMBC, **job).error == error
+    assert one(spark, KAWA, **job).error == error
 
 
 def test_first_value_that_is_not_empty_wins(spark):
@@ -95,19 +95,19 @@ def test_first_value_that_is_not_empty_wins(spark):
 
 
 def test_manifest(spark):
-    m = archive.build_manifests(targets(spark, [{"page": 1, "fields": SMBC}]), now()).first()
+    m = archive.build_manifests(targets(spark, [{"page": 1, "fields": KAWA}]), now()).first()
     assert m.source.asDict() == {
-        "kind": "card_statement", "issuer": "SMBC", "card_name": "Platinum Preferred",
-        "raw_uri": "s3://vault/raw/card-statements/smbc/2026/06/original.pdf",
+        "kind": "card_statement", "issuer": "Kawa Bank", "card_name": "Travel Plus",
+        "raw_uri": "s3://vault/raw/card-statements/kawa-bank/2026/06/original.pdf",
     }
     assert m.chain.id == DEFAULT_CHAIN_ID and m.chain.stages == [s[0] for s in CHAIN_REGISTRY[DEFAULT_CHAIN_ID]]
     assert m.archived_at == "2026-07-02T00:00:00Z"
 
 
 def test_second_run_finds_the_manifest(spark):
-    first = targets(spark, [{"page": 1, "fields": SMBC}])
+    first = targets(spark, [{"page": 1, "fields": KAWA}])
     manifests = archive.build_manifests(first, now())
-    later = targets(spark, [{"page": 1, "fields": {**SMBC, "card_name": "Other"}}])
+    later = targets(spark, [{"page": 1, "fields": {**KAWA, "card_name": "Other"}}])
     assert archive.pending_archives(later, manifests).count() == 0
     seen = archive.archived_view(later, manifests).first()
     assert not seen.archived and seen.archive_uri == first.first().archive_uri
@@ -116,7 +116,7 @@ def test_second_run_finds_the_manifest(spark):
 def test_shared_key_goes_to_the_last_write(spark):
     both = targets(
         spark,
-        [{"job_id": "a", "page": 1, "fields": SMBC}, {"job_id": "b", "page": 1, "fields": SMBC}],
+        [{"job_id": "a", "page": 1, "fields": KAWA}, {"job_id": "b", "page": 1, "fields": KAWA}],
         {"job_id": "a"}, {"job_id": "b"},
     ).withColumn("at", F.when(F.col("job_id") == "a", 2).otherwise(1))
     won = archive.archive_winners(both, "at").first()
@@ -128,7 +128,7 @@ def test_stored_archive(spark, tmp_path):
     pages = make_pages(
         spark,
         {"page": 2, "transactions": [{"merchant": "c"}]},
-        {"page": 1, "fields": SMBC, "transactions": [{"merchant": "a"}, {"merchant": "b"}]},
+        {"page": 1, "fields": KAWA, "transactions": [{"merchant": "a"}, {"merchant": "b"}]},
     )
     plan = archive.archive_targets(archive.document_headers(pages), make_jobs(spark, {}), now(), "vault")
     for _ in range(2):
@@ -138,7 +138,7 @@ def test_stored_archive(spark, tmp_path):
         archive.write_manifests(archive.build_manifests(plan, now()), roots, 1)
     rows = archive.read_current_archive(spark, roots, "transactions").orderBy("page", "pos").collect()
     assert [(r.merchant, r.tenant, int(r.year), int(r.month), r.card_slug) for r in rows] == [
-        (m, "acme", 2026, 6, "smbc-platinum-preferred") for m in "abc"
+        (m, "acme", 2026, 6, "kawa-bank-travel-plus") for m in "abc"
     ]
     assert archive.read_current_archive(spark, roots, "fields").count() == 3
     assert [bytes(r.content) for r in spark.read.parquet(roots.raw).collect()] == [b"pdf"]

@@ -85,7 +85,7 @@ def test_country_from_currency(spark):
 
 def test_slugs(spark):
     cases = {
-        "Platinum Preferred": "platinum-preferred", "  SMBC--Card_1\t2 ": "smbc-card-1-2",
+        "Travel Plus": "travel-plus", "  KAWA--Card_1\t2 ": "kawa-card-1-2",
         "三井住友": "", "-a-": "a", "a é b": "a-b", "A&B": "ab",
     }
     assert evaluate(spark, list(cases), fn.slugify(x())) == list(cases.values())
@@ -105,16 +105,16 @@ def test_card_slug(spark):
             slug(*c).alias(f"c{i}")
             for i, c in enumerate(
                 [
-                    ("SMBC", "Platinum Preferred", "j"),
-                    ("SMBC", "", "j"),
+                    ("KAWA", "Travel Plus", "j"),
+                    ("KAWA", "", "j"),
                     ("", "Gold", "j"),
-                    ("Unknown", "", "job_1782619002_20a307"),
+                    ("Unknown", "", "upload-2031-000123456789"),
                     ("", "", "short"),
                 ]
             )
         ]
     )
-    assert tuple(rows.first()) == ("smbc-platinum-preferred", "smbc", "gold", "19002_20a307", "short")
+    assert tuple(rows.first()) == ("kawa-travel-plus", "kawa", "gold", "000123456789", "short")
 
 
 def test_year_month(spark):

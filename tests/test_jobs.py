@@ -192,7 +192,7 @@ def test_merge_keeps_bodies_and_order(spark, tmp_path):
 @pytest.mark.parametrize(
     "count,records,bodies,error",
     [
-        (3, [("j", 1, "succeeded", "u")], [("j", 1, "x")], "only 1 of 3 pages have a stage record"),
+        (3, [("j", 1, "succeeded", "u")], [("j", 1, "x")], "only 1 of 3 pages were recorded by the last stage"),
         (1, [("j", 1, "running", "u")], [("j", 1, "x")], "page 1 has status running"),
         (1, [("j", 1, "succeeded", "")], [("j", 1, "x")], "page 1 has no result_uri"),
         (2, [("j", 2, "failed", "u"), ("j", 1, "succeeded", "u")], [("j", 2, "x")], "page 1 has no stored result"),

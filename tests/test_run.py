@@ -17,10 +17,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PAGE = {
     "text": "statement",
     "document_type": "credit_card_statement",
-    "fields": {"issuer_name": "SMBC", "card_name": "Gold", "statement_date": "2026-06-10"},
+    "fields": {"issuer_name": "KAWA", "card_name": "Gold", "statement_date": "2026-06-10"},
     "transactions": [
         {"date": "2026/06/01", "merchant": "STARBUCKS", "amount": "480"},
-        {"date": "2026/06/02", "merchant": "SMBC", "amount": "900"},
+        {"date": "2026/06/02", "merchant": "KAWA", "amount": "900"},
         {"date": "2026/06/03", "merchant": "x", "amount": "0円"},
     ],
 }
@@ -111,7 +111,7 @@ def test_whole_run(spark, tmp_path):
 
     manifests = {r.job_id: r for r in spark.read.parquet(space.archive.manifests).collect()}
     assert set(manifests) == {"a", "b"}
-    assert manifests["a"].results.transactions.endswith("tenant=acme/year=2026/month=06/smbc-gold.json")
+    assert manifests["a"].results.transactions.endswith("tenant=acme/year=2026/month=06/kawa-gold.json")
     # Both jobs share one archive key; the current document is one of them.
     current = archive.read_current_archive(spark, space.archive, "transactions")
     assert {r.job_id for r in current.collect()} == {"b"}
@@ -150,7 +150,7 @@ def test_stage_is_not_run_again_for_pages_that_succeeded(spark, tmp_path):
     second = run_stage(store, fixed, work, now(), 2)
     assert sorted(r.page for r in second.collect()) == [1, 2]
     assert sorted((r.page, r.merchant) for r in store.load("transactions", "gemini", "v1").collect()) == [
-        (p, m) for p in (1, 2) for m in ("SMBC", "STARBUCKS", "x")
+        (p, m) for p in (1, 2) for m in ("KAWA", "STARBUCKS", "x")
     ]
     # Beyond the retention window the page is new work.
     late = run_stage(store, extract_stage(documents(spark), counting), work, now("2026-09-01"), 3)
