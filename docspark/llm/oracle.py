@@ -2,4 +2,48 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+SPACED = r"'[^\x20\x09-\x0D]+'"
+
+DECONTAMINATION = f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS k
+  FROM (SELECT item_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM i)),
+grams AS (SELECT doc_id, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM i))),
+met AS (SELECT doc_id, s, k, item_id FROM grams JOIN windows USING (k, g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, {SPACED}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)"""
+
+TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
+FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+QUALIFY rank <= 20"""
+
+ORACLE: dict[str, str] = {
+    "op1_decontamination": DECONTAMINATION,
+    "op3_ngram_jaccard_join": JACCARD,
+    "op6_exact_top_k": TOP_K,
+}
