@@ -422,19 +422,30 @@ def _residual(members: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     """Pairs left by the R-trees of buckets that hold several components."""
     whole = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     whole = stored(whole, "members")
+    # Stripes are a power of two, so that buckets of much the same members are
+    # cut alike, and go where their first member sends them: a task then meets
+    # a pair again rather than another task, and tells it once.
+    stripes = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_size") / TREE)))).cast("int")
     open_ = (
         whole.groupBy("key")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_size"))
+        .agg(
+            F.min("component").alias("_low"),
+            F.max("component").alias("_high"),
+            F.min("id").alias("_first"),
+            F.count("*").alias("_size"),
+        )
         .where("_low <> _high")
-        .select("key", F.ceil(F.col("_size") / TREE).cast("int").alias("_stripes"))
+        .select("key", "_first", stripes.alias("_stripes"))
     )
     stripe = F.pmod(F.xxhash64("id"), F.col("_stripes")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
     dealt = (
         whole.join(open_, "key")
         .withColumn("_own", stripe)
         .withColumn("_other", other)
-        .withColumn("bucket", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")))
+        .withColumn("bucket", F.xxhash64("key", low, high))
+        .withColumn("route", F.xxhash64("_first", low, high))
         # 0 in a bucket of one stripe, else 1 and 2 for the stripe's rank
         .withColumn(
             "side",
@@ -442,9 +453,10 @@ def _residual(members: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
         )
     )
     rows = dealt.join(classes.select("id", "n", "vec"), "id").select(
-        "bucket", F.col("side").cast("long"), "id", "component", F.col("n").cast("long"), "vec"
+        "route", "bucket", F.col("side").cast("long"), "id", "component", F.col("n").cast("long"), "vec"
     )
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search, PAIRS).distinct()
+    sent = rows.repartition("route").sortWithinPartitions("bucket").drop("route")
+    return sent.mapInArrow(_search, PAIRS).distinct()
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
