@@ -611,7 +611,7 @@ ORACLE: dict[str, str] = {
     "refused_results": sql(
         V_CJOB,
         """SELECT job_id, CASE WHEN status = 'failed' THEN 'job_failed' ELSE 'job_not_ready' END AS kind,
-    CASE WHEN status = 'failed' THEN error ELSE 'job is ' || status || '; result not available yet' END AS message
+    CASE WHEN status = 'failed' THEN error ELSE 'no result while the job is ' || status END AS message
   FROM v_cjob WHERE status <> 'succeeded' OR result_uri = ''""",
     ),
     "extract_pages": f"""SELECT 'doc_' || doc_id AS job_id, 1 AS page,
