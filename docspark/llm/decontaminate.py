@@ -91,13 +91,18 @@ def _agreeing(theirs: Callable[[int], Column], item_side: Column, reach: int) ->
     return out
 
 
+def _of_row(hash_: Column) -> Column:
+    """Does a hit (`_hit`, `_hash`) belong to the row? NULL ids are told apart by their texts."""
+    return F.col("doc_id").eqNullSafe(F.col("_hit")) & (hash_ == F.col("_hash"))
+
+
 def stretches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, first, last): document words that an item's windows hit."""
+    """(doc_id, text_hash, item_id, first, last): document words that an item's windows hit."""
     found = stored(anchors(benchmark, docs, window), "anchors")
     reach = window - 1
     # The outer form: the inner one filters on the size and splits the text once more.
-    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens")).select(
-        "doc_id", "tokens", F.posexplode_outer("tokens").alias("pos", "word")
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("tokens")).select(
+        "doc_id", "text_hash", "tokens", F.posexplode_outer("tokens").alias("pos", "word")
     )
     pos = F.col("pos")
     if found.count() <= BROADCAST_ANCHORS:
@@ -110,6 +115,7 @@ def stretches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         first = F.greatest(F.lit(0), pos - reach)
         near = tokens.select(
             "doc_id",
+            "text_hash",
             "pos",
             "word",
             F.reverse(F.slice("tokens", first + 1, pos - first)).alias("near_before"),
@@ -121,7 +127,7 @@ def stretches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     left = _agreeing(before, F.col("before"), reach)
     right = _agreeing(after, F.col("after"), reach)
     return met.where(left + right + 1 >= F.col("need")).select(
-        "doc_id", "item_id", (pos - left).alias("first"), (pos + right).alias("last")
+        "doc_id", "text_hash", "item_id", (pos - left).alias("first"), (pos + right).alias("last")
     )
 
 
@@ -142,20 +148,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """One row per document: its words, hit words and items found in it.
 
     NULL and empty texts have no words; items without words are found
-    nowhere; repeated items count once. Documents that repeat a doc_id are
-    judged each for itself only if their texts differ in no hit: doc_id is
-    taken as the key. Empty tables give no rows, or no hits. Of either table
-    only the id and the text are read.
+    nowhere; repeated items count once. Rows that share a doc_id, or have none,
+    are judged each by its own text, told apart by a 64-bit hash. Empty tables
+    give no rows, or no hits. Of either table only the id and the text are read.
     """
     hits = (
         stretches(docs, benchmark, window)
-        .groupBy("doc_id")
+        .groupBy("doc_id", "text_hash")
         .agg(
             F.collect_set(F.struct("first", "last")).alias("spans"),
             F.collect_set("item_id").alias("items"),
         )
         .select(
             F.col("doc_id").alias("_hit"),
+            F.col("text_hash").alias("_hash"),
             covered(F.col("spans")).alias("n_hit"),
             F.size("items").cast("long").alias("n_items"),
             F.array_join(F.array_sort("items"), ",").alias("items"),
@@ -164,8 +170,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     n_words = F.size(words(F.col("text"))).cast("long").alias("n_words")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
-        docs.select("doc_id", n_words)
-        .join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left")
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words)
+        .join(hits, _of_row(F.col("text_hash")), "left")
         .select(
             "doc_id",
             "n_words",
@@ -178,6 +184,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that no benchmark window occurs in, columns unchanged."""
-    hit = stretches(docs, benchmark, window).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows that no benchmark window occurs in, columns unchanged."""
+    hits = stretches(docs, benchmark, window)
+    hit = hits.select(F.col("doc_id").alias("_hit"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(hit, _of_row(F.xxhash64("text")), "left_anti")

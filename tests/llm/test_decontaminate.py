@@ -56,6 +56,18 @@ def test_matches_brute_force(spark, docs, monkeypatch, limit):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r[-1]}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ANCHORS, 0])
+def test_rows_without_an_id_or_sharing_one_are_judged_alone(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ANCHORS", limit)
+    benchmark = spark.createDataFrame([(1, "a b c"), (2, "d e")], "item_id long, text string")
+    rows = [(None, "x a b c"), (None, "clean"), (None, None), (None, "x a b c"), (7, "d e"), (7, "a b c d e"), (7, "e d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(df, benchmark).collect())
+    assert got == [(0, 0, 0, 0), (0, 1, 0, 0), (0, 4, 3, 1), (0, 4, 3, 1), (7, 2, 0, 0), (7, 2, 2, 1), (7, 5, 5, 2)]
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in decontaminate.clean(df, benchmark).collect()))
+    assert kept == [(0, ""), (0, "clean"), (7, "e d")]
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = decontaminate.contamination(docs("a b"), none).collect()
