@@ -37,10 +37,14 @@ THRESHOLD = 0.9
 LEAST_LENGTH = 8
 
 PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)[ \t]*(?:=>|:=|[:=])[ \t]*"""
+    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)[ \t]*"""
+    # a declared type, as in `name: str =`, belongs to neither side
+    r"""(?::[ \t]*(?P<type>&?[A-Za-z_][A-Za-z0-9_.]*(?:[ \t]*[\[<][A-Za-z0-9_., \t|\[\]<>]*[\]>])?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*[?!]?)[ \t]*=(?![=>])|=>|:=|[:=])[ \t]*"""
     r"""(?:"(?P<double>[^"\n\\]*(?:\\.[^"\n\\]*)*)"|'(?P<single>[^'\n\\]*(?:\\.[^'\n\\]*)*)'|(?P<bare>[A-Za-z0-9_.+/=\-]+))"""
 )
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+# Names of a chain without blanks, up to its literal: `b=c=` in `a=b=c=x`.
+CHAIN = re.compile(r"(?:[A-Za-z_][A-Za-z0-9_.\-]*=)+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 
 
@@ -70,19 +74,43 @@ def pairs(text: str) -> list[Pair]:
     """Name-literal pairs in reading order, constants propagated.
 
     A bare identifier on the right takes the literal that it last held; it is
-    a literal of its own where it holds none.
+    a literal of its own where it holds none. One that is assigned to itself,
+    as in `a = b = "x"`, is no literal: all names of the chain hold what ends it.
     """
     held: dict[str, Pair] = {}
     out = []
-    for m in PAIR.finditer(text):
-        name = m["name"]
+    at, chain = 0, []
+    while m := PAIR.search(text, at):
+        at, name = m.end(), m["name"]
         kind = next(k for k in ("double", "single", "bare") if m[k] is not None)
         pair = Pair(name, m[kind], m.start(kind), m.end(kind))
-        if kind == "bare" and IDENTIFIER.fullmatch(m["bare"]) and m["bare"] in held:
-            source = held[m["bare"]]
-            pair = Pair(name, source.literal, source.start, source.end, source.name)
-        held[name] = pair
-        out.append(pair)
+        if m["type"] and any(c.isdigit() for c in m["type"]):
+            out.append(Pair(name, m["type"], m.start("type"), m.end("type")))  # may be no type at all
+        if kind == "bare":
+            if IDENTIFIER.fullmatch(m["bare"]):
+                if (right := PAIR.match(text, pair.start)) and right["name"] == m["bare"]:
+                    at = pair.start
+                    chain.append(name)
+                    continue
+            elif inner := CHAIN.match(m["bare"]):
+                names = inner[0][:-1].split("=")
+                rest = pair.start + inner.end()
+                if rest == pair.end and text[rest : rest + 1] in ('"', "'"):
+                    at = rest - len(names[-1]) - 1
+                    chain += [name, *names[:-1]]
+                    continue
+                if rest < pair.end and text[rest] != "=":
+                    # the whole may also be one literal, so both are told
+                    out.append(pair)
+                    chain += names
+                    pair = Pair(name, text[rest : pair.end], rest, pair.end)
+            if pair.literal in held:
+                source = held[pair.literal]
+                pair = Pair(name, source.literal, source.start, source.end, source.name)
+        for other in (*chain, name):
+            held[other] = Pair(other, pair.literal, pair.start, pair.end, pair.via)
+            out.append(held[other])
+        chain = []
     return out
 
 
@@ -96,7 +124,7 @@ def name_score(name: str) -> float:
 def literal_score(literal: str) -> float:
     """0 to 1: bits per character against 4, lower without digits."""
     n = len(literal)
-    if n < LEAST_LENGTH or " " in literal:
+    if n < LEAST_LENGTH:
         return 0.0
     bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     mixed = any(c.isdigit() for c in literal) and any(c.isalpha() for c in literal)
@@ -106,8 +134,9 @@ def literal_score(literal: str) -> float:
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: the base ones and those the lexer adds.
 
-    An added span is a literal that no base span touches and whose name and
-    shape together score `THRESHOLD` or more, each 1 at most.
+    An added span is a literal that no base span holds whole, and whose name and
+    shape together score `THRESHOLD` or more, each 1 at most, or whose beginning
+    is the value of a base span of kind assign.
     """
     if not text:
         return [], []
@@ -115,9 +144,10 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     added = set()
     if "=" in text or ":" in text:
         for p in pairs(text):
-            if name_score(p.name) * (0.5 + literal_score(p.literal)) >= THRESHOLD and not any(
-                p.start < end and start < p.end for start, _, end in base
-            ):
+            if any(start <= p.start and p.end <= end for start, _, end in base):
+                continue
+            begun = any(kind == 0 and start < p.start < end for start, kind, end in base)
+            if begun or name_score(p.name) * (0.5 + literal_score(p.literal)) >= THRESHOLD:
                 added.add((p.start, 3, p.end))
     return base, sorted([*base, *added])
 

@@ -59,6 +59,31 @@ def test_mask_keeps_rows_and_columns(docs):
     assert secrets.mask_documents(df.where("false")).count() == 0
 
 
+def test_no_part_of_a_literal_stays(docs):
+    secret = "Zk39vXq1TtY8"
+    cases = {
+        'password = "abcdefgh$RestOfSecret99"': '[ASSIGN][NAMED]"',
+        'password = "abcdefgh$aa"': '[ASSIGN][NAMED]"',
+        'password: str = "hunter2hunter2"': 'password: str = "[NAMED]"',
+        f'dbPwd: string = "{secret}"': 'dbPwd: string = "[NAMED]"',
+        f'auth_pwd: Optional[str] | None = "{secret}"': 'auth_pwd: Optional[str] | None = "[NAMED]"',
+        f'a = dbPwd = "{secret}"': 'a = dbPwd = "[NAMED]"',
+        f'dbPwd = a = "{secret}"': 'dbPwd = a = "[NAMED]"',
+        f'a=dbPwd="{secret}"': 'a=dbPwd="[NAMED]"',
+        f"a=dbPwd={secret}": "a=dbPwd=[NAMED]",
+        f'a=b = dbPwd: str = "{secret}"': 'a=b = dbPwd: str = "[NAMED]"',
+        f"dbPwd: {secret} = x": "dbPwd: [NAMED] = x",
+        'passphrase = "correct horse battery staple"': 'passphrase = "[NAMED]"',
+        f"dbPwd = {secret}==": "dbPwd = [NAMED]",
+    }
+    rows = secrets.mask_documents(docs(*cases)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == list(cases.values())
+
+
+def test_chains_are_read_in_linear_time():
+    assert len(secrets.pairs("a=" * 100_000 + "b")) > 100_000
+
+
 def test_long_text():
     text = "x " * 200_000 + "password=hunter2hunter2"
     assert len(secrets.scan(text)[0]) == 1
