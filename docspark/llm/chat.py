@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked to their results, checked and serialised.
 
 Messages are rows (conv_id, turn, role, text). An assistant's text that is a
-JSON object with `tool_calls`, a list of {"id", "name", "arguments"}, makes
-calls; a text of role `tool` that is a JSON object with `tool_call_id` is a
+JSON object with `tool_calls`, a list of {"id", "name", "arguments"} or of
+{"id", "function": {"name", "arguments"}}, makes calls; a text of role `tool` that is a JSON object with `tool_call_id` is a
 result. An argument "$id" stands for the result of the call with that id. All
 else is plain content.
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import stored
 
-CALLS = "array<struct<id:string,name:string,arguments:string>>"
+CALLS = "array<struct<id:string,name:string,arguments:string,raw:string>>"
 #: For each tool its parameters: (JSON type, required).
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
@@ -55,11 +55,27 @@ def _problems(call: Column, schemas: Schemas) -> Column:
     return wrong
 
 
+def _calls(listed: Column) -> Column:
+    """The calls among the JSON texts of a list, in either form."""
+    either = lambda c, name: F.coalesce(F.get_json_object(c, f"$.{name}"), F.get_json_object(c, f"$.function.{name}"))
+    return F.transform(
+        F.filter(listed, lambda c: c.startswith("{")),
+        lambda c: F.struct(
+            F.get_json_object(c, "$.id").alias("id"),
+            either(c, "name").alias("name"),
+            either(c, "arguments").alias("arguments"),
+            c.alias("raw"),
+        ),
+    )
+
+
 def _messages(conversations: DataFrame, schemas: Schemas) -> DataFrame:
     """The messages with their calls, the id they answer, and what is wrong."""
     text = F.coalesce("text", F.lit(""))
     looks_json = text.rlike(r"^\s*\{")
-    calls = F.when((F.col("role") == "assistant") & looks_json, F.from_json(F.get_json_object(text, "$.tool_calls"), CALLS))
+    listed = F.from_json(F.get_json_object(text, "$.tool_calls"), "array<string>")
+    listed = F.when((F.col("role") == "assistant") & looks_json, listed)
+    calls = _calls(listed)
     answers = F.when((F.col("role") == "tool") & looks_json, F.get_json_object(text, "$.tool_call_id"))
     rows = conversations.select(
         "conv_id",
@@ -68,27 +84,83 @@ def _messages(conversations: DataFrame, schemas: Schemas) -> DataFrame:
         text.alias("text"),
         F.coalesce(calls, F.array().cast(CALLS)).alias("calls"),
         answers.alias("answers"),
+        F.coalesce(F.size(calls) < F.size(listed), F.lit(False)).alias("other"),
     )
     return rows.withColumn("problems", F.transform("calls", lambda c: _problems(c, schemas)))
 
 
+def _keys(text: Column) -> Column:
+    """How many keys a JSON text has, at all depths."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', '"')
+    return F.regexp_count(plain, F.lit(r'"\s*:'))
+
+
+def _read(text: Column) -> Column:
+    """The parsed text; NULL if it is no JSON or an object repeats a key, of which one value would stay."""
+    parsed = F.try_parse_json(text)
+    return F.when(_keys(text) == _keys(F.to_json(parsed)), parsed)
+
+
+def _fields(value: Column, *but: str) -> Column:
+    """The fields of an object, without those named."""
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    return F.map_filter(fields, lambda k, _: ~k.isin(*but))
+
+
+def _given(**values: Column) -> Column:
+    """Those values that are not NULL, by name."""
+    named = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("variant"))])
+    return F.map_filter(named, lambda _, v: v.isNotNull())
+
+
 def canonical() -> Column:
-    """The message as JSON: keys in order, no white space, no NULLs."""
-    calls = F.transform(
-        "calls",
-        lambda c: F.struct(
-            F.try_parse_json(c["arguments"]).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")
-        ),
-    )
+    """The message as JSON: keys in order, no white space, every field kept.
+
+    Calls are written with `name` and `arguments` of their own, whichever form
+    they had; arguments that are no JSON, or repeat a key, stay a string. A
+    message that is not read whole (it repeats a key, names another role, or
+    lists what is no call) has its text under `raw` as well.
+    """
     called, answered = F.size("calls") > 0, F.col("answers").isNotNull()
-    content = F.when(called | answered, F.get_json_object("text", "$.content")).otherwise(F.col("text"))
-    return F.to_json(
-        F.struct(
-            content.alias("content"),
-            F.col("role").alias("role"),
-            F.when(answered, F.col("answers")).alias("tool_call_id"),
-            F.when(called, calls).alias("tool_calls"),
+    arguments = lambda c: F.coalesce(_read(c["arguments"]), c["arguments"].cast("variant"))
+
+    def whole_call(c: Column) -> Column:
+        parsed = _read(c["raw"])
+        # `function` keeps what it holds beside the name and the arguments
+        function = F.try_variant_get(parsed, "$.function", "variant")
+        inner = F.coalesce(_fields(function, "name", "arguments"), F.create_map().cast("map<string,variant>"))
+        outer = F.coalesce(_fields(parsed, "id", "name", "arguments"), F.create_map().cast("map<string,variant>"))
+        nested = F.get_json_object(c["raw"], "$.name").isNull() | F.get_json_object(c["raw"], "$.arguments").isNull()
+        read = nested & F.coalesce(F.schema_of_variant(function).startswith("OBJECT"), F.lit(False))
+        rest = F.when(F.size(inner) > 0, F.to_variant_object(inner))
+        kept = F.when(read, F.map_filter(outer, lambda k, _: k != "function")).otherwise(outer)
+        own = F.when(read, _given(function=rest)).otherwise(F.create_map().cast("map<string,variant>"))
+        return F.to_variant_object(
+            F.map_concat(kept, own, _given(id=c["id"], name=c["name"], arguments=arguments(c)))
         )
+
+    parsed = _read(F.col("text"))
+    role = F.try_variant_get(parsed, "$.role", "string")
+    whole = parsed.isNotNull() & ~F.col("other") & F.coalesce(role == F.col("role"), F.lit(True))
+    links = _given(
+        role=F.col("role"),
+        tool_call_id=F.when(answered, F.col("answers")),
+        tool_calls=F.when(called, F.to_variant_object(F.transform("calls", whole_call))),
+    )
+    taken = F.when(called, F.array(F.lit("role"), F.lit("tool_calls"))).otherwise(F.array(F.lit("role"), F.lit("tool_call_id")))
+    others = F.map_filter(F.try_variant_get(parsed, "$", "map<string,variant>"), lambda k, _: ~F.array_contains(taken, k))
+    short = F.transform("calls", lambda c: F.struct(arguments(c).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
+    in_part = F.struct(
+        F.get_json_object("text", "$.content").alias("content"),
+        F.col("text").alias("raw"),
+        F.col("role").alias("role"),
+        F.col("answers").alias("tool_call_id"),
+        F.when(called, short).alias("tool_calls"),
+    )
+    return (
+        F.when(~called & ~answered, F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role"))))
+        .when(whole, F.to_json(F.to_variant_object(F.map_concat(others, links))))
+        .otherwise(F.to_json(in_part))
     )
 
 

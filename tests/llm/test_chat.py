@@ -48,6 +48,34 @@ def test_json_is_canonical_and_rows_are_kept(spark):
     assert {json.loads(r.message)["content"] for r in rows if r.conv_id == 2 and r.turn == 0} == {""}
 
 
+def test_every_field_of_a_message_is_kept(spark):
+    texts = [
+        ("assistant", '{"tool_calls":[{"id":"a","name":"fetch","arguments":"{no json"}],"content":"so","model":"m"}'),
+        ("assistant", '{"tool_calls":[{"id":"b","name":"fetch","arguments":{"url":"x","url":"y"}}]}'),
+        ("assistant", '{"tool_calls":[{"id":"c","type":"function","function":{"name":"fetch","arguments":"{\\"url\\":\\"u\\"}","strict":true}}]}'),
+        ("tool", '{"tool_call_id":"a","result":{"z":[1,2],"b":null}}'),
+        ("tool", '{"tool_call_id":"b","error":"no"}'),
+        ("tool", '{"tool_call_id":"c","role":"user","output":1}'),
+        ("assistant", '{"tool_calls":[{"id":"d","name":"fetch","function":"f"},"odd"]}'),
+    ]
+    rows = formatted(spark, [(1, i, *x) for i, x in enumerate(texts)]).orderBy("turn").collect()
+    assert [r.message for r in rows] == [json.dumps(json.loads(r.message), sort_keys=True, separators=(",", ":")) for r in rows]
+    got = [json.loads(r.message) for r in rows]
+    assert got == [
+        {"role": "assistant", "content": "so", "model": "m", "tool_calls": [{"id": "a", "name": "fetch", "arguments": "{no json"}]},
+        {"role": "assistant", "raw": texts[1][1], "tool_calls": [{"id": "b", "name": "fetch", "arguments": '{"url":"x","url":"y"}'}]},
+        {
+            "role": "assistant",
+            "tool_calls": [{"id": "c", "type": "function", "name": "fetch", "arguments": {"url": "u"}, "function": {"strict": True}}],
+        },
+        {"role": "tool", "tool_call_id": "a", "result": {"z": [1, 2], "b": None}},
+        {"role": "tool", "tool_call_id": "b", "error": "no"},
+        {"role": "tool", "tool_call_id": "c", "raw": texts[5][1]},
+        {"role": "assistant", "raw": texts[6][1], "tool_calls": [{"id": "d", "name": "fetch"}]},
+    ]
+    assert rows[2].valid and [r.linked for r in rows[3:6]] == [True] * 3
+
+
 def test_cycles_end(spark):
     call = lambda i, need: json.dumps({"tool_calls": [{"id": i, "name": "fetch", "arguments": {"url": need}}]})
     rows = [(1, 0, "assistant", call("p", "$q")), (1, 1, "assistant", call("q", "$p")), (1, 2, "assistant", call("r", "u"))]
