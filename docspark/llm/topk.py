@@ -102,7 +102,9 @@ def best(q_ids: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple
             keep = min(k, n)
             at = np.argpartition(key, n - keep, axis=1)[:, n - keep :]
         else:
-            at = np.argsort(-part, axis=1, kind="stable")[:, : k + 1]
+            at = np.argsort(-part, axis=1, kind="stable")
+            own_last = np.argsort(np.take_along_axis(own, at, 1), axis=1, kind="stable")
+            at = np.take_along_axis(at, own_last, 1)[:, :k]
         row = np.repeat(np.arange(len(part)), at.shape[1])
         column = at.ravel()
         other = ~own[row, column]
@@ -147,13 +149,13 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20)
     Queries are the vectors whose vec_id is divisible by `every`; candidates
     are all vectors of the same length but those with the query's own id. Fewer
     candidates give fewer rows; ties go to the smaller vec_id. A row that
-    repeats another's vec_id is one candidate more and asks no second query of
-    its own: its rows are taken as the same vector's, once. An empty table
-    gives no rows. Columns other than vec_id and embedding are not read.
+    repeats another's vec_id is one candidate more, so that a vec_id may hold
+    several ranks, and asks no second query of its own: of the vectors of one
+    vec_id the least in order asks. An empty table gives no rows. Columns other than vec_id and embedding are not read.
     """
     rows = whole_numbers(vectors)
     candidates = stored(rows.mapInArrow(_blocks, BLOCKS), "candidates")
-    asking = rows.where(F.col("vec_id") % every == 0)
+    asking = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "asking")
     whole_blocks = max(1, asking.count() // BLOCK)  # a scan's partition holds few queries
     queries = stored(asking.repartition(whole_blocks).mapInArrow(_blocks, BLOCKS), "queries")
     lanes = max(8, -(-candidates.count() // BLOCKS_PER_LANE))
@@ -162,6 +164,6 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20)
     tiles = asked.select("lane", F.col("ids").alias("q_ids"), F.col("numbers").alias("q")).join(
         dealt.select("lane", F.col("ids").alias("c_ids"), F.col("numbers").alias("c")), "lane"
     )
-    found = tiles.mapInArrow(_search(k), FOUND).distinct()
+    found = tiles.mapInArrow(_search(k), FOUND)
     in_lane = _merged(found.withColumn("lane", (F.col("lane") / FAN_IN).cast("int")), k, "query_id", "lane")
     return _merged(in_lane.drop("rank"), k, "query_id").select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -38,6 +38,19 @@ def test_matches_brute_force(spark, monkeypatch, block):
     assert got == brute(rows, 20, 20)
 
 
+@pytest.mark.parametrize("size", [1.0, 2.0**23])
+@pytest.mark.parametrize("block", [topk.BLOCK, 7])
+def test_copies_are_candidates_of_their_own(spark, monkeypatch, block, size):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rows = [(7, [9.0 * size, 0.0])] * 20 + [(20, [size, 0.0])] * 30 + [(i, [i * size / 64, 0.0]) for i in range(21, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    one = 64 * int(size)
+    for k in (20, 30):
+        got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(spark, df, k=k).collect())
+        want = [(7, 9 * one * one)] * 20 + [(i, i * int(size) * one) for i in range(39, 20, -1)]
+        assert got == [(r, *x) for r, x in enumerate(want[:k], 1)]
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(spark, df).count() == 0
