@@ -524,6 +524,17 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their group's smallest, columns unchanged."""
-    rest = similar_groups(spark, docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_rest"))
-    return docs.join(rest.distinct(), F.col("doc_id") == F.col("_rest"), "left_anti")
+    """One row of each group, that of the smallest doc_id, columns unchanged.
+
+    Rows are grouped and judged each by its own text: they are numbered first,
+    so that rows that share a doc_id, or have none, are told apart. A row
+    without a doc_id stays only if no row of its group has one; of rows with
+    one doc_id any may stay. Rows without shingles all stay.
+    """
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = similar_groups(spark, numbered.select(F.col("_row").alias("doc_id"), "text"))
+    groups = stored(groups.select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
+    kept = groups.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first"))
+    rest = groups.join(kept.select("first._row"), "_row", "left_anti").select("_row")
+    return numbered.join(rest, "_row", "left_anti").select(*docs.columns)

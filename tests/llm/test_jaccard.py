@@ -86,3 +86,13 @@ def test_components_of_a_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_one_row_of_each_group_is_kept_whatever_the_ids(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey")
+    rows = [(5, a), (5, a), (None, b), (None, b), (None, a), (5, c), (8, c), (9, b), (4, ""), (4, ""), (None, None), (None, "x y z u v w")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    kept = jaccard.keep_one(spark, docs.repartition(3))
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert got == sorted([(5, a), (9, b), (5, c), (4, ""), (4, ""), (0, ""), (0, "x y z u v w")])
