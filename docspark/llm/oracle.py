@@ -42,8 +42,73 @@ SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT
 FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
 QUALIFY rank <= 20"""
 
+# CRC-32 of the digits of an id, a bit at a time; 3988292384 is its polynomial.
+PREFIX_TRIE = """WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'r': r, 'x': x} ORDER BY i) AS w FROM t GROUP BY c),
+bits AS (SELECT c, w, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+  lambda d: list_transform(range(8), lambda b: (ascii(d)::BIGINT >> b) & 1)))) AS bits FROM own),
+heads AS (SELECT c, w, xor(4294967295::BIGINT, list_reduce(bits,
+  lambda z, b: CASE WHEN xor(z, b) & 1 = 1 THEN xor(z >> 1, 3988292384::BIGINT) ELSE z >> 1 END)) % 9 AS h FROM bits),
+rebuilt AS (SELECT a.c, list_concat(coalesce(list_slice(b.w, 1, a.h), []), list_slice(a.w, a.h + 1, len(a.w))) AS w
+  FROM heads a LEFT JOIN heads b ON b.c = a.c - a.c % 5),
+cells AS (SELECT c, d, list_slice(w, 1, d) AS p, len(w) = d AS ends, coalesce(strlen(w[d].x), 0) AS size
+  FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM cells GROUP BY d, p),
+tree AS (SELECT n.*, u.conv_id AS parent_conv_id,
+  (SELECT count(*) FROM nodes k WHERE k.d = n.d + 1 AND list_slice(k.p, 1, n.d) = n.p) AS n_children
+  FROM nodes n LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = list_slice(n.p, 1, n.d - 1))
+SELECT n.conv_id, n.d AS depth, n.parent_conv_id, n.n_convs, n.n_children,
+  CAST(sum(CASE WHEN s.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+  CAST(sum(s.saved) AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM tree n JOIN tree s ON s.d >= n.d AND list_slice(s.p, 1, n.d) = n.p
+GROUP BY n.p, n.conv_id, n.d, n.parent_conv_id, n.n_convs, n.n_children, n.ends_sha256"""
+
+REPEATS = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 200)) AS g FROM (SELECT *, unnest(range(0, strlen(x) // 2 - 99)) AS s FROM d)),
+gone AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS i FROM w) WHERE i > 1),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS r
+  FROM (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM gone))
+  GROUP BY doc_id, r),
+kept AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS e FROM runs),
+cut AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS e,
+  string_agg(substr(x, 2 * k.e + 1, 2 * (a - k.e)), '' ORDER BY a) AS x FROM kept k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(c.x, '') || substr(d.x, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut c USING (doc_id)"""
+
+TERM = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({LOWER}, {TERM}) AS w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total,
+    coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 2)::HUGEINT // (total + 2 * v) AS p,
+    1 + 1000000000 * (lang_n + 2)::HUGEINT // (lang_total + 2 * v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gaps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+listed AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN gaps x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM listed QUALIFY part = 'pair' OR rank <= 10"""
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op3_ngram_jaccard_join": JACCARD,
     "op6_exact_top_k": TOP_K,
+    "op11_conversation_prefix_trie": PREFIX_TRIE,
+    "op12_suffix_array_dedup": REPEATS,
+    "op13_source_divergence_audit": DIVERGENCE,
 }

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import chat, decontaminate, jaccard, langid, lm, packing, secrets, sharding, topk, toxicity
+from docspark.llm import (
+    chat,
+    decontaminate,
+    divergence,
+    jaccard,
+    langid,
+    lm,
+    packing,
+    prefix_trie,
+    secrets,
+    sharding,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from docspark.llm.common import table
 
 #: The tools that conversations may call, with the type and need of each argument.
@@ -79,3 +93,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark, table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
