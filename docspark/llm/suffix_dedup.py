@@ -44,7 +44,7 @@ GRAM = 32
 GRAMS = WIDTH - GRAM + 1  # in a window
 ARENA_BITS = 20
 ARENA = 1 << ARENA_BITS  # bytes hashed at a time
-LOT = 4096
+LOT = 512
 DIGIT = 8
 PENDING_BYTES = 16_000_000  # of spans sorted at a time
 
