@@ -28,6 +28,8 @@ BUCKET = "work"
 ARCHIVE_BUCKET = "vault"
 NOW = "2024-02-01 00:00:00"
 ARCHIVE_NOW = "2026-07-02 00:00:00"
+# Events arrive in this many stretches of time, one after another.
+SLICES = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 SHORT_CHAIN = [(*EXTRACT_STAGE, EXTRACT_STAGE[0]), (*NORMALIZE_STAGE, NORMALIZE_STAGE[0])]
 
 
@@ -256,6 +258,15 @@ def state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_of(table(spark, sf_dir, "events"))
 
 
+def event_slices(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events, cut by time."""
+    events = table(spark, sf_dir, "events")
+    cuts = [F.lit(c).cast("timestamp") for c in SLICES]
+    out = [events.filter(F.col("ts") < cuts[0])]
+    out += [events.filter((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts, cuts[1:])]
+    return [*out, events.filter((F.col("ts") >= cuts[-1]) | F.col("ts").isNull())]
+
+
 def conversation_key() -> Column:
     return F.col("conv_id") * 7 + F.col("turn")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from docspark.functions.text import WHITE_SPACE
 from docspark.operators.jobs import PAGE_FAILURE
-from docspark.plans.adapters import ARCHIVE_NOW, NOW
+from docspark.plans.adapters import ARCHIVE_NOW, NOW, SLICES
 
 DAY = 86400
 KEPT = 14 * DAY
@@ -173,6 +173,23 @@ v_latest AS (
   SELECT * FROM v_state
   QUALIFY row_number() OVER (PARTITION BY job_id, page, stage, version ORDER BY ts DESC, seq DESC) = 1)"""
 
+LAPSED = f"(l.expires_at <> 0 AND {epoch('r.ts')} >= l.expires_at)"
+# A stage key's rows in order, folded one after another: a lapsed key starts anew, success is final.
+V_ROWS = f"""v_rows AS (
+  SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY ts, seq) AS i FROM v_state),
+v_life AS (
+  SELECT job_id, page, stage, version, idempotency_key, i, status, 1::BIGINT AS deliveries, 1::BIGINT AS lives,
+    expires_at, ts, seq FROM v_rows WHERE i = 1
+  UNION ALL
+  SELECT r.job_id, r.page, r.stage, r.version, r.idempotency_key, r.i,
+    CASE WHEN NOT {LAPSED} AND l.status = 'succeeded' THEN l.status ELSE r.status END,
+    CASE WHEN {LAPSED} THEN 1 ELSE l.deliveries + 1 END,
+    CASE WHEN {LAPSED} THEN l.lives + 1 ELSE l.lives END,
+    CASE WHEN NOT {LAPSED} AND l.status = 'succeeded' THEN l.expires_at ELSE r.expires_at END,
+    CASE WHEN NOT {LAPSED} AND l.status = 'succeeded' THEN l.ts ELSE r.ts END,
+    CASE WHEN NOT {LAPSED} AND l.status = 'succeeded' THEN l.seq ELSE r.seq END
+  FROM v_life l JOIN v_rows r ON r.idempotency_key = l.idempotency_key AND r.i = l.i + 1)"""
+
 ALIVE = f"(expires_at = 0 OR expires_at > {epoch(f'TIMESTAMP {chr(39)}{NOW}{chr(39)}')})"
 
 V_JOB = f"""v_job AS (
@@ -622,20 +639,34 @@ ORACLE: dict[str, str] = {
   FROM documents""",
     "stream_latest_state": sql(V_STATE, f"SELECT {LATEST_LIST} FROM v_latest"),
     "stream_key_life": sql(
-        V_STATE,
-        f"""SELECT job_id, page, stage, version,
-    CASE WHEN bool_or(status = 'succeeded') THEN 'succeeded' ELSE arg_max(status, ts) END AS status,
-    count(*) AS deliveries,
-    {rfc3339("coalesce(max(ts) FILTER (status = 'succeeded'), max(ts))")} AS ts,
-    coalesce(arg_max(seq, ts) FILTER (status = 'succeeded'), arg_max(seq, ts)) AS seq
-  FROM v_state GROUP BY ALL""",
-    ),
-    "stream_dedup": sql(V_STATE, "SELECT DISTINCT idempotency_key FROM v_state"),
+        f"RECURSIVE {V_STATE}", V_ROWS,
+        f"""SELECT job_id, page, stage, version, status, deliveries, lives, expires_at, {rfc3339("ts")} AS ts, seq
+  FROM (SELECT * FROM v_life QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY i DESC) = 1)""",
+    ),
+    "stream_dedup": sql(
+        f"RECURSIVE {V_STATE}", V_ROWS,
+        f"""v_pass AS (
+  SELECT idempotency_key, i, seq, true AS passed, {epoch('ts')} + {KEPT} AS until FROM v_rows WHERE i = 1
+  UNION ALL
+  SELECT r.idempotency_key, r.i, r.seq, {epoch('r.ts')} >= p.until,
+    CASE WHEN {epoch('r.ts')} >= p.until THEN {epoch('r.ts')} + {KEPT} ELSE p.until END
+  FROM v_pass p JOIN v_rows r ON r.idempotency_key = p.idempotency_key AND r.i = p.i + 1)""",
+        "SELECT idempotency_key, seq FROM v_pass WHERE passed",
+    ),
     "stream_finished_jobs": sql(
-        V_STATE, V_JOB, V_COUNTED,
-        """SELECT job_id, CASE WHEN failed_count > 0 THEN 'failed' ELSE 'succeeded' END AS decision,
-    succeeded_count, failed_count FROM v_counted
-  WHERE (failed_count > 0 OR (page_count > 0 AND succeeded_count = page_count))""",
+        V_STATE, V_JOB,
+        f"""v_cut AS (SELECT unnest([{', '.join(f"TIMESTAMP '{c}'" for c in (*SLICES, '9999-01-01 00:00:00'))}]) AS cut),
+v_then AS (
+  SELECT * FROM v_state JOIN v_cut ON ts < cut WHERE page > 0 AND version = 'v1'
+  QUALIFY row_number() OVER (PARTITION BY cut, job_id, page, stage ORDER BY ts DESC, seq DESC) = 1),
+v_seen AS (
+  SELECT cut, job_id, stage, count(*) FILTER (status = 'succeeded') AS s, count(*) FILTER (status = 'failed') AS f
+  FROM v_then WHERE {ALIVE} GROUP BY ALL)""",
+        """SELECT job_id, CASE WHEN f > 0 THEN 'failed' ELSE 'succeeded' END AS decision,
+    s AS succeeded_count, f AS failed_count
+  FROM v_job j JOIN v_seen c USING (job_id)
+  WHERE c.stage = j.final_stage AND (f > 0 OR (page_count > 0 AND s = page_count))
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY cut) = 1""",
     ),
     "dead_letters": sql(
         V_STATE,

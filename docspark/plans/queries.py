@@ -646,42 +646,56 @@ def stream_latest_state(spark, sf_dir):
     return newest.withColumn("ts", format_rfc3339(F.col("ts")))
 
 
+def _in_slices(spark: SparkSession, sf_dir: str, root: str, start: Callable) -> None:
+    """Run a stream once for each stretch of events, from where it stopped before."""
+    for i, events in enumerate(view.event_slices(spark, sf_dir)):
+        events.write.parquet(f"{root}/inbox/{i}")
+        inbox = spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
+        _finish(start(view.state_of(inbox.parquet(f"{root}/inbox"))))
+
+
 @query
 def stream_key_life(spark, sf_dir):
+    """Stage keys carried over three arrivals of events; keys lapse in between and start anew."""
     root = work_dir(spark, "stream-key-life")
-    _finish(
-        stream_state.stream_key_life(
-            _event_stream(spark, sf_dir), f"{root}/keys", f"{root}/checkpoint"
-        )
+    _in_slices(
+        spark, sf_dir, root,
+        lambda rows: stream_state.stream_key_life(rows, f"{root}/keys", f"{root}/checkpoint"),
     )
-    life = stream_state.latest_life(spark.read.parquet(f"{root}/keys"))
-    return life.withColumn("ts", format_rfc3339(F.col("ts")))
+    stored = read_or_empty(spark, f"{root}/keys", stream_state.STORED_LIFE)
+    return stream_state.latest_life(stored).withColumn("ts", format_rfc3339(F.col("ts")))
 
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Stage keys that get through a stream which drops redelivered ones."""
+    """Deliveries that get through a stream which drops those of a key's last 14 days."""
     root = work_dir(spark, "stream-dedup")
-    keys = _event_stream(spark, sf_dir).select("idempotency_key", "ts")
-    once = stream_state.drop_redelivered(keys, "ts", f"{5 * RETENTION_DAYS} days")
-    _finish(
-        once.select("idempotency_key")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{root}/keys")
-    )
-    return spark.read.parquet(f"{root}/keys")
+
+    def start(rows: DataFrame):
+        keys = rows.select("idempotency_key", "ts", "seq")
+        with stream_state.stateful(spark):
+            return (
+                stream_state.drop_redelivered(keys, "ts")
+                .writeStream.format("parquet")
+                .option("checkpointLocation", f"{root}/checkpoint")
+                .trigger(availableNow=True)
+                .start(f"{root}/keys")
+            )
+
+    _in_slices(spark, sf_dir, root, start)
+    return spark.read.parquet(f"{root}/keys").select("idempotency_key", "seq")
 
 
 @query
 def stream_finished_jobs(spark, sf_dir):
+    """Jobs in the arrival of events that finished them, by counts kept in the stream."""
     root = work_dir(spark, "stream-finished-jobs")
-    _finish(
-        completion.stream_finished_jobs(
-            _event_stream(spark, sf_dir), view.jobs(spark, sf_dir),
-            f"{root}/log", f"{root}/finished", view.now(), f"{root}/checkpoint",
-        )
+    now = int(spark.sql(f"SELECT unix_timestamp(TIMESTAMP '{view.NOW}')").first()[0])
+    _in_slices(
+        spark, sf_dir, root,
+        lambda rows: completion.stream_finished_jobs(
+            rows, view.jobs(spark, sf_dir), f"{root}/finished", f"{root}/checkpoint", now
+        ),
     )
     return read_or_empty(spark, f"{root}/finished", completion.FINISHED)
 

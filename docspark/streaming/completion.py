@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from docspark.operators.jobs import check_jobs
-from docspark.operators.state import append_state, latest_state, read_state_log
-from docspark.schema import PENDING
-from docspark.sources.tables import read_or_empty, replace_part
-from docspark.streaming.state import stream_part
+from docspark.functions.dates import DAY_SECONDS
+from docspark.operators.jobs import check_jobs, effective_chain, with_chain_ends
+from docspark.schema import FAILED, PENDING, RETENTION_DAYS, SUCCEEDED
+from docspark.sources.tables import replace_part
+from docspark.streaming.state import stateful, stream_part
 
 FINISHED = (
     T.StructType()
@@ -20,6 +20,7 @@ FINISHED = (
     .add("succeeded_count", "long")
     .add("failed_count", "long")
 )
+NEVER = 1 << 62
 
 
 def finished_jobs(jobs: DataFrame, state: DataFrame, now: Column) -> DataFrame:
@@ -27,36 +28,98 @@ def finished_jobs(jobs: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     return decided.select(*[f.name for f in FINISHED.fields])
 
 
+class PageCounts(StatefulProcessor):
+    """Counts the finished pages of a job, one page's state at a time.
+
+    The pages are a map in the state store, never in memory as a whole; the
+    counts follow each change of a page. Only when the first page among them
+    lapses is the map gone through.
+    """
+
+    def __init__(self, days: int, now: int | None):
+        self.days, self.now = days, now
+
+    def init(self, handle) -> None:
+        ttl = self.days * DAY_SECONDS * 1000
+        self.pages = handle.getMapState("pages", "page int", "status string, expires_at long, ts long, seq long", ttl)
+        self.counts = handle.getValueState("counts", "succeeded long, failed long, lapses long, told boolean", ttl)
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = self.now if self.now is not None else timerValues.getCurrentProcessingTimeInMs() // 1000
+        ok, bad, lapses, told = self.counts.get() if self.counts.exists() else (0, 0, NEVER, False)
+        expected = 0
+        for row in rows:
+            expected = row.page_count
+            held = self.pages.getValue((row.page,)) if self.pages.containsKey((row.page,)) else None
+            if held is not None and (row.ts, row.seq) < (held[2], held[3]):
+                continue
+            if held is not None:
+                ok, bad = ok - (held[0] == SUCCEEDED), bad - (held[0] == FAILED)
+            self.pages.updateValue((row.page,), (row.status, row.expires_at, row.ts, row.seq))
+            ok, bad = ok + (row.status == SUCCEEDED), bad + (row.status == FAILED)
+            lapses = min(lapses, row.expires_at or NEVER)
+        if lapses <= now:
+            ok, bad, lapses = self._alive(now)
+        decision = FAILED if bad else SUCCEEDED if expected and ok == expected else None
+        if decision and not told:
+            yield Row(job_id=key[0], decision=decision, succeeded_count=ok, failed_count=bad)
+        self.counts.update((ok, bad, lapses, bool(told or decision)))
+
+    def _alive(self, now: int) -> tuple[int, int, int]:
+        """Count anew, leaving out the pages that have lapsed.
+
+        A lapsed page stays in the map until it is evicted, under a status
+        that counts for nothing, so that older rows of it are still known as old.
+        """
+        ok = bad = 0
+        lapses, gone = NEVER, []
+        for (page,), (status, expires_at, ts, seq) in self.pages.iterator():
+            if expires_at and expires_at <= now:
+                gone.append(((page,), ("", 0, ts, seq)))
+                continue
+            ok, bad = ok + (status == SUCCEEDED), bad + (status == FAILED)
+            lapses = min(lapses, expires_at or NEVER)
+        for page, value in gone:
+            self.pages.updateValue(page, value)
+        return ok, bad, lapses
+
+    def close(self) -> None:
+        pass
+
+
+def final_stage_rows(rows: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Page rows of the last stage of their job's own chain, with the page count."""
+    ends = with_chain_ends(effective_chain(jobs)).select(
+        "job_id", "page_count", F.col("final_stage").alias("stage"), F.col("final_version").alias("version")
+    )
+    expires_at = F.coalesce("expires_at", F.lit(0)).cast("long").alias("expires_at")
+    named = rows.filter(F.col("page") > 0).select(
+        "job_id", "page", "stage", "version", "status", expires_at, F.unix_micros("ts").alias("ts"), "seq"
+    )
+    return named.join(ends, ["job_id", "stage", "version"])
+
+
 def stream_finished_jobs(
-    rows: DataFrame, jobs: DataFrame, log_root: str, out_root: str, now: Column, checkpoint: str,
-    trigger: dict | None = None,
+    rows: DataFrame, jobs: DataFrame, out_root: str, checkpoint: str,
+    now: int | None = None, trigger: dict | None = None, days: int = RETENTION_DAYS,
 ) -> StreamingQuery:
     """Store each job once, in the micro-batch that finishes it.
 
-    Only jobs the micro-batch touches are decided again, on the log with the
-    micro-batch added.
+    Counts per job are kept in the stream's own state; no log is read. The
+    clock is that of each micro-batch, or `now` (epoch seconds) in a replay.
     """
-    spark = jobs.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        part = stream_part(checkpoint, batch_id)
-        append_state(batch, log_root, part)
-        log = read_state_log(spark, log_root)
-        own = read_or_empty(spark, log_root, LOG_BATCH).filter(F.col("batch") == part)
-        touched = own.select("job_id").distinct()
-        state = latest_state(log.join(touched, "job_id", "left_semi"), "status", "expires_at")
-        decided = finished_jobs(jobs.join(touched, "job_id", "left_semi"), state, now)
-        before = read_or_empty(spark, out_root, FINISHED_BATCH).filter(F.col("batch") != part)
-        fresh = decided.join(before.select("job_id"), "job_id", "left_anti")
-        replace_part(fresh, out_root, "batch", part)
-
-    return (
-        rows.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
+        replace_part(batch, out_root, "batch", stream_part(checkpoint, batch_id))
 
-LOG_BATCH = T.StructType().add("job_id", "string").add("batch", "string")
-FINISHED_BATCH = T.StructType(list(FINISHED.fields)).add("batch", "string")
+    with stateful(rows.sparkSession):
+        return (
+            final_stage_rows(rows, jobs)
+            .groupBy("job_id")
+            .transformWithState(PageCounts(days, now), FINISHED, "update", "ProcessingTime")
+            .writeStream.outputMode("update")
+            .foreachBatch(each)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )

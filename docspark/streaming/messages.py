@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docspark.schema import MESSAGE
 from docspark.sources.tables import replace_part
+from docspark.streaming.state import stream_part
 
 
 def read_messages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -55,12 +56,13 @@ def stream_work(
     """Hand each micro-batch of good messages to `handle(work, batch_id)`.
 
     `handle` gets the batch id as run number, so a repeated batch writes over
-    its own output. Bodies that cannot be read are set aside.
+    its own output. Bodies that cannot be read are set aside, under a name of
+    this checkpoint's own: batch ids begin anew in a new one.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         bad = batch.filter(F.col("decode_error").isNotNull()).select("body", "decode_error")
-        replace_part(bad, rejected_root, "batch", batch_id)
+        replace_part(bad, rejected_root, "batch", stream_part(checkpoint, batch_id))
         good = batch.filter(F.col("decode_error").isNull()).drop("body", "decode_error")
         handle(good, batch_id)
 

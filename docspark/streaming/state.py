@@ -1,18 +1,37 @@
-"""State rows as a stream: newest row, redelivery, life of a stage key."""
+"""State rows as a stream: newest row, redelivery, life of a stage key.
+
+Streams that remember keys keep them in Spark's state store, on RocksDB, with
+a time to live that starts anew at each write: what has lapsed is evicted, so
+state is bounded by the keys of one retention window. Whether a key has lapsed
+is told by the times in the rows, so a replay gives what the first run gave.
+"""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from docspark.functions.dates import DAY_SECONDS
 from docspark.operators.state import KEY, append_state
-from docspark.schema import SUCCEEDED
+from docspark.schema import RETENTION_DAYS, SUCCEEDED
 from docspark.sources.tables import replace_part
 
+MICROS = 1_000_000
+
+STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # Eviction waits for the next rows; without this a query never runs out of batches.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
 KEY_SCHEMA = (
     T.StructType().add("job_id", "string").add("page", "integer").add("stage", "string").add("version", "string")
 )
@@ -20,9 +39,13 @@ LIFE = (
     T.StructType(list(KEY_SCHEMA.fields))
     .add("status", "string")
     .add("deliveries", "long")
+    .add("lives", "long")
+    .add("expires_at", "long")
     .add("ts", "timestamp")
     .add("seq", "long")
 )
+# Inside the state store times are microseconds, which no time zone shifts.
+LIFE_STATE = "status string, deliveries long, lives long, expires_at long, ts long, seq long, change long"
 
 
 def stream_part(checkpoint: str, batch_id: int) -> str:
@@ -51,9 +74,8 @@ def stream_latest_state(rows: DataFrame, log_root: str, checkpoint: str, trigger
 def key_life(rows: DataFrame) -> DataFrame:
     """Where each stage key stands: success is final, else the newest status.
 
-    The same on a batch and, in update mode, on a stream; rows of a busy key
-    are folded before they are shuffled. Retention is left to the reader:
-    `pending_work` asks the log for keys that succeeded and have not lapsed.
+    On a batch, without regard to expiry; rows of a busy key are folded before
+    they are shuffled. `stream_key_life` lets keys lapse.
     """
     order = F.struct((F.col("status") == SUCCEEDED).alias("done"), "ts", "seq")
     return (
@@ -66,32 +88,143 @@ def key_life(rows: DataFrame) -> DataFrame:
     )
 
 
-def stream_key_life(rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Store the changed keys of each micro-batch under its number."""
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Settings of streams with state of their own; a query keeps what held when it began."""
+    before = {k: spark.conf.get(k, None) for k in STATEFUL}
+    for k, v in STATEFUL.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        replace_part(batch, root, "batch", batch_id)
 
-    return (
-        key_life(rows)
-        .writeStream.outputMode("update")
-        .foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
+def has_lapsed(expires_at: int, at: int) -> bool:
+    """Is `expires_at`, in seconds, over at a time in microseconds? 0 never is."""
+    return expires_at != 0 and at >= expires_at * MICROS
+
+
+def lived(life: Row | None, row: Row) -> Row:
+    """A key's life after one more row.
+
+    A lapsed key starts anew. Success is final until it lapses, and later
+    deliveries of it are only counted: they write nothing, so they do not put
+    off its end. Of other rows the newest counts, and each writes anew.
+    """
+    if life is None or has_lapsed(life.expires_at, row.ts):
+        lives = 0 if life is None else life.lives
+        return Row(status=row.status, deliveries=1, lives=lives + 1, expires_at=row.expires_at, ts=row.ts, seq=row.seq)
+    done = life.status == SUCCEEDED
+    newer = row.status == SUCCEEDED or (row.ts, row.seq) > (life.ts, life.seq)
+    kept = life if done or not newer else row
+    return Row(
+        status=kept.status, deliveries=life.deliveries + 1, lives=life.lives,
+        expires_at=kept.expires_at, ts=kept.ts, seq=kept.seq,
     )
 
 
+class KeyLife(StatefulProcessor):
+    """Where each stage key stands, carried from micro-batch to micro-batch."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle) -> None:
+        self.life = handle.getValueState("life", LIFE_STATE, ttlDurationMs=self.days * DAY_SECONDS * 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.life.get() if self.life.exists() else None
+        life, changes = (None, 0) if held is None else (Row(**dict(zip(LIFE_NAMES, held))), held[-1])
+        for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
+            life = lived(life, row)
+        values = tuple(life[c] for c in LIFE_NAMES)
+        self.life.update((*values, changes + 1))
+        yield Row(**dict(zip(KEY, key)), **dict(zip(LIFE_NAMES, values)), change=changes + 1)
+
+    def close(self) -> None:
+        pass
+
+
+LIFE_NAMES = [f.name for f in LIFE.fields if f.name not in KEY]
+STORED_LIFE = T.StructType([*LIFE.fields, T.StructField("change", T.LongType())])
+
+
+def stream_key_life(
+    rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, days: int = RETENTION_DAYS
+) -> StreamingQuery:
+    """Store the keys that a micro-batch changed as a part of its own.
+
+    `change` counts the micro-batches that changed a key, so the newest row of
+    a key is known whatever its part is called. Rows of one key in one
+    micro-batch are put in order in one task; triggers bound a micro-batch.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        timed = batch.withColumn("ts", F.timestamp_micros("ts"))
+        replace_part(timed, root, "batch", stream_part(checkpoint, batch_id))
+
+    expires_at = F.coalesce("expires_at", F.lit(0)).cast("long").alias("expires_at")
+    named = rows.select(*KEY, "status", expires_at, F.unix_micros("ts").alias("ts"), "seq")
+    shape = T.StructType([*KEY_SCHEMA.fields, *T._parse_datatype_string(LIFE_STATE).fields])
+    with stateful(rows.sparkSession):
+        return (
+            named.groupBy(*KEY)
+            .transformWithState(KeyLife(days), shape, "update", "ProcessingTime")
+            .writeStream.outputMode("update")
+            .foreachBatch(each)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+
+
 def latest_life(stored: DataFrame) -> DataFrame:
-    """Newest stored row per key of `stream_key_life`."""
-    rest = [f.name for f in LIFE.fields if f.name not in KEY]
+    """Newest stored row per key of `stream_key_life`.
+
+    A new checkpoint remembers nothing, so the time of the row goes before
+    the count of changes.
+    """
     return (
         stored.groupBy(*KEY)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-        .select(*KEY, *[f"_row.{c}" for c in rest])
+        .agg(F.max_by(F.struct(*LIFE_NAMES), F.struct("ts", "seq", "change")).alias("_row"))
+        .select(*KEY, *[f"_row.{c}" for c in LIFE_NAMES])
     )
 
 
-def drop_redelivered(rows: DataFrame, time: str, delay: str, key: str = "idempotency_key") -> DataFrame:
-    """Stream without repeated stage keys inside the retention window."""
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+class FirstDelivery(StatefulProcessor):
+    """Lets a key through once per retention window."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle) -> None:
+        self.until = handle.getValueState("until", "until long", ttlDurationMs=self.days * DAY_SECONDS * 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        until = self.until.get()[0] if self.until.exists() else None
+        before = until
+        for row in sorted(rows, key=lambda r: r["_at"]):
+            if until is None or has_lapsed(until, row["_at"]):
+                until = row["_at"] // MICROS + self.days * DAY_SECONDS
+                yield row
+        if until != before:
+            self.until.update((until,))
+
+    def close(self) -> None:
+        pass
+
+
+def drop_redelivered(
+    rows: DataFrame, time: str, days: int = RETENTION_DAYS, key: str = "idempotency_key"
+) -> DataFrame:
+    """Stream without repeated stage keys inside the retention window.
+
+    A key that comes after its window has lapsed runs as new. Late rows are
+    not dropped for being late: only a delivery before them can hold them
+    back. Start the stream inside `stateful`.
+    """
+    timed = rows.withColumn("_at", F.unix_micros(time))
+    once = timed.groupBy(key).transformWithState(FirstDelivery(days), timed.schema, "append", "ProcessingTime")
+    return once.drop("_at")

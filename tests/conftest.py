@@ -19,10 +19,9 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docspark-"))
     )
     session = configure(builder.getOrCreate())
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docspark-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -50,39 +50,105 @@ WANT = {1: ("succeeded", 4), 2: ("succeeded", 2), 3: ("succeeded", 2), 4: ("queu
 def test_stream_and_batch_agree_on_key_life(spark, tmp_path):
     stream, batch = as_stream(spark, str(tmp_path / "in"))
     finish(stream_state.stream_key_life(stream, str(tmp_path / "out"), str(tmp_path / "cp")))
-    got = stream_state.latest_life(spark.read.parquet(str(tmp_path / "out"))).collect()
+    stored = spark.read.schema(stream_state.STORED_LIFE).parquet(str(tmp_path / "out"))
+    got = stream_state.latest_life(stored).collect()
     assert {r.page: (r.status, r.deliveries) for r in got} == WANT
     assert {r.page: (r.status, r.deliveries) for r in stream_state.key_life(batch).collect()} == WANT
 
 
-def test_redelivered_keys_pass_once(spark, tmp_path):
-    stream, _ = as_stream(spark, str(tmp_path / "in"))
-    keyed = stream.withColumn("idempotency_key", F.concat_ws(":", "job_id", "page"))
-    once = stream_state.drop_redelivered(keyed, "ts", "14 days").select("idempotency_key")
+def in_batches(spark, path, batches, schema=STAGE_LOG):
+    """A stream that gives each batch to a micro-batch of its own, in order."""
+    for i, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, schema).coalesce(1)
+        df.write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def at(day, hour=0):
+    return dt.datetime(2026, 1, 1) + dt.timedelta(days=day, hours=hour)
+
+
+def until(day):
+    return int(at(day + 14).replace(tzinfo=dt.timezone.utc).timestamp())
+
+
+def row(day, status="running", page=1, **more):
+    return {"page": page, "status": status, "ts": at(day), "seq": day, "expires_at": until(day), **more}
+
+
+def test_keys_lapse_and_start_anew(spark, tmp_path):
+    stream = in_batches(spark, str(tmp_path / "in"), [
+        rows(row(0), row(0, page=2), row(0, page=3, expires_at=0), row(0, "succeeded", page=4)),
+        # Page 1 slides its end; page 2 lapses; page 3 never does; page 4 is final and does not slide.
+        rows(row(10, "failed"), row(10, page=4), row(20, page=3), row(14, page=2)),
+        rows(row(20), row(2, "queued"), row(13, page=4), row(15, "failed", page=4)),
+    ])
+    finish(stream_state.stream_key_life(stream, str(tmp_path / "out"), str(tmp_path / "cp")))
+    stored = spark.read.schema(stream_state.STORED_LIFE).parquet(str(tmp_path / "out"))
+    got = {r.page: (r.status, r.deliveries, r.lives, r.expires_at) for r in stream_state.latest_life(stored).collect()}
+    assert got == {
+        1: ("running", 4, 1, until(20)),
+        2: ("running", 1, 2, until(14)),
+        3: ("running", 2, 1, until(20)),
+        4: ("failed", 1, 2, until(15)),
+    }
+
+
+def test_life_is_written_under_the_checkpoint_own_name(spark, tmp_path):
     out = str(tmp_path / "out")
-    finish(
-        once.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True).start(out)
+    for name in ("a", "b"):  # each begins with batch 0
+        stream = in_batches(spark, str(tmp_path / name), [rows(row(0 if name == "a" else 5, page=1 if name == "a" else 2))])
+        finish(stream_state.stream_key_life(stream, out, str(tmp_path / f"cp-{name}")))
+    stored = spark.read.schema(stream_state.STORED_LIFE).parquet(out)
+    assert sorted(r.page for r in stream_state.latest_life(stored).collect()) == [1, 2]
+
+
+def test_redelivered_keys_pass_once_a_window(spark, tmp_path):
+    days = [[0, 3, 13], [20, 14], [2, 21, 40], [1]]
+    stream = in_batches(
+        spark, str(tmp_path / "in"),
+        [[("k", at(d), d) for d in batch] + [("late", at(0), 100)] * (i == 3) for i, batch in enumerate(days)],
+        "idempotency_key string, ts timestamp, seq long",
     )
-    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["j:1", "j:2", "j:3", "j:4"]
+    out = str(tmp_path / "out")
+    with stream_state.stateful(spark):
+        query = (
+            stream_state.drop_redelivered(stream, "ts").writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+        )
+    finish(query)
+    # Day 14 is the first after the window of day 0; day 40 after that of day 14. A late key is not lost.
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == [0, 14, 40, 100]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+JOBS = "job_id string, page_count int, chain_id string, chain array<struct<name:string,version:string,queue_name:string>>"
 
 
 def test_job_is_reported_once_when_it_finishes(spark, tmp_path):
     stream, _ = as_stream(spark, str(tmp_path / "in"))
-    jobs = spark.createDataFrame(
-        [("j", 2, "", []), ("other", 1, "", [])],
-        "job_id string, page_count int, chain_id string, chain array<struct<name:string,version:string,queue_name:string>>",
-    )
+    jobs = spark.createDataFrame([("j", 2, "", []), ("other", 1, "", [])], JOBS)
     out = str(tmp_path / "out")
-    finish(
-        completion.stream_finished_jobs(
-            stream, jobs, str(tmp_path / "log"), out, F.lit("2026-01-02").cast("timestamp"), str(tmp_path / "cp")
-        )
-    )
+    finish(completion.stream_finished_jobs(stream, jobs, out, str(tmp_path / "cp"), until(0)))
     got = spark.read.parquet(out).collect()
     assert [(r.job_id, r.decision) for r in got] == [("j", "failed")]
 
 
+def test_pages_that_lapse_do_not_finish_a_job(spark, tmp_path):
+    jobs = spark.createDataFrame([("j", 2, "", []), ("k", 2, "", [])], JOBS)
+    early = [row(0, "succeeded", 1), row(0, "succeeded", 0), row(0, "running", 2)]
+    stream = in_batches(spark, str(tmp_path / "in"), [
+        rows(*[{**r, "job_id": j} for r in early for j in "jk"]),
+        rows(row(10, "succeeded", 2, job_id="j"), row(10, "succeeded", 2, job_id="k", stage="gemini")),
+        rows(row(11, "succeeded", 1, job_id="j"), row(11, "failed", 2, job_id="k"), row(12, "succeeded", 1, job_id="k")),
+    ])
+    out = str(tmp_path / "out")
+    # By the clock of day 15 what was written on day 0 has lapsed.
+    finish(completion.stream_finished_jobs(stream, jobs, out, str(tmp_path / "cp"), until(1)))
+    got = sorted((r.job_id, r.decision, r.succeeded_count, r.failed_count) for r in spark.read.parquet(out).collect())
+    assert got == [("j", "succeeded", 2, 0), ("k", "failed", 1, 1)]
+
+
 def test_messages(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
