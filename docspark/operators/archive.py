@@ -18,7 +18,7 @@ from docspark.functions.text import card_slug, issuer_slug
 from docspark.functions.variants import is_empty_value, text_value
 from docspark.operators.spread import join_per_job
 from docspark.schema import SOURCE_KIND
-from docspark.sources.tables import replace_part
+from docspark.sources.tables import drop_parts, kept_part, read_or_empty, replace_part
 
 # Header fields the archive layout is built from.
 ISSUER_KEYS = ("issuer_name", "issuer")
@@ -185,6 +185,41 @@ def archived_transactions(tx: DataFrame, targets: DataFrame) -> DataFrame:
     return join_per_job(tx, side)
 
 
+MANIFEST = (
+    T.StructType()
+    .add("job_id", "string")
+    .add("tenant_id", "string")
+    .add(
+        "source",
+        T.StructType()
+        .add("kind", "string")
+        .add("issuer", "string")
+        .add("card_name", "string")
+        .add("raw_uri", "string"),
+    )
+    .add("results", T.StructType().add("transactions", "string"))
+    .add(
+        "chain",
+        T.StructType()
+        .add("id", "string")
+        .add("stages", T.ArrayType(T.StringType())),
+    )
+    .add("archived_at", "string")
+)
+STORED_MANIFEST = T.StructType([*MANIFEST.fields, T.StructField("run", T.IntegerType())])
+POINTER = (
+    T.StructType()
+    .add("archive_uri", "string")
+    .add("tenant_id", "string")
+    .add("archived_at", "string")
+    .add("run", "integer")
+    .add("job_id", "string")
+)
+SNAPSHOT = T.StructType([*POINTER.fields, T.StructField("upto", T.IntegerType())])
+FOLDED = T.StructType().add("folded", "integer").add("upto", "integer")
+TABLES = ("documents", "fields", "transactions")
+
+
 @dataclass(frozen=True)
 class ArchiveRoots:
     """Folders of the tables an archive run writes."""
@@ -211,21 +246,37 @@ class ArchiveRoots:
     def manifests(self) -> str:
         return f"{self.root}/manifests"
 
+    @property
+    def snapshots(self) -> str:
+        return f"{self.root}/snapshots/pointers"
+
+    @property
+    def folded(self) -> str:
+        return f"{self.root}/snapshots/folded"
+
     @property
     def sidecars(self) -> str:
         return f"{self.root}/index"
 
 
+def _placed(rows: DataFrame, *place: str) -> DataFrame:
+    """Rows of one folder in few tasks, those of a large one in several."""
+    return rows.hint("rebalance", *place)
+
+
 def write_archive(
     targets: DataFrame, tx: DataFrame, fields: DataFrame, roots: ArchiveRoots, run: int
 ) -> None:
-    """Write headers, header fields and transactions of the targets."""
+    """Write headers, header fields and transactions of the targets.
+
+    None of it is read before a manifest of the same run vouches for it.
+    """
     headers = targets.select(*PARTITIONS, "job_id", "issuer_slug", "card_slug", "document_type", "archive_uri")
-    replace_part(headers, roots.documents, "run", run, *PARTITIONS)
+    replace_part(_placed(headers, *PARTITIONS), roots.documents, "run", run, *PARTITIONS)
     side = targets.select("job_id", *PARTITIONS, "card_slug")
-    replace_part(fields.join(side, "job_id"), roots.fields, "run", run, *PARTITIONS)
+    replace_part(_placed(fields.join(side, "job_id"), *PARTITIONS), roots.fields, "run", run, *PARTITIONS)
     rows = archived_transactions(tx, targets)
-    replace_part(rows, roots.transactions, "run", run, *PARTITIONS)
+    replace_part(_placed(rows, *PARTITIONS), roots.transactions, "run", run, *PARTITIONS)
 
 
 def write_raw_catalog(targets: DataFrame, documents: DataFrame, roots: ArchiveRoots, run: int) -> None:
@@ -242,16 +293,81 @@ def write_manifests(manifests: DataFrame, roots: ArchiveRoots, run: int) -> None
     replace_part(manifests, roots.manifests, "run", run)
 
 
-def read_current_archive(spark: SparkSession, roots: ArchiveRoots, table: str) -> DataFrame:
-    """Rows of the documents that are current under their archive key.
+def _newest(pointers: DataFrame) -> DataFrame:
+    """Of the documents under one archive key, the one archived last."""
+    last = F.max(F.struct("archived_at", "run", "job_id", "tenant_id")).alias("_last")
+    return pointers.groupBy("archive_uri").agg(last).select("archive_uri", "_last.*").select(*POINTER.fieldNames())
+
+
+def current_documents(spark: SparkSession, roots: ArchiveRoots) -> DataFrame:
+    """Per archive key the document that counts: who wrote it, in which run, when.
+
+    Manifests alone make documents current, as they are written last; a run cut
+    short before them leaves all as it was. Of manifests that the newest
+    snapshot has folded, the snapshot's pointers stand.
+    """
+    manifests = read_or_empty(spark, roots.manifests, STORED_MANIFEST)
+    folded = read_or_empty(spark, roots.folded, FOLDED)
+    upto = folded.agg(F.max("upto")).first()[0]
+    if upto is not None:
+        runs = folded.filter(F.col("upto") == upto).select(F.col("folded").alias("run"))
+        manifests = manifests.join(runs, "run", "left_anti")
+    pointers = manifests.filter(F.col("results.transactions") != "").select(
+        F.col("results.transactions").alias("archive_uri"), "tenant_id", "archived_at", "run", "job_id"
+    )
+    if upto is not None:
+        base = read_or_empty(spark, roots.snapshots, SNAPSHOT).filter(F.col("upto") == upto).drop("upto")
+        pointers = pointers.unionByName(base)
+    return _newest(pointers)
+
+
+def read_current_archive(spark: SparkSession, roots: ArchiveRoots, table: str, tenant: str | None = None) -> DataFrame:
+    """Rows of the documents that are current under their archive key, of one tenant or of all.
 
     A document is current as one run wrote it: rows that an earlier run left
-    behind, of the same job or another one, are not read.
+    behind, of the same job or another one, are not read. For one tenant only
+    the folders of that tenant, in the runs that hold its documents, are read.
     """
-    headers = _partitioned(spark, roots.documents)
-    last = headers.groupBy("archive_uri").agg(F.max(F.struct("run", "job_id")).alias("_last"))
+    current = current_documents(spark, roots)
     rows = _partitioned(spark, getattr(roots, table))
-    return rows.join(last.select("_last.*"), ["job_id", "run"], "left_semi")
+    if tenant is not None:
+        current = current.filter(F.col("tenant_id") == tenant)
+        runs = [r.run for r in current.select("run").distinct().collect()]
+        rows = rows.filter((F.col("tenant") == tenant) & F.col("run").isin(runs))
+    return rows.join(current.select("job_id", "run"), ["job_id", "run"], "left_semi")
+
+
+def compact_archive(spark: SparkSession, roots: ArchiveRoots, number: int) -> None:
+    """Write all current documents as one run, and a snapshot that points there.
+
+    `number` is a write number claimed for this. The list of the runs that
+    were folded comes last: until it is there readers follow the manifests,
+    and manifests of other runs count beside it. Superseded rows stay until
+    `drop_superseded`.
+    """
+    manifests = read_or_empty(spark, roots.manifests, STORED_MANIFEST)
+    before = read_or_empty(spark, roots.folded, FOLDED)
+    runs = manifests.select("run").union(before.select("folded")).union(before.select("upto")).distinct()
+    runs = kept_part(runs.toDF("folded"), f"{roots.root}/snapshots/runs", "upto", number)
+    # A manifest that comes meanwhile is left for the next time.
+    current = current_documents(spark, roots).join(runs, F.col("run") == F.col("folded"), "left_semi")
+    current = kept_part(current, f"{roots.root}/snapshots/current", "upto", number)
+    for table in TABLES:
+        path = getattr(roots, table)
+        rows = _partitioned(spark, path).join(current.select("job_id", "run"), ["job_id", "run"], "left_semi")
+        replace_part(_placed(rows.drop("run"), *PARTITIONS), path, "run", number, *PARTITIONS)
+    replace_part(current.withColumn("run", F.lit(number)), roots.snapshots, "upto", number)
+    replace_part(runs, roots.folded, "upto", number)
+
+
+def drop_superseded(spark: SparkSession, roots: ArchiveRoots) -> None:
+    """Delete the rows of folded runs, once nobody reads by an older snapshot any more."""
+    folded = read_or_empty(spark, roots.folded, FOLDED)
+    upto = folded.agg(F.max("upto")).first()[0]
+    runs = {str(r.folded) for r in folded.filter(F.col("upto") == upto).collect()}
+    for table in TABLES:
+        drop_parts(spark, getattr(roots, table), "run", lambda v: v in runs)
+    drop_parts(spark, roots.snapshots, "upto", lambda v: v in runs)
 
 
 def _partitioned(spark: SparkSession, path: str) -> DataFrame:

@@ -212,13 +212,18 @@ def upsert_jobs(existing: DataFrame, incoming: DataFrame, carry: Sequence[str])
     return both.select(*out)
 
 
-def rejected_jobs(requests: DataFrame, registry: Registry = CHAIN_REGISTRY) -> DataFrame:
-    """(job_id, tenant_id, errors) of the requests that cannot be run."""
-    checked = validate_jobs(bind_chain(requests, registry).withColumn("page_count", F.lit(0)))
+def checked_jobs(requests: DataFrame, registry: Registry = CHAIN_REGISTRY) -> DataFrame:
+    """The requests with `errors`, what keeps each from being run."""
+    bound = bind_chain(requests, registry).withColumn("page_count", F.lit(0))
     unknown = F.col("bind_error").isNotNull()
     errors = F.when(unknown, F.array_append(F.array_remove("errors", "empty chain"), F.col("bind_error")))
-    found = checked.withColumn("errors", errors.otherwise(F.col("errors")))
-    return found.filter(F.size("errors") > 0).select("job_id", "tenant_id", "errors")
+    found = validate_jobs(bound).withColumn("errors", errors.otherwise(F.col("errors")))
+    return found.select(*[F.col(c) for c in requests.columns if c not in ("chain_id", "chain")], "chain_id", "errors")
+
+
+def rejected_jobs(requests: DataFrame, registry: Registry = CHAIN_REGISTRY) -> DataFrame:
+    """(job_id, tenant_id, errors) of the requests that cannot be run."""
+    return checked_jobs(requests, registry).filter(F.size("errors") > 0).select("job_id", "tenant_id", "errors")
 
 
 def created_jobs(requests: DataFrame, updated_at: str, registry: Registry = CHAIN_REGISTRY) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions.dates import expires_at
 from docspark.functions.keys import stage_key
@@ -22,6 +23,7 @@ from docspark.schema import (
 from docspark.sources.tables import read_or_empty, replace_part
 
 KEY = list(STAGE_KEY_COLUMNS)
+LOG_BUCKETS = 16
 
 
 def newest(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,18 +104,30 @@ def failed_rows(failed: DataFrame, now: Column, seq: int, days: int = RETENTION_
     return _rows(failed, FAILED, now, seq, values, days)
 
 
+def log_bucket(job_id: str = "job_id") -> Column:
+    return F.pmod(F.xxhash64(job_id), F.lit(LOG_BUCKETS)).cast("int")
+
+
 def append_state(rows: DataFrame, root: str, batch: int | str) -> None:
     """Append state rows; repeating a batch replaces what it wrote before.
 
     `batch` names the write, so it must be no one else's. The log is laid out
-    by stage and version, so a stage reads its own rows.
+    by stage, version and bucket of the job, so a stage reads its own rows, and
+    of those the buckets its work is in. A bucket that holds most of the rows
+    is written by several tasks.
     """
-    replace_part(rows, root, "batch", batch, "stage", "version")
-
-
-def read_state_log(spark: SparkSession, root: str) -> DataFrame:
-    """The whole log; empty where nothing was written yet."""
-    return read_or_empty(spark, root, STAGE_LOG)
+    place = ("stage", "version", "bucket")
+    placed = rows.withColumn("bucket", log_bucket()).hint("rebalance", *place)
+    replace_part(placed, root, "batch", batch, *place)
+
+
+def read_state_log(spark: SparkSession, root: str, work: DataFrame | None = None) -> DataFrame:
+    """The log, or of it the buckets that `work` is in; empty where nothing was written yet."""
+    log = read_or_empty(spark, root, T.StructType([*STAGE_LOG.fields, T.StructField("bucket", T.IntegerType())]))
+    if work is not None:
+        buckets = [r[0] for r in work.select(log_bucket().alias("bucket")).distinct().collect()]
+        log = log.filter(F.col("bucket").isin(buckets)) if len(buckets) < LOG_BUCKETS else log
+    return log.drop("bucket")
 
 
 def purge_expired(spark: SparkSession, root: str, target: str, now: Column) -> None:

@@ -367,3 +367,28 @@ def conversation_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         chain_literal(SHORT_CHAIN).alias("chain"),
         pick(conv % 5, "tenant-a", "tenant_b", "bad tenant", "", "acme").alias("tenant_id"),
     )
+
+
+def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per conversation: one page per turn, tenants good and bad, one without a job id."""
+    jobs = conversation_jobs(spark, sf_dir)
+    conv = F.split_part("job_id", F.lit("_"), F.lit(2)).cast("long")
+    page = lambda i: F.concat(F.lit("s3://inbox/"), F.col("job_id"), F.lit("/"), i.cast("string"))
+    return jobs.select(
+        F.when(conv % 13 != 0, F.col("job_id")).alias("job_id"),
+        uri_for("inbox", F.concat(F.lit("jobs/"), "job_id", F.lit("/input.pdf"))).alias("input_uri"),
+        F.lit("rendered").alias("mode"),
+        F.when(conv % 9 == 0, "receipt-v9").otherwise("").alias("chain_id"),
+        "tenant_id",
+        F.transform(F.sequence(F.lit(1), F.greatest("page_count", F.lit(1))), page).alias("pages"),
+    )
+
+
+def conversation_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uri, content) of the pages that `conversation_requests` names; some cannot be read."""
+    pages = conversation_pages(spark, sf_dir)
+    number = F.split_part("job_id", F.lit("_"), F.lit(2)).cast("long")
+    broken = (number % 8 == 0) & (F.col("page") == 2)
+    body = F.when(broken, "{cut").otherwise(F.col("result"))
+    uri = F.concat(F.lit("s3://inbox/"), "job_id", F.lit("/"), F.col("page").cast("string"))
+    return pages.select(uri.alias("uri"), F.encode(body, "UTF-8").alias("content"))

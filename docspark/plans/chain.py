@@ -16,6 +16,7 @@ from docspark.functions.keys import page_key, uri_for
 from docspark.functions.variants import string_field
 from docspark.operators.extract import Extractor, extract_pages, rule_extractor
 from docspark.operators.pages import route_next
+from docspark.operators.retention import drop_below, lapse
 from docspark.operators.state import (
     append_state,
     failed_rows,
@@ -38,6 +39,7 @@ from docspark.schema import (
     MESSAGE,
     NORMALIZE_STAGE,
     RETENTION_DAYS,
+    SUCCEEDED,
     TRANSACTION_ROW,
 )
 from docspark.sources.dictionary import Dictionary
@@ -46,6 +48,8 @@ from docspark.sources.tables import claim_number, kept_part, read_or_empty
 
 PAGE = ["job_id", "page"]
 NO_PREVIOUS = "no result of the stage before"
+# Metadata of a work row: the writes that hold the result before it, and the page headers.
+RESULT_WRITE, HEADER_WRITE = "docspark.result_write", "docspark.header_write"
 
 
 def _stored_schema(*fields: T.StructField) -> T.StructType:
@@ -144,19 +148,20 @@ class StageStore:
     spark: SparkSession
     root: str
     bucket: str
+    live_from: int = 0  # writes below this number have lapsed
 
     @property
     def log_root(self) -> str:
         return f"{self.root}/state"
 
-    def state(self, name: str, version: str) -> DataFrame:
-        """Newest page records of one stage, read from its own partition."""
-        log = read_state_log(self.spark, self.log_root)
+    def state(self, name: str, version: str, work: DataFrame | None = None) -> DataFrame:
+        """Newest page records of one stage, read from its own partition; of `work`'s jobs if given."""
+        log = read_state_log(self.spark, self.log_root, work)
         return latest_state(stages_for(log, name, version))
 
-    def claim(self) -> int:
+    def claim(self, now: Column | None = None) -> int:
         """A write number of its own: what is stored under it is one attempt."""
-        return claim_number(self.spark, f"{self.root}/claims")
+        return claim_number(self.spark, f"{self.root}/claims", now)
 
     def save(self, table: str, df: DataFrame, name: str, version: str, write: int) -> None:
         place = f"stage={quote(name)}/version={quote(version)}/run={write}"
@@ -164,7 +169,8 @@ class StageStore:
 
     def stored(self, table: str, name: str, version: str) -> DataFrame:
         rows = read_or_empty(self.spark, f"{self.root}/{table}", STORED[table])
-        return rows.filter((F.col("stage") == name) & (F.col("version") == version))
+        own = (F.col("stage") == name) & (F.col("version") == version)
+        return rows.filter(own & (F.col("run") >= self.live_from))
 
     def load(self, table: str, name: str, version: str) -> DataFrame:
         """Stored rows of one stage, of each page's newest finished run."""
@@ -177,14 +183,31 @@ class StageStore:
             .drop("run", "stage", "version")
         )
 
-    def input_of(self, keys: DataFrame, header_stage: tuple[str, str], last: tuple[str, str]) -> StageData:
-        """What one stage left for the pages named."""
-        return StageData(
-            self.load("headers", *header_stage).join(keys, PAGE, "left_semi"),
-            self.load("transactions", *last)
-            .select(*[f.name for f in TRANSACTION_ROW.fields])
-            .join(keys, PAGE, "left_semi"),
-        )
+    def rows_of(self, table: str, name: str, version: str, keys: DataFrame) -> DataFrame:
+        """Stored rows of (job_id, page, run), read from the partitions of those runs alone."""
+        runs = [r.run for r in keys.select("run").distinct().collect()]
+        rows = self.stored(table, name, version).filter(F.col("run").isin(runs))
+        return rows.join(keys, [*PAGE, "run"], "left_semi").drop("run", "stage", "version")
+
+    def finished_runs(self, name: str, version: str, jobs: DataFrame) -> DataFrame:
+        """(job_id, page, run): the write that holds each succeeded page of these jobs."""
+        done = self.state(name, version, jobs).filter(F.col("status") == SUCCEEDED)
+        runs = done.select(*PAGE, write_of(F.col("seq")).alias("run"))
+        return runs.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+
+    def purge(self, now: Column, days: int = RETENTION_DAYS) -> int:
+        """Let go of all writes older than `days`, in every table at once."""
+        pointer = lapse(self.spark, self.root, now, days)
+        tables = dict.fromkeys((*STORED, "taken", "routed"), "run")
+        drop_below(self.spark, self.root, tables, pointer)
+        drop_below(self.spark, self.root, {"state": "batch"}, pointer, per_write=2)
+        drop_below(self.spark, self.root, {"claims": "claim"}, pointer - 1)
+        return pointer
+
+
+def write_of(seq: Column) -> Column:
+    """The write that a state row of `run_stage` belongs to: two rows a write, begun and ended."""
+    return F.shiftright(seq, 1).cast("int")
 
 
 def run_stage(
@@ -205,50 +228,76 @@ def run_stage(
     `fallback` is the stage after them. A page without a result of the stage
     before fails.
 
+    A row's metadata names the write that holds the result before it, so that
+    a micro-batch reads the partitions of those writes, however many others
+    there are. Rows that come without are looked up among the finished pages.
+
     What is done is asked of the state log alone, key by key. Results are
     stored first, under a write number of this attempt, then the state rows
     that vouch for them, so an attempt cut short leaves nothing that is read.
     `run` is the caller's name for the attempt and may come again.
     """
+    write = store.claim(now)
+    work = work.select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE.fields])
+    # Stored first: the plan that made the work runs once, whatever is asked of it.
+    work = kept_part(work, f"{store.root}/taken", "run", write)
     mine = (F.col("stage") == stage.name) & (F.col("version") == stage.version)
     one_each = work.filter(mine).dropDuplicates([*PAGE, "stage", "version"])
-    write = store.claim()
     _execute(store, stage, one_each, now, write, previous, header_stage, days)
-    finished = succeeded_keys(store.state(stage.name, stage.version), now)
-    routed = route_next(one_each.join(finished.select(*PAGE, "result_uri"), PAGE), fallback)
-    others = work.filter(~mine).select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE.fields])
+    finished = succeeded_keys(store.state(stage.name, stage.version, one_each), now)
+    written = finished.select(*PAGE, "result_uri", write_of(F.col("seq")).alias("_write"))
+    holders = [RESULT_WRITE, HEADER_WRITE] if (stage.name, stage.version) == header_stage else [RESULT_WRITE]
+    carried = _carrying(one_each.join(written, PAGE), *holders)
     # Stored, as plans that read one folder at two times may share one scan.
-    return kept_part(routed.unionByName(others), f"{store.root}/routed", "run", write)
+    return kept_part(route_next(carried, fallback).unionByName(work.filter(~mine)), f"{store.root}/routed", "run", write)
+
+
+def _carrying(work: DataFrame, *holders: str) -> DataFrame:
+    """Work whose metadata names `_write` under each of the names."""
+    given = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    rest = F.map_filter(given, lambda k, _: ~k.isin(*holders))
+    named = F.create_map(*[x for h in holders for x in (F.lit(h), F.col("_write").cast("string"))])
+    return work.withColumn("metadata", F.map_concat(rest, named)).drop("_write")
 
 
 def _with_previous(work: DataFrame, previous: tuple[str, str] | None) -> DataFrame:
-    """Add `_before`, the stage before in the row's chain."""
+    """Add `_before`, the stage before in the row's chain, and the writes its metadata names."""
     before = F.when(F.col("chain_idx") > 0, F.get("chain", F.col("chain_idx") - 1))
     own = F.when(before.isNotNull(), F.struct(before["name"].alias("name"), before["version"].alias("version")))
+    for name, column in ((RESULT_WRITE, "_result"), (HEADER_WRITE, "_headers")):
+        work = work.withColumn(column, F.try_element_at("metadata", F.lit(name)).try_cast("int"))
     if previous is None:
         return work.withColumn("_before", own)
     given = F.struct(F.lit(previous[0]).alias("name"), F.lit(previous[1]).alias("version"))
     return work.withColumn("_before", F.when(F.size("chain") > 0, own).otherwise(given))
 
 
+def _runs(store: StageStore, work: DataFrame, column: str, name: str, version: str, known: bool) -> DataFrame:
+    """(job_id, page, run): the write that each row names, or else the newest finished one."""
+    named = work.filter(F.col(column).isNotNull()).select(*PAGE, F.col(column).alias("run"))
+    if known:
+        return named
+    asked = work.filter(F.col(column).isNull()).select(*PAGE)
+    newest = store.stored("done", name, version).join(asked, PAGE, "left_semi")
+    return named.unionByName(newest.groupBy(*PAGE).agg(F.max("run").alias("run")))
+
+
 def _input(store: StageStore, work: DataFrame, header_stage: tuple[str, str]) -> tuple[StageData, DataFrame]:
     """(rows of the stages before, work that has none to go on from)."""
-    pairs = work.select("_before.name", "_before.version").where("name IS NOT NULL").distinct().collect()
-    parts, done = [], []
-    for pair in pairs:  # one per stage that chains name
-        name, version = pair
-        own = work.filter((F.col("_before.name") == name) & (F.col("_before.version") == version)).select(*PAGE)
-        done.append(store.stored("done", name, version).select(*PAGE).join(own, PAGE, "left_semi"))
-        parts.append(store.input_of(own, header_stage, (name, version)))
-    if not parts:
-        return StageData(), work.limit(0)
-    known = reduce(DataFrame.unionByName, done).distinct()
-    missing = work.filter(F.col("_before").isNotNull()).join(known, PAGE, "left_anti")
-    data = StageData(
-        reduce(DataFrame.unionByName, [p.headers for p in parts]),
-        reduce(DataFrame.unionByName, [p.transactions for p in parts]),
+    named = work.where("_before IS NOT NULL").groupBy("_before.name", "_before.version").agg(
+        F.count_if(F.col("_result").isNull()).alias("loose"), F.count_if(F.col("_headers").isNull()).alias("headless")
     )
-    return data, missing
+    headers, rows, done = [], [], []
+    for name, version, loose, headless in named.collect():  # one per stage that chains name
+        own = work.filter((F.col("_before.name") == name) & (F.col("_before.version") == version))
+        runs = _runs(store, own, "_result", name, version, not loose)
+        rows.append(store.rows_of("transactions", name, version, runs).select(*TRANSACTION_ROW.fieldNames()))
+        done.append(store.rows_of("done", name, version, runs).select(*PAGE))
+        headers.append(store.rows_of("headers", *header_stage, _runs(store, own, "_headers", *header_stage, not headless)))
+    if not rows:
+        return StageData(), work.limit(0)
+    missing = work.filter(F.col("_before").isNotNull()).join(reduce(DataFrame.unionByName, done).distinct(), PAGE, "left_anti")
+    return StageData(reduce(DataFrame.unionByName, headers), reduce(DataFrame.unionByName, rows)), missing
 
 
 def _execute(
@@ -266,7 +315,7 @@ def _execute(
     def kept(table: str) -> DataFrame:
         return store.stored(table, name, version).filter(F.col("run") == write).drop("run")
 
-    store.save("work", pending_work(work, store.state(name, version), now), name, version, write)
+    store.save("work", pending_work(work, store.state(name, version, work), now), name, version, write)
     todo = kept("work")
     if todo.isEmpty():
         return

@@ -190,6 +190,19 @@ v_life AS (
     CASE WHEN NOT {LAPSED} AND l.status = 'succeeded' THEN l.seq ELSE r.seq END
   FROM v_life l JOIN v_rows r ON r.idempotency_key = l.idempotency_key AND r.i = l.i + 1)"""
 
+# Conversations as jobs of a run: which requests are good, which have a page that cannot be read.
+V_RUN = """v_run AS (
+  SELECT conv_id, job_id, page_count, conv_id % 8 = 0 AND page_count >= 2 AS cut,
+    concat_ws('; ', CASE WHEN conv_id % 9 = 0 THEN 'chain receipt-v9 is not in the registry' END,
+      CASE WHEN conv_id % 13 = 0 THEN 'empty job_id' END, CASE WHEN conv_id % 5 = 3 THEN 'empty tenant_id' END,
+      CASE WHEN conv_id % 5 = 2 THEN 'tenant_id may hold letters, digits, - and _ only' END) AS errors
+  FROM v_cjob),
+v_sum AS (
+  SELECT conv_id, count(*) FILTER (turn <> 1 OR conv_id % 8 <> 0) AS read,
+    CAST(sum(turn % 3) AS BIGINT) AS row_count, CAST(sum(turn % 3 * (turn + 1)) AS BIGINT) AS total,
+    CAST(sum(CASE WHEN turn <> 1 OR conv_id % 8 <> 0 THEN turn % 3 ELSE 0 END) AS BIGINT) AS rows_read
+  FROM conversations GROUP BY conv_id)"""
+
 ALIVE = f"(expires_at = 0 OR expires_at > {epoch(f'TIMESTAMP {chr(39)}{NOW}{chr(39)}')})"
 
 V_JOB = f"""v_job AS (
@@ -339,6 +352,16 @@ def sql(*parts: str) -> str:
     return (f"WITH {', '.join(views)}\n" if views else "") + body
 
 
+V_ROWCOUNT = "v_rowcount AS (SELECT job_id, CAST(sum(turn % 3) AS BIGINT) AS row_count FROM v_cpage GROUP BY job_id)"
+
+
+def current(where: str, order: str) -> str:
+    """The document under each archive key that comes last by `order`."""
+    return f"""SELECT archive_uri, job_id, tenant, year, month, card_slug, row_count
+  FROM v_target JOIN v_rowcount USING (job_id) WHERE target_error IS NULL AND {where}
+  QUALIFY row_number() OVER (PARTITION BY archive_uri ORDER BY {order} DESC) = 1"""
+
+
 JOB_LIST = "status, input_uri, result_uri, page_count, error, mode, chain_id, chain_length, expires_at, updated_at"
 V_JOBROW = """v_jobrow AS (
   SELECT job_id, status, input_uri, result_uri, page_count, error, mode, chain_id,
@@ -574,6 +597,48 @@ ORACLE: dict[str, str] = {
         """SELECT archive_uri, max(job_id) AS job_id, count(*) AS jobs FROM v_target
   WHERE target_error IS NULL GROUP BY archive_uri""",
     ),
+    "archive_after_crash": sql(
+        *TARGET_VIEWS, V_ROWCOUNT,
+        current("document_type = 'receipt'", "job_id"),
+    ),
+    "archive_rerun": sql(
+        *TARGET_VIEWS, V_ROWCOUNT,
+        current("true", "(document_type <> 'receipt', job_id)"),
+    ),
+    "archive_last_write": sql(
+        *TARGET_VIEWS, V_ROWCOUNT,
+        current("true", "(document_type = 'receipt', job_id)"),
+    ),
+    "page_results_roundtrip": f"""SELECT version, page, count(*) AS pages, min(size) AS least, max(size) AS most
+  FROM (SELECT DISTINCT {pick("l_linenumber % 3", "2.10", "2.1", "007")} AS version, l_linenumber AS page,
+    {LINE_ID} AS job_id, CAST(CASE l_linenumber % 2 WHEN 0 THEN -strlen({LINE_ID}) ELSE strlen({LINE_ID}) END AS INTEGER) AS size
+    FROM lineitem) GROUP BY ALL""",
+    "end_to_end_run": sql(
+        *TARGET_VIEWS, V_RUN,
+        """SELECT CASE WHEN conv_id % 13 <> 0 THEN job_id END AS job_id,
+    CASE WHEN errors <> '' THEN 'rejected' WHEN cut THEN 'running' ELSE 'succeeded' END AS status,
+    CASE WHEN errors = '' THEN page_count ELSE 0 END AS page_count, errors AS error,
+    CASE WHEN errors = '' AND NOT cut THEN row_count ELSE 0 END AS row_count,
+    CASE WHEN errors = '' AND NOT cut THEN total ELSE 0 END AS total,
+    CASE WHEN errors = '' AND NOT cut AND row_count > 0 THEN 'Starbucks' END AS merchant,
+    CASE WHEN errors = '' AND NOT cut AND row_count > 0 THEN 'JP' END AS country,
+    CASE WHEN errors = '' AND NOT cut THEN archive_uri END AS archive_uri,
+    errors = '' AND NOT cut AND conv_id % 7 IN (0, 1, 6) AS indexed,
+    CASE WHEN errors = '' AND NOT cut THEN 'succeeded' END AS told
+  FROM v_run JOIN v_sum USING (conv_id) JOIN (SELECT conv_id, archive_uri FROM v_target) USING (conv_id)""",
+    ),
+    "purged_artifacts": sql(
+        V_CJOB, V_RUN,
+        """v_left AS (SELECT * FROM v_run JOIN v_sum USING (conv_id) WHERE errors = ''),
+v_parts AS (
+  SELECT job_id, 'log' AS part, 2 * page_count + 4 * read AS rows FROM v_left WHERE conv_id % 2 = 0
+  UNION ALL SELECT job_id, 'headers', read FROM v_left WHERE conv_id % 2 = 0
+  UNION ALL SELECT job_id, 'rows', rows_read FROM v_left WHERE conv_id % 2 = 0
+  UNION ALL SELECT job_id, 'merged', 1 FROM v_left WHERE conv_id % 2 = 0 AND NOT cut
+  UNION ALL SELECT job_id, 'jobs', CASE WHEN cut THEN 2 ELSE 3 END FROM v_left WHERE conv_id % 2 = 0
+  UNION ALL SELECT job_id, 'manifests', 1 FROM v_left WHERE NOT cut)""",
+        "SELECT job_id, part, CAST(rows AS BIGINT) AS rows FROM v_parts WHERE rows > 0",
+    ),
     "manifests": sql(
         *TARGET_VIEWS,
         f"""SELECT job_id, tenant_id, 'card_statement' AS kind, issuer, card_name, raw_uri, archive_uri,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ from docspark.operators.transactions import (
     page_issuer,
 )
 from docspark.plans import adapters as view
-from docspark.plans.chain import StageStore, enrich_stage, run_stage
+from docspark.plans import run as runs
+from docspark.plans.chain import StageStore, enrich_stage, extract_stage, normalize_stage, run_stage
+from docspark.plans.run import Workspace, run_jobs
 from docspark.schema import (
     CHAIN,
     CHAIN_REGISTRY,
@@ -45,10 +48,11 @@ from docspark.schema import (
 )
 from docspark.session import configure, work_dir
 from docspark.sources.dictionary import seed_dictionary
-from docspark.sources.pages import decode_pages, failed_pages, good_pages
+from docspark.sources.pages import decode_pages, failed_pages, good_pages, latest_page_results, write_page_results
 from docspark.sources.tables import read_or_empty, replace_part
 from docspark.streaming import completion, messages
 from docspark.streaming import state as stream_state
+from docspark.streaming.events import DELIVERED
 
 # What the gate and the skip rule read of a state row.
 PROGRESS = ("status", "expires_at")
@@ -175,9 +179,10 @@ def _enriched_twice(spark: SparkSession, sf_dir: str, name: str, had_result) ->
     """The enrich stage over stored rows, twice under one run number."""
     store = StageStore(spark, work_dir(spark, name), "work")
     tx = view.transactions(spark, sf_dir).select(*TRANSACTION_ROW.fieldNames())
-    pages = tx.select("job_id", "page").distinct()
     write = store.claim()
     store.save("transactions", tx, *EXTRACT_STAGE, write)
+    kept = store.stored("transactions", *EXTRACT_STAGE)
+    pages = kept.select("job_id", "page").distinct()
     store.save("done", pages.filter(had_result), *EXTRACT_STAGE, write)
     values = {
         "job_id": F.col("job_id"),
@@ -405,6 +410,24 @@ def decode_pages_header(spark, sf_dir):
     )
 
 
+@query
+def page_results_roundtrip(spark, sf_dir):
+    """Page results stored under versions that look like numbers, rewritten in part, and read back."""
+    root = work_dir(spark, "page-results")
+    pages = view.line_pages(spark, sf_dir).select("job_id", "page").distinct().select(
+        "job_id", "page", F.length("job_id").alias("size"), F.lit("gemini").alias("stage"),
+        view.pick(F.col("page") % 3, "2.10", "2.1", "007").alias("version"),
+    )
+    write_page_results(pages, root, 0)
+    again = pages.filter((F.col("page") % 2 == 0)).withColumn("size", -F.col("size"))
+    write_page_results(again, root, 1)
+    read = [latest_page_results(spark, root, "gemini", v) for v in ("2.10", "2.1", "007")]
+    rows = read[0].unionByName(read[1]).unionByName(read[2])
+    return rows.groupBy("version", "page").agg(
+        F.count("*").alias("pages"), F.min("size").alias("least"), F.max("size").alias("most")
+    )
+
+
 @query
 def failed_page_rows(spark, sf_dir):
     return failed_pages(_decoded(spark, sf_dir))
@@ -470,6 +493,69 @@ def archive_collisions(spark, sf_dir):
     return archive.archive_winners(good)
 
 
+def _archived(
+    spark: SparkSession, roots: archive.ArchiveRoots, sf_dir: str, targets: DataFrame, at: str, run: int,
+    vouched: bool = True,
+) -> None:
+    """Archive targets in one run; one that is not vouched for ends before its manifests."""
+    pages = _conversation_pages(spark, sf_dir)
+    archive.write_archive(targets, explode_transactions(pages), archive.flatten_fields(pages), roots, run)
+    if vouched:
+        archive.write_manifests(archive.build_manifests(targets, F.lit(at).cast("timestamp")), roots, run)
+
+
+def _stored_manifests(spark: SparkSession, roots: archive.ArchiveRoots) -> DataFrame:
+    return read_or_empty(spark, roots.manifests, archive.MANIFEST)
+
+
+def _current(spark: SparkSession, roots: archive.ArchiveRoots) -> DataFrame:
+    """Current documents with the number of their stored rows."""
+    rows = archive.read_current_archive(spark, roots, "transactions").groupBy("job_id").agg(F.count("*").alias("rows"))
+    headers = archive.read_current_archive(spark, roots, "documents")
+    return headers.join(rows, "job_id", "left").select(
+        "archive_uri", "job_id", "tenant", "year", "month", "card_slug", F.coalesce("rows", F.lit(0)).alias("row_count")
+    )
+
+
+@query
+def archive_after_crash(spark, sf_dir):
+    """Receipts archived whole, then a run that dies before the manifests of the rest."""
+    roots = archive.ArchiveRoots(work_dir(spark, "archive-crash"))
+    good = _targets(spark, sf_dir).filter(F.col("error").isNull())
+    receipt = F.col("document_type") == "receipt"
+    _archived(spark, roots, sf_dir, good.filter(receipt), view.NOW, 0)
+    _archived(spark, roots, sf_dir, good.filter(~receipt), view.ARCHIVE_NOW, 1, vouched=False)
+    return _current(spark, roots)
+
+
+@query
+def archive_rerun(spark, sf_dir):
+    """As above, then run again, and once more with nothing left to do; compacted in between."""
+    roots = archive.ArchiveRoots(work_dir(spark, "archive-rerun"))
+    good = _targets(spark, sf_dir).filter(F.col("error").isNull())
+    receipt = F.col("document_type") == "receipt"
+    _archived(spark, roots, sf_dir, good.filter(receipt), view.NOW, 0)
+    _archived(spark, roots, sf_dir, good.filter(~receipt), view.ARCHIVE_NOW, 1, vouched=False)
+    for run in (2, 4):
+        pending = archive.pending_archives(good, _stored_manifests(spark, roots))
+        _archived(spark, roots, sf_dir, pending, view.ARCHIVE_NOW, run)
+        archive.compact_archive(spark, roots, run + 1)
+    archive.drop_superseded(spark, roots)
+    return _current(spark, roots)
+
+
+@query
+def archive_last_write(spark, sf_dir):
+    """Two runs that share archive keys; the one with the later time was written first."""
+    roots = archive.ArchiveRoots(work_dir(spark, "archive-last"))
+    good = _targets(spark, sf_dir).filter(F.col("error").isNull())
+    receipt = F.col("document_type") == "receipt"
+    _archived(spark, roots, sf_dir, good.filter(receipt), view.ARCHIVE_NOW, 0)
+    archive.compact_archive(spark, roots, 1)
+    _archived(spark, roots, sf_dir, good.filter(~receipt), view.NOW, 2)
+    return _current(spark, roots)
+
+
 @query
 def manifests(spark, sf_dir):
     good = _targets(spark, sf_dir).filter(F.col("error").isNull())
@@ -622,6 +708,72 @@ def extract_pages(spark, sf_dir):
     )
 
 
+def _passed_on(batch):
+    """An extractor for pages that are JSON already."""
+    bodies = [bytes(c).decode("utf-8", "replace") for c in batch["content"]]
+    return batch[[]].assign(
+        body=bodies, provider="none", model="none", input_tokens=0, output_tokens=0, error=None
+    )
+
+
+def _run_all(spark: SparkSession, sf_dir: str, space: Workspace, requests: DataFrame, now) -> None:
+    contents = view.conversation_contents(spark, sf_dir)
+    stages = [extract_stage(contents, _passed_on), normalize_stage(), enrich_stage(seed_dictionary(spark))]
+    run_jobs(space, requests, contents, stages, now, 0, _reply)
+
+
+@query
+def end_to_end_run(spark, sf_dir):
+    """Conversations as jobs, from request to index: what became of each, run twice."""
+    space = Workspace(spark, work_dir(spark, "run"), view.BUCKET, view.ARCHIVE_BUCKET)
+    asked = view.conversation_requests(spark, sf_dir)
+    for requests in (asked, asked.limit(0)):
+        _run_all(spark, sf_dir, space, requests, view.archive_now())
+    rows = space.merged("transactions").groupBy("job_id").agg(
+        F.count("*").alias("row_count"), F.sum(F.col("amount").cast("long")).alias("total"),
+        F.min("merchant_normalized").alias("merchant"), F.min("country").alias("country"),
+    )
+    archived = read_or_empty(spark, space.archive.manifests, archive.MANIFEST).select(
+        "job_id", F.col("results.transactions").alias("archive_uri")
+    )
+    indexed = read_or_empty(spark, space.archive.sidecars, runs.SIDECAR_KEY).withColumn("indexed", F.lit(True))
+    told = read_or_empty(spark, f"{space.root}/notified", DELIVERED).select("job_id", F.col("event").alias("told"))
+    jobs = space.jobs(view.archive_now()).select("job_id", "status", "page_count", "error")
+    out = jobs
+    for side in (rows, archived, indexed, told):
+        out = out.join(side, "job_id", "left")
+    rejected = space.rejected().select(
+        "job_id", F.lit("rejected").alias("status"), F.lit(0).alias("page_count"),
+        F.array_join(F.array_sort("errors"), "; ").alias("error"),
+    )
+    return out.unionByName(rejected, allowMissingColumns=True).fillna({"row_count": 0, "total": 0, "indexed": False})
+
+
+@query
+def purged_artifacts(spark, sf_dir):
+    """Two runs, of which the first has lapsed: what is left in every table."""
+    space = Workspace(spark, work_dir(spark, "purge-run"), view.BUCKET, view.ARCHIVE_BUCKET)
+    asked = view.conversation_requests(spark, sf_dir).filter(F.col("job_id").isNotNull())
+    odd = F.pmod(F.split_part("job_id", F.lit("_"), F.lit(2)).cast("long"), F.lit(2)) == 1
+    old, late = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
+    _run_all(spark, sf_dir, space, asked.filter(odd), F.lit(old).cast("timestamp"))
+    _run_all(spark, sf_dir, space, asked.filter(~odd), F.lit(late).cast("timestamp"))
+    space.purge(view.now())
+    store = space.stages
+    tables = {
+        "log": state.read_state_log(spark, store.log_root),
+        "headers": store.stored("headers", *EXTRACT_STAGE),
+        "rows": store.stored("transactions", *ENRICH_STAGE),
+        "merged": space.merged("documents"),
+        "jobs": read_or_empty(spark, f"{space.root}/jobs", runs.JOB_LOG),
+        "manifests": read_or_empty(spark, space.archive.manifests, archive.MANIFEST),
+    }
+    counted = [
+        df.groupBy("job_id").agg(F.count("*").alias("rows")).withColumn("part", F.lit(name)) for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def _finish(stream) -> None:
     stream.awaitTermination()
     if stream.exception():

@@ -16,6 +16,7 @@ from docspark.functions.dates import expires_at, format_rfc3339
 from docspark.operators import archive, index, merge
 from docspark.operators import jobs as job_ops
 from docspark.operators.pages import fan_out_pages
+from docspark.operators.retention import drop_below, lapse, live_from
 from docspark.operators.state import latest_jobs, latest_state, read_state_log, unexpired
 from docspark.plans.chain import Stage, StageStore, run_stage
 from docspark.schema import (
@@ -33,6 +34,14 @@ from docspark.streaming.events import Notifier, notify_finished, silent
 
 log = logging.getLogger(__name__)
 
+STEPS = 10  # numbers of a run's job writes
+# Tables under the root of a workspace that have a part per run.
+RUN_TABLES = (
+    "requests", "rejected", "tenants", "decisions", "ready", "verdicts/good", "verdicts/bad",
+    "merged/pages", "merged/transactions", "merged/documents", "notified",
+    "archive/asked", "archive/targets", "archive/sent",
+)
+
 TENANT = T.StructType().add("job_id", "string").add("tenant_id", "string").add("run", "integer")
 REJECTED = (
     T.StructType()
@@ -56,29 +65,6 @@ MERGED = {
 }
 SIDECAR_KEY = T.StructType().add("job_id", "string")
 JOB_LOG = T.StructType(list(JOB.fields)).add("ts", "timestamp").add("seq", "long")
-MANIFEST = (
-    T.StructType()
-    .add("job_id", "string")
-    .add("tenant_id", "string")
-    .add(
-        "source",
-        T.StructType()
-        .add("kind", "string")
-        .add("issuer", "string")
-        .add("card_name", "string")
-        .add("raw_uri", "string"),
-    )
-    .add("results", T.StructType().add("transactions", "string"))
-    .add(
-        "chain",
-        T.StructType()
-        .add("id", "string")
-        .add("stages", T.ArrayType(T.StringType())),
-    )
-    .add("archived_at", "string")
-)
-
-
 @dataclass(frozen=True)
 class Workspace:
     """Folders of one deployment."""
@@ -90,7 +76,8 @@ class Workspace:
 
     @property
     def stages(self) -> StageStore:
-        return StageStore(self.spark, f"{self.root}/stages", self.work_bucket)
+        root = f"{self.root}/stages"
+        return StageStore(self.spark, root, self.work_bucket, live_from(self.spark, root))
 
     @property
     def archive(self) -> archive.ArchiveRoots:
@@ -109,9 +96,17 @@ class Workspace:
         numbered = stamped.withColumn("ts", now).withColumn("seq", F.lit(step).cast("long"))
         replace_part(numbered, f"{self.root}/jobs", "step", step)
 
-    def claim(self) -> int:
+    def claim(self, now: Column | None = None) -> int:
         """A number of its own for all that one run writes, above all before."""
-        return claim_number(self.spark, f"{self.root}/claims")
+        return claim_number(self.spark, f"{self.root}/claims", now)
+
+    def purge(self, now: Column, days: int = RETENTION_DAYS) -> None:
+        """Let go of all that was written more than `days` ago, but for the archive."""
+        self.stages.purge(now, days)
+        pointer = lapse(self.spark, self.root, now, days)
+        drop_below(self.spark, self.root, dict.fromkeys(RUN_TABLES, "run"), pointer)
+        drop_below(self.spark, self.root, {"jobs": "step"}, pointer, per_write=STEPS)
+        drop_below(self.spark, self.root, {"claims": "claim"}, pointer - 1)
 
     def keep(self, df: DataFrame, table: str, run: int) -> DataFrame:
         return kept_part(df, f"{self.root}/{table}", "run", run)
@@ -121,7 +116,8 @@ class Workspace:
 
         `documents` is written last, so a merge cut short is not read.
         """
-        read = lambda name: read_or_empty(self.spark, f"{self.root}/merged/{name}", MERGED[name])
+        alive = F.col("run") >= live_from(self.spark, self.root)
+        read = lambda name: read_or_empty(self.spark, f"{self.root}/merged/{name}", MERGED[name]).filter(alive)
         newest = read("documents").groupBy("job_id").agg(F.max("run").alias("run"))
         return read(table).join(newest, ["job_id", "run"], "left_semi").drop("run")
 
@@ -150,18 +146,20 @@ def submit(
     the URIs a split document came apart into. Those that cannot be run are
     set aside with their errors.
     """
-    rejected = space.keep(job_ops.rejected_jobs(requests, registry), "rejected", run)
-    requests = requests.join(rejected.select("job_id").distinct(), "job_id", "left_anti")
+    # Told apart row by row: neither a NULL job_id nor one that a good request has too goes the wrong way.
+    checked = space.keep(job_ops.checked_jobs(requests, registry), "requests", run)
+    space.keep(checked.filter(F.size("errors") > 0).select("job_id", "tenant_id", "errors"), "rejected", run)
+    requests = checked.filter(F.size("errors") == 0).drop("errors")
     replace_part(requests.select("job_id", "tenant_id").distinct(), f"{space.root}/tenants", "run", run)
     created = job_ops.created_jobs(requests, "", registry)
-    space.write_jobs(created, now, 10 * run)
+    space.write_jobs(created, now, STEPS * run)
     bound = space.jobs(now).select("job_id", "mode", "chain").join(
         requests.select("job_id", "input_uri", "pages"), "job_id"
     )
     ready = bound.withColumn(
         "pages", job_ops.page_uris(F.col("input_uri"), F.col("mode"), F.col("pages"))
     ).withColumn("page_count", F.size("pages"))
-    space.write_jobs(_changed(job_ops.submit_jobs(space.jobs(now), ready), ready), now, 10 * run + 1)
+    space.write_jobs(_changed(job_ops.submit_jobs(space.jobs(now), ready), ready), now, STEPS * run + 1)
     return fan_out_pages(ready)
 
 
@@ -183,9 +181,9 @@ def finish(space: Workspace, headers: tuple[str, str], now: Column, run: int) ->
     for final in finals or [headers]:  # one per stage that ends a chain
         at_end = (F.col("final_stage") == final[0]) & (F.col("final_version") == final[1])
         own = ready.filter(at_end).select("job_id")
-        records.append(store.state(*final).join(own, "job_id", "left_semi"))
-        rows.append(store.load("transactions", *final).join(own, "job_id", "left_semi"))
-    bodies = store.load("headers", *headers).select(
+        records.append(store.state(*final, own).join(own, "job_id", "left_semi"))
+        rows.append(store.rows_of("transactions", *final, store.finished_runs(*final, own)))
+    bodies = store.rows_of("headers", *headers, store.finished_runs(*headers, ready)).select(
         "job_id", "page", F.struct("text", "document_type", "fields").alias("result")
     )
     merged = merge.merge_jobs(
@@ -207,14 +205,14 @@ def finish(space: Workspace, headers: tuple[str, str], now: Column, run: int) ->
         documents.select("job_id", F.col("page_count").cast("int")), f"{space.root}/merged/documents", "run", run
     )
     committed = _changed(job_ops.commit_merged_jobs(space.jobs(now), documents), documents)
-    space.write_jobs(committed, now, 10 * run + 2)
+    space.write_jobs(committed, now, STEPS * run + 2)
 
     bad = decided.filter(F.col("decision") == FAILED).select(
         "job_id", F.lit(job_ops.PAGE_FAILURE).alias("error")
     )
     failures = bad.unionByName(rejects)
     space.write_jobs(
-        _changed(job_ops.mark_failed_jobs(space.jobs(now), failures), failures), now, 10 * run + 3
+        _changed(job_ops.mark_failed_jobs(space.jobs(now), failures), failures), now, STEPS * run + 3
     )
 
 
@@ -225,7 +223,7 @@ def archive_finished(space: Workspace, documents: DataFrame, now: Column, run: i
     then, are archived now.
     """
     roots = space.archive
-    known = read_or_empty(space.spark, roots.manifests, MANIFEST)
+    known = read_or_empty(space.spark, roots.manifests, archive.MANIFEST)
     jobs = space.jobs(now).filter(F.col("status") == SUCCEEDED).join(space.tenants(), "job_id")
     jobs = space.keep(archive.not_yet_done(jobs, known), "archive/asked", run)
     new = jobs.select("job_id")
@@ -241,7 +239,7 @@ def archive_finished(space: Workspace, documents: DataFrame, now: Column, run: i
 def index_archived(space: Workspace, send: index.Sender, now: Column, run: int) -> DataFrame:
     """Offer archived jobs that the index does not have; returns the sent requests."""
     roots = space.archive
-    manifests = read_or_empty(space.spark, roots.manifests, MANIFEST)
+    manifests = read_or_empty(space.spark, roots.manifests, archive.MANIFEST)
     sidecars = read_or_empty(space.spark, roots.sidecars, SIDECAR_KEY)
     asked = space.tenants().join(manifests.select("job_id"), "job_id", "left_semi")
     pending = index.pending_index(index.index_requests(asked, manifests, space.jobs(now)), sidecars)
@@ -270,7 +268,7 @@ def run_jobs(
     logged, leaves the jobs' own success alone and is made up for by a later
     run.
     """
-    write = space.claim()
+    write = space.claim(now)
     work = submit(space, requests, now, write, registry)
     header_stage = (stages[0].name, stages[0].version) if stages else EXTRACT_STAGE
     for stage in stages:

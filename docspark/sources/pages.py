@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions.keys import DOCUMENT_DEFAULT_TYPE, mime_from_uri
 from docspark.schema import TRANSACTION_FIELDS
+from docspark.sources.tables import read_or_empty
 
 RESULT_PATH = r"/jobs/([^/]+)/pages/([0-9]+)/([^/]+)/([^/]+)/result\.json\z"
 
@@ -17,7 +19,11 @@ UNTYPED_ROWS = "array<struct<" + ",".join(f"{f}:variant" for f in TRANSACTION_FI
 
 
 def read_page_results(spark: SparkSession, root: str, stage: str, version: str) -> DataFrame:
-    """JSON page results of one stage; the key parts come from the path."""
+    """JSON page results of one stage; the key parts come from the path.
+
+    Files in folders that are no page number are not page results. The files
+    are found by listing; `write_page_results` keeps a table that needs none.
+    """
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return (
         spark.read.text(
@@ -26,11 +32,12 @@ def read_page_results(spark: SparkSession, root: str, stage: str, version: str)
         .select(F.col("value").alias("body"), path.alias("_path"))
         .select(
             F.regexp_extract("_path", RESULT_PATH, 1).alias("job_id"),
-            F.regexp_extract("_path", RESULT_PATH, 2).cast("int").alias("page"),
+            F.regexp_extract("_path", RESULT_PATH, 2).try_cast("int").alias("page"),
             F.regexp_extract("_path", RESULT_PATH, 3).alias("stage"),
             F.regexp_extract("_path", RESULT_PATH, 4).alias("version"),
             "body",
         )
+        .filter(F.col("page").isNotNull())
     )
 
 
@@ -111,11 +118,17 @@ def failed_pages(decoded: DataFrame) -> DataFrame:
     return decoded.filter(F.col("error").isNotNull()).select("job_id", "page", "error")
 
 
+RESULT_KEY = T.StructType(
+    [T.StructField("stage", T.StringType()), T.StructField("version", T.StringType()), T.StructField("run", T.IntegerType())]
+)
+
+
 def write_page_results(df: DataFrame, root: str, run: int) -> None:
     """Store stage results; repeating a run replaces what it wrote before.
 
     `df` has stage and version columns. Rows of other runs stay; readers take
-    the newest run of a page.
+    the newest run of a page. The table is also the catalogue of what there
+    is: readers go to the folders of one stage and version and list no page.
     """
     (
         df.withColumn("run", F.lit(run))
@@ -126,8 +139,20 @@ def write_page_results(df: DataFrame, root: str, run: int) -> None:
     )
 
 
-def latest_page_results(spark: SparkSession, root: str, stage: str, version: str) -> DataFrame:
-    """Stored rows of one stage, of each page's newest run only."""
-    stored = spark.read.parquet(root).filter((F.col("stage") == stage) & (F.col("version") == version))
+def latest_page_results(
+    spark: SparkSession, root: str, stage: str, version: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """Stored rows of one stage, of each page's newest run only.
+
+    `schema` is that of the rows without stage, version and run; if not given
+    it is taken from the files. Stage and version stay text, whatever they
+    look like.
+    """
+    place = RESULT_KEY.fieldNames()
+    if schema is None:
+        schema = spark.read.parquet(root).schema
+    fields = [f for f in schema.fields if f.name not in place]
+    rows = read_or_empty(spark, root, T.StructType([*fields, *RESULT_KEY.fields]))
+    stored = rows.filter((F.col("stage") == stage) & (F.col("version") == version))
     newest = stored.groupBy("job_id", "page").agg(F.max("run").alias("run"))
     return stored.join(newest, ["job_id", "page", "run"], "left_semi").drop("run")
