@@ -2,9 +2,11 @@
 
 The lexer reads source and configuration syntax into pairs of a target name
 and a literal (`name = "x"`, `name: x`, `"name": "x"`, `export NAME=x`,
-`name => 'x'`), follows names that stand for an earlier literal of the same
-text, and scores each literal by how sensitive its target's name is and how
-random the literal looks.
+`name => 'x'`, `cfg["name"] = x`, `<name>x</name>`, a YAML value on the line
+below), folds joined strings, follows names that stand for an earlier literal
+of the same text, and scores each literal by how sensitive its target's name
+is and how random the literal looks. It goes over the operators of a text
+once, so its time follows the length of the text.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,27 +39,43 @@ NAME_WEIGHTS = {
 }
 THRESHOLD = 0.9
 LEAST_LENGTH = 8
+MOST_PIECES = 64  # of constants that a joined literal takes over; its own strings are not bounded
 
-PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)[ \t]*"""
-    # a declared type, as in `name: str =`, belongs to neither side
-    r"""(?::[ \t]*(?P<type>&?[A-Za-z_][A-Za-z0-9_.]*(?:[ \t]*[\[<][A-Za-z0-9_., \t|\[\]<>]*[\]>])?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*[?!]?)[ \t]*=(?![=>])|=>|:=|[:=])[ \t]*"""
-    r"""(?:"(?P<double>[^"\n\\]*(?:\\.[^"\n\\]*)*)"|'(?P<single>[^'\n\\]*(?:\\.[^'\n\\]*)*)'|(?P<bare>[A-Za-z0-9_.+/=\-]+))"""
-)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-# Names of a chain without blanks, up to its literal: `b=c=` in `a=b=c=x`.
-CHAIN = re.compile(r"(?:[A-Za-z_][A-Za-z0-9_.\-]*=)+")
+# An operator stands between a name and its literal; the others only part them.
+OPERATOR = re.compile(r"=>|:=|\?=|[=!<>]=+|[:=]")
+NO_PAIR = ("<=", ">=", "<==", ">==")
+# Read backwards from an operator: a name, quoted or not, as it is or as a subscript.
+NAME_BEFORE = re.compile(r"""[ \t]*+(?:\][ \t]*+)?(?P<q>["'`]\\?+)?(?P<name>[A-Za-z0-9_.\-]++)(?(q)(?P=q))""")
+TYPE = re.compile(r"&?[A-Za-z_][A-Za-z0-9_.\[\]<>, \t|?!&*]*+")
+PREFIX = re.compile(r"[fFbBrRuU]{1,2}(?=[\"'`])")
+QUOTED = {
+    '"': re.compile(r'"([^"\n\\]*+(?:\\.[^"\n\\]*+)*+)("?)'),
+    "'": re.compile(r"'([^'\n\\]*+(?:\\.[^'\n\\]*+)*+)('?)"),
+}
+OUTSIDE = r"\s\"'`<>(){}\[\],;&|\\:"
+BARE = re.compile(f"[^{OUTSIDE}=]++")
+RUN = re.compile(f"[^{OUTSIDE}]++")
+PADDING = re.compile(f"={{1,2}}(?![^{OUTSIDE}]|[\"'])")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+BLANKS = re.compile(r"[ \t]*+")
+SPACE = re.compile(r"\s*+")
+GOES_ON = re.compile(r"[ \t]*+\+\s*+|[ \t]*+(?=[\"'])")
+GOES_ON_BELOW = re.compile(r"\s*+\+\s*+|\s*+(?=[\"'])")  # inside of parentheses
+CHAINED = re.compile(r"[ \t]*+=(?![=>])")
+# A value that stands on the lines below: nothing, or the mark of a block, at the end of a line.
+BELOW = re.compile(r"(?P<block>[|>][+\-]?)?[ \t]*+\r?\n(?P<indent>[ \t]++)")
+LINE = re.compile(r"[^\r\n]*+")
+TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]*+)(?:\s[^<>]*+)?>([^<]*+)</\1\s*+>")
 
 
 @dataclass(frozen=True)
 class Pair:
-    """A literal that a name holds; `via` names the constant it came by."""
+    """A literal that a name holds, and where its pieces stand; `via` names the constant it came by."""
 
     name: str
     literal: str
-    start: int
-    end: int
+    pieces: tuple[tuple[int, int], ...]
     via: str | None = None
 
 
@@ -70,50 +90,175 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _name(before: str) -> str:
+    """The name that ends a stretch of text."""
+    found = NAME_BEFORE.match(before[::-1])
+    return found["name"][::-1].lstrip("0123456789.-") if found else ""
+
+
+def _string(text: str, at: int) -> tuple[int, int, int] | None:
+    """(start, end, where to go on) of a string literal that begins here; one that is not closed ends with its line."""
+    if prefix := PREFIX.match(text, at):
+        at = prefix.end()
+    mark = text[at : at + 1]
+    for quote in ("\"\"\"", "'''", "\\\"", "\\'", "`"):
+        if text.startswith(quote, at):
+            start = at + len(quote)
+            end = text.find(quote, start)
+            if end < 0:
+                end = LINE.match(text, start).end()
+            return start, end, end + len(quote)
+    if mark in QUOTED and mark:
+        found = QUOTED[mark].match(text, at)
+        return found.start(1), found.end(1), found.end()
+    return None
+
+
+def _below(text: str, at: int) -> tuple[tuple[int, int], ...]:
+    """The line below, or the lines of a block, without their indent."""
+    found = BELOW.match(text, at)
+    if not found:
+        return ()
+    indent, at, out = found["indent"], found.end(), []
+    while True:
+        line = LINE.match(text, at)
+        if line[0].strip():
+            out.append((line.start(), line.start() + len(line[0].rstrip())))
+        if not found["block"]:
+            return tuple(out)
+        at = line.end() + 1
+        if not text.startswith(indent, at):
+            return tuple(out)
+        at += len(indent)
+
+
 def pairs(text: str) -> list[Pair]:
     """Name-literal pairs in reading order, constants propagated.
 
-    A bare identifier on the right takes the literal that it last held; it is
-    a literal of its own where it holds none. One that is assigned to itself,
-    as in `a = b = "x"`, is no literal: all names of the chain hold what ends it.
+    One pass over the operators. The name is read backwards to the operator
+    before, the literal forwards: a string in any quotes, escaped ones and
+    triple ones too, strings and names joined by `+`, a bare word, or what
+    stands on the lines below. A type between a name and its `=` belongs to
+    neither. A bare identifier takes the literal that it last held; one that is
+    assigned to itself, as in `a = b = "x"`, is no literal: all names of the
+    chain hold what ends it. Operators inside a string are read too, but their
+    literals are single pieces, so no stretch is read over and over.
     """
     held: dict[str, Pair] = {}
-    out = []
-    at, chain = 0, []
-    while m := PAIR.search(text, at):
-        at, name = m.end(), m["name"]
-        kind = next(k for k in ("double", "single", "bare") if m[k] is not None)
-        pair = Pair(name, m[kind], m.start(kind), m.end(kind))
-        if m["type"] and any(c.isdigit() for c in m["type"]):
-            out.append(Pair(name, m["type"], m.start("type"), m.end("type")))  # may be no type at all
-        if kind == "bare":
-            if IDENTIFIER.fullmatch(m["bare"]):
-                if (right := PAIR.match(text, pair.start)) and right["name"] == m["bare"]:
-                    at = pair.start
-                    chain.append(name)
-                    continue
-            elif inner := CHAIN.match(m["bare"]):
-                names = inner[0][:-1].split("=")
-                rest = pair.start + inner.end()
-                if rest == pair.end and text[rest : rest + 1] in ('"', "'"):
-                    at = rest - len(names[-1]) - 1
-                    chain += [name, *names[:-1]]
+    out: list[Pair] = []
+    chain: list[str] = []
+    left, inner, run, typed = 0, 0, 0, None  # typed: (name, number of its pair) after a colon
+
+    def hold(pair: Pair) -> None:
+        for name in (*chain, pair.name):
+            held[name] = Pair(name, pair.literal, pair.pieces, pair.via)
+            out.append(held[name])
+        chain.clear()
+
+    for found in OPERATOR.finditer(text):
+        operator, (at, after) = found[0], found.span()
+        before, left = text[left:at], after
+        name = _name(before)
+        if typed and operator == "=" and TYPE.fullmatch(before.strip()):
+            declared, number = typed
+            if number < len(out) and not any(c.isdigit() for c in out[number].literal):
+                del out[number:]  # it was the type
+            # Or the colon gives a name of its own to what the right name holds, as in `env: PWD=x`.
+            chain += [declared] if name else []
+            name = name or declared
+        typed = None
+        if operator in NO_PAIR or not name:
+            chain.clear()
+            continue
+        inside = at < inner
+        at = BLANKS.match(text, after).end()
+        joint = GOES_ON
+        if text.startswith("(", at):
+            at, joint = SPACE.match(text, at + 1).end(), GOES_ON_BELOW
+        if operator == ":":
+            typed = name, len(out)
+        if string := _string(text, at):
+            if inside:
+                hold(Pair(name, text[string[0] : string[1]], (string[:2],)))
+                continue
+            literal, pieces, inner = _joined(text, [string[:2]], string[2], held, joint)
+            hold(Pair(name, literal, pieces))
+            continue
+        bare = BARE.match(text, at)
+        if not bare:
+            lines = () if inside or operator != ":" else _below(text, at)
+            if lines:
+                inner = max(inner, lines[-1][1])
+                literal = "\n".join(text[a:b] for a, b in lines)
+                strings = [x for a, _ in lines[:1] if (x := _string(text, a))]
+                if strings and len(lines) == 1:
+                    lines = (strings[0][:2],)
+                    literal = text[lines[0][0] : lines[0][1]]
+                if len(lines) > 1 or strings or not any(c in literal for c in " \t:="):
+                    hold(Pair(name, literal, lines))
+            chain.clear()
+            continue
+        word, end = bare[0], bare.end()
+        if IDENTIFIER.fullmatch(word):
+            if operator != ":" and CHAINED.match(text, end) and not PADDING.match(text, end):
+                if text.startswith("=", end):
+                    run = _whole(text, name, at, run, out)
+                chain.append(name)
+                continue
+            more = None if inside else joint.match(text, end)
+            if more and "+" in more[0]:
+                literal, pieces, inner = _joined(text, [], end, held, joint, word)
+                if pieces:
+                    hold(Pair(name, literal, pieces))
                     continue
-                if rest < pair.end and text[rest] != "=":
-                    # the whole may also be one literal, so both are told
-                    out.append(pair)
-                    chain += names
-                    pair = Pair(name, text[rest : pair.end], rest, pair.end)
-            if pair.literal in held:
-                source = held[pair.literal]
-                pair = Pair(name, source.literal, source.start, source.end, source.name)
-        for other in (*chain, name):
-            held[other] = Pair(other, pair.literal, pair.start, pair.end, pair.via)
-            out.append(held[other])
-        chain = []
+            if word in held:
+                source = held[word]
+                hold(Pair(name, source.literal, source.pieces, source.name))
+                continue
+        elif text.startswith("=", end) and not PADDING.match(text, end):
+            run = _whole(text, name, at, run, out)
+        if padding := PADDING.match(text, end):
+            word, end = word + padding[0], padding.end()
+        shown = word.rstrip(".!?")
+        if shown:
+            hold(Pair(name, shown, ((at, at + len(shown)),)))
+    if "</" in text:
+        out += [Pair(m[1], m[2], (m.span(2),)) for m in TAG.finditer(text) if m[2].strip()]
     return out
 
 
+def _whole(text: str, name: str, at: int, run: int, out: list[Pair]) -> int:
+    """Tell a run with `=` in it as one literal, once; returns its end."""
+    if at < run:
+        return run
+    end = RUN.match(text, at).end()
+    out.append(Pair(name, text[at:end], ((at, end),)))
+    return end
+
+
+def _joined(
+    text: str, pieces: list[tuple[int, int]], at: int, held: dict[str, Pair], joint: re.Pattern, word: str | None = None
+) -> tuple[str, tuple[tuple[int, int], ...], int]:
+    """(literal, pieces, end) of strings and known names that stand side by side or are joined by `+`."""
+    texts = [text[a:b] for a, b in pieces]
+    if word in held:
+        texts.append(held[word].literal)
+        pieces = list(held[word].pieces)
+    while more := joint.match(text, at):
+        if string := _string(text, more.end()):
+            pieces.append(string[:2])
+            texts.append(text[string[0] : string[1]])
+            at = string[2]
+        elif "+" in more[0] and (bare := BARE.match(text, more.end())):
+            if bare[0] in held and len(pieces) + len(held[bare[0]].pieces) <= MOST_PIECES:
+                texts.append(held[bare[0]].literal)
+                pieces += held[bare[0]].pieces
+            at = bare.end()
+        else:
+            break
+    return "".join(texts), tuple(pieces), at
+
+
 def name_score(name: str) -> float:
     """1 - product of (1 - weight) over the sensitive words of a name."""
     words = [w.lower() for w in WORDS.findall(name)]
@@ -141,17 +286,40 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if not text:
         return [], []
     base = base_spans(text)
-    added = set()
-    if "=" in text or ":" in text:
-        for p in pairs(text):
-            if any(start <= p.start and p.end <= end for start, _, end in base):
-                continue
-            begun = any(kind == 0 and start < p.start < end for start, kind, end in base)
-            if begun or name_score(p.name) * (0.5 + literal_score(p.literal)) >= THRESHOLD:
-                added.add((p.start, 3, p.end))
+    if not ("=" in text or ":" in text or "</" in text):
+        return base, base
+    whole, assigned = _Cover(base), _Cover([x for x in base if x[1] == 0])
+    added, scores = set(), {}
+    for p in pairs(text):
+        left = [(a, b) for a, b in p.pieces if not whole.holds(a, b)]
+        if not left:
+            continue
+        if p.pieces not in scores:
+            scores[p.pieces] = literal_score(p.literal)
+        begun = any(assigned.reaches(a) for a, _ in left)
+        if begun or name_score(p.name) * (0.5 + scores[p.pieces]) >= THRESHOLD:
+            added.update((a, 3, b) for a, b in left if b > a)
     return base, sorted([*base, *added])
 
 
+class _Cover:
+    """Spans in order of their starts, asked by place."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in spans]
+        self.ends = list(accumulate((e for _, _, e in spans), max))
+
+    def holds(self, start: int, end: int) -> bool:
+        """Does one span hold all of this?"""
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.ends[i - 1] >= end
+
+    def reaches(self, start: int) -> bool:
+        """Does a span begin before this and end behind it?"""
+        i = bisect_left(self.starts, start)
+        return i > 0 and self.ends[i - 1] > start
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 

@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+
+import pytest
 
 from docspark.llm import secrets
 
@@ -80,6 +83,61 @@ def test_no_part_of_a_literal_stays(docs):
     assert [r.text for r in rows] == list(cases.values())
 
 
+def test_syntax_of_many_kinds(docs):
+    x = "Zk39vXq1TtY8"
+    cases = {
+        r'"{\"password\": \"%s\"}"' % x: r'"{\"password\": \"[NAMED]\"}"',
+        f'db_pwd = """{x}"""': 'db_pwd = """[NAMED]"""',
+        f"db_pwd = `{x}`": "db_pwd = `[NAMED]`",
+        f'db_pwd = f"{x}"': 'db_pwd = f"[NAMED]"',
+        f"db_pwd = b'{x}'": "db_pwd = b'[NAMED]'",
+        f'cfg["db_pwd"] = "{x}"': 'cfg["db_pwd"] = "[NAMED]"',
+        f"os.environ['DB_PWD'] = '{x}'": "os.environ['DB_PWD'] = '[NAMED]'",
+        f"<db_pwd>{x}</db_pwd>": "<db_pwd>[NAMED]</db_pwd>",
+        f"db_pwd:\n  {x}\nx: 1": "db_pwd:\n  [NAMED]\nx: 1",
+        f"db_pwd: |\n  {x}\n  more\nx: 1": "db_pwd: |\n  [NAMED]\n  [NAMED]\nx: 1",
+        f"db_pwd ?= {x}": "db_pwd ?= [NAMED]",
+        f'if dbPwd == "{x}":': 'if dbPwd == "[NAMED]":',
+        'db_pwd = "Zk39" + "vXq1TtY8"': 'db_pwd = "[NAMED]" + "[NAMED]"',
+        f'a = "q"\npwd = a + "{x}"': 'a = "[NAMED]"\npwd = a + "[NAMED]"',
+        'pwd = (\n  "Zk39"\n  "vXq1TtY8")': 'pwd = (\n  "[NAMED]"\n  "[NAMED]")',
+        "db_pwd=Zk39$vXq1!TtY8": "db_pwd=[NAMED]",
+        f"env: DB_PWD={x}": "env: DB_PWD=[NAMED]",
+        f"run --db-pwd={x}, then": "run --db-pwd=[NAMED], then",
+    }
+    rows = secrets.mask_documents(docs(*cases)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == list(cases.values())
+
+
+def test_prose_is_left_alone():
+    for text in (
+        "He said: \"understanding this takes time\". Note: the key = understanding.",
+        "The token: a short word. Ratio 3:4, see https://example.org/a?b=c&d=e for key: value.",
+        "<p>password policies</p> <key>short</key>",
+    ):
+        base, spans = secrets.scan(text)
+        assert spans == base
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        *("k=1 " + c * 1_000_000 for c in "a=:'\"`\\<[(.-+ \n{\t0é"),
+        *(t * (500_000 // len(t)) for t in (
+            'k12 = "v"\n', 'pwd="Zk39vXq1TtY8"; ', "a=", 'a="="+', '=\\"', '="', "a:\n ", "a: b[c ", "a=b+", "a=`", "a=.", "<a>", "a.b-",
+        )),
+        "".join(" " * i + "a:\n" for i in range(1000)),
+        "".join(" " * (i % 50) + "a: |\n" for i in range(10_000)),
+        'x="' + "q" * 100_000 + '"\n' + "y=x\n" * 50_000,
+    ],
+    ids=range(35),
+)
+def test_time_follows_length(text):
+    start = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - start < 8
+
+
 def test_chains_are_read_in_linear_time():
     assert len(secrets.pairs("a=" * 100_000 + "b")) > 100_000
 
