@@ -12,6 +12,12 @@ from docspark.session import work_dir
 # Functions of this package travel to the tasks whole: executors need no copy.
 cloudpickle.register_pickle_by_value(docspark)
 
+SPLIT_SETTINGS = (
+    "spark.sql.files.maxPartitionBytes",
+    "spark.sql.files.openCostInBytes",
+    "spark.sql.files.minPartitionNum",
+    "spark.sql.files.maxPartitionNum",
+)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,6 +35,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Splits:
+    """Holds how files are cut into partitions, for operators that read a table again.
+
+    Unless it is set, Spark takes the number of partitions from the cores it
+    has just then, so a lost or a new executor would deal the rows anew.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.values = {k: spark.conf.get(k, None) for k in SPLIT_SETTINGS}
+        least = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        if self.values["spark.sql.files.minPartitionNum"] is None:
+            self.values["spark.sql.files.minPartitionNum"] = str(least)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """As `stored`, with files cut as they were when this was made."""
+        before = {k: self.spark.conf.get(k, None) for k in SPLIT_SETTINGS}
+        self._set(self.values)
+        try:
+            return stored(df, name)
+        finally:
+            self._set(before)
+
+    def _set(self, values: dict[str, str | None]) -> None:
+        for k, v in values.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if a column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; `lower` does it where the text is ASCII."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

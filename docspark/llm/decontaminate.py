@@ -17,12 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import ascii_lower, stored
+from docspark.llm.common import ascii_lower, free_name, stored
 
 WINDOW = 10
+BLOCK = 4096  # places of an item
 #: Anchors up to this many are broadcast (some hundred bytes each), beyond it shuffled.
 BROADCAST_ANCHORS = 100_000
 
@@ -53,34 +54,42 @@ def anchors(benchmark: DataFrame, docs: DataFrame, window: int = WINDOW) -> Data
     `before` and `after` are the item's words on either side of the anchor,
     nearest first, `window` - 1 at most; `need` is the length of a window.
     """
-    items = _item_words(benchmark)
-    places = items.select("item_id", "item", F.posexplode("item").alias("at", "word"))
-    counts = word_counts(docs, places.select("word").distinct())
-    ranked = places.join(counts, "word", "left").select(
-        "item_id",
-        "item",
-        "at",
-        F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at").alias("rarity"),
-    )
-    need = F.least(F.size("item"), F.lit(window))
-    # Each place is in up to `window` windows; the rarest place of a window is its anchor.
-    starts = F.sequence(
-        F.greatest(F.lit(0), F.col("at") - need + 1), F.least(F.col("at"), F.size("item") - need)
-    )
-    per_window = (
-        ranked.select("item_id", "item", F.explode(starts).alias("start"), "rarity")
-        .groupBy("item_id", "item", "start")
-        .agg(F.min("rarity").alias("rarity"))
+    items = _item_words(benchmark).select(
+        "item_id", F.xxhash64("item").alias("words"), F.size("item").alias("size"), "item"
     )
-    at = F.col("rarity.at")
+    # A place carries its neighbours at most, never its item.
+    at = F.col("at")
     first = F.greatest(F.lit(0), at - (window - 1))
-    return per_window.select("item_id", "item", "rarity").distinct().select(
-        F.col("rarity.word").alias("word"),
+    places = items.select("item_id", "words", "size", "item", F.posexplode_outer("item").alias("at", "word")).select(
         "item_id",
-        need.alias("need"),
+        "words",
+        "size",
+        "at",
+        "word",
         F.reverse(F.slice("item", first + 1, at - first)).alias("before"),
         F.slice("item", at + 2, F.lit(window - 1)).alias("after"),
     )
+    places = stored(places, "places")
+    counts = word_counts(docs, places.select("word").distinct())
+    ranked = places.select("item_id", "words", "size", "at", "word").join(counts, "word", "left")
+    # The rarest place of each window is its anchor. Windows of one block of an
+    # item are looked at together; the first places of a block end those before.
+    block = F.floor(at / BLOCK)
+    blocks = F.explode(F.array_distinct(F.array(block, F.floor(F.greatest(at - (window - 1), F.lit(0)) / BLOCK))))
+    dealt = ranked.select(
+        "item_id", "words", "size", "at", blocks.alias("block"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at").alias("rarity")
+    )
+    ahead = Window.partitionBy("item_id", "words", "block").orderBy("at").rowsBetween(0, window - 1)
+    need = F.least("size", F.lit(window))
+    rarest = (
+        dealt.withColumn("rarest", F.min("rarity").over(ahead)["at"])
+        .where((block == F.col("block")) & (at + need <= F.col("size")))
+        .select("item_id", "words", F.col("rarest").alias("at"))
+        .distinct()
+    )
+    return places.join(rarest, ["item_id", "words", "at"], "left_semi").select(
+        "word", "item_id", need.alias("need"), "before", "after"
+    )
 
 
 def _agreeing(theirs: Callable[[int], Column], item_side: Column, reach: int) -> Column:
@@ -185,6 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows that no benchmark window occurs in, columns unchanged."""
-    hits = stretches(docs, benchmark, window)
-    hit = hits.select(F.col("doc_id").alias("_hit"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(hit, _of_row(F.xxhash64("text")), "left_anti")
+    hits = stretches(docs.select("doc_id", "text"), benchmark, window)
+    id_, hash_ = free_name(docs, "_hit"), free_name(docs, "_hash")
+    hit = hits.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left_anti")

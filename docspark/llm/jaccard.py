@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import stored
+from docspark.llm.common import Splits, free_name, stored
 from docspark.llm.components import components
 from docspark.llm.textgrid import slices
 
@@ -153,7 +153,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
     """Slices of (doc_id, text) with their numbers, doc_ids and texts.
 
     A number is made of the partition and the place in it, so that another
-    read of the same files numbers the same documents alike.
+    read of the same files, cut alike (`Splits`), numbers the same documents alike.
     """
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -465,18 +465,21 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Two documents are linked if 100 times the common shingles are at least 80
     times the shingles of both; component_id is the smallest doc_id that links
     reach. A NULL text, an empty one and one of white space have no shingles and
-    stay alone; so do rows without a doc_id, which are left out. Equal sets, repeated rows among them, are one point and
-    share a group. An empty table gives no rows. Only doc_id and text are read.
+    stay alone. Rows without a doc_id are linked like all others; their
+    component_id is NULL unless a row with a doc_id is in their group. Equal
+    sets, repeated rows among them, are one point and share a group. An empty
+    table gives no rows. Only doc_id and text are read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    points = stored(docs.mapInArrow(_points, POINTS), "points")
+    splits = Splits(spark)
+    points = splits.stored(docs.mapInArrow(_points, POINTS), "points")
     seen = points.where("key IS NOT NULL").groupBy("key").agg(F.sum("seen").alias("seen"))
     seen = stored(seen.where(F.col("seen") >= LEAST), "frequent")
     total = seen.agg(F.sum("seen")).first()[0] or 0
     # At most total / floor shingles can be seen so often: FREQUENT of them.
     often = seen.where(F.col("seen") >= total / FREQUENT).toArrow()
     keys = often["key"].to_numpy().view(np.uint64)
-    rows = points.where("doc_id IS NOT NULL AND n > 0")
+    rows = points.where("key IS NULL AND n > 0")
     classes = stored(
         rows.groupBy(F.col("cls").alias("id")).agg(
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")
@@ -485,7 +488,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     every = points.where("key IS NULL")
     shingles = every.agg(F.sum("n")).first()[0] or 0
-    prefixes = stored(_prefixes(docs, every, keys, often["seen"].to_numpy(), shingles), "prefixes")
+    prefixes = splits.stored(_prefixes(docs, every, keys, often["seen"].to_numpy(), shingles), "prefixes")
     # The mask orders the classes of each bucket in another way, so leaders differ.
     mask = F.xxhash64("key")
     buckets = (
@@ -497,7 +500,12 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = stored(prefixes.join(buckets, "key").distinct(), "buckets")
     held = shared.select("id").distinct().join(classes.select("id", "doc_id"), "id")
     wanted = _broadcast_if_small(stored(held.select("doc_id"), "wanted"), BROADCAST_IDS)
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, SETS), "sets")
+    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, SETS)
+    nameless = held.where("doc_id IS NULL").select("id")
+    if not nameless.isEmpty():  # sets that only rows without a doc_id have
+        more = docs.where("doc_id IS NULL").select("text").mapInArrow(_sets, SETS)
+        sets = sets.union(more.join(nameless, "id", "left_semi").dropDuplicates(["id"]))
+    sets = stored(sets, "sets")
     near = (
         shared.where("id <> leader")
         .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
@@ -516,7 +524,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     grouped = labelled.join(least, "component").select(F.col("id").alias("cls"), "component_id")
     return (
-        points.where("doc_id IS NOT NULL")
+        points.where("key IS NULL")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
         .join(grouped, "cls", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -531,10 +539,11 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     without a doc_id stays only if no row of its group has one; of rows with
     one doc_id any may stay. Rows without shingles all stay.
     """
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = similar_groups(spark, numbered.select(F.col("_row").alias("doc_id"), "text"))
-    groups = stored(groups.select(F.col("doc_id").alias("_row"), "component_id"), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
-    kept = groups.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first"))
-    rest = groups.join(kept.select("first._row"), "_row", "left_anti").select("_row")
-    return numbered.join(rest, "_row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = similar_groups(spark, numbered.select(F.col(row).alias("doc_id"), "text"))
+    groups = stored(groups.select(F.col("doc_id").alias(row), F.col("component_id").alias("_group")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row)))
+    kept = groups.join(numbered.select(row, "doc_id"), row).groupBy("_group").agg(first.alias("_first"))
+    rest = groups.join(kept.select(f"_first.{row}"), row, "left_anti").select(row)
+    return numbered.join(rest, row, "left_anti").select(*docs.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import fold, stored
+from docspark.llm.common import Splits, fold, stored
 from docspark.llm.textgrid import slices
 
 FOLDS, HELD_OUT = 7, 2
@@ -475,10 +475,11 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "text",
         F.when(held_out, -1).otherwise(kind).cast("int").alias("kind"),
     )
-    tokens = stored(rows.mapInArrow(_tokens, TOKENS), "tokens")
+    splits = Splits(spark)
+    tokens = splits.stored(rows.mapInArrow(_tokens, TOKENS), "tokens")
     total = tokens.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(3, (total // RANGE // 4).bit_length())
-    entries = stored(rows.mapInArrow(_entries(bits, kinds), ENTRIES), "entries")
+    entries = splits.stored(rows.mapInArrow(_entries(bits, kinds), ENTRIES), "entries")
     vocabulary = stored(entries.groupBy("part").applyInArrow(_vocabulary, VOCABULARY), "vocabulary")
     mixer = _learn(spark, vocabulary)
     model = spark.sparkContext.broadcast((mixer.coding, mixer.tables, mixer.weights, mixer.refined))

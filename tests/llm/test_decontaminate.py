@@ -79,3 +79,19 @@ def test_no_python_in_the_plan(spark, docs):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontaminate.contamination(docs("a b c"), benchmark)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_items_and_clashing_columns(spark, docs):
+    """An item of a book's length costs its words, and columns of any name pass."""
+    import random
+    import time
+
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(9000)}" for _ in range(50_000)]
+    bench = spark.createDataFrame([("book", " ".join(words)), ("short", "a b c")], "item_id string, text string")
+    df = docs("x " + " ".join(words[12_000:12_030]) + " y", "nothing here", "a b c", _hit=[1, 2, 3], _hash=[4, 5, 6])
+    start = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {0: (32, 30, 1), 1: (2, 0, 0), 2: (3, 3, 1)}
+    assert [tuple(r) for r in decontaminate.clean(df, bench).collect()] == [(1, "nothing here", 2, 5)]
+    assert time.time() - start < 60

@@ -96,3 +96,43 @@ def test_one_row_of_each_group_is_kept_whatever_the_ids(spark):
     assert kept.columns == docs.columns
     got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
     assert got == sorted([(5, a), (9, b), (5, c), (4, ""), (4, ""), (0, ""), (0, "x y z u v w")])
+
+
+def test_rows_without_an_id_are_linked(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text), (4, text + " tail"), (None, "alone here with some words of its own"), (None, None), (9, "x")]
+    rows += [(None, "p " + " ".join(f"q{i}" for i in range(50))), (None, " ".join(f"q{i}" for i in range(50)))] * 2
+    got = jaccard.similar_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == sorted(
+        [(-1, 56, 4), (4, 57, 4), (-1, 4, -1), (-1, 0, -1), (9, 1, 9)] + [(-1, 47, -1), (-1, 46, -1)] * 2
+    )
+
+
+def test_columns_of_any_name_pass(spark):
+    rows = [(1, "a b c d e f", 7, 8), (2, "a b c d e f", 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, component_id long")
+    assert [tuple(r) for r in jaccard.keep_one(spark, df).collect()] == [rows[0]]
+
+
+def test_other_splits_between_reads(spark, tmp_path, monkeypatch):
+    """Slices keep their numbers although the session would cut the files anew."""
+    from docspark.llm import common
+
+    text = lambda i: " ".join(f"w{(i // 3) * 50 + j}" for j in range(40)) + f" end{i}"
+    rows = [(i, text(i)) for i in range(120)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(24).write.parquet(path)
+    real, reads = common.stored, []
+
+    def unsettled(df, name):
+        out = real(df, name)
+        reads.append(name)
+        spark.conf.set("spark.sql.files.minPartitionNum", str(3 + 7 * len(reads)))
+        return out
+
+    monkeypatch.setattr(common, "stored", unsettled)
+    try:
+        got = jaccard.similar_groups(spark, spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 3 * 3) for i in range(120)}
