@@ -19,6 +19,7 @@ from docspark.schema import (
     STAGE_KEY_COLUMNS,
     STAGE_LOG,
     SUCCEEDED,
+    VISIBILITY_SECONDS,
 )
 from docspark.sources.tables import read_or_empty, replace_part
 
@@ -64,9 +65,13 @@ def succeeded_keys(state: DataFrame, now: Column) -> DataFrame:
     return unexpired(state.filter(F.col("status") == SUCCEEDED), now)
 
 
-def pending_work(work: DataFrame, state: DataFrame, now: Column) -> DataFrame:
-    """Work whose own key has not succeeded, or has but lapsed since."""
-    return work.join(succeeded_keys(state, now).select(*KEY), KEY, "left_anti")
+def pending_work(work: DataFrame, state: DataFrame, now: Column, dead: DataFrame | None = None) -> DataFrame:
+    """Work whose own key has not succeeded, or has but lapsed since.
+
+    Keys among the `dead` letters are left out as long as they are kept there.
+    """
+    rest = work.join(succeeded_keys(state, now).select(*KEY), KEY, "left_anti")
+    return rest if dead is None else rest.join(dead.select(*KEY), KEY, "left_anti")
 
 
 def _rows(df: DataFrame, status: str, now: Column, seq: int, values: dict, days: int):
@@ -136,14 +141,34 @@ def purge_expired(spark: SparkSession, root: str, target: str, now: Column) -> N
     append_state(kept, target, f"base-{uuid.uuid4().hex}")
 
 
-def dead_letters(
-    log: DataFrame, now: Column, deliveries: int = MAX_DELIVERIES, days: int = DEAD_LETTER_DAYS
-) -> DataFrame:
-    """Keys started that often without success, while they are kept aside."""
+def attempts(log: DataFrame) -> DataFrame:
+    """Per key how often it was started, when last, and whether it succeeded."""
     seen = log.groupBy(*KEY).agg(
         F.count_if(F.col("status") == RUNNING).alias("attempts"),
         F.count_if(F.col("status") == SUCCEEDED).alias("_done"),
         F.max("ts").alias("last_ts"),
     )
+    return seen.withColumn("done", F.col("_done") > 0).drop("_done")
+
+
+def dead_letters(
+    log: DataFrame, now: Column, deliveries: int = MAX_DELIVERIES, days: int = DEAD_LETTER_DAYS
+) -> DataFrame:
+    """Keys started that often without success, while they are kept aside."""
     kept = expires_at(F.col("last_ts"), days) > F.unix_timestamp(now)
-    return seen.filter((F.col("attempts") >= deliveries) & (F.col("_done") == 0) & kept).drop("_done")
+    return attempts(log).filter((F.col("attempts") >= deliveries) & ~F.col("done") & kept).drop("done")
+
+
+def due_again(
+    log: DataFrame, now: Column, deliveries: int = MAX_DELIVERIES, hidden: int = VISIBILITY_SECONDS
+) -> DataFrame:
+    """Keys to be delivered once more: started, not done, visible again, and not too often yet.
+
+    `delivery` is the number of the next delivery, `visible_at` the second
+    from which the key may be taken again.
+    """
+    visible_at = F.unix_timestamp("last_ts") + hidden
+    waiting = attempts(log).filter((F.col("attempts") > 0) & ~F.col("done") & (F.col("attempts") < deliveries))
+    return waiting.filter(visible_at <= F.unix_timestamp(now)).select(
+        *KEY, (F.col("attempts") + 1).alias("delivery"), visible_at.alias("visible_at")
+    )

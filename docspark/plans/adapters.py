@@ -19,6 +19,7 @@ from docspark.schema import (
     DEFAULT_CHAIN_ID,
     ENRICH_STAGE,
     EXTRACT_STAGE,
+    MESSAGE,
     NORMALIZE_STAGE,
     RETENTION_DAYS,
     STAGE_LOG,
@@ -392,3 +393,21 @@ def conversation_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(broken, "{cut").otherwise(F.col("result"))
     uri = F.concat(F.lit("s3://inbox/"), "job_id", F.lit("/"), F.col("page").cast("string"))
     return pages.select(uri.alias("uri"), F.encode(body, "UTF-8").alias("content"))
+
+
+def conversation_messages(spark: SparkSession, sf_dir: str, every_page: bool) -> DataFrame:
+    """Work for the extract stage: all pages of each conversation, or its first."""
+    pages = conversation_pages(spark, sf_dir).select("job_id", "page")
+    rows = pages if every_page else pages.filter(F.col("page") == 1)
+    uri = F.concat(F.lit("s3://inbox/"), "job_id", F.lit("/"), F.col("page").cast("string"))
+    values = {
+        "job_id": F.col("job_id"),
+        "page": F.col("page"),
+        "stage": F.lit(EXTRACT_STAGE[0]),
+        "version": F.lit(EXTRACT_STAGE[1]),
+        "input_uri": uri,
+        "chain": chain_literal(SHORT_CHAIN),
+        "chain_idx": F.lit(0),
+        "metadata": F.create_map(),
+    }
+    return rows.select(*[values.get(f.name, F.lit("")).cast(f.dataType).alias(f.name) for f in MESSAGE.fields])

@@ -19,6 +19,7 @@ from docspark.operators.pages import route_next
 from docspark.operators.retention import drop_below, lapse
 from docspark.operators.state import (
     append_state,
+    dead_letters,
     failed_rows,
     latest_state,
     pending_work,
@@ -315,7 +316,9 @@ def _execute(
     def kept(table: str) -> DataFrame:
         return store.stored(table, name, version).filter(F.col("run") == write).drop("run")
 
-    store.save("work", pending_work(work, store.state(name, version, work), now), name, version, write)
+    log = stages_for(read_state_log(store.spark, store.log_root, work), name, version)
+    pending = pending_work(work, latest_state(log), now, dead_letters(log, now))
+    store.save("work", pending, name, version, write)
     todo = kept("work")
     if todo.isEmpty():
         return

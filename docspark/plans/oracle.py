@@ -738,8 +738,25 @@ v_seen AS (
         f"""SELECT job_id, page, stage, version, attempts, {rfc3339('last_ts')} AS last_ts
   FROM (SELECT job_id, page, stage, version, count(*) FILTER (status = 'running') AS attempts,
       count(*) FILTER (status = 'succeeded') AS done, max(ts) AS last_ts FROM v_state GROUP BY ALL)
-  WHERE attempts >= 2 AND done = 0 AND {epoch('last_ts')} + {KEPT} > {epoch(f"TIMESTAMP '{NOW}'")}""",
+  WHERE attempts >= 5 AND done = 0 AND {epoch('last_ts')} + {KEPT} > {epoch(f"TIMESTAMP '{NOW}'")}""",
     ),
+    "due_again": sql(
+        V_STATE,
+        f"""SELECT job_id, page, stage, version, attempts + 1 AS delivery, {epoch('last_ts')} + 600 AS visible_at
+  FROM (SELECT job_id, page, stage, version, count(*) FILTER (status = 'running') AS attempts,
+      count(*) FILTER (status = 'succeeded') AS done, max(ts) AS last_ts FROM v_state GROUP BY ALL)
+  WHERE attempts BETWEEN 1 AND 4 AND done = 0 AND {epoch('last_ts')} + 600 <= {epoch(f"TIMESTAMP '{NOW}'")}""",
+    ),
+    "stream_events": sql(V_JOB, "SELECT job_id, status AS event FROM v_job WHERE status <> 'running'"),
+    "stream_stages": sql(
+        V_CPAGE,
+        """SELECT job_id, page, CASE WHEN cut THEN '' ELSE document_type END AS document_type,
+    CASE WHEN cut THEN 'not valid JSON' ELSE '' END AS error, CAST(CASE WHEN cut THEN 0 ELSE 1 END AS BIGINT) AS sent_on
+  FROM (SELECT *, page = 2 AND CAST(split_part(job_id, '_', 2) AS BIGINT) % 8 = 0 AS cut FROM v_cpage)""",
+    ),
+    "redelivered_messages": """SELECT 'conv_' || conv_id AS job_id, least(conv_id % 7 + 1, 5) AS deliveries,
+    conv_id % 7 < 5 AS done, conv_id % 7 >= 5 AS dead
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0)""",
     "stream_messages": sql(
         V_JOB,
         """SELECT CASE WHEN tenant_id = 'acme' THEN '{"job_id":' || job_id ELSE job_id END AS job_id,

@@ -34,7 +34,7 @@ from docspark.operators.transactions import (
 )
 from docspark.plans import adapters as view
 from docspark.plans import run as runs
-from docspark.plans.chain import StageStore, enrich_stage, extract_stage, normalize_stage, run_stage
+from docspark.plans.chain import Stage, StageData, StageStore, enrich_stage, extract_stage, normalize_stage, run_stage
 from docspark.plans.run import Workspace, run_jobs
 from docspark.schema import (
     CHAIN,
@@ -42,9 +42,11 @@ from docspark.schema import (
     DEFAULT_CHAIN_ID,
     ENRICH_STAGE,
     EXTRACT_STAGE,
+    MAX_DELIVERIES,
     MESSAGE,
     RETENTION_DAYS,
     TRANSACTION_ROW,
+    VISIBILITY_SECONDS,
 )
 from docspark.session import configure, work_dir
 from docspark.sources.dictionary import seed_dictionary
@@ -52,7 +54,8 @@ from docspark.sources.pages import decode_pages, failed_pages, good_pages, lates
 from docspark.sources.tables import read_or_empty, replace_part
 from docspark.streaming import completion, messages
 from docspark.streaming import state as stream_state
-from docspark.streaming.events import DELIVERED
+from docspark.streaming.events import DELIVERED, silent
+from docspark.streaming.events import stream_events as stream_events_of
 
 # What the gate and the skip rule read of a state row.
 PROGRESS = ("status", "expires_at")
@@ -854,10 +857,98 @@ def stream_finished_jobs(spark, sf_dir):
 
 @query
 def dead_letters(spark, sf_dir):
-    found = state.dead_letters(view.state_log(spark, sf_dir), view.now(), deliveries=2)
+    found = state.dead_letters(view.state_log(spark, sf_dir), view.now())
     return found.withColumn("last_ts", format_rfc3339(F.col("last_ts")))
 
 
+@query
+def due_again(spark, sf_dir):
+    return state.due_again(view.state_log(spark, sf_dir), view.now())
+
+
+def _lines(spark: SparkSession, inbox: str) -> DataFrame:
+    lines = spark.readStream.option("recursiveFileLookup", True).text(inbox)
+    return messages.decode_messages(lines)
+
+
+def _deaf(kind, rows):
+    """A receiver that is down for jobs that failed."""
+    if kind == "failed" and len(rows):
+        raise ConnectionError("no answer")
+
+
+@query
+def stream_events(spark, sf_dir):
+    """Events of committed jobs; the receiver of failures is down at first, and rows come twice."""
+    root = work_dir(spark, "stream-events")
+    committed = view.jobs(spark, sf_dir).drop("tenant_id")
+    late = F.col("page_count") < 3
+    for name, rows, receiver in (("a", committed.filter(~late), _deaf), ("b", committed, silent)):
+        rows.write.parquet(f"{root}/jobs/{name}")
+        outbox = spark.readStream.schema(committed.schema).option("recursiveFileLookup", True).parquet(f"{root}/jobs")
+        _finish(stream_events_of(outbox, root, receiver, f"{root}/checkpoint", attempts=2))
+    return read_or_empty(spark, f"{root}/delivered", DELIVERED)
+
+
+@query
+def stream_stages(spark, sf_dir):
+    """Messages to stored pages, through two checkpoints that read the same inbox."""
+    root = work_dir(spark, "stream-stages")
+    store = StageStore(spark, f"{root}/stages", view.BUCKET)
+    stage = extract_stage(view.conversation_contents(spark, sf_dir), _passed_on)
+    sent = view.conversation_messages(spark, sf_dir, every_page=True)
+    odd = F.col("page") % 2 == 1
+    for name, part in (("first", sent.filter(odd)), ("second", sent.filter(~odd))):
+        messages.encode_messages(part).write.text(f"{root}/inbox/{name}")
+        _finish(
+            messages.stream_stage(
+                _lines(spark, f"{root}/inbox"), store, stage, lambda _: view.now(), f"{root}/{name}", f"{root}/cp-{name}"
+            )
+        )
+    stored = store.stored("headers", *EXTRACT_STAGE).select("job_id", "page", "document_type", F.lit("").alias("error"))
+    failed = store.stored("failed", *EXTRACT_STAGE).select("job_id", "page", F.lit("").alias("document_type"), "error")
+    passed = spark.read.option("recursiveFileLookup", True).text(f"{root}/second/next").select(
+        F.get_json_object("value", "$.job_id").alias("job_id"), F.get_json_object("value", "$.page").cast("int").alias("page")
+    )
+    return stored.unionByName(failed.distinct()).join(
+        passed.groupBy("job_id", "page").agg(F.count("*").alias("sent_on")), ["job_id", "page"], "left"
+    ).fillna({"sent_on": 0})
+
+
+@query
+def redelivered_messages(spark, sf_dir):
+    """A message that fails comes again until it succeeds or is set aside after five deliveries."""
+    root = work_dir(spark, "redelivered")
+    store = StageStore(spark, f"{root}/stages", view.BUCKET)
+    sent = view.conversation_messages(spark, sf_dir, every_page=False)
+    messages.encode_messages(sent).write.text(f"{root}/inbox/new")
+    none = spark.createDataFrame([], TRANSACTION_ROW)
+    failures = F.split_part("job_id", F.lit("_"), F.lit(2)).cast("long") % 7
+    start = F.unix_timestamp(view.now())
+    for i in range(MAX_DELIVERIES + 1):
+        now = F.timestamp_seconds(start + i * 2 * VISIBILITY_SECONDS)
+
+        def fails(work: DataFrame, _: StageData, i: int = i) -> StageData:
+            bad = work.filter(failures > i).select("job_id", "page", F.lit("not yet").alias("error"))
+            return StageData(transactions=none, failed=bad)
+
+        stage = Stage(*EXTRACT_STAGE, fails)
+        _finish(
+            messages.stream_stage(
+                _lines(spark, f"{root}/inbox"), store, stage, lambda _, t=now: t, f"{root}/out", f"{root}/checkpoint"
+            )
+        )
+        later = F.timestamp_seconds(F.unix_timestamp(now) + VISIBILITY_SECONDS)
+        log = state.read_state_log(spark, store.log_root)
+        if not messages.redeliver(spark, log, sent, root, f"{root}/inbox", later):
+            break
+    log = state.read_state_log(spark, store.log_root)
+    dead = state.dead_letters(log, later).select("job_id", F.lit(True).alias("dead"))
+    return state.attempts(log).select("job_id", F.col("attempts").alias("deliveries"), "done").join(
+        dead, "job_id", "left"
+    ).fillna({"dead": False})
+
+
 @query
 def stream_messages(spark, sf_dir):
     """Jobs as line messages, some broken, read back as a stream of work."""

@@ -51,6 +51,7 @@ CHAIN_REGISTRY = {
 RETENTION_DAYS = 14
 DEAD_LETTER_DAYS = 14
 MAX_DELIVERIES = 5
+VISIBILITY_SECONDS = 600
 
 # Pages are spread over blocks of this many consecutive page numbers wherever
 # a per-job value meets page rows, so one very long job fills many tasks.

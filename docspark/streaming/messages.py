@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from docspark.schema import MESSAGE
-from docspark.sources.tables import replace_part
+from docspark.operators.state import KEY, due_again
+from docspark.plans.chain import Stage, StageStore, run_stage
+from docspark.schema import EXTRACT_STAGE, MAX_DELIVERIES, MESSAGE, VISIBILITY_SECONDS
+from docspark.sources.tables import claim_number, read_or_empty, replace_part
 from docspark.streaming.state import stream_part
 
 
@@ -72,3 +74,76 @@ def stream_work(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def encode_messages(work: DataFrame) -> DataFrame:
+    """Work rows as message texts, as `decode_messages` reads them."""
+    return work.select(F.to_json(F.struct(*MESSAGE.fieldNames())).alias("value"))
+
+
+def stream_stage(
+    messages: DataFrame,
+    store: StageStore,
+    stage: Stage,
+    clock: Callable[[int], Column],
+    out_root: str,
+    checkpoint: str,
+    previous: tuple[str, str] | None = None,
+    header_stage: tuple[str, str] = EXTRACT_STAGE,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Run one stage on a stream of decoded messages.
+
+    Every micro-batch is an attempt of its own in the store, at the time that
+    `clock(batch_id)` gives. Its next work goes to `out_root`/next as message
+    lines, under a name of this checkpoint, so a repeated batch writes over
+    what it wrote. Pages that are done are passed on without being run, so a
+    new checkpoint may read the same messages again.
+    """
+
+    def handle(work: DataFrame, batch_id: int) -> None:
+        following = run_stage(store, stage, work, clock(batch_id), batch_id, previous, header_stage)
+        part = stream_part(checkpoint, batch_id)
+        encode_messages(following).write.mode("overwrite").text(f"{out_root}/next/{part}")
+
+    return stream_work(messages, handle, f"{out_root}/rejected", checkpoint, trigger)
+
+
+RETRY = (
+    T.StructType()
+    .add("job_id", "string")
+    .add("page", "integer")
+    .add("stage", "string")
+    .add("version", "string")
+    .add("delivery", "long")
+    .add("visible_at", "long")
+)
+
+
+def redeliver(
+    spark: SparkSession,
+    log: DataFrame,
+    sent: DataFrame,
+    root: str,
+    inbox: str,
+    now: Column,
+    deliveries: int = MAX_DELIVERIES,
+    hidden: int = VISIBILITY_SECONDS,
+) -> int:
+    """Put messages that were started but not done back into the inbox; returns how many.
+
+    `sent` are the work rows ever sent, `log` the state rows of their stages.
+    The table of retries under `root` has each delivery once, however often
+    this is called; keys with all their deliveries behind them stay out, they
+    are the dead letters. The lines are written first: a crash before the
+    table is written sends them again, which the stage passes over.
+    """
+    before = read_or_empty(spark, f"{root}/retries", RETRY).select(*KEY, "delivery")
+    due = due_again(log, now, deliveries, hidden).join(before, [*KEY, "delivery"], "left_anti")
+    write = claim_number(spark, f"{root}/claims", now)
+    replace_part(due, f"{root}/due", "run", write)
+    due = read_or_empty(spark, f"{root}/due/run={write}", RETRY)
+    again = sent.dropDuplicates(KEY).join(due.select(*KEY), KEY, "left_semi")
+    encode_messages(again).write.mode("overwrite").text(f"{inbox}/retry-{write}")
+    replace_part(due, f"{root}/retries", "run", write)
+    return due.count()

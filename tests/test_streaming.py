@@ -210,3 +210,78 @@ def test_message_stream_runs_each_page_once(spark, tmp_path):
     # The second delivery is sent on without being run.
     sent = spark.read.parquet(nexts).collect()
     assert sorted(r.page for r in sent) == [1, 1, 2, 3] and {r.stage for r in sent} == {"normalize_card_statement"}
+
+
+def test_events_survive_a_receiver_and_a_crash(spark, tmp_path, monkeypatch):
+    """Each kind on its own; a crash behind the delivery brings the events again."""
+    from docspark.schema import JOB
+    from docspark.streaming import events
+
+    told = str(tmp_path / "told")
+
+    def receiver(down):
+        def notify(kind, batch):
+            if kind == down and len(batch):
+                raise ConnectionError("no answer")
+            with open(told, "a") as f:
+                f.writelines(f"{kind} {j}\n" for j in batch["job_id"])
+
+        return notify
+
+    def commit(name, *jobs):
+        base = {f.name: None for f in JOB.fields} | {"page_count": 1, "updated_at": "2026-01-01T00:00:00Z", "error": ""}
+        rows = [{**base, "job_id": j, "status": s} for j, s in jobs]
+        spark.createDataFrame(rows, JOB).coalesce(1).write.parquet(str(tmp_path / "jobs" / name))
+
+    def run(down):
+        rows = spark.readStream.schema(JOB).option("recursiveFileLookup", True).parquet(str(tmp_path / "jobs"))
+        query = events.stream_events(rows, str(tmp_path / "out"), receiver(down), str(tmp_path / "cp"), attempts=1)
+        query.awaitTermination()
+
+    commit("a", ("j1", "succeeded"), ("j2", "failed"), ("j3", "running"))
+    run("failed")
+    assert open(told).read().split("\n")[:-1] == ["succeeded j1"]
+    commit("b", ("j1", "succeeded"), ("j4", "failed"))
+    real = events.drop_parts
+    monkeypatch.setattr(events, "drop_parts", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    try:
+        run(None)
+    except Exception:  # noqa: BLE001  the stream ends with the crash
+        pass
+    monkeypatch.setattr(events, "drop_parts", real)
+    run(None)
+    lines = open(told).read().split("\n")[:-1]
+    assert set(lines) == {"succeeded j1", "failed j2", "failed j4"} and lines.count("succeeded j1") == 1
+    delivered = spark.read.schema(events.DELIVERED).parquet(str(tmp_path / "out" / "delivered")).collect()
+    assert sorted((r.job_id, r.event) for r in delivered) == [("j1", "succeeded"), ("j2", "failed"), ("j4", "failed")]
+
+
+def test_messages_come_again_until_they_are_dead(spark, tmp_path):
+    from docspark.operators.state import attempts, dead_letters, due_again
+    from docspark.plans.chain import Stage, StageData
+    from docspark.schema import TRANSACTION_ROW
+    from test_reruns import message
+    from test_reruns import messages as rows_of
+
+    root, inbox = str(tmp_path), str(tmp_path / "inbox")
+    store = StageStore(spark, f"{root}/stages", "work")
+    sent = rows_of(spark, message("good", 1, ("s", "v1")), message("bad", 1, ("s", "v1")))
+    messages.encode_messages(sent).write.text(f"{inbox}/new")
+
+    def fn(work, data):
+        bad = work.filter("job_id = 'bad'").select("job_id", "page", F.lit("boom").alias("error"))
+        return StageData(transactions=spark.createDataFrame([], TRANSACTION_ROW), failed=bad)
+
+    counts = []
+    for i in range(4):
+        at = F.lit(f"2026-01-01 0{i}:00:00").cast("timestamp")
+        lines = messages.decode_messages(spark.readStream.option("recursiveFileLookup", True).text(inbox))
+        finish(messages.stream_stage(lines, store, Stage("s", "v1", fn), lambda _, t=at: t, f"{root}/out", f"{root}/cp"))
+        log = read_state_log(spark, store.log_root)
+        soon, later = (F.lit(f"2026-01-01 0{i}:{m}:00").cast("timestamp") for m in ("09", "10"))
+        assert due_again(log, soon, 3).count() == 0
+        counts += [messages.redeliver(spark, log, sent, root, inbox, later, 3) for _ in range(2)]
+    assert counts == [1, 0, 1, 0, 0, 0, 0, 0]
+    assert {(r.job_id, r.attempts, r.done) for r in attempts(log).collect()} == {("good", 1, True), ("bad", 3, False)}
+    assert [r.job_id for r in dead_letters(log, later, 3).collect()] == ["bad"]
+    assert dead_letters(log, F.lit("2026-01-16").cast("timestamp"), 3).count() == 0
