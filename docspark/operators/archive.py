@@ -16,7 +16,7 @@ from docspark.functions.dates import format_rfc3339, year_month
 from docspark.functions.keys import archive_key, manifest_key, raw_key, tenant_safe, uri_for
 from docspark.functions.text import card_slug, issuer_slug
 from docspark.functions.variants import is_empty_value, text_value
-from docspark.operators.spread import join_per_job
+from docspark.operators.spread import join_per_job, with_content
 from docspark.schema import SOURCE_KIND
 from docspark.sources.tables import drop_parts, kept_part, read_or_empty, replace_part
 
@@ -284,7 +284,7 @@ def write_raw_catalog(targets: DataFrame, documents: DataFrame, roots: ArchiveRo
     wanted = targets.filter(F.col("input_uri") != "").select(
         "job_id", "issuer_slug", "year", "month", F.col("input_uri").alias("uri")
     )
-    copied = wanted.join(documents.select("uri", "content"), "uri")
+    copied = with_content(wanted, documents).filter(F.col("content").isNotNull())
     replace_part(copied, roots.raw, "run", run, "issuer_slug", "year", "month")
 
 

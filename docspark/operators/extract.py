@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from docspark.functions.keys import mime_from_uri
 from docspark.functions.text import blank_to
+from docspark.operators.spread import with_content
 from docspark.schema import USAGE
 
 DEFAULT_PROFILE = "default"
@@ -100,7 +101,7 @@ def extract_pages(
     asked = work.select(
         "job_id", "page", source.alias("uri"), instructions.alias("instructions")
     ).withColumn("mime", mime_from_uri(F.col("uri")))
-    found = asked.join(documents.select("uri", "content"), "uri", "left").withColumn(
+    found = with_content(asked, documents).withColumn(
         "error",
         F.when(F.col("uri") == "", "no input or previous uri")
         .when(F.col("content").isNull(), "document not found")

@@ -53,6 +53,21 @@ def left_join_lookup(
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+def with_content(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows with the `content` of the document at their `uri`, NULL where there is none.
+
+    The bytes stay where they are read: the rows, a uri and a few labels each,
+    go to the documents, as long as there are few enough to be broadcast. Rows
+    without a document are found by the uris alone.
+    """
+    docs = documents.select("uri", "content")
+    if rows.count() > BROADCAST_ROWS:
+        return rows.join(docs, "uri", "left")
+    found = docs.join(F.broadcast(rows), "uri")
+    missing = rows.join(documents.select("uri"), "uri", "left_anti")
+    return found.unionByName(missing.withColumn("content", F.lit(None).cast("binary")))
+
+
 def rank_in_group(
     df: DataFrame, group: str, order: str, name: str, width: int = 1 << 16
 ) -> DataFrame:

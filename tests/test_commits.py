@@ -151,3 +151,26 @@ def test_archive_follows_manifests_and_snapshots(spark, tx, tmp_path):
     assert read() == ["d-5"]
     shown = plan(archive.read_current_archive(spark, roots, "transactions", tenant="acme"))
     assert "tenant#" in shown.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_bytes_of_documents_are_not_shuffled(spark, tmp_path):
+    from docspark.operators.extract import extract_pages
+    from docspark.operators.spread import with_content
+
+    path = str(tmp_path / "docs")
+    documents(spark, x="one", y="two").write.parquet(path)
+    stored = spark.read.parquet(path)
+    rows = spark.createDataFrame([("j", 1, "s3://in/x"), ("j", 2, "s3://in/none")], "job_id string, page int, uri string")
+    joined = with_content(rows, stored)
+    assert sorted((r.page, r.content and bytes(r.content)) for r in joined.collect()) == [(1, b"one"), (2, None)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        work = messages(spark, message("j", 1, EXTRACT_STAGE, uri="s3://in/x"), message("j", 2, EXTRACT_STAGE, uri="s3://in/q"))
+        made = extract_pages(work, stored)
+        moved = [line for line in plan(made).splitlines() if "Exchange hash" in line]
+        scans = [line for line in plan(made).splitlines() if "FileScan" in line]
+        assert any("content" in s for s in scans) and len(scans) == 2 and len(moved) == 2
+        assert sum("content" in s.split("ReadSchema")[1] for s in scans) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.page: r.error for r in made.collect()} == {1: None, 2: "document not found"}
