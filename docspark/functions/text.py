@@ -18,6 +18,8 @@ WHITE_SPACE = (
 # written twice in front of the long one.
 ISSUER_SUFFIX = rf"(?:\(株\)){{0,2}}(?:株式会社)?[{WHITE_SPACE}]*\z"
 
+SUFFIX_ENDS = (*WHITE_SPACE, ")", "社")
+
 # Country by settlement currency; no currency means domestic.
 CURRENCY_COUNTRY = {"": "JP", "MYR": "MY", "SGD": "SG", "THB": "TH", "USD": "US"}
 
@@ -38,15 +40,15 @@ def normalise_alias(c: Column) -> Column:
 
 
 def canonical_issuer(c: Column) -> Column:
-    return normalise_alias(F.regexp_replace(c, ISSUER_SUFFIX, ""))
+    # Only a text that ends like a suffix goes through the pattern.
+    bare = F.when(F.right(c, F.lit(1)).isin(*SUFFIX_ENDS), F.regexp_replace(c, ISSUER_SUFFIX, "")).otherwise(c)
+    return normalise_alias(bare)
 
 
 def country_from_currency(c: Column) -> Column:
-    code = F.upper(unicode_trim(c))
-    out = F.lit("")
-    for currency, country in CURRENCY_COUNTRY.items():
-        out = F.when(code == currency, country).otherwise(out)
-    return out
+    """Looked up, so the code is taken from the text once."""
+    known = F.create_map(*[F.lit(x) for pair in CURRENCY_COUNTRY.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.upper(unicode_trim(c))), F.lit(""))
 
 
 def fill_category(upstream: Column, dictionary: Column) -> Column:

@@ -36,8 +36,13 @@ def resolve_filter(params: Mapping[str, str]) -> tuple[str, str]:
     return next(iter(given.items()))
 
 
+def _printed(key: str) -> str:
+    """The column that holds the amount that a filter by this key adds up."""
+    return "foreign_amount" if key == FOREIGN else "amount"
+
+
 def _amount(key: str) -> Column:
-    return parse_amount(F.col("foreign_amount" if key == FOREIGN else "amount"))
+    return parse_amount(F.col(_printed(key)))
 
 
 def _dimension(key: str, effective_currency: bool) -> Column:
@@ -110,9 +115,12 @@ def aggregate(
 
 def aggregate_by(tx: DataFrame, key: str) -> DataFrame:
     """`aggregate` for every job and every value a filter could ask for."""
-    column = F.col(_known(key))
-    rows = tx.filter((column != "") & (column == unicode_trim(column))).select(
-        "job_id", column.alias("_value"), _amount(key).alias("_amount")
+    # Behind the one-element explode the value is there; a filter would repeat how it is made.
+    printed = F.col(_printed(key)).alias("_printed")
+    valued = tx.select("job_id", F.explode(F.array(F.col(_known(key)))).alias("_value"), printed)
+    value = F.col("_value")
+    rows = valued.filter((value != "") & (value == unicode_trim(value))).select(
+        "job_id", "_value", parse_amount(F.col("_printed")).alias("_amount")
     )
     return _labelled(rows.groupBy("job_id", "_value").agg(*_totals(key)), key, F.col("_value"))
 

@@ -12,7 +12,12 @@ from docspark.sources.tables import read_or_empty
 
 RESULT_PATH = r"/jobs/([^/]+)/pages/([0-9]+)/([^/]+)/([^/]+)/result\.json\z"
 
-OBJECT_OR_NULL = r"\A[ \t\n\r]*(?:\{|null)"
+# Types of a page, keys in order, of which each has the wanted type or is absent.
+CLEAN_ROW = rf"OBJECT<(?:(?:{'|'.join(sorted(TRANSACTION_FIELDS, reverse=True))}): (?:STRING|VOID)(?:, )?)*+>"
+CLEAN_PAGE = (
+    r"\AOBJECT<(?:document_type: (?:STRING|VOID)(?:, |(?=>)))?(?:fields: (?:VOID|OBJECT<[^<>]*+>)(?:, |(?=>)))?"
+    rf"(?:text: (?:STRING|VOID)(?:, |(?=>)))?(?:transactions: (?:VOID|ARRAY<(?:VOID|{CLEAN_ROW})>))?>\z"
+)
 
 TYPED_ROWS = "array<struct<" + ",".join(f"{f}:string" for f in TRANSACTION_FIELDS) + ">>"
 UNTYPED_ROWS = "array<struct<" + ",".join(f"{f}:variant" for f in TRANSACTION_FIELDS) + ">>"
@@ -76,10 +81,13 @@ def decode_pages(df: DataFrame, body: str = "body") -> DataFrame:
     # repeating the parse.
     parsed = df.select(
         *kept,
-        F.col(body).rlike(OBJECT_OR_NULL).alias("_object"),
         F.explode(F.array(F.try_parse_json(F.col(body)))).alias("_page"),
     )
     page = F.col("_page")
+    # Most pages show by the types of all their values at once that nothing is
+    # wrong; only the others are looked at value by value.
+    whole = F.schema_of_variant(page)
+    clean = whole.rlike(CLEAN_PAGE)
     row_kinds = _kind(page, "$.transactions")
     plain = row_kinds.isNull() | row_kinds.rlike(r"\A(?:VOID|ARRAY<(?:VOID|OBJECT<.*>)>)\z")
     exact = F.schema_of_variant(
@@ -90,8 +98,9 @@ def decode_pages(df: DataFrame, body: str = "body") -> DataFrame:
     odd = row_kinds.rlike(": (?!STRING|VOID)")
     bad_rows = ~plain | (odd & F.coalesce(exact.rlike(": (?!STRING|VOID)"), F.lit(True)))
     error = (
-        F.when(page.isNull(), "not valid JSON")
-        .when(~F.col("_object"), "page is not an object")
+        F.when(clean, F.lit(None).cast("string"))
+        .when(page.isNull(), "not valid JSON")
+        .when(~_is(whole, "OBJECT"), "page is not an object")
         .when(~_is(_kind(page, "$.text"), "STRING"), "text is not a string")
         .when(~_is(_kind(page, "$.document_type"), "STRING"), "document_type is not a string")
         .when(~_is(_kind(page, "$.fields"), "OBJECT"), "fields is not an object")
