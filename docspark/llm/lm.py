@@ -1,22 +1,24 @@
 """Language-model scores by online logistic mixing of context predictors.
 
-A text is a row of words and an end. A word is spelt in bytes with a stop, a
-byte in the bits of a Huffman code. Each bit is predicted by several hashed
-contexts of the bytes before it: their counts of ones and zeros give one
-log-odds each. A mixer adds them with weights that a gate selects (place in
-the word, how often the longest context was seen) and learns online from the
-error of each bit; an adaptive table then refines the mixed probability by what
-bits of such a probability turned out to be. Counts come from the distinct
-words of the training texts. At the level of words the spelling refines what is
-known already: a word seen c times has (c - d) / N, and the mass d * V / N that
-this leaves is shared out by spelling. The labelled languages of the training
-texts give a predictor each, built alike over that of all texts; which of them
-a text follows is a gate that its words update online, so that a text has
-the mean of its probabilities under each, weighted by the languages' shares.
-
-A word's score depends on the word alone, so each is spelt once for the corpus,
-not at each use. Slices of the texts send their distinct words to ranges of
-hashes and get counts and scores back.
+A text is a row of words and an end. A word is told by its class and by which
+word of the class it is. Classes are cuts of the training words, in order of
+groups by their last two bytes (which tell much of the language) and then of
+hashes, into like shares of the training tokens, so a frequent word has one to
+itself or nearly so; words seen once or never are a class of their own.
+The bits of the classes of running texts are predicted by mixed contexts that
+reach across words (`running.py`). Within a class a word seen c times has the
+share c of the class's tokens. Within the class of rare words a text is spelt:
+a word in bytes with a stop, a byte in the bits of a Huffman code, each bit
+predicted by hashed contexts of the bytes before it, whose log-odds a mixer adds
+with weights that a gate selects (place in the word, how often the longest
+context was seen); it learns online from the error of each bit, and an adaptive
+table refines the mixed probability. A word seen once also has its share of all
+those, by Good and Turing's estimate.
+
+Spellings depend on the word alone, so each is done once for the corpus, not at
+each use. Slices of the texts send their distinct words to ranges of hashes and
+get counts, classes and scores back; then their rows of classes are counted,
+learnt from and scored where they are.
 """
 
 from __future__ import annotations
@@ -34,14 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.llm import running
 from docspark.llm.common import Splits, fold, stored
 from docspark.llm.textgrid import slices
 
 FOLDS, HELD_OUT = 7, 2
 #: Distinct words of slices that one range takes, about.
 RANGE = 400_000
-#: Languages told apart, at most; more of them share a predictor.
-KINDS = 32
+#: Groups of words by ending, and bits of the ranges of hashes whose masses in
+#: each group are told one by one; finer ranges share them out.
+GROUPS, COARSE = 256, 6
 STOP = 0x20  # no word holds a space
 ORDERS = (1, 2, 3, 4, 6, 0)  # bytes before; 0: the whole word so far
 BITS = 18
@@ -79,6 +83,7 @@ VOCABULARY = T.StructType(
         T.StructField("part", T.LongType()),
         T.StructField("words", T.BinaryType()),
         T.StructField("counts", T.BinaryType()),
+        T.StructField("classes", T.BinaryType()),
         T.StructField("scores", T.BinaryType()),
     ]
 )
@@ -87,10 +92,24 @@ ANSWERS = T.StructType(
         T.StructField("slice", T.LongType()),
         T.StructField("part", T.LongType()),
         T.StructField("counts", T.BinaryType()),
+        T.StructField("classes", T.BinaryType()),
         T.StructField("scores", T.BinaryType()),
         T.StructField("lengths", T.BinaryType()),
     ]
 )
+CODED = T.StructType(
+    [
+        T.StructField("slice", T.LongType()),
+        T.StructField("doc_ids", T.ArrayType(T.LongType())),
+        T.StructField("held_out", T.ArrayType(T.BooleanType())),
+        T.StructField("n", T.ArrayType(T.IntegerType())),
+        T.StructField("n_known", T.ArrayType(T.LongType())),
+        T.StructField("size", T.ArrayType(T.LongType())),
+        T.StructField("base", T.ArrayType(T.DoubleType())),
+        T.StructField("within", T.ArrayType(T.DoubleType())),
+        T.StructField("classes", T.BinaryType()),
+    ]
+)
 NUMBERS = T.StructType(
     [T.StructField("chunk", T.LongType()), T.StructField("values", T.BinaryType()), T.StructField("tasks", T.LongType())]
 )
@@ -147,7 +166,7 @@ def _cut(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):
-    """Slices of (doc_id, held_out, text, kind): number, batch part, bytes, lengths.
+    """Slices of (doc_id, held_out, text): number, batch part, bytes, lengths.
 
     A number is made of the partition and the place in it, so that another
     read of the same files numbers the same documents alike.
@@ -179,22 +198,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _entries(bits: int, kinds: int):
+def _entries(bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each slice's distinct words by range, with their counts in all training texts and by language."""
+        """Each slice's distinct words by range, with their counts in training texts."""
         for number, batch, raw, ends in _slices(batches):
             first, last, h = spans(raw)
             key, one, word = np.unique(h, return_index=True, return_inverse=True)
-            of = batch.column(3).to_numpy()[np.searchsorted(ends, first, side="right")]
-            each = [of >= 0, *(of == z for z in range(1, kinds + 1))]
-            counts = np.stack([np.bincount(word[x], minlength=len(key)) for x in each]).astype(np.uint32)
+            held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            taught = ~held_out[np.searchsorted(ends, first, side="right")]
+            counts = np.bincount(word[taught], minlength=len(key)).astype(np.uint32)
             part = (key >> np.uint64(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part)) + 1
             rows = []
             for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if b > a:
                     words = zstandard.compress(_cut(raw, first[one[a:b]], last[one[a:b]]), 1)
-                    rows.append((int(part[a]), number, words, _pack(counts[:, a:b].ravel())))
+                    rows.append((int(part[a]), number, words, _pack(counts[a:b])))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
@@ -206,18 +225,20 @@ def _entries(bits: int, kinds: int):
 
 def _vocabulary(table: pa.Table) -> pa.Table:
     """One range's distinct words, in order of their hashes, and their counts."""
-    texts = [zstandard.decompress(x) for x in table["words"].to_pylist()]
-    lengths = [x.count(b" ") for x in texts]
-    raw = np.frombuffer(b" " + b"".join(texts), np.uint8)
+    raw = np.frombuffer(b" " + b"".join(zstandard.decompress(x) for x in table["words"].to_pylist()), np.uint8)
     first, last, h = spans(raw)
     _, one, word = np.unique(h, return_index=True, return_inverse=True)
-    counts = np.concatenate(
-        [_unpack(c, np.uint32).reshape(-1, n) for c, n in zip(table["counts"].to_pylist(), lengths, strict=True)], axis=1
-    )
-    total = np.stack([np.bincount(word, weights=c, minlength=len(one)) for c in counts]).astype(np.int64).ravel()
+    counts = np.concatenate([_unpack(c, np.uint32) for c in table["counts"].to_pylist()])
+    total = np.bincount(word, weights=counts, minlength=len(one)).astype(np.int64)
     words = zstandard.compress(_cut(raw, first[one], last[one]), 3)
-    row = [[table["part"][0].as_py()], [words], [_pack(total)], [None]]
-    return pa.table([pa.array(x, f) for x, f in zip(row, [pa.int64(), *[pa.binary()] * 3], strict=True)], VOCABULARY.fieldNames())
+    row = [[table["part"][0].as_py()], [words], [_pack(total)], [_pack(_groups(raw, last[one]))], [None]]
+    return pa.table([pa.array(x, f) for x, f in zip(row, [pa.int64(), *[pa.binary()] * 4], strict=True)], VOCABULARY.fieldNames())
+
+
+def _groups(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Groups of words by their last two bytes; a shorter word has a space before it."""
+    h = (raw[last - 1].astype(np.uint32) << np.uint32(8) | raw[last - 2]) * np.uint32(0x9E3779B1)
+    return (h >> np.uint32(16)).astype(np.uint16) % GROUPS
 
 
 def code(frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,15 +337,14 @@ def _chunks(words: bytes, size: int = 150_000) -> Iterator[bytes]:
 def _known(row_words: bytes, counts: np.ndarray) -> bytes:
     raw = np.frombuffer(b" " + row_words, np.uint8)
     first, last, _ = spans(raw)
-    seen = counts[: len(first)] > 0  # the first row counts all training texts
-    return _cut(raw, first[seen], last[seen])
+    return _cut(raw, first[counts > 0], last[counts > 0])
 
 
-def _numbers(values: np.ndarray) -> pa.RecordBatch:
+def _numbers(values: np.ndarray, units: int = 1) -> pa.RecordBatch:
     parts = [_pack(values[a : a + CHUNK].astype(float)) for a in range(0, len(values), CHUNK)]
     n = len(parts)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(n)), pa.array(parts, pa.binary()), pa.array(np.ones(n, np.int64))], NUMBERS.fieldNames()
+        [pa.array(np.arange(n)), pa.array(parts, pa.binary()), pa.array(np.full(n, units))], NUMBERS.fieldNames()
     )
 
 
@@ -336,7 +356,7 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def _gathered(numbers: DataFrame, size: int, mean: bool = False) -> np.ndarray:
-    """Numbers of all tasks, summed by place, or averaged; `size` places."""
+    """Numbers of all tasks, summed by place, or averaged over units; `size` places."""
     out = np.zeros(size)
     got = numbers.groupBy("chunk").applyInArrow(_added, NUMBERS).toArrow()
     for chunk, values, tasks in zip(*(c.to_pylist() for c in got.columns), strict=True):
@@ -421,147 +441,219 @@ def _learn(spark: SparkSession, vocabulary: DataFrame) -> Mixer:
     n_weights = PLACES * SEEN * (len(ORDERS) + 1)
 
     def train(batches):
-        mixer, some = Mixer(shared_code.value, counted.value), False
+        """Each range of words learns from the same start, so tasks do not matter."""
+        total, units = 0, 0
         for words in rows(batches):
-            mixer.learn(words)
-            some = some or len(words) > 0
-        if some:
-            yield _numbers(np.concatenate([mixer.weights.ravel(), mixer.refined.ravel()]))
+            if words:
+                mixer = Mixer(shared_code.value, counted.value)
+                mixer.learn(words)
+                total, units = total + np.concatenate([mixer.weights.ravel(), mixer.refined.ravel()]), units + 1
+        if units:
+            yield _numbers(total, units)
 
     learnt = _gathered(spelt.mapInArrow(train, NUMBERS), n_weights + 2 * DEPTHS * STEPS, mean=True)
     weights = learnt[:n_weights].reshape(-1, len(ORDERS) + 1).astype(np.float32)
     return Mixer(coding, tables, weights, learnt[n_weights:].reshape(2, -1))
 
 
-def _languages(docs: DataFrame) -> dict[str, int]:
-    """The labelled languages as kinds from 1; beyond KINDS they share one."""
-    if "lang" not in docs.columns:
-        return {}
-    found = docs.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull()).select("lang").distinct()
-    return {r["lang"]: 1 + i % KINDS for i, r in enumerate(found.orderBy("lang").collect())}
-
+def _classes(part: int, group: np.ndarray, c: np.ndarray, bits: int, masses: np.ndarray) -> np.ndarray:
+    """The classes of one range's words, which come in order of their hashes.
 
-def _backed_off(c: np.ndarray, n: float, v: float, discount: float, below: np.ndarray) -> np.ndarray:
-    """Log of a word's discounted share, with the rest dealt by another predictor.
-
-    `below` is that predictor's log; logs keep words of any length apart.
+    `masses`: tokens of words seen more than once, by group and coarse range.
     """
-    if not n:
-        return below
+    often = np.where(c > 1, c, 0).astype(float)
+    order = np.argsort(group, kind="stable")
+    own = np.bincount(group, weights=often, minlength=GROUPS)
+    within = np.empty(len(c))
+    within[order] = np.cumsum(often[order]) - often[order] / 2 - (np.cumsum(own) - own)[group[order]]
+    within = np.maximum(within / np.maximum(own[group], 1), 0)
+    fine = max(0, bits - COARSE)
+    start = (np.cumsum(masses) - masses.ravel()).reshape(masses.shape)[:, part >> fine]
+    share = ((part & ((1 << fine) - 1)) + within) / (1 << fine)
+    place = start[group] + masses[group, part >> fine] * share
+    cut = 2 + np.minimum(place / max(masses.sum(), 1) * (running.CLASSES - 2), running.CLASSES - 3).astype(np.int64)
+    return np.where(c > 1, cut, running.RARE)
+
+
+def _log(x: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
-        own = np.log(np.maximum(c - discount, 0) / n)
-    return np.logaddexp(own, math.log(discount * v / n) + below)
+        return np.log10(x)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: its tokens and its log10 probability, two ways.
 
-    Learns from the documents whose crc32 fold is not `HELD_OUT`; labels of
-    language are read of those only. A NULL text counts as empty: its end is
-    its only token. Repeated rows are learnt from and scored each for itself,
-    an empty table gives no rows, and columns other than doc_id, text and lang
-    are not read. Words are told apart by 64-bit hashes.
+    Learns from the documents whose crc32 fold is not `HELD_OUT`. A NULL text
+    counts as empty: its end is its only token. Repeated rows are learnt from
+    and scored each for itself, an empty table gives no rows, and columns other
+    than doc_id and text are not read. Words are told apart by 64-bit hashes.
+    Every slice learns the weights of the mixer online from one start, and the
+    mean of all is taken, so they hang on how files are cut, not on tasks.
     """
-    languages = _languages(docs)
-    kinds = max(languages.values(), default=0)
-    held_out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
-    kind = F.lit(0)
-    if languages:
-        of = F.create_map(*[x for k, z in languages.items() for x in (F.lit(k), F.lit(z))])
-        kind = F.coalesce(F.try_element_at(of, F.col("lang")), kind)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        held_out.alias("held_out"),
+        F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "text",
-        F.when(held_out, -1).otherwise(kind).cast("int").alias("kind"),
     )
     splits = Splits(spark)
     tokens = splits.stored(rows.mapInArrow(_tokens, TOKENS), "tokens")
     total = tokens.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(3, (total // RANGE // 4).bit_length())
-    entries = splits.stored(rows.mapInArrow(_entries(bits, kinds), ENTRIES), "entries")
+    entries = splits.stored(rows.mapInArrow(_entries(bits), ENTRIES), "entries")
     vocabulary = stored(entries.groupBy("part").applyInArrow(_vocabulary, VOCABULARY), "vocabulary")
-    mixer = _learn(spark, vocabulary)
-    model = spark.sparkContext.broadcast((mixer.coding, mixer.tables, mixer.weights, mixer.refined))
+    speller = _learn(spark, vocabulary)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Mixer(*model.value)
+    def counted_words(batches):
         for batch in batches:
-            for part, words, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                scores = _pack(speller.score(zstandard.decompress(words)).astype(np.float32))
-                row = [pa.array([part]), pa.array([words]), pa.array([counts]), pa.array([scores])]
-                yield pa.RecordBatch.from_arrays(row, VOCABULARY.fieldNames())
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each kind: tokens, distinct words, words seen once and twice."""
-        sums = np.zeros((kinds + 1, 4))
+            for part, counts, group in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield part, _unpack(counts, np.int64), _unpack(group, np.uint16)
+
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens, words, words seen once and twice; tokens of words seen more than once by group and range."""
+        sums = np.zeros(4 + GROUPS * ranges)
+        for part, counts, group in counted_words(batches):
+            sums[:4] += counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()
+            often = np.bincount(group, weights=np.where(counts > 1, counts, 0), minlength=GROUPS)
+            sums[4:].reshape(GROUPS, -1)[:, part >> max(0, bits - COARSE)] += often
+        yield _numbers(sums)
+
+    ranges = 1 << min(bits, COARSE)
+    counted = vocabulary.select("part", "counts", "classes")
+    known = _gathered(counted.mapInArrow(masses, NUMBERS), 4 + GROUPS * ranges)
+    (n, v, once, twice), mass = known[:4], known[4:].reshape(GROUPS, ranges)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Training tokens of each class."""
+        sums = np.zeros(running.CLASSES)
+        for part, counts, group in counted_words(batches):
+            sums += np.bincount(_classes(part, group, counts, bits, mass), weights=counts, minlength=running.CLASSES)
+        yield _numbers(sums)
+
+    of_class = _gathered(counted.mapInArrow(shares, NUMBERS), running.CLASSES)
+    # Among rare words: how many would have been seen once, were one token left out.
+    old = min(max(2 * twice / max(once + 2 * twice, 1), 0.05), 0.95) if once else 0.0
+    model = spark.sparkContext.broadcast((speller.coding, speller.tables, speller.weights, speller.refined))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word's class and its log10 probability within it."""
+        mixer = Mixer(*model.value)
         for batch in batches:
-            for counts in batch.column(0).to_pylist():
-                c = _unpack(counts, np.int64).reshape(kinds + 1, -1)
-                sums += np.stack([c.sum(1), (c > 0).sum(1), (c == 1).sum(1), (c == 2).sum(1)], 1)
-        yield _numbers(sums.ravel())
-
-    known = _gathered(vocabulary.select("counts").mapInArrow(tally, NUMBERS), 4 * (kinds + 1)).reshape(-1, 4)
-    per_kind = {r["kind"]: r["count"] for r in rows.where("kind >= 0").groupBy("kind").count().collect()}
-    ends = np.array([sum(per_kind.values()), *(per_kind.get(z, 0) for z in range(1, kinds + 1))], float)
-    n, v = known[:, 0] + ends, known[:, 1] + (ends > 0)
-    discount = (known[:, 2] + 0.5) / (known[:, 2] + 2 * known[:, 3] + 1)
-    prior = np.concatenate([[1.0], ends[1:]]) / (1.0 + ends[1:].sum())
-    train_tokens = int(n[0])
+            for part, words, counts, group in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                c = _unpack(counts, np.int64)
+                own = _classes(part, _unpack(group, np.uint16), c, bits, mass)
+                spelt = math.log10(1 - old) + mixer.score(zstandard.decompress(words))
+                seen = _log(np.where(c == 1, old / max(once, 1), 0))
+                rare = np.maximum(seen, spelt) + np.log10(1 + 10.0 ** -np.abs(np.where(c == 1, seen, 0) - spelt)) * (c == 1)
+                within = np.where(c > 1, _log(c / np.maximum(of_class[own], 1)), rare)
+                row = [[part], [words], [counts], [_pack(own.astype(np.uint16))], [_pack(within.astype(np.float32))]]
+                kinds = [pa.int64(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(row, kinds, strict=True)], VOCABULARY.fieldNames()
+                )
+
     scored = stored(vocabulary.mapInArrow(spell, VOCABULARY), "spelt")
     answers = entries.groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(_answers, ANSWERS)
-    end_spelt = mixer.score(b" ")
-
-    def logs(c: np.ndarray, spelt: np.ndarray) -> np.ndarray:
-        """log10 of words by kind; `c` counts them by kind, the first in all."""
-        below = spelt * math.log(10)
-        every = _backed_off(c[0], n[0], v[0], discount[0], below)
-        own = [_backed_off(c[z], n[z], v[z], discount[z], every) for z in range(1, kinds + 1)]
-        return np.stack([every, *own]) / math.log(10)
-
-    end_logs = logs(ends[:, None], end_spelt)[:, 0]
-    base_of = lambda c: np.log10((c + 1) / (train_tokens + v[0] + 1))
+    ends = rows.where("NOT held_out").count()
+    train_tokens, words = int(n) + ends, v + (ends > 0)
 
-    def add_up(own: pa.Table, found: pa.Table) -> pa.Table:
+    def coded(own: pa.Table, found: pa.Table) -> pa.Table:
+        """A slice's texts as classes, and what is summed over their words."""
         order = np.argsort(found["part"].to_numpy())
-        column = lambda name, kind: [_unpack(found[name][int(i)].as_py(), kind) for i in order]
-        spelt = np.concatenate([np.zeros(0, np.float32), *column("scores", np.float32)]).astype(float)
-        size = np.concatenate([np.zeros(0, np.uint32), *column("lengths", np.uint32)]).astype(np.int64)
-        c = np.concatenate([np.zeros((kinds + 1, 0)), *(x.reshape(kinds + 1, -1) for x in column("counts", np.int64))], 1)
+        column = lambda name, kind: np.concatenate(
+            [np.zeros(0, kind), *(_unpack(found[name][int(i)].as_py(), kind) for i in order)]
+        )
+        c, size = column("counts", np.int64), column("lengths", np.uint32).astype(np.int64)
         word = _unpack(own["words"][0].as_py(), np.uint32)
-        words = np.array(own["n"][0].as_py(), np.int64)
-        cuts = np.concatenate([[0], np.cumsum(words)])
+        each = np.array(own["n"][0].as_py(), np.int64)
+        cuts = np.concatenate([[0], np.cumsum(each)])
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[word])])[cuts])
-        by_kind = np.stack([sums(x) for x in logs(c, spelt)]) + end_logs[:, None]
-        best = by_kind.max(0)
-        score = best + np.log10((prior[:, None] * 10.0 ** (by_kind - best)).sum(0))
-        return pa.table(
-            [
-                pa.array(own["doc_ids"][0].as_py(), pa.int64()),
-                pa.array(own["held_out"][0].as_py(), pa.bool_()),
-                pa.array(words + 1),
-                pa.array(sums((c[0] > 0).astype(np.int64)) + int(ends[0] > 0)),
-                pa.array(np.full(len(words), train_tokens)),
-                pa.array(sums(base_of(c[0])) + float(base_of(ends[0]))),
-                pa.array(score),
-                pa.array(-score / math.log10(2) / (sums(size) + 1)),
-            ],
-            RESULT.fieldNames(),
-        )
+        base = lambda c: np.log10((c + 1) / (train_tokens + words + 1))
+        row = np.full(len(word) + len(each), running.END, np.uint16)
+        row[np.arange(len(word)) + np.repeat(np.arange(len(each)), each)] = column("classes", np.uint16)[word]
+        values = [
+            own["doc_ids"][0].as_py(),
+            own["held_out"][0].as_py(),
+            each.astype(np.int32),
+            sums((c > 0).astype(np.int64)) + int(ends > 0),
+            sums(size) + 1,
+            sums(base(c)) + float(base(ends)),
+            sums(column("scores", np.float32).astype(float)),
+        ]
+        kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        lists = [pa.array([x], pa.list_(k)) for x, k in zip(values, kinds, strict=True)]
+        return pa.table([own["slice"], *lists, pa.array([_pack(row)], pa.binary())], CODED.fieldNames())
+
+    texts = stored(tokens.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(coded, CODED), "coded")
+    mixer = spark.sparkContext.broadcast(_learn_running(spark, texts.select("held_out", "n", "classes"), running.heavy_classes(of_class)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = running.Mixer(*mixer.value).scorer()
+        for batch in batches:
+            for row in batch.to_pylist():
+                logs = scorer(_unpack(row["classes"], np.uint16))
+                each = np.array(row["n"], np.int64) + 1
+                cuts = np.concatenate([[0], np.cumsum(each)])
+                score = np.add.reduceat(logs, cuts[:-1]) + np.array(row["within"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row["doc_ids"], pa.int64()),
+                        pa.array(row["held_out"], pa.bool_()),
+                        pa.array(each),
+                        pa.array(row["n_known"], pa.int64()),
+                        pa.array(np.full(len(each), train_tokens)),
+                        pa.array(row["base"], pa.float64()),
+                        pa.array(score),
+                        pa.array(-score / math.log10(2) / np.array(row["size"])),
+                    ],
+                    RESULT.fieldNames(),
+                )
+
+    return texts.mapInArrow(score, RESULT)
+
+
+def _learn_running(spark: SparkSession, texts: DataFrame, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts and what the mixer learnt of all training texts; both of a fixed size."""
+
+    def taught(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                of = np.repeat(~np.array(row["held_out"], bool), np.array(row["n"], np.int64) + 1)
+                classes = _unpack(row["classes"], np.uint16)[of]
+                if len(classes):
+                    yield classes
+
+    def count(batches):
+        total = np.zeros((2, running.COUNTS), np.int64)
+        for classes in taught(batches):
+            running.tally(classes, heavy, total)
+        yield _numbers(total.ravel())
+
+    counts = _gathered(texts.mapInArrow(count, NUMBERS), 2 * running.COUNTS).reshape(2, -1).astype(np.float32)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def train(batches):
+        total, units = 0, 0
+        for classes in taught(batches):
+            mixer = running.Mixer(shared.value, heavy)
+            mixer.learn(classes)
+            total, units = total + mixer.learnt(), units + 1
+        if units:
+            yield _numbers(total, units)
 
-    return tokens.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(add_up, RESULT)
+    fresh = running.Mixer(counts, heavy).learnt()
+    learnt = _gathered(texts.mapInArrow(train, NUMBERS), len(fresh), mean=True)
+    return counts, heavy, learnt if learnt.any() else fresh
 
 
 def _answers(entries: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    """For each slice the counts and scores of its words of one range."""
+    """For each slice the counts, classes and scores of its words of one range."""
     h = spans(np.frombuffer(b" " + zstandard.decompress(vocabulary["words"][0].as_py()), np.uint8))[2]
-    counts = _unpack(vocabulary["counts"][0].as_py(), np.int64).reshape(-1, len(h))
-    scores = _unpack(vocabulary["scores"][0].as_py(), np.float32)
+    columns = [_unpack(vocabulary[k][0].as_py(), kind) for k, kind in (("counts", np.int64), ("classes", np.uint16), ("scores", np.float32))]
     out = []
     for words in entries["words"].to_pylist():
         first, last, own = spans(np.frombuffer(b" " + zstandard.decompress(words), np.uint8))
         at = np.searchsorted(h, own)
-        out.append((_pack(counts[:, at].ravel()), _pack(scores[at]), _pack((last - first + 1).astype(np.uint32))))
+        out.append((*(_pack(x[at]) for x in columns), _pack((last - first + 1).astype(np.uint32))))
     return pa.table(
         [entries["slice"], entries["part"], *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))],
         ANSWERS.fieldNames(),

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docspark.llm import lm
+from docspark.llm import lm, running
 
 
 def tokens(text):
@@ -57,7 +57,7 @@ def test_a_growing_unseen_word_keeps_costing(spark, docs, texts):
     assert min(bits) > max(bits) / 2
 
 
-def test_without_languages_and_without_rows(spark, docs, texts):
+def test_few_texts_and_no_rows(spark, docs, texts):
     assert lm.score_documents(spark, docs(*texts[:9])).count() == 9
     assert lm.score_documents(spark, docs("a").where("false")).count() == 0
     assert lm.score_documents(spark, docs(None, "")).count() == 2
@@ -95,3 +95,123 @@ def test_learning_lowers_the_bits():
 def test_packing_round_trips():
     for x in (np.array([], np.uint32), np.arange(300, dtype=np.int64), np.array([1.5], np.float32)):
         assert np.array_equal(lm._unpack(lm._pack(x), x.dtype.type), x)
+
+
+def test_order_and_repeats_count(spark, docs):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    phrase = lambda i: " ".join(words[i : i + 10])
+    texts = [" ".join(phrase(rng.randrange(290)) for _ in range(30)) for _ in range(120)]
+    at = [i for i in range(120) if held(i)][:4]
+    fresh = rng.sample(words, 200)
+    backwards = " ".join(reversed(phrase(40).split()))
+    texts[at[0]], texts[at[1]], texts[at[2]], texts[at[3]] = phrase(40), backwards, " ".join(fresh), " ".join(fresh * 2)
+    rows = {r.doc_id: r for r in lm.score_documents(spark, docs(*texts)).collect()}
+    assert rows[at[0]].base_score == pytest.approx(rows[at[1]].base_score)
+    assert rows[at[0]].score > rows[at[1]].score + 3
+    # the second half was read before in the same text
+    assert rows[at[3]].score > 1.8 * rows[at[2]].score
+
+
+def test_tasks_do_not_matter(spark, docs, texts):
+    df = docs(*texts).repartition(3)
+    got = []
+    for n in ("2", "7"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got.append({r.doc_id: r.score for r in lm.score_documents(spark, df).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == pytest.approx(got[1], rel=1e-9)
+
+
+def some_classes(n=3000):
+    rng = np.random.default_rng(4)
+    s = (rng.zipf(1.5, n) % 40 + 2).astype(np.uint16)
+    s[rng.random(n) < 0.05] = running.RARE
+    s[rng.random(n) < 0.02] = running.END
+    s[-1] = running.END
+    heavy = np.zeros(running.CLASSES, bool)
+    heavy[2:5] = True
+    return s, heavy
+
+
+def test_contexts_match_brute_force():
+    s, heavy = some_classes()
+    r = running.Running(s, heavy)
+    begin = 0
+    for t in range(len(s)):
+        own = s[begin:t].tolist()
+        assert r.one[t] == (own[-1] if own else running.END)
+        assert r.two[t] == (own[-2] if len(own) > 1 else running.END)
+        assert r.far[t] == next((x for x in reversed(own[:-1]) if heavy[x]), running.END)
+        before = [running.END, running.END, *own]
+        stood = [i for i in range(len(own)) if before[i : i + 2] == before[-2:]]
+        assert r.expected[t] == (own[stood[-1]] if stood else -1)
+        if s[t] == running.END:
+            begin = t + 1
+
+
+def test_counts_match_brute_force_and_learning_pays():
+    s, heavy = some_classes()
+    counts = np.zeros((2, running.COUNTS), np.int64)
+    running.tally(s, heavy, counts)
+    own = Counter()
+    for x in s.tolist():
+        for j in range(running.LEVELS):
+            own[(x >> (9 - j)) & 1, (x >> (10 - j)) | 1 << j] += 1
+    free = counts[:, running.CONTEXTS << running.SLOTS :]
+    assert {(b, i): free[b, i] for b, i in np.argwhere(free).tolist()} == own
+    assert counts.sum() == (running.CONTEXTS + 1) * running.LEVELS * len(s)
+
+
+def test_learning_pays_on_other_texts():
+    rng = np.random.default_rng(9)
+    step = rng.permutation(40)
+    def chain(n):
+        s = np.empty(n, np.uint16)
+        x = 0
+        for i in range(n):
+            x = step[x] if rng.random() < 0.7 else rng.integers(40)
+            s[i] = 2 + 25 * x
+        return s
+    train, other, heavy = chain(60_000), chain(5_000), np.zeros(running.CLASSES, bool)
+    counts = np.zeros((2, running.COUNTS), np.int64)
+    running.tally(train, heavy, counts)
+    mixer = running.Mixer(counts.astype(np.float32), heavy)
+    before = mixer.scorer()(other).sum()
+    mixer.learn(train)
+    after = mixer.scorer()(other).sum()
+    # close to what the chain itself costs
+    ideal = 5_000 * (0.7075 * math.log10(0.7075) + 39 * 0.0075 * math.log10(0.0075))
+    assert after > before and after > 1.1 * ideal
+
+
+def test_classes_are_a_distribution():
+    s, heavy = some_classes()
+    counts = np.zeros((2, running.COUNTS), np.int64)
+    running.tally(s, heavy, counts)
+    mixer = running.Mixer(counts.astype(np.float32), heavy)
+    mixer.learn(s)
+    score = mixer.scorer()
+    for n in (0, 5, 40):
+        total = sum(10 ** score(np.append(s[:n], c).astype(np.uint16))[-1] for c in range(running.CLASSES))
+        assert abs(total - 1) < 1e-4
+
+
+def test_ranges_of_hashes_share_the_classes():
+    rng = np.random.default_rng(2)
+    parts = [(rng.integers(0, lm.GROUPS, 200), rng.integers(0, 50, 200)) for _ in range(8)]
+    masses = np.stack([np.bincount(g, np.where(x > 1, x, 0), lm.GROUPS) for g, x in parts], 1)
+    found = np.concatenate([lm._classes(i, g, x, 3, masses) for i, (g, x) in enumerate(parts)])
+    group, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    assert (found[c < 2] == running.RARE).all()
+    # in order of group, then of range, then of place
+    order = np.argsort(group, kind="stable")
+    own = found[order][c[order] > 1]
+    assert (np.diff(own) >= 0).all() and own[0] == 2 and own[-1] < running.CLASSES
+    # ranges finer than the masses are told
+    g, x, even = np.array([7, 7]), np.array([9, 9]), np.ones((lm.GROUPS, 1 << lm.COARSE))
+    fine = [lm._classes(5 * 4 + i, g, x, lm.COARSE + 2, even) for i in range(4)]
+    assert (np.diff(np.concatenate(fine)) >= 0).all()
