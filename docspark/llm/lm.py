@@ -623,18 +623,23 @@ def _learn_running(spark: SparkSession, texts: DataFrame, heavy: np.ndarray) ->
                     yield classes
 
     def count(batches):
-        total = np.zeros((2, running.COUNTS), np.int64)
+        total, lot = np.zeros((2, running.COUNTS), np.int64), []
         for classes in taught(batches):
-            running.tally(classes, heavy, total)
+            lot.append(classes)  # every text ends in END, so slices may follow each other
+            if sum(map(len, lot)) >= 1 << 18:
+                running.tally(np.concatenate(lot), heavy, total)
+                lot = []
+        if lot:
+            running.tally(np.concatenate(lot), heavy, total)
         yield _numbers(total.ravel())
 
     counts = _gathered(texts.mapInArrow(count, NUMBERS), 2 * running.COUNTS).reshape(2, -1).astype(np.float32)
     shared = spark.sparkContext.broadcast(counts)
 
     def train(batches):
-        total, units = 0, 0
+        total, units, mixer = 0, 0, running.Mixer(shared.value, heavy)
         for classes in taught(batches):
-            mixer = running.Mixer(shared.value, heavy)
+            mixer.start()
             mixer.learn(classes)
             total, units = total + mixer.learnt(), units + 1
         if units:

@@ -41,7 +41,7 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def step(x: np.ndarray) -> np.ndarray:
-    return np.clip(((x + 8) * (STEPS / 16)).astype(np.int64), 0, STEPS - 1)
+    return np.clip((x + np.float32(8)) * np.float32(STEPS / 16), 0, STEPS - 1).astype(np.int64)
 
 
 class Running:
@@ -114,6 +114,10 @@ class Mixer:
 
     def __init__(self, counts: np.ndarray, heavy: np.ndarray, learnt: np.ndarray | None = None):
         self.counts, self.heavy = counts, heavy
+        self.others = None
+        self.start(learnt)
+
+    def start(self, learnt: np.ndarray | None = None) -> None:
         n = LEVELS * GATES * INPUTS
         if learnt is None:
             learnt = np.zeros(n + 2 * LEVELS * STEPS)
@@ -124,61 +128,72 @@ class Mixer:
     def learnt(self) -> np.ndarray:
         return np.concatenate([self.weights.ravel(), self.refined.ravel()]).astype(float)
 
+    def _others(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds by slot and bit, and the gate's level by slot, of all bits but that one."""
+        if self.others is None:
+            zeros, ones = self.counts
+            odds = np.empty((self.counts.shape[1], 2), np.float32)
+            odds[:, 0] = np.log((ones + PRIOR) / (np.maximum(zeros - 1, 0) + PRIOR))
+            odds[:, 1] = np.log((np.maximum(ones - 1, 0) + PRIOR) / (zeros + PRIOR))
+            self.others = odds.ravel(), self._level(1)
+        return self.others
+
+    def _level(self, own: int) -> np.ndarray:
+        a, b = (CONTEXTS - 1) << SLOTS, CONTEXTS << SLOTS
+        seen = self.counts[0, a:b] + self.counts[1, a:b] - own
+        return ((seen > 0) + (seen > 2).astype(np.uint8) + (seen > 20)).astype(np.uint8)
+
     def learn(self, classes: np.ndarray) -> None:
         """Online: the bits of each lot are predicted, then learnt from.
 
         The counts hold the texts themselves, so each bit is taken out of its own.
         """
         r = Running(classes, self.heavy)
-        zeros, ones = self.counts
+        odds, level = self._others()
+        each = np.arange(GATES, dtype=np.int8)[:, None]
         for a in range(0, len(classes), LOT):
             for j, bit, slots, agrees, match in r.bits(a, a + LOT):
-                up = bit.astype(np.float32)
                 x = np.empty((INPUTS, len(bit)), np.float32)
                 for k, slot in enumerate(slots):
-                    z = np.maximum(zeros[slot] - (1 - up), 0)
-                    o = np.maximum(ones[slot] - up, 0)
-                    x[k] = np.log((o + PRIOR) / (z + PRIOR))
-                    if k == CONTEXTS - 1:
-                        seen = z + o
+                    x[k] = odds.take(slot * 2 + bit)
                 x[-2], x[-1] = match, 0.3
-                gate = _gate(agrees, seen)
-                mixed = (self.weights[j].T[:, gate] * x).sum(0)
+                gate = (level.take(slots[CONTEXTS - 1] - ((CONTEXTS - 1) << SLOTS)) + agrees * np.uint8(4)).astype(np.intp)
+                w = np.ascontiguousarray(self.weights[j].T)
+                mixed = w[0].take(gate) * x[0]
+                for k in range(1, INPUTS):
+                    mixed += w[k].take(gate) * x[k]
                 p = squash(mixed)
-                error, sure = up - p, p * (1 - p)
-                for k in range(INPUTS):
-                    slope = np.bincount(gate, weights=error * x[k], minlength=GATES)
-                    bend = np.bincount(gate, weights=sure * x[k] * x[k], minlength=GATES)
-                    self.weights[j, :, k] += RATE * slope / (bend + 50)
-                cell = step(mixed)
-                self.refined[1, j] += np.bincount(cell, weights=up, minlength=STEPS)
-                self.refined[0, j] += np.bincount(cell, weights=1 - up, minlength=STEPS)
+                error, sure = bit.astype(np.float32) - p, p * (1 - p)
+                slope, bend = np.zeros((2, GATES, INPUTS), np.float32)
+                for b in range(0, len(bit), LOT // 2):  # products small enough for one thread
+                    at = slice(b, b + LOT // 2)
+                    own = (gate[at].astype(np.int8) == each).astype(np.float32)
+                    slope += (own * error[at]) @ x[:, at].T
+                    bend += (own * sure[at]) @ np.square(x[:, at]).T
+                self.weights[j] += RATE * slope / (bend + 50)
+                cells = np.bincount(step(mixed) * 2 + bit, minlength=2 * STEPS)
+                self.refined[:, j] += cells.reshape(STEPS, 2).T
 
     def scorer(self):
         """A function from classes to the log10 probability of each."""
         odds = np.log((self.counts[1] + PRIOR) / (self.counts[0] + PRIOR))
-        a, b = (CONTEXTS - 1) << SLOTS, CONTEXTS << SLOTS
-        level = _gate(np.zeros(b - a, bool), self.counts[0, a:b] + self.counts[1, a:b]).astype(np.uint8)
+        level, first = self._level(0), (CONTEXTS - 1) << SLOTS
         zeros, ones = self.refined
 
         def score(classes: np.ndarray) -> np.ndarray:
             r = Running(classes, self.heavy)
             out = np.zeros(len(classes))
-            for at in range(0, len(classes), 4 * LOT):
-                for j, bit, slots, agrees, match in r.bits(at, at + 4 * LOT):
-                    gate = level[slots[CONTEXTS - 1] - a] + np.uint8(4) * agrees
-                    w = self.weights[j].T
-                    mixed = w[-1][gate] * np.float32(0.3) + w[-2][gate] * match
+            for at in range(0, len(classes), LOT):
+                for j, bit, slots, agrees, match in r.bits(at, at + LOT):
+                    gate = (level.take(slots[CONTEXTS - 1] - first) + agrees * np.uint8(4)).astype(np.intp)
+                    w = np.ascontiguousarray(self.weights[j].T)
+                    mixed = w[-1].take(gate) * np.float32(0.3) + w[-2].take(gate) * match
                     for k, slot in enumerate(slots):
-                        mixed += w[k][gate] * odds[slot]
+                        mixed += w[k].take(gate) * odds.take(slot)
                     p, cell = squash(mixed), step(mixed)
                     n = zeros[j] + ones[j] + 4
-                    p = (p + ((ones[j] / n)[cell] + (4 / n)[cell] * p)) / 2
-                    out[at : at + 4 * LOT] += np.log10(np.where(bit == 1, p, 1 - p))
-            return out
+                    p = p * ((n + 4) / (2 * n)).take(cell) + (ones[j] / (2 * n)).take(cell)
+                    out[at : at + LOT] += np.log(np.where(bit == 1, p, 1 - p))
+            return out / np.log(10)
 
         return score
-
-
-def _gate(agrees: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    return agrees * 4 + (seen > 0) + (seen > 2).astype(np.int64) + (seen > 20)
