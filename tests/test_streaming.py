@@ -285,3 +285,21 @@ def test_messages_come_again_until_they_are_dead(spark, tmp_path):
     assert {(r.job_id, r.attempts, r.done) for r in attempts(log).collect()} == {("good", 1, True), ("bad", 3, False)}
     assert [r.job_id for r in dead_letters(log, later, 3).collect()] == ["bad"]
     assert dead_letters(log, F.lit("2026-01-16").cast("timestamp"), 3).count() == 0
+
+
+def test_keys_share_rows_of_the_state_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_state, "KEY_BUCKETS", 3, raising=False)
+    stream = in_batches(
+        spark, str(tmp_path / "in"),
+        [[(f"k{i}", at(d), d * 100 + i) for i in range(40)] + [(None, at(d), d)] for d in (0, 3, 20)],
+        "idempotency_key string, ts timestamp, seq long",
+    )
+    with stream_state.stateful(spark):
+        query = (
+            stream_state.drop_redelivered(stream, "ts").writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        )
+    finish(query)
+    got = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted([*range(40), 0, *range(2000, 2040), 20])
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 3
