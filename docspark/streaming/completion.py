@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -11,7 +12,7 @@ from docspark.functions.dates import DAY_SECONDS
 from docspark.operators.jobs import check_jobs, effective_chain, with_chain_ends
 from docspark.schema import FAILED, PENDING, RETENTION_DAYS, SUCCEEDED
 from docspark.sources.tables import replace_part
-from docspark.streaming.state import stateful, stream_part
+from docspark.streaming.state import Bucket, bucketed, columns_of, stateful, stream_part
 
 FINISHED = (
     T.StructType()
@@ -21,6 +22,19 @@ FINISHED = (
     .add("failed_count", "long")
 )
 NEVER = 1 << 62
+CHUNK = 256
+# What the counts need of a row, of a chunk of pages, and of a job.
+COUNTED = ("job_id", "page", "status", "expires_at", "ts", "seq", "page_count")
+PAGES = "page array<int>, status array<string>, expires_at array<long>, ts array<long>, seq array<long>"
+COUNTS = (
+    T.StructType()
+    .add("job_id", "string")
+    .add("succeeded", "long")
+    .add("failed", "long")
+    .add("lapses", "long")
+    .add("told", "boolean")
+    .add("chunks", T.ArrayType(T.IntegerType()))
+)
 
 
 def finished_jobs(jobs: DataFrame, state: DataFrame, now: Column) -> DataFrame:
@@ -29,11 +43,11 @@ def finished_jobs(jobs: DataFrame, state: DataFrame, now: Column) -> DataFrame:
 
 
 class PageCounts(StatefulProcessor):
-    """Counts the finished pages of a job, one page's state at a time.
+    """Counts the finished pages of the jobs of a bucket, `CHUNK` pages' state at a time.
 
-    The pages are a map in the state store, never in memory as a whole; the
-    counts follow each change of a page. Only when the first page among them
-    lapses is the map gone through.
+    The pages are a map of chunks in the state store, never in memory as a
+    whole; the counts follow each change of a page. Only when the first page
+    among them lapses are the job's chunks gone through.
     """
 
     def __init__(self, days: int, now: int | None):
@@ -41,46 +55,67 @@ class PageCounts(StatefulProcessor):
 
     def init(self, handle) -> None:
         ttl = self.days * DAY_SECONDS * 1000
-        self.pages = handle.getMapState("pages", "page int", "status string, expires_at long, ts long, seq long", ttl)
-        self.counts = handle.getValueState("counts", "succeeded long, failed long, lapses long, told boolean", ttl)
+        self.chunks = handle.getMapState("chunks", "job_id string, chunk int", PAGES, ttl)
+        self.bucket = Bucket(handle, COUNTS, 1, self.days)
 
     def handleInputRows(self, key, rows, timerValues):
-        now = self.now if self.now is not None else timerValues.getCurrentProcessingTimeInMs() // 1000
-        ok, bad, lapses, told = self.counts.get() if self.counts.exists() else (0, 0, NEVER, False)
-        expected = 0
-        for row in rows:
-            expected = row.page_count
-            held = self.pages.getValue((row.page,)) if self.pages.containsKey((row.page,)) else None
-            if held is not None and (row.ts, row.seq) < (held[2], held[3]):
-                continue
-            if held is not None:
-                ok, bad = ok - (held[0] == SUCCEEDED), bad - (held[0] == FAILED)
-            self.pages.updateValue((row.page,), (row.status, row.expires_at, row.ts, row.seq))
-            ok, bad = ok + (row.status == SUCCEEDED), bad + (row.status == FAILED)
-            lapses = min(lapses, row.expires_at or NEVER)
-        if lapses <= now:
-            ok, bad, lapses = self._alive(now)
-        decision = FAILED if bad else SUCCEEDED if expected and ok == expected else None
-        if decision and not told:
-            yield Row(job_id=key[0], decision=decision, succeeded_count=ok, failed_count=bad)
-        self.counts.update((ok, bad, lapses, bool(told or decision)))
-
-    def _alive(self, now: int) -> tuple[int, int, int]:
+        at = timerValues.getCurrentProcessingTimeInMs()
+        now = self.now if self.now is not None else at // 1000
+        jobs, new, out = self.bucket.read(at), {}, []
+        _, columns = columns_of(rows, [*COUNTED, "_bucket"])
+        for job_id, page, *row in zip(*columns[: len(COUNTED)]):
+            new.setdefault(job_id, {}).setdefault(page // CHUNK, []).append((page, *row))
+        for job_id, arrived in new.items():
+            ok, bad, lapses, told, known, _ = jobs.get((job_id,), (0, 0, NEVER, False, (), at))
+            expected = 0
+            for chunk, own in arrived.items():
+                pages = self._read(job_id, chunk)
+                for page, status, expires_at, ts, seq, page_count in own:
+                    expected = page_count
+                    held = pages.get(page)
+                    if held is not None and (ts, seq) < (held[2], held[3]):
+                        continue
+                    if held is not None:
+                        ok, bad = ok - (held[0] == SUCCEEDED), bad - (held[0] == FAILED)
+                    pages[page] = (status, expires_at, ts, seq)
+                    ok, bad = ok + (status == SUCCEEDED), bad + (status == FAILED)
+                    lapses = min(lapses, expires_at or NEVER)
+                self._write(job_id, chunk, pages)
+            known = sorted({*known, *arrived})
+            if lapses <= now:
+                ok, bad, lapses = self._alive(job_id, known, now)
+            decision = FAILED if bad else SUCCEEDED if expected and ok == expected else None
+            if decision and not told:
+                out.append((job_id, decision, ok, bad))
+            jobs[job_id,] = (ok, bad, lapses, bool(told or decision), known, at)
+        self.bucket.write(jobs)
+        yield pd.DataFrame(out, columns=FINISHED.fieldNames(), dtype=object)
+
+    def _read(self, job_id: str, chunk: int) -> dict[int, tuple]:
+        columns = self.chunks.getValue((job_id, chunk))
+        return {page: held for page, *held in zip(*columns)} if columns else {}
+
+    def _write(self, job_id: str, chunk: int, pages: dict[int, tuple]) -> None:
+        self.chunks.updateValue((job_id, chunk), tuple(list(c) for c in zip(*((p, *v) for p, v in pages.items()))))
+
+    def _alive(self, job_id: str, known: list[int], now: int) -> tuple[int, int, int]:
         """Count anew, leaving out the pages that have lapsed.
 
-        A lapsed page stays in the map until it is evicted, under a status
+        A lapsed page stays in its chunk until that is evicted, under a status
         that counts for nothing, so that older rows of it are still known as old.
         """
         ok = bad = 0
-        lapses, gone = NEVER, []
-        for (page,), (status, expires_at, ts, seq) in self.pages.iterator():
-            if expires_at and expires_at <= now:
-                gone.append(((page,), ("", 0, ts, seq)))
-                continue
-            ok, bad = ok + (status == SUCCEEDED), bad + (status == FAILED)
-            lapses = min(lapses, expires_at or NEVER)
-        for page, value in gone:
-            self.pages.updateValue(page, value)
+        lapses = NEVER
+        for chunk in known:
+            pages, gone = self._read(job_id, chunk), {}
+            for page, (status, expires_at, ts, seq) in pages.items():
+                if expires_at and expires_at <= now:
+                    gone[page] = ("", 0, ts, seq)
+                    continue
+                ok, bad = ok + (status == SUCCEEDED), bad + (status == FAILED)
+                lapses = min(lapses, expires_at or NEVER)
+            if gone:
+                self._write(job_id, chunk, {**pages, **gone})
         return ok, bad, lapses
 
     def close(self) -> None:
@@ -114,9 +149,9 @@ def stream_finished_jobs(
 
     with stateful(rows.sparkSession):
         return (
-            final_stage_rows(rows, jobs)
-            .groupBy("job_id")
-            .transformWithState(PageCounts(days, now), FINISHED, "update", "ProcessingTime")
+            bucketed(final_stage_rows(rows, jobs).select(*COUNTED), "job_id")
+            .groupBy("_bucket")
+            .transformWithStateInPandas(PageCounts(days, now), FINISHED, "update", "ProcessingTime")
             .writeStream.outputMode("update")
             .foreachBatch(each)
             .option("checkpointLocation", checkpoint)

@@ -303,3 +303,19 @@ def test_keys_share_rows_of_the_state_store(spark, tmp_path, monkeypatch):
     got = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted([*range(40), 0, *range(2000, 2040), 20])
     assert query.lastProgress.stateOperators[0].numRowsTotal <= 3
+
+
+def test_pages_of_a_job_share_rows_of_the_state_store(spark, tmp_path, monkeypatch):
+    from docspark.streaming import state
+
+    monkeypatch.setattr(state, "KEY_BUCKETS", 2, raising=False)
+    names = [f"j{i}" for i in range(6)]
+    jobs = spark.createDataFrame([(j, 300, "", []) for j in names], JOBS)
+    pages = [row(0, "succeeded", p, job_id=j) for j in names for p in range(1, 301)]
+    stream = in_batches(spark, str(tmp_path / "in"), [rows(*pages[:-1]), rows(pages[-1])])
+    query = completion.stream_finished_jobs(stream, jobs, str(tmp_path / "out"), str(tmp_path / "cp"), until(-1))
+    finish(query)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.job_id, r.decision, r.succeeded_count) for r in got) == [(j, "succeeded", 300) for j in names]
+    # Two chunks a job and one row of counts a bucket.
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 2 * 6 + 2
