@@ -243,12 +243,17 @@ def run_stage(
     # Stored first: the plan that made the work runs once, whatever is asked of it.
     work = kept_part(work, f"{store.root}/taken", "run", write)
     mine = (F.col("stage") == stage.name) & (F.col("version") == stage.version)
-    one_each = work.filter(mine).dropDuplicates([*PAGE, "stage", "version"])
-    _execute(store, stage, one_each, now, write, previous, header_stage, days)
-    finished = succeeded_keys(store.state(stage.name, stage.version, one_each), now)
+    one_each = [*PAGE, "stage", "version"]
+    _execute(store, stage, work.filter(mine), one_each, now, write, previous, header_stage, days)
+    # Work at the end of its chain leaves, so the log is not asked about it.
+    following = next_stage(F.col("chain"), F.col("chain_idx"))["name"]
+    goes_on = F.when(F.size("chain") > 0, following).otherwise(fallback[0]) if fallback else following
+    onward = work.filter(mine).filter(goes_on.isNotNull())
+    log = stages_for(read_state_log(store.spark, store.log_root, onward), stage.name, stage.version)
+    finished = succeeded_keys(latest_state(log, "status", "expires_at", "result_uri", "seq"), now)
     written = finished.select(*PAGE, "result_uri", write_of(F.col("seq")).alias("_write"))
     holders = [RESULT_WRITE, HEADER_WRITE] if (stage.name, stage.version) == header_stage else [RESULT_WRITE]
-    carried = _carrying(one_each.join(written, PAGE), *holders)
+    carried = _carrying(work.filter(mine).dropDuplicates(one_each).filter(goes_on.isNotNull()).join(written, PAGE), *holders)
     # Stored, as plans that read one folder at two times may share one scan.
     return kept_part(route_next(carried, fallback).unionByName(work.filter(~mine)), f"{store.root}/routed", "run", write)
 
@@ -283,7 +288,7 @@ def _runs(store: StageStore, work: DataFrame, column: str, name: str, version: s
     return named.unionByName(newest.groupBy(*PAGE).agg(F.max("run").alias("run")))
 
 
-def _input(store: StageStore, work: DataFrame, header_stage: tuple[str, str]) -> tuple[StageData, DataFrame]:
+def _input(store: StageStore, work: DataFrame, header_stage: tuple[str, str], write: int) -> tuple[StageData, DataFrame]:
     """(rows of the stages before, work that has none to go on from)."""
     named = work.where("_before IS NOT NULL").groupBy("_before.name", "_before.version").agg(
         F.count_if(F.col("_result").isNull()).alias("loose"), F.count_if(F.col("_headers").isNull()).alias("headless")
@@ -291,7 +296,8 @@ def _input(store: StageStore, work: DataFrame, header_stage: tuple[str, str]) ->
     headers, rows, done = [], [], []
     for name, version, loose, headless in named.collect():  # one per stage that chains name
         own = work.filter((F.col("_before.name") == name) & (F.col("_before.version") == version))
-        runs = _runs(store, own, "_result", name, version, not loose)
+        # Stored, as it is asked for three times.
+        runs = kept_part(_runs(store, own, "_result", name, version, not loose), f"{store.root}/asked", "run", f"{write}-{len(rows)}")
         rows.append(store.rows_of("transactions", name, version, runs).select(*TRANSACTION_ROW.fieldNames()))
         done.append(store.rows_of("done", name, version, runs).select(*PAGE))
         headers.append(store.rows_of("headers", *header_stage, _runs(store, own, "_headers", *header_stage, not headless)))
@@ -305,6 +311,7 @@ def _execute(
     store: StageStore,
     stage: Stage,
     work: DataFrame,
+    one_each: list[str],
     now: Column,
     write: int,
     previous: tuple[str, str] | None,
@@ -317,7 +324,8 @@ def _execute(
         return store.stored(table, name, version).filter(F.col("run") == write).drop("run")
 
     log = stages_for(read_state_log(store.spark, store.log_root, work), name, version)
-    pending = pending_work(work, latest_state(log), now, dead_letters(log, now))
+    newest = latest_state(log, "status", "expires_at")
+    pending = pending_work(work.dropDuplicates(one_each), newest, now, dead_letters(log, now))
     store.save("work", pending, name, version, write)
     todo = kept("work")
     if todo.isEmpty():
@@ -326,7 +334,7 @@ def _execute(
     append_state(running_rows(todo, now, started, days), store.log_root, started)
 
     linked = _with_previous(todo, previous)
-    data, missing = _input(store, linked, header_stage)
+    data, missing = _input(store, linked, header_stage, write)
     missing = missing.select(*PAGE, F.lit(NO_PREVIOUS).alias("error"))
     ready = todo.join(missing.select(*PAGE), PAGE, "left_anti")
     out = stage.fn(ready, data)

@@ -25,7 +25,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         stored = spark.read.schema(schema).parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() in MISSING:
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], schema).limit(0)  # which the planner sees to be empty
         raise
     return stored.select(*schema.fieldNames())
 

@@ -135,3 +135,26 @@ def test_results_beyond_the_page_count_and_totals_of_nothing(spark, tx):
     assert (none.row_count, none.total) == (0, "0")
     much = aggregate_job(jobs, rows, "j", {"merchant": "m"})[0].first()
     assert (much.row_count, much.total) == (3, None)
+
+
+def test_work_that_leaves_is_not_looked_up_again(spark, tmp_path, monkeypatch):
+    from docspark.plans import chain
+    from docspark.plans.chain import Stage, StageData
+    from docspark.schema import TRANSACTION_ROW
+
+    asked, real = [], chain.read_state_log
+
+    def spy(spark, root, work=None):
+        asked.append(work.select("job_id").distinct().count())
+        return real(spark, root, work)
+
+    monkeypatch.setattr(chain, "read_state_log", spy)
+    store = StageStore(spark, str(tmp_path / "stages"), "work")
+    stage = Stage("s", "v1", lambda work, data: StageData(transactions=spark.createDataFrame([], TRANSACTION_ROW)))
+    work = messages(spark, message("a", 1, ("s", "v1")), message("b", 1, ("s", "v1")))
+    for _ in range(2):
+        assert run_stage(store, stage, work, now(), 0).count() == 0
+    # What is done is asked for both jobs; where they go on, for none.
+    assert asked == [2, 0, 2, 0]
+    assert sorted(r.job_id for r in store.stored("done", "s", "v1").collect()) == ["a", "b"]
+    assert run_stage(store, stage, work, now(), 0, fallback=("t", "v1")).count() == 2
