@@ -16,7 +16,7 @@ table refines the mixed probability. A word seen once also has its share of all
 those, by Good and Turing's estimate.
 
 Spellings depend on the word alone, so each is done once for the corpus, not at
-each use. Slices of the texts send their distinct words to ranges of hashes and
+each use. The texts are read once. Slices of them send their distinct words to ranges of hashes and
 get counts, classes and scores back; then their rows of classes are counted,
 learnt from and scored where they are.
 """
@@ -58,8 +58,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
 
 TOKENS = T.StructType(
     [
@@ -68,6 +68,8 @@ TOKENS = T.StructType(
         T.StructField("held_out", T.ArrayType(T.BooleanType())),
         T.StructField("n", T.ArrayType(T.IntegerType())),
         T.StructField("words", T.BinaryType()),
+        T.StructField("distinct", T.BinaryType()),
+        T.StructField("counts", T.BinaryType()),
     ]
 )
 ENTRIES = T.StructType(
@@ -137,20 +139,38 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers below 1024, and of multiples of 1024 up to n; their products are all powers."""
+    low, high = np.full(1024, base, np.uint64), np.full((n >> 10) + 1, pow(base, 1024, 2**64), np.uint64)
+    low[0] = high[0] = 1
+    return np.multiply.accumulate(low), np.multiply.accumulate(high)
+
+
+def _shifted(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of bytes that begin at a place, as if they began at 0."""
+    low, high = _powers(_INVERSE, int(at.max(initial=0)))
+    return x * low[at & 1023] * high[at >> 10]
+
+
+def _sums(raw: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' numbers, each times the power of its place, up to every place."""
+    out = np.empty(len(raw) + 1, np.uint64)
+    out[0] = 0
+    _BYTE.take(raw, out=out[1:], mode="clip")
+    low, high = _powers(_BASE, len(raw))
+    whole = len(raw) >> 10 << 10
+    out[1 : whole + 1].reshape(-1, 1024)[:] *= low * high[:-1, None]
+    out[whole + 1 :] *= low[: len(raw) - whole] * high[-1]
+    return np.cumsum(out, out=out)
 
 
 def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where words begin and end, and their 64-bit hashes; white space on either side."""
-    space = _SPACE[raw]
+    space = _SPACE.take(raw)
     first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     last = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw)), out=sums[1:])
-    h = (sums[last] - sums[first]) * _powers(_INVERSE, len(raw))[first] + (last - first).astype(np.uint64)
+    sums = _sums(raw)
+    h = _shifted(sums[last] - sums[first], first) + (last - first).astype(np.uint64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return first, last, h ^ (h >> np.uint64(31))
@@ -168,8 +188,7 @@ def _cut(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
 def _slices(batches: Iterator[pa.RecordBatch]):
     """Slices of (doc_id, held_out, text): number, batch part, bytes, lengths.
 
-    A number is made of the partition and the place in it, so that another
-    read of the same files numbers the same documents alike.
+    A number is made of the partition and the place in it.
     """
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -181,18 +200,23 @@ def _slices(batches: Iterator[pa.RecordBatch]):
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each slice's words as numbers: the place among its hashes in order."""
+    """Each slice's words as numbers, the place among its hashes in order; its
+    distinct words in that order, with their counts in training texts."""
     for number, batch, raw, ends in _slices(batches):
-        first, _, h = spans(raw)
-        n = np.bincount(np.searchsorted(ends, first, side="right"), minlength=batch.num_rows).astype(np.int32)
-        _, word = np.unique(h, return_inverse=True)
+        first, last, h = spans(raw)
+        n = np.diff(np.searchsorted(first, ends), prepend=0)
+        key, one, word = np.unique(h, return_index=True, return_inverse=True)
+        held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.bincount(word[np.repeat(~held_out, n)], minlength=len(key)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([number]),
                 pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-                pa.array([batch.column(1).to_pylist()], pa.list_(pa.bool_())),
-                pa.array([n], pa.list_(pa.int32())),
+                pa.array([held_out], pa.list_(pa.bool_())),
+                pa.array([n.astype(np.int32)], pa.list_(pa.int32())),
                 pa.array([_pack(word.astype(np.uint32))], pa.binary()),
+                pa.array([zstandard.compress(_cut(raw, first[one], last[one]), 1)], pa.binary()),
+                pa.array([_pack(counts)], pa.binary()),
             ],
             TOKENS.fieldNames(),
         )
@@ -201,24 +225,23 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _entries(bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each slice's distinct words by range, with their counts in training texts."""
-        for number, batch, raw, ends in _slices(batches):
-            first, last, h = spans(raw)
-            key, one, word = np.unique(h, return_index=True, return_inverse=True)
-            held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            taught = ~held_out[np.searchsorted(ends, first, side="right")]
-            counts = np.bincount(word[taught], minlength=len(key)).astype(np.uint32)
-            part = (key >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            rows = []
-            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if b > a:
-                    words = zstandard.compress(_cut(raw, first[one[a:b]], last[one[a:b]]), 1)
-                    rows.append((int(part[a]), number, words, _pack(counts[a:b])))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ENTRIES.fieldNames()
-            )
+        for batch in batches:
+            for number, distinct, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = b" " + zstandard.decompress(distinct)
+                counts = _unpack(counts, np.uint32)
+                first, _, key = spans(np.frombuffer(raw, np.uint8))
+                part = (key >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(part)) + 1
+                rows = []
+                for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                    if b > a:
+                        words = raw[first[a] : first[b] if b < len(key) else len(raw)]
+                        rows.append((int(part[a]), number, zstandard.compress(words, 1), _pack(counts[a:b])))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ENTRIES.fieldNames()
+                )
 
     return emit
 
@@ -281,48 +304,67 @@ class Spelling:
             there = np.concatenate([np.zeros(back, np.uint32), raw[:-back]])[: len(raw)]
             before = before * np.uint32(0x2F0B4C47) + np.where(place >= back, there + 1, 0).astype(np.uint32)
             contexts[back] = before
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw)), out=sums[1:])
-        prefix = (sums[:-1] - sums[begins[self.word]]) * _powers(_INVERSE, len(raw) + 1)[begins[self.word]]
+        sums = _sums(raw)
+        prefix = _shifted(sums[:-1] - sums[begins[self.word]], begins[self.word])
         contexts[0] = (prefix >> np.uint64(32)).astype(np.uint32) ^ place.astype(np.uint32)
         length, bit, node = coding
         n = length[raw]
-        self.of = np.repeat(np.arange(len(raw)), n)
-        depth = np.arange(len(self.of)) - np.repeat(np.cumsum(n) - n, n)
+        depth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.depth = np.minimum(depth, DEPTHS - 1)
-        self.bit = bit[raw[self.of], depth]
-        at = node[raw[self.of], depth].astype(np.uint32)
-        self.place = np.minimum(place[self.of], PLACES - 1)
+        cell = np.repeat(raw * np.uint32(bit.shape[1]), n) + depth
+        self.bit = bit.take(cell)
+        at = node.take(cell).astype(np.uint32) * np.uint32(0x85EBCA77)
+        self.place = np.repeat(np.minimum(place, PLACES - 1).astype(np.int32), n)
         slots = []
         for k, order in enumerate(ORDERS):
-            h = (contexts[order][self.of] ^ np.uint32(k * 0x51ED270B & 0xFFFFFFFF)) * np.uint32(0x9E3779B1) + at * np.uint32(0x85EBCA77)
+            h = (contexts[order] ^ np.uint32(k * 0x51ED270B & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
+            h = np.repeat(h, n) + at
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             slots.append((k << BITS) + (h >> np.uint32(32 - BITS)).astype(np.int64))
         self.slots = slots
-        self.word = self.word[self.of]
+        self.word = np.repeat(self.word, n)
 
     def inputs(self, tables: np.ndarray, own: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of each context and the gate; `own`: 1 where the tables
         count the bit itself, which is then taken out."""
-        odds = np.empty((len(ORDERS) + 1, len(self.bit)), np.float32)
+        return self.told(log_odds(tables, own if np.isscalar(own) else 1))
+
+    def told(self, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `inputs`, by log-odds made before, for each bit or for both alike."""
+        x = np.empty((len(ORDERS) + 1, len(self.bit)), np.float32)
+        shift = self.bit * np.int64(odds.shape[1]) if len(odds) > 1 else 0
+        odds = odds.ravel()
         for k, slot in enumerate(self.slots):
-            zeros, ones = tables[0, slot], tables[1, slot]
-            if not np.isscalar(own):
-                zeros, ones = np.maximum(zeros - own * (self.bit == 0), 0), np.maximum(ones - own * self.bit, 0)
-            odds[k] = np.log((ones + np.float32(0.3)) / (zeros + np.float32(0.3)))
-            if k == len(ORDERS) - 2:
-                seen = zeros + ones
-        odds[-1] = 0.3
-        level = np.minimum((seen > 0).astype(np.int64) + (seen > 2) + (seen > 20), SEEN - 1)
-        return odds, self.place * SEEN + level
+            odds.take(slot + shift, out=x[k], mode="clip")
+        x[-1] = 0.3
+        return x, self.place * SEEN + (x[len(ORDERS) - 2].view(np.int32) & (SEEN - 1))
+
+
+def log_odds(tables: np.ndarray, own: int) -> np.ndarray:
+    """Log-odds by slot; with `own`, by outcome and slot, that outcome taken out.
+
+    The last two bits of those of the longest order tell how often the slot was
+    seen, so that one look gives both.
+    """
+    zeros, ones = tables
+    out = np.empty((1 + own, tables.shape[1]), np.float32)
+    at = slice((len(ORDERS) - 2) << BITS, (len(ORDERS) - 1) << BITS)
+    for bit in range(1 + own):
+        less = np.maximum(zeros - own * (1 - bit), 0), np.maximum(ones - own * bit, 0)
+        out[bit] = np.log((less[1] + np.float32(0.3)) / (less[0] + np.float32(0.3)))
+        seen = less[0][at] + less[1][at]
+        level = np.minimum((seen > 0).astype(np.uint32) + (seen > 2) + (seen > 20), SEEN - 1).astype(np.uint32)
+        part = out[bit, at].view(np.uint32)
+        part &= np.uint32(2**32 - SEEN)
+        part |= level
+    return out
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
+_squash = running.squash
 
 
 def _step(x: np.ndarray) -> np.ndarray:
-    return np.clip(((x + 8) * (STEPS / 16)).astype(np.int64), 0, STEPS - 1)
+    return np.minimum(np.maximum(((x + 8) * (STEPS / 16)).astype(np.int32), 0), STEPS - 1)
 
 
 def _chunks(words: bytes, size: int = 150_000) -> Iterator[bytes]:
@@ -369,40 +411,52 @@ class Mixer:
     """What is learnt: counts per slot, weights per gate, refinement counts."""
 
     def __init__(self, coding, tables, weights=None, refined=None):
-        self.coding, self.tables = coding, tables
+        self.coding, self.tables, self.odds = coding, tables, {}
         gates = PLACES * SEEN
         self.weights = np.full((gates, len(ORDERS) + 1), 0.3, np.float32) if weights is None else weights
         self.refined = np.zeros((2, DEPTHS * STEPS)) if refined is None else refined
 
+    def _odds(self, own: int) -> np.ndarray:
+        if own not in self.odds:
+            self.odds[own] = log_odds(self.tables, own)
+        return self.odds[own]
+
+    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        weights = np.ascontiguousarray(self.weights.T)
+        mixed = weights[0].take(gate) * x[0]
+        for own, odds in zip(weights[1:], x[1:], strict=True):
+            mixed += own.take(gate) * odds
+        return mixed
+
     def learn(self, words: bytes) -> None:
         """Online: every minibatch of bits is predicted, then learnt from."""
+        size = self.refined.shape[1]
         for chunk in _chunks(words):
             s = Spelling(chunk, self.coding)
-            odds, gate = s.inputs(self.tables, np.float32(1) * np.ones(1, np.float32))
+            odds, gate = s.told(self._odds(1))
             for a in range(0, len(s.bit), MINIBATCH):
                 x, g, bit = odds[:, a : a + MINIBATCH], gate[a : a + MINIBATCH], s.bit[a : a + MINIBATCH]
-                mixed = (self.weights[g].T * x).sum(0)
+                mixed = self._mixed(x, g)
                 error = bit - _squash(mixed)
                 n = np.bincount(g, minlength=len(self.weights))
                 for k in range(len(x)):
                     slope = np.bincount(g, weights=error * x[k], minlength=len(self.weights))
                     self.weights[:, k] += RATE * slope / np.sqrt(n + 1)
                 cell = s.depth[a : a + MINIBATCH] * STEPS + _step(mixed)
-                self.refined[1] += np.bincount(cell, weights=bit, minlength=self.refined.shape[1])
-                self.refined[0] += np.bincount(cell, weights=1 - bit, minlength=self.refined.shape[1])
+                self.refined += np.bincount(cell * 2 + bit, minlength=2 * size).reshape(-1, 2).T
 
     def score(self, words: bytes) -> np.ndarray:
         """log10 of each word's spelling, its stop included."""
         out = [np.zeros(0)]
         zeros, ones = self.refined
+        n = ones + zeros + 4
+        share, own = (n + 4) / (2 * n), ones / (2 * n)
         for chunk in _chunks(words):
             s = Spelling(chunk, self.coding)
-            odds, gate = s.inputs(self.tables, 0)
-            mixed = (self.weights[gate].T * odds).sum(0)
-            p = _squash(mixed)
+            mixed = self._mixed(*s.told(self._odds(0)))
             cell = s.depth * STEPS + _step(mixed)
-            p = (p + (ones[cell] + 4 * p) / (ones[cell] + zeros[cell] + 4)) / 2
-            out.append(np.bincount(s.word, weights=np.log10(np.where(s.bit == 1, p, 1 - p))))
+            p = _squash(mixed) * share.take(cell) + own.take(cell)
+            out.append(np.bincount(s.word, weights=np.log(np.abs((1 - s.bit) - p))) / math.log(10))
         return np.concatenate(out)
 
 
@@ -495,11 +549,10 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "text",
     )
-    splits = Splits(spark)
-    tokens = splits.stored(rows.mapInArrow(_tokens, TOKENS), "tokens")
+    tokens = Splits(spark).stored(rows.mapInArrow(_tokens, TOKENS), "tokens")
     total = tokens.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(3, (total // RANGE // 4).bit_length())
-    entries = splits.stored(rows.mapInArrow(_entries(bits), ENTRIES), "entries")
+    entries = tokens.select("slice", "distinct", "counts").mapInArrow(_entries(bits), ENTRIES)
     vocabulary = stored(entries.groupBy("part").applyInArrow(_vocabulary, VOCABULARY), "vocabulary")
     speller = _learn(spark, vocabulary)
 
@@ -583,7 +636,7 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         lists = [pa.array([x], pa.list_(k)) for x, k in zip(values, kinds, strict=True)]
         return pa.table([own["slice"], *lists, pa.array([_pack(row)], pa.binary())], CODED.fieldNames())
 
-    texts = stored(tokens.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(coded, CODED), "coded")
+    texts = stored(tokens.drop("distinct", "counts").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(coded, CODED), "coded")
     mixer = spark.sparkContext.broadcast(_learn_running(spark, texts.select("held_out", "n", "classes"), running.heavy_classes(of_class)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -626,7 +679,7 @@ def _learn_running(spark: SparkSession, texts: DataFrame, heavy: np.ndarray) ->
         total, lot = np.zeros((2, running.COUNTS), np.int64), []
         for classes in taught(batches):
             lot.append(classes)  # every text ends in END, so slices may follow each other
-            if sum(map(len, lot)) >= 1 << 18:
+            if sum(map(len, lot)) >= 1 << 20:
                 running.tally(np.concatenate(lot), heavy, total)
                 lot = []
         if lot:
@@ -654,11 +707,13 @@ def _answers(entries: pa.Table, vocabulary: pa.Table) -> pa.Table:
     """For each slice the counts, classes and scores of its words of one range."""
     h = spans(np.frombuffer(b" " + zstandard.decompress(vocabulary["words"][0].as_py()), np.uint8))[2]
     columns = [_unpack(vocabulary[k][0].as_py(), kind) for k, kind in (("counts", np.int64), ("classes", np.uint16), ("scores", np.float32))]
+    cut = [zstandard.decompress(words) for words in entries["words"].to_pylist()]
+    first, last, own = spans(np.frombuffer(b" " + b"".join(cut), np.uint8))
+    at, length = np.searchsorted(h, own), (last - first + 1).astype(np.uint32)
+    ends = np.cumsum([words.count(b" ") for words in cut])
     out = []
-    for words in entries["words"].to_pylist():
-        first, last, own = spans(np.frombuffer(b" " + zstandard.decompress(words), np.uint8))
-        at = np.searchsorted(h, own)
-        out.append((*(_pack(x[at]) for x in columns), _pack((last - first + 1).astype(np.uint32))))
+    for a, b in zip([0, *ends], ends, strict=False):
+        out.append((*(_pack(x[at[a:b]]) for x in columns), _pack(length[a:b])))
     return pa.table(
         [entries["slice"], entries["part"], *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))],
         ANSWERS.fieldNames(),

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.llm import lm, running
 
@@ -215,3 +216,78 @@ def test_ranges_of_hashes_share_the_classes():
     g, x, even = np.array([7, 7]), np.array([9, 9]), np.ones((lm.GROUPS, 1 << lm.COARSE))
     fine = [lm._classes(5 * 4 + i, g, x, lm.COARSE + 2, even) for i in range(4)]
     assert (np.diff(np.concatenate(fine)) >= 0).all()
+
+
+def test_texts_are_read_once(spark, docs, texts):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def look(text):
+        seen.add(1)
+        return text
+
+    df = docs(*texts)
+    assert lm.score_documents(spark, df.withColumn("text", look("text"))).count() == len(texts)
+    assert seen.value == len(texts)
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    word = b"stru\xc3\xbcnd"
+    raw = np.frombuffer(b" " + (word + b" ka ") * 700 + b"\t" + word + b" ", np.uint8)
+    first, last, h = lm.spans(raw)
+    assert len(raw) > 5000 and len(h) == 1401 and len(set(h.tolist())) == 2
+    power, own = 1, 0
+    for b in word:
+        own, power = (own + int(lm._BYTE[b]) * power) % 2**64, power * int(lm._BASE) % 2**64
+    own = (own + len(word)) % 2**64
+    own = (own ^ (own >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    own = (own ^ (own >> 27)) * 0x94D049BB133111EB % 2**64
+    assert {int(x) for x in h[last - first == len(word)]} == {own ^ (own >> 31)}
+
+
+def test_mixing_matches_one_bit_after_another():
+    s, heavy = some_classes(700)
+    counts = np.zeros((2, running.COUNTS), np.int64)
+    running.tally(s, heavy, counts)
+    mixer = running.Mixer(counts.astype(np.float32), heavy)
+    mixer.learn(s)
+    r, levels, m32 = running.Running(s, heavy), running.LEVELS, 0xFFFFFFFF
+
+    def mixed(weights, t, j, own, seen):
+        node = int(s[t]) >> (levels - j) | 1 << j
+        h = (int(r.both[t]) ^ node * 0x2C1B3C6D & m32) * 0x297A2D39 & m32
+        h = (h ^ h >> 15) * 0x9E3779B1 & m32
+        keys = ("one", int(r.one[t]), node), ("far", int(r.far[t]), node), ("both", h >> 12), ("none", node)
+        bit = int(s[t]) >> (levels - 1 - j) & 1
+        if seen is None:
+            return [(k, bit) for k in keys]
+        n = [[seen[k, b] - own * (b == bit) for b in (0, 1)] for k in keys]
+        x = [math.log((b + 0.4) / (a + 0.4)) for a, b in n]
+        e = int(r.expected[t])
+        agrees = e >= 0 and e >> (levels - j) == int(s[t]) >> (levels - j)
+        gate = sum(sum(n[2]) > k for k in (0, 2, 20)) + 4 * agrees
+        x += [(4 * (e >> (levels - 1 - j) & 1) - 2) * agrees, 0.3]
+        return bit, gate, np.array(x), float(np.dot(weights[j][gate], x))
+
+    seen = Counter(k for t in range(len(s)) for j in range(levels) for k in mixed(None, t, j, 0, None))
+    start = running.Mixer(counts.astype(np.float32), heavy).weights
+    slope, bend = np.zeros((2, *start.shape))
+    for t in range(len(s)):
+        for j in range(levels):
+            bit, gate, x, dot = mixed(start, t, j, 1, seen)
+            p = 1 / (1 + math.exp(-min(max(dot, -12), 12)))
+            slope[j, gate] += (bit - p) * x
+            bend[j, gate] += p * (1 - p) * x**2
+    assert mixer.weights == pytest.approx(start + running.RATE * slope / (bend + 50), abs=1e-4)
+    assert mixer.refined.sum() == levels * len(s)
+    zeros, ones = mixer.refined
+    logs = mixer.scorer()(s)
+    for t in range(0, len(s), 7):
+        own = 0.0
+        for j in range(levels):
+            bit, _, _, dot = mixed(mixer.weights, t, j, 0, seen)
+            cell = int(min(max((dot + 8) * running.STEPS / 16, 0), running.STEPS - 1))
+            p, n = 1 / (1 + math.exp(-min(max(dot, -12), 12))), zeros[j, cell] + ones[j, cell]
+            p = (p + (ones[j, cell] + 4 * p) / (n + 4)) / 2
+            own += math.log10(p if bit else 1 - p)
+        assert logs[t] == pytest.approx(own, abs=1e-2)
