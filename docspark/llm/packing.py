@@ -35,7 +35,9 @@ PIECES = T.StructType(
         T.StructField("ids_crc32", T.LongType()),
     ]
 )
-PLAN = "length long, first long, stop long, per_bin long, bin long, place long"
+PLAN = T.StructType(
+    [T.StructField(name, T.LongType()) for name in ("length", "first", "stop", "per_bin", "bin", "place")]
+)
 
 
 def _byte_of() -> dict[str, int]:
@@ -193,7 +195,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacit
     """
     pieces = stored(cut_documents(docs, tokenizer, capacity), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    plan = spark.createDataFrame(plan_bins(counts, capacity), PLAN)
+    columns = list(zip(*plan_bins(counts, capacity), strict=True)) or [()] * 6
+    # A table of Arrow needs no Python workers of its own on the executors, as a list of rows does.
+    plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], PLAN.fieldNames()))
     ordered = pieces.withColumn("_order", F.struct("doc_id", "piece", "ids_crc32"))
     ranked = salted_rank(ordered, "length", "_order", "_rank", sum(counts.values())).drop("_order")
     # The plan has `capacity` patterns of at most 63 lengths, so it can be broadcast.

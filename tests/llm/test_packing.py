@@ -78,3 +78,9 @@ def test_empty_table(spark, docs):
 def test_tiny_sequences(spark, docs, capacity):
     rows = packing.pack_documents(spark, docs("a b c", ""), tokenizer(), capacity).collect()
     assert max(r.length for r in rows) <= capacity
+
+
+def test_plan_needs_no_python_on_the_executors(spark, docs, capsys):
+    packing.pack_documents(spark, docs("a b c", "d", None), tokenizer()).explain()
+    plan = capsys.readouterr().out
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan and "InArrow" not in plan

@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 
 import corpus_pipeline
-from docspark.llm import packing, secrets
+from docspark.llm import langid, packing, secrets
 from docspark.llm.queries import tokenizer
 from test_decontaminate import brute as contaminated
 from test_jaccard import brute as groups
@@ -58,3 +58,36 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         assert stage(spark, docs, folder).columns == docs.columns
         none = stage(spark, docs.where("false"), folder)
         assert none.columns == docs.columns and none.count() == 0
+
+
+def test_long_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    whole = langid.slices
+
+    def small(texts):
+        size = sum(map(len, texts))
+        assert size < 5_000_000, f"a batch of {size} characters"
+        return whole(texts)
+
+    monkeypatch.setattr(langid, "slices", small)
+    rows = [(i, "kalo " * 20_000, "xx", "s", 100_000) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        assert corpus_pipeline.known_language(spark, docs, str(tmp_path)).count() == 120
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH)
+
+
+def test_a_bound_of_the_session_stays_and_none_is_left_behind(spark, sf_dir):
+    folder, *_ = sf_dir
+    spark.conf.unset(corpus_pipeline.BATCH)
+    rows = corpus_pipeline.run(spark, folder)
+    assert spark.conf.get(corpus_pipeline.BATCH, None) is None
+    n = rows.count()
+    spark.conf.set(corpus_pipeline.BATCH, "1000")
+    try:
+        assert corpus_pipeline.run(spark, folder).count() == n
+        assert spark.conf.get(corpus_pipeline.BATCH) == "1000"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH)
