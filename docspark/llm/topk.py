@@ -1,32 +1,38 @@
 """Exact top-k search by tiled matrix products.
 
-Candidates and queries are cut into blocks. Lanes deal the candidate blocks;
-each lane holds every query block, and one product of a query block and a
-candidate block gives a tile of scores, of which the best of each row are kept.
-A lane merges the lists of its tiles, groups of lanes are merged, then all: no
-step sees more than k rows per query and list.
+Queries are dealt to groups, candidates to stripes, and each (group, stripe) is
+one task: its queries come first, then its candidates in the order of their
+ids. A product of some queries and a block of candidates gives a tile of
+scores, of which only those above the k-th best so far of their query go on.
+So a task holds one group, k rows for each of its queries and one block,
+however long the stripe is, and gives k rows per query. Those of the stripes
+are merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.llm.common import stored
 
-BLOCK = 2048
-#: Candidate blocks that a lane takes, about; lanes merged together at once.
-BLOCKS_PER_LANE, FAN_IN = 4, 16
+#: Candidates and queries of a tile.
+BLOCK, TILE_QUERIES = 2048, 1024
+#: Components that the queries of a group, and vectors that a stripe, hold at most, about.
+GROUP_CELLS, STRIPE_ROWS = 1 << 21, 1 << 18
+#: The least number of each, so that small tables, too, fill many cores.
+GROUPS, STRIPES = 4, 8
 
-BLOCKS = T.StructType(
+PACKED = T.StructType(
     [
-        T.StructField("block", T.LongType()),
-        T.StructField("ids", T.BinaryType()),
+        T.StructField("vec_id", T.LongType()),
+        T.StructField("width", T.IntegerType()),
         T.StructField("numbers", T.BinaryType()),
     ]
 )
@@ -35,11 +41,14 @@ FOUND = T.StructType(
         T.StructField("query_id", T.LongType()),
         T.StructField("vec_id", T.LongType()),
         T.StructField("score", T.LongType()),
-        T.StructField("lane", T.IntegerType()),
     ]
 )
 
 
+#: Types of packed numbers by their bytes.
+KINDS = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.float64}
+
+
 def whole_numbers(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): floor(64 * x) of each component, as double.
 
@@ -54,35 +63,43 @@ def whole_numbers(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one length each into blocks of ids and numbers."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector's numbers in the fewest bytes that hold them all."""
     for batch in batches:
-        n = np.diff(batch.column(1).offsets.to_numpy())
+        offsets = batch.column(1).offsets.to_numpy()
         flat = batch.column(1).flatten().to_numpy()
-        ids = batch.column(0).to_numpy()
-        ends = np.cumsum(n)
-        rows = []
-        for width in np.unique(n):
-            at = np.flatnonzero(n == width)
-            at = at[np.argsort(ids[at], kind="stable")]
-            for a in range(0, len(at), BLOCK):
-                part = at[a : a + BLOCK]
-                cells = (ends[part] - width)[:, None] + np.arange(width)
-                rows.append((int(ids[part[0]]), ids[part].tobytes(), flat[cells].tobytes()))
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        types = [pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], BLOCKS.fieldNames()
-        )
+        width = np.diff(offsets)
+        ends = np.cumsum(width)
+        numbers = np.empty(len(width), object)
+        if len(width):
+            largest = np.maximum.reduceat(np.abs(flat), ends - width)  # no vector is empty
+            size = np.select([largest < 2**7, largest < 2**15, largest < 2**31], [1, 2, 4], 8)
+            for n in np.unique(size):
+                with np.errstate(invalid="ignore"):  # of vectors that need more bytes
+                    whole = flat.astype(KINDS[n])
+                for i in np.flatnonzero(size == n):
+                    numbers[i] = whole[ends[i] - width[i] : ends[i]].tobytes()
+        columns = [batch.column(0), pa.array(width, pa.int32()), pa.array(numbers, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, PACKED.fieldNames())
+
+
+def _unpacked(numbers: list[bytes], width: int) -> np.ndarray:
+    """The numbers of vectors of one width, a row each."""
+    size = np.array([len(x) for x in numbers]) // width
+    out = np.empty((len(numbers), width))
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        out[at] = np.frombuffer(b"".join([numbers[i] for i in at]), KINDS[n]).reshape(-1, width)
+    return out
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers: in floating point where that is exact."""
     bound = q.shape[1] * max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1)
     if bound < 2**24:
-        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
+        return q.astype(np.float32) @ c.astype(np.float32).T
     if bound < 2**53:
-        return (q @ c.T).astype(np.int64)
+        return q @ c.T
     return q.astype(np.int64) @ c.astype(np.int64).T
 
 
@@ -113,34 +130,96 @@ def best(q_ids: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple
     return np.concatenate(rows), np.concatenate(columns)
 
 
+class Best:
+    """The k best candidates so far of each query of a group.
+
+    Candidates must come in the order of their ids, so that of equal scores the
+    first stays.
+    """
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.q_ids, self.q, self.k = q_ids, q, k
+        self.least = np.full(len(q_ids), -np.inf)  # a score must be above it
+        self.found = [tuple(np.empty(0, np.int64) for _ in range(3))]  # lots of (query's place, vec_id, score)
+        self.fresh = 0
+
+    def add(self, ids: np.ndarray, c: np.ndarray) -> None:
+        for a in range(0, len(self.q_ids), TILE_QUERIES):
+            q_ids = self.q_ids[a : a + TILE_QUERIES]
+            score = products(self.q[a : a + TILE_QUERIES], c)
+            exact = score.dtype != np.int64
+            if exact:
+                at = np.flatnonzero(score > self.least[a : a + TILE_QUERIES, None].astype(score.dtype))
+            if exact and len(at) <= len(q_ids) * self.k:
+                row, column = np.divmod(at, len(ids))
+                other = q_ids[row] != ids[column]
+                row, column = row[other], column[other]
+            else:
+                row, column = best(q_ids, ids, score.astype(np.int64), self.k)
+            if len(row):
+                self.found.append((row + a, ids[column], score[row, column].astype(np.int64)))
+                self.fresh += len(row)
+        if self.fresh >= len(self.q_ids) * self.k:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        """(query's place, vec_id, score) of the k best of each query."""
+        row, ids, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((ids, ~score, row))
+        row = row[order]
+        starts = np.searchsorted(row, np.arange(len(self.q_ids) + 1))
+        keep = np.arange(len(row)) - starts[row] < self.k
+        row, ids, score = row[keep], ids[order][keep], score[order][keep]
+        full = np.flatnonzero(np.diff(starts) >= self.k)
+        last = np.searchsorted(row, full, "right") - 1
+        self.least[full] = score[last]
+        self.found, self.fresh = [(row, ids, score)], 0
+        return row, ids, score
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, bool], np.ndarray, list[bytes]]]:
+    """((cell, width, whether they ask), ids, numbers) of neighbouring rows, `BLOCK` of them at most."""
+    for batch in batches:
+        cell, width, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        new = (np.diff(cell) != 0) | (np.diff(width) != 0) | (np.diff(asks.astype(np.int8)) != 0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            for a in range(start, end, BLOCK):
+                part = slice(a, min(a + BLOCK, end))
+                numbers = batch.column(4).slice(a, part.stop - a).to_pylist()
+                yield (int(cell[a]), int(width[a]), bool(asks[a])), ids[part], numbers
+
+
 def _search(k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lane, q_ids, q, c_ids, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                q = np.frombuffer(q, np.float64).reshape(len(q_ids), -1)
-                c = np.frombuffer(c, np.float64).reshape(len(c_ids), -1)
-                if q.shape[1] != c.shape[1]:
-                    continue
-                score = products(q, c)
-                row, column = best(q_ids, c_ids, score, k)
+    def given(group: Best | None) -> Iterator[pa.RecordBatch]:
+        if group is not None:
+            row, ids, score = group.merge()
+            for a in range(0, len(row), 1 << 16):
+                part = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(q_ids[row]),
-                        pa.array(c_ids[column]),
-                        pa.array(score[row, column]),
-                        pa.array(np.full(len(row), lane, np.int32)),
-                    ],
-                    FOUND.fieldNames(),
+                    [pa.array(group.q_ids[row[part]]), pa.array(ids[part]), pa.array(score[part])], FOUND.fieldNames()
                 )
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, asking, group = None, [], None
+        for (cell, width, asks), ids, numbers in _runs(batches):
+            if (cell, width) != place:
+                yield from given(group)
+                place, asking, group = (cell, width), [], None
+            if asks:
+                asking.append((ids, _unpacked(numbers, width)))
+            elif asking or group:
+                if asking:
+                    q_ids, q = (np.concatenate(x) for x in zip(*asking, strict=True))
+                    asking, group = [], Best(q_ids, q, k)
+                group.add(ids, _unpacked(numbers, width))
+        yield from given(group)
+
     return search
 
 
-def _merged(found: DataFrame, k: int, *keys: str) -> DataFrame:
-    """The k best rows of each key."""
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _cells(packed: DataFrame, cell: Column, asks: bool) -> DataFrame:
+    return packed.select(cell.alias("cell"), "width", F.lit(asks).alias("asks"), "vec_id", "numbers")
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -154,16 +233,22 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20)
     vec_id the least in order asks. An empty table gives no rows. Columns other than vec_id and embedding are not read.
     """
     rows = whole_numbers(vectors)
-    candidates = stored(rows.mapInArrow(_blocks, BLOCKS), "candidates")
-    asking = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "asking")
-    whole_blocks = max(1, asking.count() // BLOCK)  # a scan's partition holds few queries
-    queries = stored(asking.repartition(whole_blocks).mapInArrow(_blocks, BLOCKS), "queries")
-    lanes = max(8, -(-candidates.count() // BLOCKS_PER_LANE))
-    dealt = candidates.withColumn("lane", F.pmod(F.xxhash64("block", "ids"), F.lit(lanes)).cast("int"))
-    asked = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    tiles = asked.select("lane", F.col("ids").alias("q_ids"), F.col("numbers").alias("q")).join(
-        dealt.select("lane", F.col("ids").alias("c_ids"), F.col("numbers").alias("c")), "lane"
-    )
-    found = tiles.mapInArrow(_search(k), FOUND)
-    in_lane = _merged(found.withColumn("lane", (F.col("lane") / FAN_IN).cast("int")), k, "query_id", "lane")
-    return _merged(in_lane.drop("rank"), k, "query_id").select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    candidates = stored(rows.mapInArrow(_packed, PACKED), "candidates")
+    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = stored(asking.mapInArrow(_packed, PACKED), "queries")
+    cells = queries.groupBy("width").agg(F.sum("width").alias("n")).agg(F.max("n")).first()[0] or 0
+    groups = max(GROUPS, math.ceil(cells / GROUP_CELLS))
+    stripes = max(STRIPES, math.ceil(candidates.count() / STRIPE_ROWS))
+    # Dealt by place, so that many rows of one vec_id do not meet in one stripe.
+    stripe = F.pmod(F.monotonically_increasing_id(), F.lit(stripes))
+    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups))
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    every_stripe = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
+    dealt = candidates.withColumn("stripe", stripe).withColumn("group", every_group)
+    asked = queries.withColumn("group", group).withColumn("stripe", every_stripe)
+    cell = (F.col("stripe") * groups + F.col("group")).cast("int")
+    tasks = _cells(asked, cell, True).unionByName(_cells(dealt, cell, False)).repartitionById(groups * stripes, "cell")
+    found = tasks.sortWithinPartitions("cell", "width", F.desc("asks"), "vec_id").mapInArrow(_search(k), FOUND)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

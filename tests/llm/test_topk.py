@@ -51,6 +51,25 @@ def test_copies_are_candidates_of_their_own(spark, monkeypatch, block, size):
         assert got == [(r, *x) for r, x in enumerate(want[:k], 1)]
 
 
+@pytest.mark.parametrize("size", [1.0, 2.0**12, 2.0**20])
+def test_many_cells_and_scores_that_rise_with_the_ids(spark, monkeypatch, size):
+    for name, value in {"BLOCK": 16, "TILE_QUERIES": 3, "GROUP_CELLS": 8, "STRIPE_ROWS": 30}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(7)
+    rows = [(i, [i * size / 8, rng.choice([-size, 0.0, size])]) for i in range(200)]
+    rows += [(i, [rng.uniform(-2, 2)] * 3) for i in range(200, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark, df, k=7).collect()}
+    assert got == brute(rows, 20, 7)
+
+
+def test_vectors_are_not_broadcast(spark):
+    """A table of blocks is small on disk and not in memory, so that a broadcast of it fails."""
+    rows = [(i, [float(i % 7), 1.0]) for i in range(100)]
+    plan = topk.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert "Broadcast" not in plan._jdf.queryExecution().toString()
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(spark, df).count() == 0
