@@ -19,15 +19,13 @@ from docspark.operators.pages import route_next
 from docspark.operators.retention import drop_below, lapse
 from docspark.operators.state import (
     append_state,
-    dead_letters,
-    failed_rows,
+    ended_rows,
     latest_state,
-    pending_work,
     read_state_log,
     running_rows,
+    settled_keys,
     stages_for,
     succeeded_keys,
-    succeeded_rows,
 )
 from docspark.operators.transactions import (
     enrich_transactions,
@@ -155,10 +153,13 @@ class StageStore:
     def log_root(self) -> str:
         return f"{self.root}/state"
 
-    def state(self, name: str, version: str, work: DataFrame | None = None) -> DataFrame:
-        """Newest page records of one stage, read from its own partition; of `work`'s jobs if given."""
+    def state(self, name: str, version: str, work: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
+        """Newest page records of one stage, read from its own partition; of `work`'s jobs if given.
+
+        Name columns to carry only those beside the key.
+        """
         log = read_state_log(self.spark, self.log_root, work)
-        return latest_state(stages_for(log, name, version))
+        return latest_state(stages_for(log, name, version), *columns)
 
     def claim(self, now: Column | None = None) -> int:
         """A write number of its own: what is stored under it is one attempt."""
@@ -192,7 +193,7 @@ class StageStore:
 
     def finished_runs(self, name: str, version: str, jobs: DataFrame) -> DataFrame:
         """(job_id, page, run): the write that holds each succeeded page of these jobs."""
-        done = self.state(name, version, jobs).filter(F.col("status") == SUCCEEDED)
+        done = self.state(name, version, jobs, ("status", "seq")).filter(F.col("status") == SUCCEEDED)
         runs = done.select(*PAGE, write_of(F.col("seq")).alias("run"))
         return runs.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
 
@@ -291,19 +292,24 @@ def _runs(store: StageStore, work: DataFrame, column: str, name: str, version: s
 def _input(store: StageStore, work: DataFrame, header_stage: tuple[str, str], write: int) -> tuple[StageData, DataFrame]:
     """(rows of the stages before, work that has none to go on from)."""
     named = work.where("_before IS NOT NULL").groupBy("_before.name", "_before.version").agg(
-        F.count_if(F.col("_result").isNull()).alias("loose"), F.count_if(F.col("_headers").isNull()).alias("headless")
+        F.count("*").alias("n"),
+        F.count_if(F.col("_result").isNull()).alias("loose"),
+        F.count_if(F.col("_headers").isNull()).alias("headless"),
     )
     headers, rows, done = [], [], []
-    for name, version, loose, headless in named.collect():  # one per stage that chains name
+    for name, version, n, loose, headless in named.collect():  # one per stage that chains name
         own = work.filter((F.col("_before.name") == name) & (F.col("_before.version") == version))
-        # Stored, as it is asked for three times.
+        # Stored, as it is asked for several times.
         runs = kept_part(_runs(store, own, "_result", name, version, not loose), f"{store.root}/asked", "run", f"{write}-{len(rows)}")
         rows.append(store.rows_of("transactions", name, version, runs).select(*TRANSACTION_ROW.fieldNames()))
-        done.append(store.rows_of("done", name, version, runs).select(*PAGE))
-        headers.append(store.rows_of("headers", *header_stage, _runs(store, own, "_headers", *header_stage, not headless)))
+        # Of rows that name no write, those found among the finished pages are finished.
+        done.append(runs.select(*PAGE) if loose == n else store.rows_of("done", name, version, runs).select(*PAGE))
+        alike = (name, version) == header_stage and loose == headless == n
+        held = runs if alike else _runs(store, own, "_headers", *header_stage, not headless)
+        headers.append(store.rows_of("headers", *header_stage, held))
     if not rows:
         return StageData(), work.limit(0)
-    missing = work.filter(F.col("_before").isNotNull()).join(reduce(DataFrame.unionByName, done).distinct(), PAGE, "left_anti")
+    missing = work.filter(F.col("_before").isNotNull()).join(reduce(DataFrame.unionByName, done), PAGE, "left_anti")
     return StageData(reduce(DataFrame.unionByName, headers), reduce(DataFrame.unionByName, rows)), missing
 
 
@@ -324,8 +330,7 @@ def _execute(
         return store.stored(table, name, version).filter(F.col("run") == write).drop("run")
 
     log = stages_for(read_state_log(store.spark, store.log_root, work), name, version)
-    newest = latest_state(log, "status", "expires_at")
-    pending = pending_work(work.dropDuplicates(one_each), newest, now, dead_letters(log, now))
+    pending = work.dropDuplicates(one_each).join(settled_keys(log, now), one_each, "left_anti")
     store.save("work", pending, name, version, write)
     todo = kept("work")
     if todo.isEmpty():
@@ -344,15 +349,10 @@ def _execute(
     failures = missing if out.failed is None else missing.unionByName(out.failed.select(*PAGE, "error"))
     store.save("failed", failures, name, version, write)
     failed = kept("failed").select(*PAGE, "error")
-    done = todo.join(failed, PAGE, "left_anti")
-    store.save("done", done.select(*PAGE), name, version, write)
+    store.save("done", todo.select(*PAGE).join(failed, PAGE, "left_anti"), name, version, write)
 
     following = F.coalesce(next_stage(F.col("chain"), F.col("chain_idx"))["name"], F.lit(""))
     key = page_key(*[F.col(c) for c in (*PAGE, "stage", "version")])
-    ended = done.withColumn("result_uri", uri_for(store.bucket, key)).withColumn(
-        "next_stage", following
-    )
-    rows = succeeded_rows(ended, now, ended_at, days).unionByName(
-        failed_rows(todo.join(failed, PAGE), now, ended_at, days)
-    )
-    append_state(rows, store.log_root, ended_at)
+    ended = todo.join(failed.withColumn("_failed", F.lit(True)), PAGE, "left")
+    ended = ended.withColumn("result_uri", uri_for(store.bucket, key)).withColumn("next_stage", following)
+    append_state(ended_rows(ended, F.col("_failed").isNotNull(), now, ended_at, days), store.log_root, ended_at)

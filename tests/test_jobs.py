@@ -202,3 +202,32 @@ def test_merge_rejects(spark, count, records, bodies, error):
     merged = run_merge(spark, count, records, bodies)
     assert [r.error for r in merged.rejects.collect()] == [error]
     assert merged.pages.count() == 0 and merged.documents.count() == 0
+
+
+def test_settled_keys_are_what_pending_work_leaves_out(spark):
+    end = int(dt.datetime(2026, 1, 10, tzinfo=dt.timezone.utc).timestamp())
+    rows = [{"page": 1, "status": "running", "seq": i} for i in range(5)]  # a dead letter
+    rows += [{"page": 2, "status": "running", "seq": i} for i in range(4)]
+    rows += [{"page": 3, "expires_at": end}, {"page": 4, "expires_at": end + 1}, {"page": 5}]
+    rows += [{"page": 6, "status": "failed", "seq": 1}, {"page": 6}, {"page": 7, "status": None}, {"page": 8, "expires_at": None}]
+    rows += [{"page": None}, {"page": 9, "ts": None}, {"page": 9, "status": "failed", "ts": dt.datetime(1960, 1, 1)}]
+    rows += [{"page": 10, "status": "running", "seq": i} for i in range(6)] + [{"page": 10, "seq": 9, "expires_at": end}]
+    log, now = log_rows(spark, *rows), at("2026-01-10")
+    work = log.select(*state.KEY).distinct()
+    newest = state.latest_state(log, "status", "expires_at")
+    want = state.pending_work(work, newest, now, state.dead_letters(log, now)).collect()
+    got = work.join(state.settled_keys(log, now), state.KEY, "left_anti").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sorted(r.page for r in got if r.page) == [2, 3, 6, 7, 8, 9, 10]
+
+
+def test_ended_rows_are_the_rows_of_both_kinds(spark):
+    ended = spark.createDataFrame(
+        [("a", 1, "in", "out", "next", None, None), ("b", 2, "in", "out", "next", "bad", True), ("c", 3, None, None, None, None, True)],
+        "job_id string, page int, input_uri string, result_uri string, next_stage string, error string, failed boolean",
+    ).withColumns({"stage": F.lit(FINAL[0]), "version": F.lit(FINAL[1])})
+    failed, now = F.col("failed").isNotNull(), at("2026-01-10")
+    got = state.ended_rows(ended, failed, now, 7)
+    want = state.succeeded_rows(ended.filter(~failed), now, 7).unionByName(state.failed_rows(ended.filter(failed), now, 7))
+    assert got.schema.names == want.schema.names
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -158,3 +158,23 @@ def test_work_that_leaves_is_not_looked_up_again(spark, tmp_path, monkeypatch):
     assert asked == [2, 0, 2, 0]
     assert sorted(r.job_id for r in store.stored("done", "s", "v1").collect()) == ["a", "b"]
     assert run_stage(store, stage, work, now(), 0, fallback=("t", "v1")).count() == 2
+
+
+def test_pages_found_finished_are_not_read_again(spark, tmp_path, monkeypatch):
+    """Work that names no write is looked up among the finished pages once, and the log is folded once."""
+    from docspark.plans import chain
+
+    store = StageStore(spark, str(tmp_path), "work")
+    docs = documents(spark, x=json.dumps(PAGE))
+    loose = messages(spark, message("a", 1, EXTRACT_STAGE, uri="s3://in/x"), message("b", 1, EXTRACT_STAGE, uri="s3://in/none"))
+    run_stage(store, extract_stage(docs, json_extractor), loose, now(), 0)
+    asked, looked = [], []
+    real, runs = StageStore.rows_of, chain._runs
+    monkeypatch.setattr(StageStore, "rows_of", lambda self, table, *a: asked.append(table) or real(self, table, *a))
+    monkeypatch.setattr(chain, "_runs", lambda *a: looked.append(a[2]) or runs(*a))
+    work = messages(spark, message("a", 1, ENRICH_STAGE), message("b", 1, ENRICH_STAGE), message("a", 1, ENRICH_STAGE))
+    for _ in range(2):
+        run_stage(store, enrich_stage(seed_dictionary(spark)), work, now(), 0, previous=EXTRACT_STAGE)
+    assert (asked, looked) == (["transactions", "headers"] * 2, ["_result"] * 2)
+    got = {(r.job_id, r.status, r.error) for r in store.state(*ENRICH_STAGE, columns=("status", "error")).collect()}
+    assert got == {("a", "succeeded", ""), ("b", "failed", NO_PREVIOUS)}
